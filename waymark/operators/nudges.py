@@ -41,7 +41,7 @@ def nudges_for_all_users(facts: DataFrame, predictions: DataFrame) -> DataFrame:
                     .alias("event_name"))
             .join(evidence, ["namespace", "event_name"], "left")
             .groupBy("namespace", "user_id")
-            .agg(F.collect_set(F.when("evidence", F.col("event_name"))).alias("done")))
+            .agg(F.collect_set(F.when(F.col("evidence"), F.col("event_name"))).alias("done")))
     ranked = predictions.groupBy("namespace", "goal").agg(F.array_sort(F.collect_list(
         F.struct((-F.col("bayes")).alias("neg"), "event_name"))).alias("ranked"))
     still_open = F.filter("ranked", lambda e: ~F.array_contains("done", e["event_name"]))

@@ -159,8 +159,10 @@ def flag_spec_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flag_spec_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shouted = F.when(F.col("p_type") == "ECONOMY", F.upper("p_name")).otherwise(
+        F.col("p_name"))
     specs = table(spark, sf_dir, "part").select(
-        F.concat_ws(" ", F.initcap("p_name"), F.col("p_partkey").cast("string")).alias("name"))
+        F.concat_ws(" ", shouted, F.col("p_partkey").cast("string")).alias("name"))
     return flag_specs.list_specs(specs)
 
 

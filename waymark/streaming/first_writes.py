@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +15,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from waymark.operators.cohorts import CohortRule, is_weekly
 from waymark.schemas import FIRST_WRITES, GLOBAL_COUNTER, INTERNAL, NAMED, WEEKLY
 
+# Workers receive this module's code with the job and need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STREAM_FACTS = T.StructType([
     *FIRST_WRITES.fields,
     T.StructField("is_goal", T.BooleanType()),
