@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 NUMERIC_TYPE = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
 BASE64_PATTERN = r"^[A-Za-z0-9+/]*={0,2}$"
+LONG_RANGE = 9.2e18
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def json_type(value: Column) -> Column:
@@ -17,29 +25,27 @@ def is_number(value: Column) -> Column:
     return json_type(value).rlike(NUMERIC_TYPE)
 
 
-def _as_double(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "double")
-
-
-def variants_equal(left: Column, right: Column) -> Column:
-    """Equal JSON values: numbers by amount (42 = 42.0), everything else by type and text."""
-    same_text = F.to_json(left) == F.to_json(right)
-    both_numbers = is_number(left) & is_number(right)
-    exact_integers = (json_type(left) == "BIGINT") & (json_type(right) == "BIGINT")
-    same_amount = both_numbers & ~exact_integers & (_as_double(left) == _as_double(right))
-    return F.coalesce(same_text | same_amount, F.lit(False))
+def _fraction_text(number: Column) -> Column:
+    """Text of a non-integer type, the same for 42.0, 4.2e1 and their integer 42."""
+    whole = (number == F.floor(number)) & (F.abs(number) < LONG_RANGE)
+    return F.when(whole, number.try_cast("bigint").cast("string")).otherwise(
+        number.cast("string"))
 
 
-def variant_member(value: Column, candidates: Column) -> Column:
-    """Exact membership: neither 42.0 nor "42" is a member of [42]."""
-    whole = json_type(value) == "BIGINT"
+def equality_key(value: Column) -> Column:
+    """Equal for equal JSON values: numbers by amount, everything else by type and text."""
+    def of(v: Column) -> Column:
+        number = let(F.try_variant_get(v, "$", "double"), _fraction_text)
+        return (F.when(json_type(v) == "BIGINT", F.concat(F.lit("n"), F.to_json(v)))
+                .when(is_number(v), F.concat(F.lit("n"), number))
+                .otherwise(F.to_json(v)))
+    return let(value, of)
 
-    def matches(candidate: Column) -> Column:
-        same_kind = ~is_number(value) | (whole == (json_type(candidate) == "BIGINT"))
-        return (F.to_json(candidate) == F.to_json(value)) & same_kind
 
-    items = F.try_variant_get(candidates, "$", "array<variant>")
-    return F.coalesce(F.exists(items, matches), F.lit(False))
+def member_key(value: Column) -> Column:
+    """Like :func:`equality_key`, but 42 and 42.0 differ: list membership is exact."""
+    return let(value, lambda v: F.when(json_type(v) == "BIGINT", F.to_json(v))
+               .otherwise(F.concat(F.lit("x"), equality_key(v))))
 
 
 def decode_base64_json(text: Column) -> tuple[Column, Column]:

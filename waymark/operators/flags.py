@@ -4,24 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from waymark.functions.variants import variant_member, variants_equal
+from waymark.functions.variants import equality_key, let, member_key
 
 EQUALS, MEMBER_OF = "=", "in"
 
 
-def condition_holds(condition: Column, user: Column) -> Column:
-    """One ``property comparator value`` against a user object (VARIANT)."""
+def user_keys(user: Column) -> Column:
+    """Comparison keys of a user object (VARIANT), computed once for all conditions."""
     properties = F.try_variant_get(user, "$", "map<string,variant>")
-    actual = F.try_element_at(properties, condition["property"])
-    held = (F.when(condition["comparator"] == EQUALS,
-                   variants_equal(actual, condition["value"]))
-            .when(condition["comparator"] == MEMBER_OF,
-                  variant_member(actual, condition["value"])))
-    return F.coalesce(held, F.lit(False))
+    return let(properties, lambda p: F.struct(
+        F.transform_values(p, lambda _, v: equality_key(v)).alias("equality"),
+        F.transform_values(p, lambda _, v: member_key(v)).alias("member")))
 
 
-def any_condition_holds(conditions: Column, user: Column) -> Column:
-    return F.coalesce(F.exists(conditions, lambda c: condition_holds(c, user)), F.lit(False))
+def condition_keys(condition: Column) -> Column:
+    """A ``property comparator value`` condition with its value as comparison keys."""
+    items = F.try_variant_get(condition["value"], "$", "array<variant>")
+    return F.struct(
+        condition["property"].alias("property"),
+        F.when(condition["comparator"] == EQUALS, equality_key(condition["value"]))
+        .alias("equality"),
+        F.when(condition["comparator"] == MEMBER_OF, F.transform(items, member_key))
+        .alias("members"))
+
+
+def condition_holds(keyed: Column, user: Column) -> Column:
+    """A condition from :func:`condition_keys` for a user from :func:`user_keys`.
+
+    An absent property has no key and matches nothing.
+    """
+    equal = F.try_element_at(user["equality"], keyed["property"]) == keyed["equality"]
+    member = F.array_contains(keyed["members"],
+                              F.try_element_at(user["member"], keyed["property"]))
+    return F.coalesce(equal, member, F.lit(False))
+
+
+def any_condition_holds(keyed: Column, user: Column) -> Column:
+    return F.coalesce(F.exists(keyed, lambda c: condition_holds(c, user)), F.lit(False))
 
 
 def rollout_chance(start: Column, end: Column, now: Column) -> Column:
@@ -38,7 +57,13 @@ def rollout_on(start: Column, end: Column, now: Column, rand: Column) -> Column:
             .otherwise(rand <= (now - start) / (end - start)))
 
 
+def keyed_spec(spec: Column) -> Column:
+    """A spec with its user conditions prepared for comparison."""
+    return spec.withField("user", F.transform(spec["user"], condition_keys))
+
+
 def flag_value(spec: Column, user: Column, now: Column, rand: Column) -> Column:
+    """Decision of a :func:`keyed_spec` for :func:`user_keys`."""
     return (F.coalesce(spec["boolean"], F.lit(False))
             | any_condition_holds(spec["user"], user)
             | rollout_on(spec["rollout_start"], spec["rollout_end"], now, rand))
@@ -50,13 +75,18 @@ def flags_for_users(users: DataFrame, specs: DataFrame, now: Column, rand: Colum
 
     The specs are settings. They enter the plan as one value computed by a scalar
     subquery, so all users are evaluated in a single pass without a join or a shuffle.
+    Comparison keys are made once per spec and once per user; deciding a flag compares
+    ready texts.
     """
     fields = ["name", "boolean", "rollout_start", "rollout_end", "user"]
-    all_specs = specs.agg(F.collect_list(F.struct(*fields))).scalar()
-    decide = lambda s: F.struct(
-        s["name"], flag_value(s, F.col(user), now, rand))
+    all_specs = specs.agg(F.collect_list(keyed_spec(F.struct(*fields)))).scalar()
+
+    def decide(keys: Column) -> Column:
+        return F.map_from_entries(F.transform("_specs", lambda s: F.struct(
+            s["name"], flag_value(s, keys, now, rand))))
+
     return (users.withColumn("_specs", all_specs)
-            .withColumn("flags", F.map_from_entries(F.transform("_specs", decide)))
+            .withColumn("flags", let(user_keys(F.col(user)), decide))
             .drop("_specs"))
 
 

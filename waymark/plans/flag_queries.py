@@ -39,8 +39,13 @@ def _condition(prop: str, comparator: str, value: str) -> Column:
                     F.parse_json(F.lit(value)).alias("value"))
 
 
+def _keys() -> Column:
+    return flags.user_keys(F.col("user"))
+
+
 def _holds(prop: str, comparator: str, value: str) -> Column:
-    return flags.condition_holds(_condition(prop, comparator, value), F.col("user"))
+    keyed = flags.condition_keys(_condition(prop, comparator, value))
+    return flags.condition_holds(keyed, F.col("keys"))
 
 
 def flag_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,13 +53,13 @@ def flag_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
     specs = parsed_specs(spark, sf_dir).filter(F.col("reason").isNull())
     spec = F.struct("name", "boolean", F.lit(None).cast("long").alias("rollout_start"),
                     F.lit(None).cast("long").alias("rollout_end"), "user")
-    nobody = F.parse_json(F.lit("{}"))
-    return specs.select("p_partkey", flags.flag_value(spec, nobody, now(), F.lit(0.5))
-                        .alias("enabled"))
+    nobody = flags.user_keys(F.parse_json(F.lit("{}")))
+    return specs.select("p_partkey", flags.flag_value(
+        flags.keyed_spec(spec), nobody, now(), F.lit(0.5)).alias("enabled"))
 
 
 def flag_user_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return customers(spark, sf_dir).select(
+    return customers(spark, sf_dir).withColumn("keys", _keys()).select(
         "c_custkey",
         _holds("segment", "=", '"BUILDING"').alias("segment_is"),
         _holds("nation", "=", "7").alias("nation_is"),
@@ -64,7 +69,7 @@ def flag_user_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flag_user_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return customers(spark, sf_dir).select(
+    return customers(spark, sf_dir).withColumn("keys", _keys()).select(
         "c_custkey",
         _holds("nation", "in", "[5, 6, 7]").alias("nation_in"),
         _holds("nation", "in", '["5", "6", "7"]').alias("nation_in_texts"),
@@ -75,8 +80,9 @@ def flag_user_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flag_user_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     either = F.array(_condition("segment", "=", '"BUILDING"'),
                      _condition("nation", "in", "[8, 9]"))
+    keyed = F.transform(either, flags.condition_keys)
     return customers(spark, sf_dir).select(
-        "c_custkey", flags.any_condition_holds(either, F.col("user")).alias("enabled"))
+        "c_custkey", flags.any_condition_holds(keyed, _keys()).alias("enabled"))
 
 
 def flag_rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +117,8 @@ def flag_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(nation < 18, start + 5 * DAY).alias("rollout_end"),
         F.array(_condition("segment", "=", '"BUILDING"')).alias("user"))
     return customers(spark, sf_dir).select(
-        "c_custkey", flags.flag_value(spec, F.col("user"), now(), rand()).alias("enabled"))
+        "c_custkey", flags.flag_value(
+            flags.keyed_spec(spec), _keys(), now(), rand()).alias("enabled"))
 
 
 def flags_for_users(spark: SparkSession, sf_dir: str) -> DataFrame:

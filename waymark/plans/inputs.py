@@ -26,22 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_k(props: Column = F.col("props")) -> Column:
+def event_k() -> Column:
     """The ``k`` (0-99) every event carries in its properties."""
-    return F.get_json_object(props, "$.k").cast("int")
+    return F.get_json_object("props", "$.k").cast("int")
 
 
 def namespace_of(k: Column) -> Column:
     return F.when(k < 50, F.lit("default")).otherwise(F.lit("beta"))
 
 
-def log_columns(events: DataFrame, event_name: Column, ts: Column = F.col("ts")) -> DataFrame:
+def log_columns(events: DataFrame, event_name: Column, ts: Column | None = None) -> DataFrame:
     """Rows of ``events`` (batch or stream) as an event log.
 
     Events with ``k`` from 40 to 59 carry no value; a purchase above 100 announces itself
     as a goal.
     """
     k = event_k()
+    ts = F.col("ts") if ts is None else ts
     return events.select(
         F.col("event_id").alias("seq"),
         namespace_of(k).alias("namespace"),

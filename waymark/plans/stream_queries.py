@@ -21,11 +21,9 @@ from waymark.streaming import (FlagStream, IncrementalFacts, changed_counters,
                                write_append, write_batches)
 from waymark.streaming.first_writes import STREAM_FACTS
 
-EVENT_TYPE = F.col("event_type")
-
 
 def _typed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_columns(streamed_events(spark, sf_dir), EVENT_TYPE)
+    return log_columns(streamed_events(spark, sf_dir), F.col("event_type"))
 
 
 def _facts_text(facts: DataFrame) -> DataFrame:
@@ -64,7 +62,7 @@ def stream_late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates moved back by up to 99 days, so that they arrive in no order at all."""
     days = F.get_json_object("props", "$.k").cast("int")
     late = F.col("ts") - F.make_dt_interval(days)
-    log = log_columns(streamed_events(streaming_session(spark), sf_dir), EVENT_TYPE, ts=late)
+    log = log_columns(streamed_events(streaming_session(spark), sf_dir), F.col("event_type"), ts=late)
     return _snapshot(weekly_user_counts(log), spark, "stream-late", "namespace",
                      "event_name", "iso_year", "iso_week")
 
@@ -89,7 +87,7 @@ def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = events.agg(F.expr("percentile_approx(event_id, 0.5)").alias("m")).first()["m"]
     for part in (F.col("event_id") <= middle, F.col("event_id") > middle):
         events.filter(part).write.mode("append").parquet(f"{base}/in")
-        log = log_columns(session.readStream.schema(EVENTS).parquet(f"{base}/in"), EVENT_TYPE)
+        log = log_columns(session.readStream.schema(EVENTS).parquet(f"{base}/in"), F.col("event_type"))
         facts = stream_first_writes(log, goal_table(session), WEEKLY_RULES)
         run_available(write_append(facts, f"{base}/out", f"{base}/state"))
     return _facts_text(spark.read.schema(STREAM_FACTS).parquet(f"{base}/out"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waymark.functions.dates import iso_week, iso_year, parse_rfc3339, utc_wall_clock
-from waymark.functions.variants import is_number, json_type
+from waymark.functions.variants import is_number, json_type, let
 from waymark.schemas import DEFAULT_NAMESPACE
 
 SINGLE, ENVELOPE, ARRAY = "single", "envelope", "array"
@@ -34,38 +34,44 @@ def _member(event: Column, name: str) -> Column:
     return F.try_variant_get(event, f"$.{name}", "variant")
 
 
-def _wrong_type(value: Column, expected: Column) -> Column:
-    return value.isNotNull() & ~expected
+FIELDS = ["event_name", "user_id", "namespace", "ensure_goal", "value", "datetime"]
+TEXT_FIELDS = ["event_name", "user_id", "namespace", "datetime"]
 
 
 def _event(element: Column) -> Column:
     """A variant element as a struct of typed fields plus the reason it is unusable."""
-    name, user = _member(element, "event_name"), _member(element, "user_id")
-    namespace, goal = _member(element, "namespace"), _member(element, "ensure_goal")
-    value, moment = _member(element, "value"), _member(element, "datetime")
-    moment_text = F.try_variant_get(element, "$.datetime", "string")
-    is_object = F.try_variant_get(element, "$", "map<string,variant>").isNotNull()
-
-    wrong = (_wrong_type(name, json_type(name) == "STRING")
-             | _wrong_type(user, json_type(user) == "STRING")
-             | _wrong_type(namespace, json_type(namespace) == "STRING")
-             | _wrong_type(goal, json_type(goal) == "BOOLEAN")
-             | _wrong_type(value, is_number(value))
-             | _wrong_type(moment, json_type(moment) == "STRING"))
-    reason = (F.when(~is_object, F.lit("incorrect_type"))
-              .when(name.isNull() | user.isNull(), F.lit("missing_required_key"))
-              .when(wrong, F.lit("incorrect_type"))
-              .when(moment.isNotNull() & parse_rfc3339(moment_text).isNull(),
-                    F.lit("invalid_date")))
-    return F.struct(
-        F.try_variant_get(element, "$.event_name", "string").alias("event_name"),
-        F.try_variant_get(element, "$.user_id", "string").alias("user_id"),
-        F.try_variant_get(element, "$.namespace", "string").alias("namespace"),
-        F.try_variant_get(element, "$.ensure_goal", "boolean").alias("ensure_goal"),
-        F.try_variant_get(element, "$.value", "double").alias("value"),
-        parse_rfc3339(moment_text).alias("datetime"),
-        reason.alias("reason"),
-    )
+    members = F.struct(
+        F.try_variant_get(element, "$", "map<string,variant>").isNull().alias("no_object"),
+        *[_member(element, name).alias(name) for name in FIELDS])
+    return let(members, _checked)
+
+
+def _checked(m: Column) -> Column:
+    def text(name: str) -> Column:
+        return F.try_variant_get(m[name], "$", "string")
+
+    def wrong(name: str, right: Column) -> Column:
+        return m[name].isNotNull() & ~right
+
+    bad_type = wrong("ensure_goal", json_type(m["ensure_goal"]) == "BOOLEAN") | wrong(
+        "value", is_number(m["value"]))
+    for name in TEXT_FIELDS:
+        bad_type = bad_type | wrong(name, json_type(m[name]) == "STRING")
+
+    def fields(moment: Column) -> Column:
+        reason = (F.when(m["no_object"], F.lit("incorrect_type"))
+                  .when(m["event_name"].isNull() | m["user_id"].isNull(),
+                        F.lit("missing_required_key"))
+                  .when(bad_type, F.lit("incorrect_type"))
+                  .when(m["datetime"].isNotNull() & moment.isNull(), F.lit("invalid_date")))
+        return F.struct(
+            text("event_name").alias("event_name"), text("user_id").alias("user_id"),
+            text("namespace").alias("namespace"),
+            F.try_variant_get(m["ensure_goal"], "$", "boolean").alias("ensure_goal"),
+            F.try_variant_get(m["value"], "$", "double").alias("value"),
+            moment.alias("datetime"), reason.alias("reason"))
+
+    return let(parse_rfc3339(text("datetime")), fields)
 
 
 def _first_reason(events: Column) -> Column:
@@ -73,44 +79,49 @@ def _first_reason(events: Column) -> Column:
     return F.try_element_at(bad, F.lit(1))["reason"]
 
 
+def _decide(body: Column) -> Column:
+    """Shape, events and reason of a parsed body."""
+    as_array = F.try_variant_get(body, "$", "array<variant>")
+    as_object = F.try_variant_get(body, "$", "map<string,variant>")
+    enveloped = F.try_variant_get(body, "$.events", "array<variant>")
+
+    def from_parts(p: Column) -> Column:
+        single_ok = F.coalesce(p["single"]["reason"].isNull() & p["single"].isNotNull(),
+                               F.lit(False))
+        list_ok = p["list_reason"].isNull() & p["listed"].isNotNull()
+        envelope_ok = ~p["is_array"] & list_ok
+        reason = (F.when(body.isNull(), F.lit("invalid_json"))
+                  .when(single_ok & envelope_ok, F.lit("matches_more_than_one_shape"))
+                  .when(single_ok | list_ok, F.lit(None).cast("string"))
+                  .when(p["is_array"] | p["has_events"],
+                        F.coalesce(p["list_reason"], F.lit("incorrect_type")))
+                  .otherwise(F.coalesce(p["single"]["reason"], F.lit("incorrect_type"))))
+        shape = (F.when(single_ok, F.lit(SINGLE)).when(p["is_array"], F.lit(ARRAY))
+                 .otherwise(F.lit(ENVELOPE)))
+        events = F.when(single_ok, F.array(p["single"])).otherwise(p["listed"])
+        return let(reason, lambda r: F.struct(
+            F.when(r.isNull(), shape).alias("shape"),
+            F.when(r.isNull(), events).alias("events"),
+            r.alias("reason")))
+
+    listed = F.transform(F.coalesce(as_array, enveloped), _event)
+    return let(listed, lambda events: let(F.struct(
+        events.alias("listed"),
+        _first_reason(events).alias("list_reason"),
+        F.when(as_object.isNotNull(), _event(body)).alias("single"),
+        as_array.isNotNull().alias("is_array"),
+        _member(body, "events").isNotNull().alias("has_events")), from_parts))
+
+
 def parse_requests(requests: DataFrame) -> DataFrame:
     """``(request_seq, body, ...)`` → adds ``shape``, ``events`` and ``reason``.
 
     Exactly one of the three shapes must fit. ``reason`` is NULL for usable requests, whose
-    ``shape`` is set and whose ``events`` are all valid.
+    ``shape`` is set and whose ``events`` are all valid. The decision is made in a
+    generator: filters on its columns stay above it, so that a body is parsed once.
     """
-    body = F.col("_json")
-    as_array = F.try_variant_get(body, "$", "array<variant>")
-    as_object = F.try_variant_get(body, "$", "map<string,variant>")
-    envelope_events = F.try_variant_get(body, "$.events", "array<variant>")
-
-    opened = (requests
-              .withColumn("_json", F.try_parse_json("body"))
-              .withColumn("_listed", F.transform(F.coalesce(as_array, envelope_events), _event))
-              .withColumn("_single", F.when(as_object.isNotNull(), _event(body)))
-              .withColumn("_is_array", as_array.isNotNull())
-              .withColumn("_has_events", _member(body, "events").isNotNull()))
-
-    list_ok = F.col("_listed").isNotNull() & _first_reason(F.col("_listed")).isNull()
-    single_ok = F.col("_single").isNotNull() & F.col("_single.reason").isNull()
-    envelope_ok = ~F.col("_is_array") & list_ok
-    shape = (F.when(single_ok & envelope_ok, F.lit(None).cast("string"))
-             .when(single_ok, F.lit(SINGLE))
-             .when(F.col("_is_array") & list_ok, F.lit(ARRAY))
-             .when(envelope_ok, F.lit(ENVELOPE)))
-    listed_reason = F.coalesce(_first_reason(F.col("_listed")), F.lit("incorrect_type"))
-    reason = (F.when(F.col("_json").isNull(), F.lit("invalid_json"))
-              .when(single_ok & envelope_ok, F.lit("matches_more_than_one_shape"))
-              .when(shape.isNotNull(), F.lit(None).cast("string"))
-              .when(F.col("_is_array") | F.col("_has_events"), listed_reason)
-              .when(F.col("_single").isNotNull(), F.col("_single.reason"))
-              .otherwise(F.lit("incorrect_type")))
-    events = F.when(shape == SINGLE, F.array(F.col("_single"))).otherwise(F.col("_listed"))
-    return (opened
-            .withColumn("shape", shape)
-            .withColumn("reason", reason)
-            .withColumn("events", F.when(F.col("reason").isNull(), events))
-            .drop("_json", "_listed", "_single", "_is_array", "_has_events"))
+    decision = let(F.try_parse_json("body"), _decide)
+    return requests.select("*", F.inline_outer(F.array(decision)))
 
 
 def accepted_events(parsed: DataFrame, received_at: str | None = None) -> DataFrame:
