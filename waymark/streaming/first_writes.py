@@ -57,21 +57,21 @@ def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class FirstWriteProcessor(StatefulProcessor):
-    """State of one user in one namespace: event → first order number, and weeks seen.
+    """State of one user in one namespace: the first writes so far, as a growing list.
 
-    The map has one small entry per event name the user has done. ``ttl_ms`` lets entries
-    expire; that bounds state but makes a returning user count again, so it is off by
-    default.
+    A write is ``(event, year, week)`` with its order number; the named one has no week.
+    One read and one append per user and micro-batch keep the traffic between Python and
+    the state store low, and appending never rewrites what is stored. The list holds at
+    most one entry per event name and week. ``ttl_ms`` lets entries expire; that bounds
+    state but makes a returning user count again, so it is off by default.
     """
 
     def __init__(self, ttl_ms: int | None = None) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first_seq = handle.getMapState(
-            "first_seq", "event string", "seq bigint", self.ttl_ms)
-        self.weeks = handle.getMapState(
-            "weeks", "event string, iso_year int, iso_week int", "seq bigint", self.ttl_ms)
+        self.writes = handle.getListState(
+            "writes", "event string, iso_year int, iso_week int, seq bigint", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
         namespace, user = key
@@ -80,38 +80,44 @@ class FirstWriteProcessor(StatefulProcessor):
             slot = (row.event_name, row.iso_year, row.iso_week)
             if slot not in earliest or row.seq < earliest[slot].seq:
                 earliest[slot] = row
-        # Read the whole history only for a goal, and then once per batch.
-        history: dict[str, int] | None = None
+
+        named: dict[str, int] = {}
+        weeks: set[tuple] = set()
+        for event, year, week, seq in self.writes.get():
+            if week is None:
+                named[event] = seq
+            else:
+                weeks.add((event, year, week))
+        greeted, added = bool(named), []
 
         def prior(limit: int, inclusive: bool) -> list[str]:
-            return sorted(name for name, seq in history.items()
+            return sorted(name for name, seq in named.items()
                           if seq < limit or (inclusive and seq == limit))
 
-        def fact(kind: str, row: Row, tags: list[str], goal: bool) -> Row:
+        def fact(kind: str, row: Row, goal: bool) -> Row:
             name = GLOBAL_COUNTER if kind == INTERNAL else row.event_name
-            week = (row.iso_year, row.iso_week) if kind == WEEKLY else (None, None)
+            year, week = (row.iso_year, row.iso_week) if kind == WEEKLY else (None, None)
+            tags = prior(row.seq, kind == WEEKLY) if goal else []
             return Row(namespace=namespace, event_name=name, counter_type=kind,
-                       iso_year=week[0], iso_week=week[1], user_id=user, seq=row.seq,
+                       iso_year=year, iso_week=week, user_id=user, seq=row.seq,
                        value=row.value, is_goal=goal, tags=tags)
 
-        known = self.first_seq.exists()
         for row in sorted(earliest.values(), key=lambda r: r.seq):
             goal = row.active_from_seq is not None and row.seq >= row.active_from_seq
-            if goal and history is None:
-                history = {k[0]: v[0] for k, v in self.first_seq.iterator()}
-            if not known:
-                yield fact(INTERNAL, row, [], False)
-                known = True
-            if not self.first_seq.containsKey((row.event_name,)):
-                yield fact(NAMED, row, prior(row.seq, False) if goal else [], goal)
-                self.first_seq.updateValue((row.event_name,), (row.seq,))
-                if history is not None:
-                    history[row.event_name] = row.seq
-            if row.iso_week is not None:
-                week = (row.event_name, row.iso_year, row.iso_week)
-                if not self.weeks.containsKey(week):
-                    yield fact(WEEKLY, row, prior(row.seq, True) if goal else [], goal)
-                    self.weeks.updateValue(week, (row.seq,))
+            slot = (row.event_name, row.iso_year, row.iso_week)
+            if not greeted:
+                yield fact(INTERNAL, row, False)
+                greeted = True
+            if row.event_name not in named:
+                yield fact(NAMED, row, goal)
+                named[row.event_name] = row.seq
+                added.append((row.event_name, None, None, row.seq))
+            if row.iso_week is not None and slot not in weeks:
+                yield fact(WEEKLY, row, goal)
+                weeks.add(slot)
+                added.append((*slot, row.seq))
+        if added:
+            self.writes.appendList(added)
 
     def close(self) -> None:
         pass
