@@ -1,11 +1,9 @@
 """First-write facts: one row per counter and user, the base of every other result.
 
-A user counts once per counter, with the value of that first event. Three levels of
-counters hang together: the first event of a week, the first event ever, and the first
-event of any name. Each level is the minimum over the level below, so the raw log is
-aggregated once, at the finest level, and shuffled once after map-side combining. A user
-with very many events therefore reaches the later steps as at most one row per event name
-and week.
+A user counts once per counter, with the value of that first event. The first event of a
+name is the first of its weeks, and the first event of a namespace the first of its names.
+So the raw log is aggregated at the finest level only, with map-side combining, and a user
+with very many events reaches the later steps as one row per event name and week.
 """
 
 from __future__ import annotations
@@ -18,9 +16,6 @@ from waymark.operators.cohorts import CohortRule, is_weekly
 from waymark.schemas import (COUNTER_KEY, GLOBAL_COUNTER, INTERNAL, NAMED,
                              WEEKLY)
 
-USER = ["namespace", "user_id"]
-
-
 def _first() -> list[Column]:
     # min and min_by keep fixed-width buffers, so the aggregation stays hash based; a
     # minimum over a struct would be planned as a sort.
@@ -31,56 +26,54 @@ def _null_int() -> Column:
     return F.lit(None).cast("int")
 
 
-def _shape(df: DataFrame, counter_type: str) -> DataFrame:
-    event = F.lit(GLOBAL_COUNTER) if counter_type == INTERNAL else F.col("event_name")
-    week = (lambda name: F.col(name)) if counter_type == WEEKLY else (lambda _: _null_int())
-    return df.select("namespace", event.alias("event_name"),
-                     F.lit(counter_type).alias("counter_type"),
-                     week("iso_year").alias("iso_year"), week("iso_week").alias("iso_week"),
-                     "user_id", "seq", "value")
-
-
-def fan_out(log: DataFrame, rules: Sequence[CohortRule] = ()) -> DataFrame:
-    """Every counter an event writes to: its namespace's, its own, and its week's."""
-    def target(name: Column, kind: str, dated: bool) -> Column:
+def _targets(dated: Column) -> Column:
+    """The counters a row writes to; the weekly one only where ``dated`` holds."""
+    def target(name: Column, kind: str, week: bool) -> Column:
         return F.struct(
             name.alias("event_name"), F.lit(kind).alias("counter_type"),
-            (F.col("iso_year") if dated else _null_int()).alias("iso_year"),
-            (F.col("iso_week") if dated else _null_int()).alias("iso_week"))
+            (F.col("iso_year") if week else _null_int()).alias("iso_year"),
+            (F.col("iso_week") if week else _null_int()).alias("iso_week"))
 
     always = F.array(target(F.lit(GLOBAL_COUNTER), INTERNAL, False),
                      target(F.col("event_name"), NAMED, False))
     weekly = F.array(target(F.col("event_name"), WEEKLY, True))
-    targets = F.when(is_weekly(F.col("event_name"), rules),
-                     F.concat(always, weekly)).otherwise(always)
-    return (log.select("namespace", F.explode(targets).alias("t"), "user_id", "seq", "value")
+    return F.when(dated, F.concat(always, weekly)).otherwise(always)
+
+
+def _write_targets(rows: DataFrame, dated: Column) -> DataFrame:
+    return (rows.select("namespace", F.explode(_targets(dated)).alias("t"), "user_id", "seq",
+                        "value")
             .select("namespace", "t.*", "user_id", "seq", "value"))
 
 
+def fan_out(log: DataFrame, rules: Sequence[CohortRule] = ()) -> DataFrame:
+    """Every counter an event writes to: its namespace's, its own, and its week's."""
+    return _write_targets(log, is_weekly(F.col("event_name"), rules))
+
+
 def named_first_writes(log: DataFrame) -> DataFrame:
     """First write per event name and user only, for results that need no other level."""
-    return _shape(log.groupBy("namespace", "event_name", "user_id").agg(*_first()), NAMED)
+    named = log.groupBy("namespace", "event_name", "user_id").agg(*_first())
+    return named.select("namespace", "event_name", F.lit(NAMED).alias("counter_type"),
+                        _null_int().alias("iso_year"), _null_int().alias("iso_week"),
+                        "user_id", "seq", "value")
 
 
 def first_writes(log: DataFrame, rules: Sequence[CohortRule] = ()) -> DataFrame:
-    """All three levels: ``namespace`` counters, event counters, weekly counters."""
-    if not any(rule.date_cohort == WEEKLY for rule in rules):
-        finest = log.groupBy("namespace", "event_name", "user_id").agg(*_first())
-        named = finest.repartition(*USER)
-        weekly = None
-    else:
-        dated = is_weekly(F.col("event_name"), rules)
-        finest = (log.groupBy("namespace", "event_name",
-                              F.when(dated, F.col("iso_year")).alias("iso_year"),
-                              F.when(dated, F.col("iso_week")).alias("iso_week"), "user_id")
-                  .agg(*_first()))
-        # From here on every grouping contains the user, so one partitioning serves all.
-        by_user = finest.repartition(*USER)
-        named = by_user.groupBy("namespace", "event_name", "user_id").agg(*_first())
-        weekly = _shape(by_user.filter(F.col("iso_week").isNotNull()), WEEKLY)
-    internal = named.groupBy(*USER).agg(*_first())
-    facts = _shape(internal, INTERNAL).unionByName(_shape(named, NAMED))
-    return facts if weekly is None else facts.unionByName(weekly)
+    """All three levels: ``namespace`` counters, event counters, weekly counters.
+
+    The log is scanned once and reduced to first rows per user, event and week. Only those
+    are partitioned by user and fan out to the counters; every counter's key contains the
+    user, so the second aggregation works on that partitioning without a shuffle.
+    """
+    dated = is_weekly(F.col("event_name"), rules)
+    finest = (log.groupBy("namespace", "event_name",
+                          F.when(dated, F.col("iso_year")).alias("iso_year"),
+                          F.when(dated, F.col("iso_week")).alias("iso_week"), "user_id")
+              .agg(*_first()))
+    by_user = finest.repartition("namespace", "user_id")
+    return (_write_targets(by_user, F.col("iso_week").isNotNull())
+            .groupBy(*COUNTER_KEY, "user_id").agg(*_first()))
 
 
 def prior_events(marked: DataFrame, include_self: bool = True) -> DataFrame:
@@ -96,18 +89,13 @@ def prior_events(marked: DataFrame, include_self: bool = True) -> DataFrame:
     history = (marked.filter(F.col("counter_type") == NAMED)
                .select("namespace", "user_id", F.col("event_name").alias("tag"),
                        F.col("seq").alias("tag_seq")))
-    goals = marked.filter("is_goal")
-
-    def before(counter_type: str, condition: Column) -> DataFrame:
-        return (goals.filter(F.col("counter_type") == counter_type)
-                .join(history, USER).filter(condition)
-                .select(*COUNTER_KEY, "user_id", "tag"))
-
-    weekly_condition = F.col("tag_seq") <= F.col("seq")
+    earlier = F.col("tag_seq") < F.col("seq")
+    same_event = (F.col("tag_seq") == F.col("seq")) & (F.col("counter_type") == WEEKLY)
+    before = earlier | same_event
     if not include_self:
-        weekly_condition = weekly_condition & (F.col("tag") != F.col("event_name"))
-    return (before(NAMED, F.col("tag_seq") < F.col("seq"))
-            .unionByName(before(WEEKLY, weekly_condition)))
+        before = before & (F.col("tag") != F.col("event_name"))
+    return (marked.filter("is_goal").join(history, ["namespace", "user_id"]).filter(before)
+            .select(*COUNTER_KEY, "user_id", "tag"))
 
 
 def with_tags(marked: DataFrame, prior: DataFrame) -> DataFrame:

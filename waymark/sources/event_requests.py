@@ -40,13 +40,11 @@ TEXT_FIELDS = ["event_name", "user_id", "namespace", "datetime"]
 
 def _event(element: Column) -> Column:
     """A variant element as a struct of typed fields plus the reason it is unusable."""
-    members = F.struct(
-        F.try_variant_get(element, "$", "map<string,variant>").isNull().alias("no_object"),
-        *[_member(element, name).alias(name) for name in FIELDS])
-    return let(members, _checked)
+    members = F.struct(*[_member(element, name).alias(name) for name in FIELDS])
+    return let(members, lambda m: _checked(element, m))
 
 
-def _checked(m: Column) -> Column:
+def _checked(element: Column, m: Column) -> Column:
     def text(name: str) -> Column:
         return F.try_variant_get(m[name], "$", "string")
 
@@ -59,9 +57,11 @@ def _checked(m: Column) -> Column:
         bad_type = bad_type | wrong(name, json_type(m[name]) == "STRING")
 
     def fields(moment: Column) -> Column:
-        reason = (F.when(m["no_object"], F.lit("incorrect_type"))
-                  .when(m["event_name"].isNull() | m["user_id"].isNull(),
-                        F.lit("missing_required_key"))
+        # Only an element without the required members can be something else than an object.
+        is_object = F.try_variant_get(element, "$", "map<string,variant>").isNotNull()
+        lacking = F.when(is_object, F.lit("missing_required_key")).otherwise(
+            F.lit("incorrect_type"))
+        reason = (F.when(m["event_name"].isNull() | m["user_id"].isNull(), lacking)
                   .when(bad_type, F.lit("incorrect_type"))
                   .when(m["datetime"].isNotNull() & moment.isNull(), F.lit("invalid_date")))
         return F.struct(
@@ -82,12 +82,10 @@ def _first_reason(events: Column) -> Column:
 def _decide(body: Column) -> Column:
     """Shape, events and reason of a parsed body."""
     as_array = F.try_variant_get(body, "$", "array<variant>")
-    as_object = F.try_variant_get(body, "$", "map<string,variant>")
     enveloped = F.try_variant_get(body, "$.events", "array<variant>")
 
     def from_parts(p: Column) -> Column:
-        single_ok = F.coalesce(p["single"]["reason"].isNull() & p["single"].isNotNull(),
-                               F.lit(False))
+        single_ok = p["single"]["reason"].isNull()
         list_ok = p["list_reason"].isNull() & p["listed"].isNotNull()
         envelope_ok = ~p["is_array"] & list_ok
         reason = (F.when(body.isNull(), F.lit("invalid_json"))
@@ -95,7 +93,7 @@ def _decide(body: Column) -> Column:
                   .when(single_ok | list_ok, F.lit(None).cast("string"))
                   .when(p["is_array"] | p["has_events"],
                         F.coalesce(p["list_reason"], F.lit("incorrect_type")))
-                  .otherwise(F.coalesce(p["single"]["reason"], F.lit("incorrect_type"))))
+                  .otherwise(p["single"]["reason"]))
         shape = (F.when(single_ok, F.lit(SINGLE)).when(p["is_array"], F.lit(ARRAY))
                  .otherwise(F.lit(ENVELOPE)))
         events = F.when(single_ok, F.array(p["single"])).otherwise(p["listed"])
@@ -108,7 +106,7 @@ def _decide(body: Column) -> Column:
     return let(listed, lambda events: let(F.struct(
         events.alias("listed"),
         _first_reason(events).alias("list_reason"),
-        F.when(as_object.isNotNull(), _event(body)).alias("single"),
+        _event(body).alias("single"),
         as_array.isNotNull().alias("is_array"),
         _member(body, "events").isNotNull().alias("has_events")), from_parts))
 
