@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from waymark.functions.dates import iso_week, iso_year
 from waymark.functions.names import normalize_user_id
 from waymark.operators.cohorts import CohortRule
-from waymark.schemas import GOALS, WEEKLY
+from waymark.schemas import WEEKLY
 
 WEEKLY_RULES = (CohortRule("purchase|signup", date_cohort=WEEKLY), CohortRule(".*"))
 
@@ -73,10 +73,14 @@ def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def goal_table(spark: SparkSession) -> DataFrame:
-    """Goals that were registered before the first event."""
-    return spark.createDataFrame(
-        [("default", "purchase", 0), ("default", "signup", 0), ("beta", "purchase", 0)],
-        GOALS)
+    """Goals that were registered before the first event.
+
+    Inline values have a size Catalyst knows, unlike a frame made from Python objects.
+    """
+    return spark.sql("""
+        SELECT * FROM VALUES ('default', 'purchase', 0L), ('default', 'signup', 0L),
+                             ('beta', 'purchase', 0L) AS g(namespace, goal_name, active_from_seq)
+    """)
 
 
 def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ from waymark.schemas import COUNTERS, FLAG_SPECS, GOALS
 
 def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     try:
-        return spark.read.schema(schema).parquet(path)
+        # Folder columns are read last; the schema's order is restored.
+        return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
