@@ -116,6 +116,7 @@ UNION ALL
 SELECT namespace, event_name, 'weekly', iso_year, iso_week, count(*) FROM log
 WHERE event_name IN ('purchase', 'signup') GROUP BY namespace, event_name, iso_year, iso_week"""),
     "first_writes": statement(TYPED_LOG, FACTS, select="SELECT * FROM facts"),
+    "first_writes_merge": statement(TYPED_LOG, FACTS, select="SELECT * FROM facts"),
     "unique_users_by_event": statement(TYPED_LOG, select="""
 SELECT namespace, event_name, count(DISTINCT user_id) AS count FROM log GROUP BY ALL"""),
     "unique_users_global": statement(TYPED_LOG, select="""
@@ -182,10 +183,9 @@ SELECT 'default' AS namespace, 'purchase' AS event_name, CAST(c_custkey AS VARCH
 FROM customer WHERE CAST(c_custkey AS VARCHAR) IN (
   SELECT user_id FROM log WHERE namespace = 'default' AND event_name = 'purchase')"""),
     "events_for_user": statement(STEP_LOG, select="""
-SELECT namespace, user_id, string_agg(DISTINCT event_name, '|' ORDER BY event_name) AS events
-FROM log GROUP BY namespace, user_id"""),
+SELECT DISTINCT namespace, user_id, event_name FROM log"""),
     "namespace_counts": statement(counted(TYPED_LOG), TAG_COUNTS, select="""
-SELECT t.*  EXCLUDE (value_sum), round(t.value_sum, 6) AS value_sum,
+SELECT t.* EXCLUDE (value_sum), round(t.value_sum, 6) AS value_sum, CAST(0 AS BIGINT) AS page,
   (SELECT CAST(count(*) AS INT) FROM tag_counts c WHERE c.namespace = t.namespace
      AND c.event_name = t.event_name AND c.counter_type = t.counter_type
      AND c.iso_year IS NOT DISTINCT FROM t.iso_year
@@ -201,13 +201,12 @@ SELECT t.*  EXCLUDE (value_sum), round(t.value_sum, 6) AS value_sum,
      AND c.iso_year IS NOT DISTINCT FROM t.iso_year
      AND c.iso_week IS NOT DISTINCT FROM t.iso_week) AS single_users
 FROM totals t"""),
-    "count_map": statement(*UNMARKED, select="""
-SELECT namespace, '{' || string_agg('"' || name || '":' || CAST(count AS VARCHAR), ','
-                                    ORDER BY name) || '}' AS counts
-FROM (SELECT namespace, count, CASE WHEN counter_type = 'weekly'
-        THEN event_name || ' ' || CAST(iso_year AS VARCHAR) || CAST(iso_week AS VARCHAR)
-        ELSE event_name END AS name FROM totals)
-GROUP BY namespace"""),
+    "count_map": statement(STEP_LOG, select="""
+SELECT s.namespace, s.event_name, t.count
+FROM (SELECT DISTINCT namespace, event_name FROM log) s
+LEFT JOIN (SELECT CASE WHEN k < 50 THEN 'default' ELSE 'beta' END AS namespace,
+             event_type AS event_name, count(DISTINCT user_id) AS count
+           FROM k_events GROUP BY ALL) t USING (namespace, event_name)"""),
     "namespaces": statement(TYPED_LOG, select="SELECT DISTINCT namespace FROM log"),
     "goals_upsert": """
 SELECT o_orderpriority AS namespace, 'status:' || o_orderstatus AS goal_name,

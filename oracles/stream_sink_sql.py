@@ -48,6 +48,7 @@ GROUP BY ALL"""),
     "stream_predictions": ANALYSIS["bayes_predictions"],
     "stream_flags": FLAGS["flags_for_users"],
     "snapshot_roundtrip": COUNTER_ROWS,
+    "facts_roundtrip": EVENTS["first_writes"],
     "registry_roundtrip": statement(TYPED_LOG, FACTS, STREAM_GOALS, MARKED, TOTALS, select="""
 SELECT namespace, event_name, counter_type, iso_year, iso_week,
   counter_type <> 'internal' AND (namespace, event_name) IN
@@ -78,7 +79,7 @@ FROM bayes"""),
   SELECT *, CASE WHEN counter_type = 'weekly'
       THEN event_name || ' ' || CAST(iso_year AS VARCHAR) || CAST(iso_week AS VARCHAR)
       ELSE event_name END AS name FROM totals)""", select=f"""
-SELECT t.namespace, t.name, '{{"name":"' || t.name || '","type":"' || t.counter_type
+SELECT t.namespace, t.name, CAST(0 AS BIGINT) AS page, '{{"name":"' || t.name || '","type":"' || t.counter_type
   || '","count":' || CAST(t.count AS VARCHAR) || ',"event_counts":[' || s.event_counts
   || '],"single_event_counts":[' || coalesce(o.single_event_counts, '') || '],"value":{{'
   || CASE WHEN t.value_sum IS NULL THEN '' ELSE '"sum":'

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.helpers import goals_of, log_of
 from waymark.operators import counters, funnels, membership, sketches
 from waymark.operators.cohorts import CohortRule, setting_rejects, with_counter_settings
-from waymark.operators.facts import first_writes, prior_events
+from waymark.operators.facts import first_writes, merge_first_writes, prior_events
 from waymark.operators.goals import list_goals, mark_goals, upsert_goals
 from waymark.schemas import EVENT_LOG
 
@@ -129,6 +129,36 @@ def test_unusable_settings_are_named(spark):
     assert {r["pattern"] for r in setting_rejects(frame).collect()} == set("abcef")
 
 
+def test_large_counters_are_dealt_to_pages(spark):
+    key = "namespace string, event_name string, counter_type string, iso_year int, iso_week int,"
+    totals = spark.createDataFrame(
+        [("n", "g", "named", None, None, 500, 1.0), ("n", "x", "named", None, None, 3, None)],
+        key + "count long, value_sum double")
+    tags = spark.createDataFrame(
+        [("n", "g", "named", None, None, [f"t{i}"], 1) for i in range(500)]
+        + [("n", "x", "named", None, None, [], 3)], key + "tags array<string>, count long")
+    singles = spark.createDataFrame(
+        [("n", "g", "named", None, None, f"t{i}", 1) for i in range(500)],
+        key + "tag string, count long")
+    rows = counters.nested_counts(totals, tags, singles, page_size=100).collect()
+    big = [r for r in rows if r["event_name"] == "g"]
+    assert len(big) == 10
+    assert {tuple(e["events"]) for r in big for e in r["event_counts"]} == {
+        (f"t{i}",) for i in range(500)}
+    assert sum(len(r["single_event_counts"]) for r in big) == 500
+    assert [r["page"] for r in rows if r["event_name"] == "x"] == [0]
+
+
+def test_parts_of_a_log_merge(spark):
+    events = [("u", "x", 1), ("v", "x", 2), ("u", "x", 3), ("u", "y", 4), ("v", "y", 5)]
+    log = log_of(spark, events)
+    early, late = log.filter("seq < 2"), log.filter("seq >= 2")
+    whole = sorted(map(str, first_writes(log).collect()))
+    for first, second in ((early, late), (late, early)):
+        merged = merge_first_writes(first_writes(first), first_writes(second))
+        assert sorted(map(str, merged.collect())) == whole
+
+
 def test_filters_never_miss_and_rarely_err(spark):
     users = spark.range(20_000).select(F.col("id").cast("string").alias("user_id"))
     facts = users.filter("cast(user_id as int) < 10000").select(

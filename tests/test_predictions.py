@@ -151,6 +151,15 @@ def test_nudges_leave_out_what_is_done(spark):
     assert ranked(everyone, "v") == ["feature_2", "foo_event", "feature_1"]
 
 
+def test_long_event_lists_are_joined_instead(spark):
+    predicted = spark.createDataFrame(
+        PREDICTED, "namespace string, goal string, event_name string, bayes double")
+    facts = first_writes(log_of(spark, [("u", "foo_event"), ("v", "unrelated")]))
+    rows = lambda limit: sorted(map(str, nudges.nudges_for_all_users(
+        facts, predicted, list_limit=limit).collect()))
+    assert rows(2) == rows(10) and len(rows(2)) == 5
+
+
 def test_equal_predictions_rank_by_name(spark):
     predicted = spark.createDataFrame(
         [("default", "g", n, .5) for n in ("b", "c", "a")],

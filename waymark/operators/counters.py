@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from waymark.functions.names import display_name
 from waymark.schemas import COUNTER_KEY, INTERNAL, NAMED, WEEKLY
@@ -52,10 +54,9 @@ def average_values(totals: DataFrame) -> DataFrame:
 
 
 def events_of_users(facts: DataFrame) -> DataFrame:
-    """Named events of each user, sorted; one list holds at most the vocabulary."""
+    """Named events of every user, one row each."""
     return (facts.filter(F.col("counter_type") == NAMED)
-            .groupBy("namespace", "user_id")
-            .agg(F.array_sort(F.collect_list("event_name")).alias("events")))
+            .select("namespace", "user_id", "event_name"))
 
 
 def events_of_user(facts: DataFrame, namespace: str, user_id: str) -> DataFrame:
@@ -68,13 +69,22 @@ def namespaces(log: DataFrame) -> DataFrame:
     return log.select("namespace").distinct()
 
 
+def same_counter(left: str, right: str, keys: Sequence[str] = tuple(COUNTER_KEY)) -> Column:
+    """Equality of two aliased frames on ``keys``; missing weeks equal each other."""
+    return reduce(and_, [F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
+                         for name in keys])
+
+
 def drop_counters(counters: DataFrame, removed: DataFrame) -> DataFrame:
-    """Counters without the removed ones (same key columns, NULL weeks included)."""
-    condition = None
-    for name in COUNTER_KEY:
-        same = F.col(f"c.{name}").eqNullSafe(F.col(f"r.{name}"))
-        condition = same if condition is None else condition & same
-    return counters.alias("c").join(removed.alias("r"), condition, "left_anti")
+    """Counters without the removed ones."""
+    return counters.alias("c").join(removed.alias("r"), same_counter("c", "r"), "left_anti")
+
+
+def lookup_counts(asked: DataFrame, totals: DataFrame) -> DataFrame:
+    """Adds the named counter's count to each asked ``namespace, event_name``."""
+    known = (totals.filter(F.col("counter_type") == NAMED)
+             .select("namespace", "event_name", "count"))
+    return asked.join(known, ["namespace", "event_name"], "left")
 
 
 def with_display_name(counters: DataFrame) -> DataFrame:
@@ -96,26 +106,33 @@ def registered_counters(totals: DataFrame) -> DataFrame:
     return totals.agg(F.count("*").alias("counters"))
 
 
-def nested_counts(totals: DataFrame, tags: DataFrame, singles: DataFrame) -> DataFrame:
-    """One row per counter with its combinations and single events nested for reading."""
-    def nested(rows: DataFrame, fields: Sequence[str], alias: str) -> DataFrame:
-        return rows.groupBy(*COUNTER_KEY).agg(
-            F.array_sort(F.collect_list(F.struct(*fields))).alias(alias))
+def nested_counts(totals: DataFrame, tags: DataFrame, singles: DataFrame,
+                  page_size: int = 10_000) -> DataFrame:
+    """Counters with their combinations and single events nested for reading.
 
-    combos = nested(tags.withColumnRenamed("tags", "events"), ["events", "count"],
-                    "event_counts")
-    single = nested(singles.withColumnRenamed("tag", "name"), ["name", "count"],
-                    "single_event_counts")
-
-    def attach(left: DataFrame, right: DataFrame, alias: str) -> DataFrame:
-        condition = None
-        for name in COUNTER_KEY:
-            same = F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
-            condition = same if condition is None else condition & same
-        return (left.alias("l").join(right.alias("r"), condition, "left")
-                .select("l.*", F.col(f"r.{alias}").alias(alias)))
-
-    return attach(attach(totals, combos, "event_counts"), single, "single_event_counts")
+    A goal can have as many combinations as users. Entries are therefore dealt to pages of
+    about ``page_size``: a counter is one row (``page`` 0) while it is small, and several
+    rows, each with a part of the entries, when it is large.
+    """
+    none = F.lit(None)
+    entries = tags.select(
+        *COUNTER_KEY, F.struct(F.col("tags").alias("events"), "count").alias("combination"),
+        none.cast("struct<name:string,count:bigint>").alias("single")).unionByName(
+        singles.select(
+            *COUNTER_KEY,
+            none.cast("struct<events:array<string>,count:bigint>").alias("combination"),
+            F.struct(F.col("tag").alias("name"), "count").alias("single")))
+    pages = (entries.groupBy(*COUNTER_KEY)
+             .agg(F.ceil(F.count("*") / page_size).alias("pages")))
+    page = F.pmod(F.xxhash64("combination", "single"), F.col("p.pages")).alias("page")
+    dealt = (entries.alias("e").join(pages.alias("p"), same_counter("e", "p"))
+             .select("e.*", page))
+    nested = dealt.groupBy(*COUNTER_KEY, "page").agg(
+        F.array_sort(F.collect_list("combination")).alias("event_counts"),
+        F.array_sort(F.collect_list("single")).alias("single_event_counts"))
+    return (totals.alias("t").join(nested.alias("n"), same_counter("t", "n"), "left")
+            .select("t.*", F.coalesce("n.page", F.lit(0)).cast("long").alias("page"),
+                    "n.event_counts", "n.single_event_counts"))
 
 
 def ranked_events(totals: DataFrame) -> DataFrame:

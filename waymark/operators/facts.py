@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waymark.operators.cohorts import CohortRule, is_weekly
+from waymark.operators.counters import same_counter
 from waymark.schemas import (COUNTER_KEY, GLOBAL_COUNTER, INTERNAL, NAMED,
                              WEEKLY)
 
@@ -76,6 +77,12 @@ def first_writes(log: DataFrame, rules: Sequence[CohortRule] = ()) -> DataFrame:
             .groupBy(*COUNTER_KEY, "user_id").agg(*_first()))
 
 
+def merge_first_writes(stored: DataFrame, added: DataFrame) -> DataFrame:
+    """Facts of two parts of a log, in any order: the earlier write of each user stays."""
+    return (stored.unionByName(added).groupBy(*COUNTER_KEY, "user_id").agg(*_first())
+            .select(*stored.columns))
+
+
 def prior_events(marked: DataFrame, include_self: bool = True) -> DataFrame:
     """What each goal user had done before the goal: one row per counter, user and tag.
 
@@ -105,10 +112,7 @@ def with_tags(marked: DataFrame, prior: DataFrame) -> DataFrame:
     """
     lists = (prior.groupBy(*COUNTER_KEY, "user_id")
              .agg(F.array_sort(F.collect_list("tag")).alias("tags")))
-    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"l.{c}")) for c in [*COUNTER_KEY, "user_id"]]
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
+    condition = same_counter("m", "l", [*COUNTER_KEY, "user_id"])
     return (marked.alias("m").join(lists.alias("l"), condition, "left")
             .select("m.*", F.coalesce("l.tags", F.array().cast("array<string>"))
                     .alias("tags")))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from waymark.schemas import INTERNAL, NAMED
 
+# Longest ranked event list kept as an array in each user's row.
+LIST_LIMIT = 10_000
+
 
 def nudges_for_requests(requests: DataFrame, predictions: DataFrame,
                         facts: DataFrame) -> DataFrame:
@@ -25,14 +28,22 @@ def nudges_for_requests(requests: DataFrame, predictions: DataFrame,
         F.row_number().over(best_first).alias("rank"))
 
 
-def nudges_for_all_users(facts: DataFrame, predictions: DataFrame) -> DataFrame:
+def nudges_for_all_users(facts: DataFrame, predictions: DataFrame,
+                         list_limit: int = LIST_LIMIT) -> DataFrame:
     """Ranked nudges for every user and every goal of the user's namespace.
 
-    Each goal's events are ranked once, in the small prediction table. A user then only
-    drops the events already done from that ranked list, so neither a sort per user nor a
-    join back to the facts is needed: the facts cross the network once, by user. ``done``
-    lists hold only events the predictions name.
+    Each goal's events are ranked once, in the prediction table. A user then only drops
+    the events already done from that ranked list, so neither a sort per user nor a join
+    back to the facts is needed: the facts cross the network once, by user. The lists are
+    used only while no goal has more than ``list_limit`` events; beyond that, rows are
+    joined and ranked instead.
     """
+    longest = predictions.groupBy("namespace", "goal").count().agg(F.max("count")).first()[0]
+    if longest is not None and longest > list_limit:
+        goals = predictions.select("namespace", "goal").distinct()
+        users = facts.filter(F.col("counter_type") == INTERNAL).select("namespace", "user_id")
+        return nudges_for_requests(users.join(goals, "namespace"), predictions, facts)
+
     evidence = predictions.select("namespace", "event_name").distinct().withColumn(
         "evidence", F.lit(True))
     done = (facts.filter(F.col("counter_type").isin(NAMED, INTERNAL))

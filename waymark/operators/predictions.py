@@ -118,7 +118,9 @@ def naive_bayes_events(requests: DataFrame, ratios: DataFrame) -> DataFrame:
     all its rows carry the error as ``note``.
     """
     key = ["request_id", "namespace"]
-    asked = requests.select(*key, F.explode("events").alias("event_name"))
+    # One partitioning by request serves the products and the check of the whole request.
+    asked = (requests.select(*key, F.explode("events").alias("event_name"))
+             .repartition(*key))
     goals = ratios.select("namespace", "goal").distinct()
     factors = (asked.join(goals, "namespace")
                .join(ratios, ["namespace", "goal", "event_name"], "left"))

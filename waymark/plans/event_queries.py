@@ -235,6 +235,15 @@ def marked_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(marked, "facts")
 
 
+def facts_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the days up to January 15th, extended by those of the later days."""
+    log = typed_log(spark, sf_dir)
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    stored = materialize(fact_ops.first_writes(log.filter(early), WEEKLY_RULES), "facts")
+    added = fact_ops.first_writes(log.filter(~early), WEEKLY_RULES)
+    return fact_ops.merge_first_writes(stored, added)
+
+
 def counter_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (fact_ops.fan_out(typed_log(spark, sf_dir), WEEKLY_RULES)
             .groupBy(*COUNTER_KEY).agg(F.count("*").alias("writes")))
@@ -287,11 +296,8 @@ def _tag_counts(marked: DataFrame) -> DataFrame:
 def tag_combination_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = marked_facts(spark, sf_dir)
     goals = marked.filter("is_goal").select(*COUNTER_KEY).distinct()
-    condition = None
-    for name in COUNTER_KEY:
-        same = F.col(f"t.{name}").eqNullSafe(F.col(f"g.{name}"))
-        condition = same if condition is None else condition & same
-    return (_tag_counts(marked).alias("t").join(goals.alias("g"), condition, "left_semi")
+    return (_tag_counts(marked).alias("t")
+            .join(goals.alias("g"), counters.same_counter("t", "g"), "left_semi")
             .select(*COUNTER_KEY, tags_text("tags").alias("tags"), "count"))
 
 
@@ -398,8 +404,7 @@ def user_has_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_for_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = fact_ops.named_first_writes(step_log(spark, sf_dir))
-    return counters.events_of_users(named).select(
-        "namespace", "user_id", tags_text("events").alias("events"))
+    return counters.events_of_users(named)
 
 
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,18 +421,17 @@ def namespace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         c, F.lit(0).cast("long"), lambda acc, e: acc + e["count"])
     return _nested(spark, sf_dir).select(
         *COUNTER_KEY, "count", rounded("value_sum"),
-        F.size("event_counts").alias("combinations"),
+        "page", F.size("event_counts").alias("combinations"),
         total("event_counts").alias("combination_users"),
-        F.coalesce(F.size("single_event_counts"), F.lit(0)).alias("single_events"),
-        F.coalesce(total("single_event_counts"), F.lit(0)).alias("single_users"))
+        F.size("single_event_counts").alias("single_events"),
+        total("single_event_counts").alias("single_users"))
 
 
 def count_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each namespace's counters as one map from display name to count."""
-    totals = counters.with_display_name(counters.counter_totals(weekly_facts(spark, sf_dir)))
-    entries = F.array_sort(F.collect_list(F.struct("name", "count")))
-    return totals.groupBy("namespace").agg(
-        F.to_json(F.map_from_entries(entries)).alias("counts"))
+    """Counts looked up by name for every step; most steps have no counter here."""
+    asked = step_log(spark, sf_dir).select("namespace", "event_name").distinct()
+    totals = counters.counter_totals(fact_ops.named_first_writes(typed_log(spark, sf_dir)))
+    return counters.lookup_counts(asked, totals)
 
 
 def namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -502,6 +506,7 @@ QUERIES = {
     "request_rejects": request_rejects,
     "counter_fanout": counter_fanout,
     "first_writes": first_writes,
+    "first_writes_merge": facts_merge,
     "unique_users_by_event": unique_users_by_event,
     "unique_users_global": unique_users_global,
     "unique_users_weekly": unique_users_weekly,

@@ -10,8 +10,8 @@ from waymark.plans.event_queries import (ensure_goal_activation, marked_facts, p
                                          rounded, weekly_facts)
 from waymark.schemas import COUNTER_KEY
 from waymark.sinks import (analytics_documents, counter_metrics, prediction_metrics,
-                           read_counters, read_goals, read_specs, write_counters, write_goals,
-                           write_specs)
+                           read_counters, read_facts, read_goals, read_specs, write_counters,
+                           write_facts, write_goals, write_specs)
 from waymark.storage import new_path
 
 
@@ -21,6 +21,12 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_counters(spark, path).select(*COUNTER_KEY, "count", rounded("value_sum"))
 
 
+def facts_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "facts")
+    write_facts(weekly_facts(spark, sf_dir), path)
+    return read_facts(spark, path)
+
+
 def registry_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Goals written and read back, then the registry of counters they belong to."""
     path = new_path(spark, "goals")
@@ -67,6 +73,7 @@ def analytics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "snapshot_roundtrip": snapshot_roundtrip,
+    "facts_roundtrip": facts_roundtrip,
     "registry_roundtrip": registry_roundtrip,
     "flag_spec_roundtrip": flag_spec_roundtrip,
     "metrics_counters": metrics_counters,

@@ -113,11 +113,7 @@ def stream_goal_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = _all_batches(spark, base, "facts", MARKED).filter("is_goal")
     singles = counters.single_tag_counts(_all_batches(spark, base, "prior", PRIOR))
     totals = facts.groupBy(*COUNTER_KEY).agg(F.count("*").alias("goal_users"))
-    condition = None
-    for name in COUNTER_KEY:
-        same = F.col(f"t.{name}").eqNullSafe(F.col(f"s.{name}"))
-        condition = same if condition is None else condition & same
-    return (totals.alias("t").join(singles.alias("s"), condition, "left")
+    return (totals.alias("t").join(singles.alias("s"), counters.same_counter("t", "s"), "left")
             .select("t.*", "s.tag", F.coalesce("s.count", F.lit(0)).alias("count")))
 
 

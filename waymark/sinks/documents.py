@@ -10,9 +10,7 @@ from waymark.operators.counters import with_display_name
 def analytics_documents(nested: DataFrame) -> DataFrame:
     """Rows of ``nested_counts`` as JSON; a counter without values has an empty value."""
     named = with_display_name(nested)
-    no_events = F.expr("cast(array() as array<struct<name:string,count:bigint>>)")
     body = F.struct(
         "name", F.col("counter_type").alias("type"), "count", "event_counts",
-        F.coalesce("single_event_counts", no_events).alias("single_event_counts"),
-        F.struct(F.col("value_sum").alias("sum")).alias("value"))
-    return named.select("namespace", "name", F.to_json(body).alias("document"))
+        "single_event_counts", F.struct(F.col("value_sum").alias("sum")).alias("value"))
+    return named.select("namespace", "name", "page", F.to_json(body).alias("document"))

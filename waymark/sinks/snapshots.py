@@ -1,4 +1,4 @@
-"""Snapshots of counters, goals and specs as Parquet; a missing snapshot reads as empty."""
+"""Snapshots of facts, counters, goals and specs as Parquet; a missing snapshot reads as empty."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from waymark.schemas import COUNTERS, FLAG_SPECS, GOALS
+from waymark.schemas import COUNTERS, FIRST_WRITES, FLAG_SPECS, GOALS
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -35,6 +35,16 @@ def read_counters(spark: SparkSession, path: str) -> DataFrame:
     return _read_or_empty(spark, path, COUNTERS)
 
 
+def write_facts(facts: DataFrame, path: str) -> None:
+    """Facts by namespace and counter type, so that readers open only what they ask for."""
+    (facts.select(*FIRST_WRITES.fieldNames()).write.mode("overwrite")
+     .partitionBy("namespace", "counter_type").parquet(path))
+
+
+def read_facts(spark: SparkSession, path: str) -> DataFrame:
+    return _read_or_empty(spark, path, FIRST_WRITES)
+
+
 def write_goals(goals: DataFrame, path: str) -> None:
     goals.select(*GOALS.fieldNames()).write.mode("overwrite").parquet(path)
 

@@ -33,5 +33,5 @@ def changed_counters(facts: DataFrame) -> DataFrame:
 def latest_snapshot(batches: DataFrame, *keys: str) -> DataFrame:
     """The last written row of every key."""
     fields = [c for c in batches.columns if c not in keys and c != "batch_id"]
-    return (batches.groupBy(*keys)
-            .agg(F.max_by(F.struct(*fields), "batch_id").alias("s")).select(*keys, "s.*"))
+    return batches.groupBy(*keys).agg(
+        *[F.max_by(c, "batch_id").alias(c) for c in fields])

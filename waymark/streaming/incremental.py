@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from waymark.operators.cohorts import CohortRule
+from waymark.operators.counters import same_counter
 from waymark.operators.facts import first_writes, prior_events
 from waymark.operators.goals import goals_from_log, mark_goals, upsert_goals
 from waymark.schemas import COUNTER_KEY, FIRST_WRITES, GOALS
@@ -74,12 +75,9 @@ class IncrementalFacts:
         self._write(announced, "goals", batch_id)
 
         seen = self._earlier(spark, "facts", MARKED, batch_id)
-        same = None
-        for name in [*COUNTER_KEY, "user_id"]:
-            equal = F.col(f"n.{name}").eqNullSafe(F.col(f"s.{name}"))
-            same = equal if same is None else same & equal
         new = (first_writes(log, self.rules).alias("n")
-               .join(seen.alias("s"), same, "left_anti"))
+               .join(seen.alias("s"), same_counter("n", "s", [*COUNTER_KEY, "user_id"]),
+                     "left_anti"))
         self._write(mark_goals(new, self.goals(spark, batch_id)), "facts", batch_id)
 
         # Only new goal writes gain prior events; their history is the whole facts table.
