@@ -132,7 +132,7 @@ SELECT coalesce(i.namespace, x.namespace) AS namespace, coalesce(i.goal, x.goal)
   x.value_yes, x.value_no, x.volume_yes, x.volume_no
 FROM naive i FULL OUTER JOIN external x ON x.namespace = i.namespace AND x.goal = i.goal"""),
     "prediction_json": statement(TYPED, BAYES, select="""
-SELECT namespace, goal, '{"events":{' || string_agg('"' || event_name || '":{"bayes":'
+SELECT namespace, goal, CAST(0 AS BIGINT) AS page, '{"events":{' || string_agg('"' || event_name || '":{"bayes":'
     || CAST(round(bayes, 6) AS VARCHAR) || '}', ',' ORDER BY event_name) || '}}' AS document
 FROM bayes GROUP BY namespace, goal"""),
     "nudges_user": statement(STEPS, BAYES, select="""

@@ -188,16 +188,32 @@ def test_sketches_merge(spark):
 
 
 def test_combinations_split_by_excluded_then_included(spark):
-    key = ("default", "goal", "named", None, None)
-    tags = spark.createDataFrame(
-        [(*key, ["a", "x"], 1), (*key, ["a"], 2), (*key, ["b"], 4), (*key, [], 8)],
-        "namespace string, event_name string, counter_type string, iso_year int, iso_week int,"
-        "tags array<string>, count long")
-    split = funnels.split_combinations(tags, include=["a"], exclude=["x"])
+    histories = {"1": ["a", "x"], "2": ["a"], "3": ["a"], "4": ["b"], "5": [], "6": ["b", "a"]}
+    events = [(user, name) for user, names in histories.items() for name in [*names, "goal"]]
+    marked = mark_goals(first_writes(log_of(spark, events)),
+                        goals_of(spark, ("default", "goal")))
+    totals, prior = counters.counter_totals(marked.filter("is_goal")), prior_events(marked)
+    split = funnels.split_combinations(totals, prior, include=["a"], exclude=["x"])
     assert {r["bucket"]: r["count"] for r in split.collect()} == {
-        "excluded": 1, "included": 2, "ignored": 12}
-    depth = {r["depth"]: r["users"] for r in funnels.funnel_depth(tags).collect()}
-    assert depth == {0: 8, 1: 6, 2: 1}
+        "excluded": 1, "included": 3, "ignored": 2}
+    nothing = funnels.split_combinations(totals, prior)
+    assert {r["bucket"]: r["count"] for r in nothing.collect()} == {"ignored": 6}
+    depth = {r["depth"]: r["users"] for r in funnels.funnel_depth(totals, prior).collect()}
+    assert depth == {0: 1, 1: 3, 2: 2}
+
+
+def test_long_combinations_keep_their_events_as_rows(spark):
+    events = [(u, f"e{i}") for u in ("1", "2") for i in range(5)] + [
+        ("3", "e0"), ("1", "goal"), ("2", "goal"), ("3", "goal")]
+    marked = mark_goals(first_writes(log_of(spark, events)),
+                        goals_of(spark, ("default", "goal")))
+    prior = prior_events(marked)
+    found = {(r["size"], r["count"]): r["tags"]
+             for r in counters.tag_combinations(prior, list_limit=3).collect()}
+    assert found == {(5, 2): None, (1, 1): ["e0"]}
+    rows = counters.combination_events(counters.combination_counts(prior), prior).collect()
+    assert {r["tag"] for r in rows if r["size"] == 5} == {f"e{i}" for i in range(5)}
+    assert len(rows) == 6
 
 
 def test_an_empty_log_gives_empty_results(spark):

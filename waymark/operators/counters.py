@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from waymark.functions.names import display_name
 from waymark.schemas import COUNTER_KEY, INTERNAL, NAMED, WEEKLY
 
+# Identity of a combination of events.
+COMBINATION = [*COUNTER_KEY, "size", "digest_1", "digest_2"]
+# Longest combination that is shown as a list.
+LIST_LIMIT = 10_000
+
 
 def counter_totals(facts: DataFrame) -> DataFrame:
     """Unique users and first-write value sum of every counter (NULL sum: no value ever)."""
@@ -23,29 +28,62 @@ def single_tag_counts(prior: DataFrame) -> DataFrame:
     return prior.groupBy(*COUNTER_KEY, "tag").agg(F.count("*").alias("count"))
 
 
-def tag_combinations(prior: DataFrame) -> DataFrame:
+def combination_counts(prior: DataFrame) -> DataFrame:
     """Per goal counter and exact set of earlier events: how many users had that set.
 
-    A set is a list of distinct event names of one namespace, its longest possible form is
-    the namespace's vocabulary. Sets are combined map-side, so the second shuffle carries
-    each distinct set once per task.
+    A set is known by its size and a 128-bit digest that does not depend on order, so no
+    user's history is ever collected and shuffled rows have a fixed, small size.
+    ``sample_seq`` is the goal write of one user with the set.
+    """
+    sets = prior.groupBy(*COUNTER_KEY, "user_id", "goal_seq").agg(
+        F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64(F.lit(1), "tag")).alias("digest_1"),
+        F.bit_xor(F.xxhash64(F.lit(2), "tag")).alias("digest_2"))
+    return sets.groupBy(*COMBINATION).agg(F.count("*").alias("count"),
+                                          F.min("goal_seq").alias("sample_seq"))
+
+
+def combination_events(combinations: DataFrame, prior: DataFrame) -> DataFrame:
+    """The events of every combination, one row each, read off its sample user."""
+    sample = combinations.select(*COMBINATION, F.col("sample_seq").alias("goal_seq"))
+    return (prior.alias("p").join(sample.alias("c"),
+                                  same_counter("p", "c", [*COUNTER_KEY, "goal_seq"]))
+            .select("c.*", "p.tag").drop("goal_seq"))
+
+
+def tag_combinations(prior: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """Combinations with their sorted event list.
+
+    Lists are made once per distinct combination, not per user. A combination of more than
+    ``list_limit`` events keeps a NULL list; its events are in ``combination_events``.
+    """
+    found = combination_counts(prior)
+    lists = (combination_events(found.filter(F.col("size") <= list_limit), prior)
+             .groupBy(*COMBINATION).agg(F.array_sort(F.collect_list("tag")).alias("tags")))
+    return (found.alias("f")
+            .join(lists.alias("l"), same_counter("f", "l", COMBINATION), "left")
+            .select(*[f"f.{c}" for c in COMBINATION], "l.tags", "f.count"))
+
+
+def without_earlier_events(totals: DataFrame, found: DataFrame) -> DataFrame:
+    """Users per counter that no row of ``found`` counts: those without earlier events.
+
+    The number is what ``found`` leaves of the total, so users need not be joined.
     """
-    sets = (prior.groupBy(*COUNTER_KEY, "user_id")
-            .agg(F.array_sort(F.collect_list("tag")).alias("tags")))
-    return sets.groupBy(*COUNTER_KEY, "tags").agg(F.count("*").alias("count"))
+    return (totals.select(*COUNTER_KEY, "count")
+            .unionByName(found.select(*COUNTER_KEY, (-F.col("count")).alias("count")))
+            .groupBy(*COUNTER_KEY).agg(F.sum("count").alias("count")).filter("count > 0"))
 
 
 def tag_counts(totals: DataFrame, combinations: DataFrame) -> DataFrame:
     """All combinations, with the empty one for users without earlier events.
 
-    Non-goal counters have the empty combination only. Its count is what the other
-    combinations leave of the total, so users need not be joined.
+    Non-goal counters have the empty combination only.
     """
-    empty = (totals.select(*COUNTER_KEY, F.col("count"))
-             .unionByName(combinations.select(*COUNTER_KEY, (-F.col("count")).alias("count")))
-             .groupBy(*COUNTER_KEY).agg(F.sum("count").alias("count"))
-             .filter("count > 0")
-             .withColumn("tags", F.array().cast("array<string>")))
+    empty = without_earlier_events(totals, combinations).withColumn(
+        "tags", F.array().cast("array<string>"))
+    for name in ("size", "digest_1", "digest_2"):
+        empty = empty.withColumn(name, F.lit(0).cast("long"))
     return combinations.unionByName(empty.select(*combinations.columns))
 
 

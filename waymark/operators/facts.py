@@ -86,7 +86,8 @@ def merge_first_writes(stored: DataFrame, added: DataFrame) -> DataFrame:
 def prior_events(marked: DataFrame, include_self: bool = True) -> DataFrame:
     """What each goal user had done before the goal: one row per counter, user and tag.
 
-    ``marked`` are facts with ``is_goal``. Tags are event names of the user's whole history
+    ``goal_seq`` is the order number of the goal's first write. ``marked`` are facts with
+    ``is_goal``. Tags are event names of the user's whole history
     in the namespace. A weekly goal is written after the named one, so its history already
     holds the goal itself; ``include_self=False`` leaves that out.
 
@@ -102,7 +103,7 @@ def prior_events(marked: DataFrame, include_self: bool = True) -> DataFrame:
     if not include_self:
         before = before & (F.col("tag") != F.col("event_name"))
     return (marked.filter("is_goal").join(history, ["namespace", "user_id"]).filter(before)
-            .select(*COUNTER_KEY, "user_id", "tag"))
+            .select(*COUNTER_KEY, "user_id", F.col("seq").alias("goal_seq"), "tag"))
 
 
 def with_tags(marked: DataFrame, prior: DataFrame) -> DataFrame:

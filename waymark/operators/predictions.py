@@ -179,12 +179,19 @@ def merge_external(internal: DataFrame, external: DataFrame,
     return internal.join(wide, ["namespace", "goal"], "full_outer")
 
 
-def prediction_documents(predictions: DataFrame) -> DataFrame:
-    """Per namespace and goal, the predictions as ``{"events":{name:{"bayes":p}}}``."""
+def prediction_documents(predictions: DataFrame, page_size: int = 10_000) -> DataFrame:
+    """Per namespace and goal, the predictions as ``{"events":{name:{"bayes":p}}}``.
+
+    A goal with more than ``page_size`` events gets several documents, each with a part.
+    """
+    goal = ["namespace", "goal"]
+    pages = predictions.groupBy(*goal).agg(F.ceil(F.count("*") / page_size).alias("pages"))
+    dealt = predictions.join(pages, goal).withColumn(
+        "page", F.pmod(F.xxhash64("event_name"), F.col("pages")))
     entry = F.struct("event_name", F.struct("bayes").alias("p"))
     events = F.map_from_entries(F.array_sort(F.collect_list(entry)))
-    return (predictions.groupBy("namespace", "goal").agg(events.alias("events"))
-            .select("namespace", "goal", F.to_json(F.struct("events")).alias("document")))
+    return (dealt.groupBy(*goal, "page").agg(events.alias("events"))
+            .select(*goal, "page", F.to_json(F.struct("events")).alias("document")))
 
 
 def probability_matrix(predictions: DataFrame, events: list[str]) -> DataFrame:

@@ -181,15 +181,13 @@ def nudges_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
                         rounded("prediction"), "rank")
 
 
-def _goal_combinations(facts: DataFrame) -> DataFrame:
-    """Combinations of named goal counters, the empty one included."""
-    goal_facts = facts.filter("is_goal")
-    combos = counters.tag_combinations(fact_ops.prior_events(facts))
-    return counters.tag_counts(counters.counter_totals(goal_facts), combos)
+def _goal_users(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(totals of goal facts, what their users had done before)"""
+    return counters.counter_totals(facts.filter("is_goal")), fact_ops.prior_events(facts)
 
 
 def combination_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = funnels.split_combinations(_goal_combinations(_typed(spark, sf_dir)),
+    split = funnels.split_combinations(*_goal_users(_typed(spark, sf_dir)),
                                        include=["view", "click"], exclude=["error"])
     return split.select("namespace", "event_name", "bucket", "count")
 
@@ -205,7 +203,7 @@ def probability_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def funnel_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return funnels.funnel_depth(_goal_combinations(_steps(spark, sf_dir))).select(
+    return funnels.funnel_depth(*_goal_users(_steps(spark, sf_dir))).select(
         "namespace", "event_name", "depth", "users")
 
 

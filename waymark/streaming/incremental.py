@@ -21,6 +21,7 @@ from waymark.schemas import COUNTER_KEY, FIRST_WRITES, GOALS
 MARKED = T.StructType([*FIRST_WRITES.fields, T.StructField("is_goal", T.BooleanType())])
 PRIOR = T.StructType([f for f in FIRST_WRITES.fields if f.name in COUNTER_KEY]
                      + [T.StructField("user_id", T.StringType()),
+                        T.StructField("goal_seq", T.LongType()),
                         T.StructField("tag", T.StringType())])
 
 
