@@ -36,3 +36,9 @@ def utc_wall_clock(ts: Column) -> Column:
 def format_rfc3339(epoch_seconds: Column) -> Column:
     return F.date_format(utc_wall_clock(F.timestamp_seconds(epoch_seconds)),
                          "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def week_of_arrival(received_at: Column | None = None) -> list[Column]:
+    """``iso_year`` and ``iso_week`` of undated events: the week they are read in."""
+    moment = utc_wall_clock(F.current_timestamp() if received_at is None else received_at)
+    return [iso_year(moment).alias("iso_year"), iso_week(moment).alias("iso_week")]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from waymark.functions.dates import iso_week, iso_year
+
 
 def last_seen(log: DataFrame, seen_at: str = "ts") -> DataFrame:
     return log.groupBy("namespace", "user_id").agg(F.max(seen_at).alias("last_seen"))
@@ -21,4 +23,5 @@ def churn_events(log: DataFrame, as_of: Column, after_seq: Column, weeks: int =
             .select(after_seq.alias("seq"), "namespace",
                     F.lit(f"last-login-{weeks}-weeks").alias("event_name"), "user_id",
                     F.lit(None).cast("double").alias("value"),
-                    F.lit(True).alias("ensure_goal")))
+                    F.lit(True).alias("ensure_goal"),
+                    iso_year(as_of).alias("iso_year"), iso_week(as_of).alias("iso_week")))

@@ -42,8 +42,9 @@ def _targets(dated: Column) -> Column:
 
 
 def _write_targets(rows: DataFrame, dated: Column) -> DataFrame:
-    return (rows.select("namespace", F.explode(_targets(dated)).alias("t"), "user_id", "seq",
-                        "value")
+    # The targets are never empty; the outer form keeps Spark from testing that first.
+    return (rows.select("namespace", F.explode_outer(_targets(dated)).alias("t"), "user_id",
+                        "seq", "value")
             .select("namespace", "t.*", "user_id", "seq", "value"))
 
 
@@ -67,11 +68,12 @@ def first_writes(log: DataFrame, rules: Sequence[CohortRule] = ()) -> DataFrame:
     are partitioned by user and fan out to the counters; every counter's key contains the
     user, so the second aggregation works on that partitioning without a shuffle.
     """
-    dated = is_weekly(F.col("event_name"), rules)
-    finest = (log.groupBy("namespace", "event_name",
-                          F.when(dated, F.col("iso_year")).alias("iso_year"),
-                          F.when(dated, F.col("iso_week")).alias("iso_week"), "user_id")
-              .agg(*_first()))
+    if any(rule.date_cohort == WEEKLY for rule in rules):
+        dated = is_weekly(F.col("event_name"), rules)
+        weeks = [F.when(dated, F.col(c)).alias(c) for c in ("iso_year", "iso_week")]
+        finest = log.groupBy("namespace", "event_name", *weeks, "user_id").agg(*_first())
+    else:
+        finest = named_first_writes(log)
     by_user = finest.repartition("namespace", "user_id")
     return (_write_targets(by_user, F.col("iso_week").isNotNull())
             .groupBy(*COUNTER_KEY, "user_id").agg(*_first()))

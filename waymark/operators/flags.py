@@ -92,7 +92,10 @@ def flags_for_users(users: DataFrame, specs: DataFrame, now: Column, rand: Colum
 
 def flag_rows(evaluated: DataFrame, *keys: str) -> DataFrame:
     """The flag map as rows ``name, enabled``."""
-    return evaluated.select(*keys, F.explode("flags").alias("name", "enabled"))
+    # The outer form is not preceded by a test for emptiness, which would decide all flags
+    # a second time.
+    return (evaluated.select(*keys, F.explode_outer("flags").alias("name", "enabled"))
+            .filter(F.col("name").isNotNull()))
 
 
 def rollout_exposure(specs: DataFrame, step_seconds: int) -> DataFrame:

@@ -57,7 +57,9 @@ def nudges_for_all_users(facts: DataFrame, predictions: DataFrame,
         F.struct((-F.col("bayes")).alias("neg"), "event_name"))).alias("ranked"))
     still_open = F.filter("ranked", lambda e: ~F.array_contains("done", e["event_name"]))
     return (done.join(ranked, "namespace")
-            .select("namespace", "user_id", "goal", F.posexplode(still_open).alias("pos", "e"))
+            .select("namespace", "user_id", "goal",
+                    F.posexplode_outer(still_open).alias("pos", "e"))
+            .filter(F.col("e").isNotNull())
             .select("namespace", "user_id", "goal", F.col("e.event_name").alias("event_name"),
                     (-F.col("e.neg")).alias("prediction"),
                     (F.col("pos") + 1).alias("rank")))

@@ -288,8 +288,13 @@ def goal_prior_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("namespace", "event_name", "user_id", tags_text("tags").alias("tags"))
 
 
+def written_prior(marked: DataFrame) -> DataFrame:
+    """Prior events, written because combinations read them twice."""
+    return materialize(fact_ops.prior_events(marked), "prior")
+
+
 def _tag_counts(marked: DataFrame) -> DataFrame:
-    combos = counters.tag_combinations(fact_ops.prior_events(marked))
+    combos = counters.tag_combinations(written_prior(marked))
     return counters.tag_counts(counters.counter_totals(marked), combos)
 
 
@@ -358,7 +363,7 @@ def approx_unique_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Did the next user do the same event? Asked of the filters and answered exactly."""
-    named = fact_ops.named_first_writes(step_log(spark, sf_dir))
+    named = materialize(fact_ops.named_first_writes(step_log(spark, sf_dir)), "facts")
     size, error = 20_000, 0.001
     next_user = (F.col("user_id").cast("long") + 1).cast("string")
     probes = named.withColumn("user_id", next_user).select(*membership.PROBE)
@@ -407,11 +412,9 @@ def events_for_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counters.events_of_users(named)
 
 
-def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = marked_facts(spark, sf_dir)
-    totals = counters.counter_totals(marked)
-    prior = fact_ops.prior_events(marked)
-    tags = counters.tag_counts(totals, counters.tag_combinations(prior))
+def nested(marked: DataFrame, totals: DataFrame) -> DataFrame:
+    prior = written_prior(marked)
+    tags = materialize(counters.tag_counts(totals, counters.tag_combinations(prior)), "tags")
     return counters.nested_counts(totals, tags, counters.single_tag_counts(prior))
 
 
@@ -419,7 +422,8 @@ def namespace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every counter with its nested counts, flattened to numbers for comparison."""
     total = lambda c: F.aggregate(
         c, F.lit(0).cast("long"), lambda acc, e: acc + e["count"])
-    return _nested(spark, sf_dir).select(
+    marked = marked_facts(spark, sf_dir)
+    return nested(marked, counters.counter_totals(marked)).select(
         *COUNTER_KEY, "count", rounded("value_sum"),
         "page", F.size("event_counts").alias("combinations"),
         total("event_counts").alias("combination_users"),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waymark.operators import counters, facts as fact_ops
+from waymark.operators import counters
 from waymark.plans.analysis_queries import bayes_predictions as bayes_query
-from waymark.plans.event_queries import (ensure_goal_activation, marked_facts, parsed_specs,
-                                         rounded, weekly_facts)
+from waymark.plans.event_queries import (ensure_goal_activation, marked_facts, nested,
+                                         parsed_specs, rounded, weekly_facts)
 from waymark.schemas import COUNTER_KEY
 from waymark.sinks import (analytics_documents, counter_metrics, prediction_metrics,
                            read_counters, read_facts, read_goals, read_specs, write_counters,
@@ -65,10 +65,7 @@ def analytics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = marked_facts(spark, sf_dir)
     totals = counters.counter_totals(marked).withColumn(
         "value_sum", F.round("value_sum").cast("long"))
-    prior = fact_ops.prior_events(marked)
-    tags = counters.tag_counts(totals, counters.tag_combinations(prior))
-    nested = counters.nested_counts(totals, tags, counters.single_tag_counts(prior))
-    return analytics_documents(nested)
+    return analytics_documents(nested(marked, totals))
 
 
 QUERIES = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from waymark.functions.dates import week_of_arrival
 from waymark.schemas import DEFAULT_NAMESPACE
 
 # Spark numbers the rows of a task in the low 33 bits of its generated id.
@@ -26,7 +27,8 @@ def events_from_lines(lines: DataFrame, line: str = "value", seq: str = "seq",
                     F.concat(F.lit(event_prefix), F.trim(parts[1])).alias("event_name"),
                     F.trim(parts[0]).alias("user_id"),
                     F.lit(None).cast("double").alias("value"),
-                    F.lit(goal).alias("ensure_goal")))
+                    F.lit(goal).alias("ensure_goal"),
+                    *week_of_arrival()))
 
 
 def read_event_files(spark: SparkSession, path: str, event_prefix: str = "",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from waymark.functions.dates import week_of_arrival
 from waymark.functions.variants import decode_base64_json, json_type
 from waymark.schemas import DEFAULT_NAMESPACE
 
@@ -30,4 +31,5 @@ def usage_events(parsed: DataFrame, seq: str = "seq") -> DataFrame:
                     F.try_variant_get("context", "$.feature", "string").alias("event_name"),
                     F.try_variant_get("user", "$.user_id", "string").alias("user_id"),
                     F.lit(None).cast("double").alias("value"),
-                    F.lit(False).alias("ensure_goal")))
+                    F.lit(False).alias("ensure_goal"),
+                    *week_of_arrival()))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from waymark.functions.dates import week_of_arrival
 from waymark.functions.names import normalize_user_id
 from waymark.schemas import DEFAULT_NAMESPACE
 
@@ -45,4 +46,5 @@ def wide_to_events(table: DataFrame, user: str, row_order: str,
         F.col("e.event_name").alias("event_name"),
         "user_id",
         F.lit(None).cast("double").alias("value"),
-        F.col("e.ensure_goal").alias("ensure_goal"))
+        F.col("e.ensure_goal").alias("ensure_goal"),
+        *week_of_arrival())
