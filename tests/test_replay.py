@@ -1,5 +1,7 @@
 """Batch and stream facts against an event-by-event replay."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from waymark.operators.goals import goals_from_log, mark_goals, upsert_goals
 from waymark.schemas import COUNTER_KEY, EVENT_LOG, WEEKLY
 from waymark.session import streaming_session
 from waymark.storage import new_path
-from waymark.streaming import (IncrementalFacts, run_available, stream_first_writes,
-                               write_append)
+from waymark.streaming import (IncrementalFacts, run_available, run_every,
+                               stream_first_writes, write_append)
 from waymark.streaming.first_writes import STREAM_FACTS
 
 RULES = (CohortRule("e[0-3]$", date_cohort=WEEKLY), CohortRule(".*"))
@@ -75,6 +77,44 @@ def test_stream_equals_batch_over_restarts(spark):
     assert fact_rows(streamed) == replay(quiet, FIXED, PATTERN)
 
 
+def test_stream_continues_from_batch_facts(spark):
+    events = [(*e[:4], False, e[5]) for e in random_events(600, 13)]
+    session = streaming_session(spark)
+    goals = goals_of(session, *FIXED)
+    base = new_path(spark, "bootstrap")
+    (early_path, early), (_, late) = list(_arrive(spark, events, 2))
+    tagged = tagged_facts(early, goals_of(spark, *FIXED), RULES)
+    tagged.write.parquet(f"{base}/stored")
+    late.write.parquet(early_path)
+    stored = session.read.schema(STREAM_FACTS).parquet(f"{base}/stored")
+    stream = session.readStream.schema(EVENT_LOG).parquet(early_path)
+    run_available(write_append(
+        stream_first_writes(stream, goals, RULES, stored=stored),
+        f"{base}/out", f"{base}/state"))
+    streamed = fact_rows(spark.read.schema(STREAM_FACTS).parquet(f"{base}/out"))
+    before = fact_rows(spark.read.schema(STREAM_FACTS).parquet(f"{base}/stored"))
+    assert not streamed & before
+    assert streamed | before == replay(events, FIXED, PATTERN)
+
+
+def test_state_can_expire(spark):
+    """With a lifetime the stream still runs and emits first writes."""
+    session = streaming_session(spark)
+    base = new_path(spark, "lifetime")
+    log_of(spark, [("u", "x"), ("u", "x"), ("v", "x")]).write.parquet(f"{base}/in")
+    stream = session.readStream.schema(EVENT_LOG).parquet(f"{base}/in")
+    facts = stream_first_writes(stream, goals_of(session, *FIXED), ttl_ms=3_600_000)
+    query = run_every(write_append(facts, f"{base}/out", f"{base}/state"), "1 second")
+    try:
+        for _ in range(60):
+            if query.lastProgress:
+                break
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert spark.read.schema(STREAM_FACTS).parquet(f"{base}/out").count() == 4
+
+
 def test_incremental_batches_see_goals_of_the_same_batch(spark):
     events = random_events(900, 8)
     session = streaming_session(spark)

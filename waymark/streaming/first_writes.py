@@ -73,6 +73,11 @@ class FirstWriteProcessor(StatefulProcessor):
         self.writes = handle.getListState(
             "writes", "event string, iso_year int, iso_week int, seq bigint", self.ttl_ms)
 
+    def handleInitialState(self, key, stored: Row, timer_values) -> None:
+        """One fact of an earlier run; called for each before the first micro-batch."""
+        self.writes.appendValue(
+            (stored.event_name, stored.iso_year, stored.iso_week, stored.seq))
+
     def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
         namespace, user = key
         earliest: dict[tuple, Row] = {}
@@ -125,13 +130,20 @@ class FirstWriteProcessor(StatefulProcessor):
 
 def stream_first_writes(log: DataFrame, goals: DataFrame,
                         rules: Sequence[CohortRule] = (),
-                        ttl_ms: int | None = None) -> DataFrame:
+                        ttl_ms: int | None = None,
+                        stored: DataFrame | None = None) -> DataFrame:
     """Streaming event log → facts with tags, each emitted once, in append mode.
 
     ``goals`` is the goal table known when the stream starts; goals announced inside the
     stream need :class:`waymark.streaming.incremental.IncrementalFacts`. Arrival order
     rules: inside a micro-batch rows are taken by ``seq``, and a batch never reopens what
     an earlier one wrote. Old dates are accepted at any time; there is no watermark.
+
+    A lifetime (``ttl_ms``) follows the clock, so such a stream never runs out of work:
+    start it with ``run_every``, not ``run_available``.
+
+    ``stored`` are facts written earlier, for instance by a batch job. The first run takes
+    them as its state, and they are not emitted again.
     """
     registered = goals.select("namespace", F.col("goal_name").alias("event_name"),
                               "active_from_seq")
@@ -140,8 +152,14 @@ def stream_first_writes(log: DataFrame, goals: DataFrame,
             .withColumn("iso_year", F.when(dated, F.col("iso_year")))
             .withColumn("iso_week", F.when(dated, F.col("iso_week")))
             .select(*_INPUT.fieldNames()))
+    known = None
+    if stored is not None:
+        known = (stored.filter(F.col("counter_type").isin(NAMED, WEEKLY))
+                 .select("namespace", "user_id", "event_name", "iso_year", "iso_week", "seq")
+                 .groupBy("namespace", "user_id"))
     return (rows.mapInArrow(_first_rows, _INPUT)
             .groupBy("namespace", "user_id")
             .transformWithState(FirstWriteProcessor(ttl_ms), STREAM_FACTS,
-                                outputMode="Append", timeMode="ProcessingTime"
-                                if ttl_ms else "None"))
+                                outputMode="Append",
+                                timeMode="ProcessingTime" if ttl_ms else "None",
+                                initialState=known))

@@ -10,6 +10,11 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from waymark.operators.flags import flags_for_users
 
+# How often changed counters are saved, and how often predictions and specs
+# are refreshed.
+SNAPSHOT_INTERVAL = "60 seconds"
+REFRESH_INTERVAL = "15 seconds"
+
 
 def write_append(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     return (stream.writeStream.outputMode("append").format("parquet")
@@ -37,6 +42,11 @@ def run_available(writer: DataStreamWriter) -> None:
     query.awaitTermination()
 
 
+def run_every(writer: DataStreamWriter, interval: str) -> StreamingQuery:
+    """Keep running, one micro-batch per interval."""
+    return writer.trigger(processingTime=interval).start()
+
+
 def forward_events(events: DataFrame) -> DataFrame:
     """Every event, first or not, as the three texts other systems receive."""
     return events.select("namespace", F.col("event_name").alias("name"),
