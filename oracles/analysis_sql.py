@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from oracles.parts import (BAYES, FACTS_WITHOUT_WEEKS, FIXED_GOALS, KEYED, MARKED, PRIOR,
-                           RATIOS, SINGLES, STEP_LOG, TAG_COUNTS, TOTALS, TYPED_LOG, counted,
+from oracles.parts import (BAYES, FACTS_WITHOUT_WEEKS, MARKED, PRIOR, RATIOS,
+                           SINGLES, STEP_LOG, TAG_COUNTS, TOTALS, TYPED_LOG, counted,
                            rounded, statement)
 
 TYPED = counted(TYPED_LOG, weeks=False)
@@ -124,7 +124,8 @@ SELECT c_custkey AS request_id,
 FROM customer"""),
     "merge_external_predictions": statement(
         TYPED, RATIOS, """asked AS (
-  SELECT DISTINCT 1 AS request_id, namespace, unnest(['view', 'click']) AS event_name FROM log)""",
+  SELECT DISTINCT 1 AS request_id, namespace, unnest(['view', 'click']) AS event_name
+  FROM log)""",
         NAIVE_BAYES, SHARED_EXTERNAL, select=f"""
 SELECT coalesce(i.namespace, x.namespace) AS namespace, coalesce(i.goal, x.goal) AS goal,
   {rounded("i.yes")} AS yes, {rounded("i.no")} AS no,

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from oracles.parts import (FACTS, FIXED_GOALS, KEY, KEYED, MARKED, PRIOR, SINGLES, STEP_LOG,
-                           STREAM_GOALS, TAG_COUNTS, TOTALS, TYPED_LOG, counted, statement)
+from oracles.parts import (FACTS, FIXED_GOALS, KEY, KEYED, MARKED, STEP_LOG, STREAM_GOALS,
+                           TAG_COUNTS, TOTALS, TYPED_LOG, counted, statement)
 
 SENT = """CASE WHEN k < 50 THEN 'default' ELSE 'beta' END AS namespace,
   event_type AS event_name, CAST(user_id AS VARCHAR) AS user_id,

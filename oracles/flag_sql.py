@@ -57,8 +57,8 @@ FROM users u, nations f"""),
     "flag_spec_rejects": """
 SELECT p_partkey, reason FROM (
   SELECT p_partkey,
-    CASE WHEN p_size % 5 = 0 THEN 'Incorrect number of terms for user flag'
-         WHEN p_size % 6 = 0 THEN 'User flag can only do `=`/`in` comparisons'
+    CASE WHEN p_size % 6 = 0 THEN 'User flag can only do `=`/`in` comparisons'
+         WHEN p_size % 5 = 0 THEN 'Incorrect number of terms for user flag'
          WHEN p_size % 4 <> 0 AND p_size % 3 = 0 THEN 'Rollout start must have an end'
          WHEN p_size % 4 = 0 AND p_size % 3 <> 0 THEN 'Rollout start cannot be after the end'
          WHEN p_size % 4 <> 0 AND p_size % 3 <> 0 AND p_size > 20

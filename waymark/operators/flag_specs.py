@@ -23,16 +23,20 @@ def bound_from_text(text: Column) -> Column:
 
 
 def spec_rejects(specs: DataFrame) -> DataFrame:
-    """Specs that must not be stored, with the reason.
+    """Specs that must not be stored, with the first reason found.
 
     ``user`` here is the submitted form: a list of terms, each a list of texts.
     """
     start, end = F.col("rollout_start"), F.col("rollout_end")
-    wrong_terms = F.exists("user", lambda c: F.size(c) != 3)
-    wrong_comparator = F.exists("user", lambda c: ~F.coalesce(
-        F.try_element_at(c, F.lit(2)).isin("=", "in"), F.lit(False)))
-    reason = (F.when(wrong_terms, F.lit("Incorrect number of terms for user flag"))
-              .when(wrong_comparator, F.lit("User flag can only do `=`/`in` comparisons"))
+
+    def term_reason(term: Column) -> Column:
+        comparator = F.try_element_at(term, F.lit(2))
+        known = F.coalesce(comparator.isin("=", "in"), F.lit(False))
+        return (F.when(F.size(term) != 3, F.lit("Incorrect number of terms for user flag"))
+                .when(~known, F.lit("User flag can only do `=`/`in` comparisons")))
+
+    bad_terms = F.filter(F.transform("user", term_reason), lambda r: r.isNotNull())
+    reason = (F.when(F.size(bad_terms) > 0, bad_terms[0])
               .when(start.isNotNull() & end.isNull(),
                     F.lit("Rollout start must have an end"))
               .when(start.isNull() & end.isNotNull(),

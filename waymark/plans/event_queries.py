@@ -8,8 +8,8 @@ from waymark.functions.dates import iso_week, iso_year
 from waymark.functions.names import normalize_user_id, tags_text
 from waymark.operators import cohorts, counters, facts as fact_ops, goals as goal_ops
 from waymark.operators import membership, sketches
-from waymark.plans.inputs import (WEEKLY_RULES, event_k, goal_table, namespace_of, step_log,
-                                  table, typed_log)
+from waymark.plans.inputs import (WEEKLY_RULES, event_k, goal_table, step_log, table,
+                                  typed_log)
 from waymark.schemas import COUNTER_KEY, INTERNAL, NAMED, WEEKLY
 from waymark.sources import (accepted_events, events_from_lines, parse_flag_requests,
                              parse_flag_specs, parse_requests, rejected_requests,

@@ -20,6 +20,7 @@ from waymark.streaming import (FlagStream, IncrementalFacts, changed_counters,
                                stream_first_writes, unique_user_counts, weekly_user_counts,
                                write_append, write_batches)
 from waymark.streaming.first_writes import STREAM_FACTS
+from waymark.streaming.incremental import MARKED, PRIOR
 
 
 def _typed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,8 @@ def stream_late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates moved back by up to 99 days, so that they arrive in no order at all."""
     days = F.get_json_object("props", "$.k").cast("int")
     late = F.col("ts") - F.make_dt_interval(days)
-    log = log_columns(streamed_events(streaming_session(spark), sf_dir), F.col("event_type"), ts=late)
+    log = log_columns(streamed_events(streaming_session(spark), sf_dir), F.col("event_type"),
+                      ts=late)
     return _snapshot(weekly_user_counts(log), spark, "stream-late", "namespace",
                      "event_name", "iso_year", "iso_week")
 
@@ -87,7 +89,8 @@ def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = events.agg(F.expr("percentile_approx(event_id, 0.5)").alias("m")).first()["m"]
     for part in (F.col("event_id") <= middle, F.col("event_id") > middle):
         events.filter(part).write.mode("append").parquet(f"{base}/in")
-        log = log_columns(session.readStream.schema(EVENTS).parquet(f"{base}/in"), F.col("event_type"))
+        log = log_columns(session.readStream.schema(EVENTS).parquet(f"{base}/in"),
+                          F.col("event_type"))
         facts = stream_first_writes(log, goal_table(session), WEEKLY_RULES)
         run_available(write_append(facts, f"{base}/out", f"{base}/state"))
     return _facts_text(spark.read.schema(STREAM_FACTS).parquet(f"{base}/out"))
@@ -106,8 +109,6 @@ def _all_batches(spark: SparkSession, base: str, name: str, schema: T.StructType
 
 def stream_goal_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Goals announced in the stream take effect at once, for all users."""
-    from waymark.streaming.incremental import MARKED, PRIOR
-
     base = new_path(spark, "stream-goals")
     _incremental(spark, sf_dir, IncrementalFacts(f"{base}/tables", WEEKLY_RULES), base)
     facts = _all_batches(spark, base, "facts", MARKED).filter("is_goal")
