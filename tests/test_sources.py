@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.functions.dates import iso_week, iso_year
+from waymark.functions.dates import format_rfc3339, iso_week, iso_year
 from waymark.sources import (accepted_events, events_from_lines, parse_flag_requests,
                              parse_requests, read_event_files, rejected_requests,
                              usage_events, wide_to_events)
@@ -145,3 +145,18 @@ def test_flag_requests(spark):
     events = {(r["seq"], r["namespace"], r["event_name"], r["user_id"])
               for r in usage_events(requests).collect()}
     assert events == {(1, "default", "f", "u"), (2, "default", "f", "42")}
+
+
+def test_the_session_time_zone_does_not_matter(spark):
+    """Weeks and texts are in UTC, also for a session elsewhere."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    requests = session.createDataFrame(
+        [(0, json.dumps({**EVENT, "datetime": "2024-01-08T00:30:00Z"})),
+         (1, json.dumps({**EVENT, "datetime": "2024-01-07T23:30:00Z"})), (2, json.dumps(EVENT))],
+        "request_seq long, body string").withColumn(
+        "at", F.lit("2024-01-08 00:30:00").cast("timestamp_ntz"))
+    log = accepted_events(parse_requests(requests), received_at="at").orderBy("seq")
+    assert [r["iso_week"] for r in log.collect()] == [2, 1, 2]
+    text = session.range(1).select(format_rfc3339(F.lit(1_704_067_200)).alias("t"))
+    assert text.first()["t"] == "2024-01-01T00:00:00Z"

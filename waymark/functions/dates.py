@@ -28,17 +28,18 @@ def is_rfc3339(text: Column) -> Column:
     return parse_rfc3339(text).isNotNull()
 
 
-def utc_wall_clock(ts: Column) -> Column:
-    """UTC date and time of an instant, whatever the session's time zone is."""
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
+def utc_date(instant: Column) -> Column:
+    """UTC day of an instant, whatever the session's time zone is."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / 86_400).cast("int"))
 
 
 def format_rfc3339(epoch_seconds: Column) -> Column:
-    return F.date_format(utc_wall_clock(F.timestamp_seconds(epoch_seconds)),
-                         "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    moment = epoch + F.make_dt_interval(secs=epoch_seconds.cast("decimal(18,6)"))
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def week_of_arrival(received_at: Column | None = None) -> list[Column]:
+def week_of_arrival(day: Column | None = None) -> list[Column]:
     """``iso_year`` and ``iso_week`` of undated events: the week they are read in."""
-    moment = utc_wall_clock(F.current_timestamp() if received_at is None else received_at)
-    return [iso_year(moment).alias("iso_year"), iso_week(moment).alias("iso_week")]
+    day = utc_date(F.current_timestamp()) if day is None else day
+    return [iso_year(day).alias("iso_year"), iso_week(day).alias("iso_week")]

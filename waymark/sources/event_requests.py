@@ -7,9 +7,9 @@ never spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from waymark.functions.dates import iso_week, iso_year, parse_rfc3339, utc_wall_clock
+from waymark.functions.dates import parse_rfc3339, utc_date, week_of_arrival
 from waymark.functions.variants import is_number, json_type, let
 from waymark.schemas import DEFAULT_NAMESPACE
 
@@ -126,13 +126,19 @@ def accepted_events(parsed: DataFrame, received_at: str | None = None) -> DataFr
     """Usable requests as event log rows, in arrival order and with defaults filled in.
 
     An event without a date falls into the week it was received in: ``received_at`` names
-    the column with that time; without one it is the time of the run.
+    the column with that time (an instant, or UTC wall-clock time without a zone); without
+    one it is the time of the run.
     """
-    arrival = F.col(received_at) if received_at else F.current_timestamp()
+    if received_at is None:
+        arrival_day = utc_date(F.current_timestamp())
+    elif isinstance(parsed.schema[received_at].dataType, T.TimestampNTZType):
+        arrival_day = F.to_date(received_at)
+    else:
+        arrival_day = utc_date(F.col(received_at))
     flat = (parsed.filter(F.col("reason").isNull())
-            .select("request_seq", "shape", arrival.alias("_arrival"),
+            .select("request_seq", "shape", arrival_day.alias("_arrival"),
                     F.posexplode("events").alias("pos", "e")))
-    moment = utc_wall_clock(F.coalesce(F.col("e.datetime"), F.col("_arrival")))
+    day = F.coalesce(utc_date(F.col("e.datetime")), F.col("_arrival"))
     return flat.select(
         packed_seq(F.col("request_seq"), F.col("pos")).alias("seq"),
         "request_seq", "pos", "shape",
@@ -141,8 +147,7 @@ def accepted_events(parsed: DataFrame, received_at: str | None = None) -> DataFr
         F.col("e.user_id").alias("user_id"),
         F.col("e.value").alias("value"),
         F.coalesce("e.ensure_goal", F.lit(False)).alias("ensure_goal"),
-        iso_year(moment).alias("iso_year"),
-        iso_week(moment).alias("iso_week"),
+        *week_of_arrival(day),
     )
 
 
