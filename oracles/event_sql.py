@@ -129,9 +129,12 @@ SELECT {KEY}, round(sum(value), 6) AS value_sum FROM facts GROUP BY ALL"""),
     "value_avg": statement(TYPED_LOG, FACTS, select="""
 SELECT namespace, event_name, round(sum(value) / count(*), 6) AS value_avg
 FROM named GROUP BY ALL"""),
-    "goal_prior_events": statement(counted(TYPED_LOG), TAG_COUNTS, select="""
-SELECT namespace, event_name, user_id, tags FROM user_tags
-WHERE counter_type = 'named' AND is_goal"""),
+    "goal_prior_events": statement(counted(TYPED_LOG), select="""
+SELECT p.*, m.seq AS goal_seq FROM prior p JOIN marked m
+  ON m.namespace = p.namespace AND m.event_name = p.event_name
+ AND m.counter_type = p.counter_type AND m.user_id = p.user_id
+ AND m.iso_year IS NOT DISTINCT FROM p.iso_year
+ AND m.iso_week IS NOT DISTINCT FROM p.iso_week"""),
     "tag_combination_counts": statement(counted(TYPED_LOG), TAG_COUNTS, select=f"""
 SELECT {KEY}, tags, count FROM tag_counts t
 WHERE EXISTS (SELECT 1 FROM marked m WHERE m.is_goal AND m.namespace = t.namespace

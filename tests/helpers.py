@@ -8,9 +8,10 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from waymark.operators.facts import first_writes, prior_events, with_tags
+from waymark.operators.counters import same_counter
+from waymark.operators.facts import first_writes, prior_events
 from waymark.operators.goals import mark_goals
-from waymark.schemas import EVENT_LOG, GOALS
+from waymark.schemas import COUNTER_KEY, EVENT_LOG, GOALS
 
 
 def log_of(spark, events):
@@ -29,6 +30,16 @@ def goals_of(spark, *goals):
     return spark.createDataFrame([(*g, 0) if len(g) == 2 else g for g in goals], GOALS)
 
 
+def with_tags(marked, prior):
+    """Facts with the list of what their users had done before."""
+    lists = (prior.groupBy(*COUNTER_KEY, "user_id")
+             .agg(F.array_sort(F.collect_list("tag")).alias("tags")))
+    condition = same_counter("m", "l", [*COUNTER_KEY, "user_id"])
+    return (marked.alias("m").join(lists.alias("l"), condition, "left")
+            .select("m.*", F.coalesce("l.tags", F.array().cast("array<string>"))
+                    .alias("tags")))
+
+
 def tagged_facts(log, goals, rules=(), include_self=True):
     marked = mark_goals(first_writes(log, rules), goals)
     return with_tags(marked, prior_events(marked, include_self))

@@ -5,7 +5,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import fact_rows, goals_of, log_of, random_events, replay, tagged_facts
+from tests.helpers import (fact_rows, goals_of, log_of, random_events, replay, tagged_facts,
+                           with_tags)
 from waymark.operators.cohorts import CohortRule
 from waymark.operators.counters import (counter_totals, single_tag_counts, tag_combinations,
                                         tag_counts)
@@ -127,7 +128,6 @@ def test_incremental_batches_see_goals_of_the_same_batch(spark):
         run_available(stream.writeStream.foreachBatch(handler)
                       .option("checkpointLocation", f"{base}/state"))
         last += 1
-    from waymark.operators.facts import with_tags
     facts = with_tags(handler.facts(spark, last), handler.prior(spark, last))
     assert fact_rows(facts) == replay(events, FIXED, PATTERN)
 

@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waymark.operators.cohorts import CohortRule, is_weekly
-from waymark.operators.counters import same_counter
 from waymark.schemas import (COUNTER_KEY, GLOBAL_COUNTER, INTERNAL, NAMED,
                              WEEKLY)
 
@@ -106,18 +105,3 @@ def prior_events(marked: DataFrame, include_self: bool = True) -> DataFrame:
         before = before & (F.col("tag") != F.col("event_name"))
     return (marked.filter("is_goal").join(history, ["namespace", "user_id"]).filter(before)
             .select(*COUNTER_KEY, "user_id", F.col("seq").alias("goal_seq"), "tag"))
-
-
-def with_tags(marked: DataFrame, prior: DataFrame) -> DataFrame:
-    """Facts with their tag list, for reading; counting does not need it.
-
-    A list holds at most one entry per event name of the namespace.
-    """
-    lists = (prior.groupBy(*COUNTER_KEY, "user_id")
-             .agg(F.array_sort(F.collect_list("tag")).alias("tags")))
-    condition = same_counter("m", "l", [*COUNTER_KEY, "user_id"])
-    return (marked.alias("m").join(lists.alias("l"), condition, "left")
-            .select("m.*", F.coalesce("l.tags", F.array().cast("array<string>"))
-                    .alias("tags")))
-
-

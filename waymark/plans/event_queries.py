@@ -281,11 +281,8 @@ def value_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def goal_prior_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = marked_facts(spark, sf_dir)
-    goals = marked.filter("is_goal").filter(F.col("counter_type") == NAMED)
-    named = fact_ops.with_tags(goals, fact_ops.prior_events(marked).filter(
-        F.col("counter_type") == NAMED))
-    return named.select("namespace", "event_name", "user_id", tags_text("tags").alias("tags"))
+    return fact_ops.prior_events(marked_facts(spark, sf_dir)).select(
+        *COUNTER_KEY, "user_id", "goal_seq", "tag")
 
 
 def written_prior(marked: DataFrame) -> DataFrame:
