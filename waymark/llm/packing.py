@@ -113,38 +113,32 @@ def plan_slots(counts: dict[int, int], capacity: int) -> list[tuple[int, int, in
         rank, left = 0, counts[length]
         while left:
             place = bisect.bisect_left(rooms, length)
-            if place == len(rooms):
-                per_sequence = capacity // length
-                opened = -(-left // per_sequence)
-                full, rest = divmod(left, per_sequence)
-                for k in range(per_sequence):
-                    taken = full + (k < rest)
-                    if taken:
-                        slots.append((length, rank, rank + taken - 1, sequences, k * length))
-                        rank += taken
-                if full:
-                    room = capacity - per_sequence * length
-                    if room:
-                        add(room, sequences, full)
-                if rest:
-                    add(capacity - rest * length, sequences + full, 1)
-                    # the last sequence holds the rest; the ranges above gave it one each
-                sequences += opened
-                left = 0
-                continue
-            room = rooms[place]
-            first, count = runs[room].pop()
-            if not runs[room]:
-                del runs[room]
-                rooms.pop(place)
-            taken = min(count, left)
-            slots.append((length, rank, rank + taken - 1, first, capacity - room))
-            rank += taken
-            left -= taken
-            if taken < count:
-                add(room, first + taken, count - taken)
-            if room > length:
-                add(room - length, first, taken)
+            if place < len(rooms):
+                room = rooms[place]
+                first, count = runs[room].pop()
+                if not runs[room]:
+                    del runs[room]
+                    rooms.pop(place)
+            else:  # as many new sequences as these pieces need
+                room, first = capacity, sequences
+                count = -(-left // (capacity // length))
+                sequences += count
+            # The tightest room is filled up before the next one: each sequence of the run
+            # takes as many pieces as fit, the last one what is left of them.
+            fitting = room // length
+            full = min(count, left // fitting)
+            rest = min(left - full * fitting, fitting - 1) if full < count else 0
+            for k in range(fitting if full else rest):
+                taken = full + (k < rest)
+                slots.append((length, rank, rank + taken - 1, first, capacity - room + k * length))
+                rank += taken
+            left -= full * fitting + rest
+            if full and room > fitting * length:
+                add(room - fitting * length, first, full)
+            if rest:
+                add(room - rest * length, first + full, 1)
+            if count > full + bool(rest):
+                add(room, first + full + bool(rest), count - full - bool(rest))
     return slots
 
 
