@@ -7,10 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from waymark.llm.chat import rotate_perspectives
 from waymark.llm.classifier import quality_scores
 from waymark.llm.common import documents
+from waymark.llm.mixing import mixing_report
 from waymark.llm.packing import pack_documents
+from waymark.llm.quality_rules import judge_documents
 from waymark.llm.token_counts import token_counts
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_documents(documents(spark, sf_dir)).drop("lang", "source")
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_report(documents(spark, sf_dir))
+
+
 def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -29,9 +39,46 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op5_perspectives, op7_packing, op9_quality_classifier, op10_token_counts)}
+    op1_quality_rules, op2_source_mixing, op5_perspectives, op7_packing, op9_quality_classifier, op10_token_counts)}
 
 ORACLES = {
+    "op2_source_mixing": """
+        WITH sized AS (
+            SELECT doc_id, source,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+                   CAST('0x' || substr(md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR),
+                        md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS place
+            FROM documents),
+        sources AS (
+            SELECT source, sum(size) AS source_size, 3 * sum(size) AS cap,
+                   [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+            FROM sized GROUP BY source),
+        levels AS (
+            SELECT *, cap / w AS at,
+                   (sum(source_size) OVER () - coalesce(sum(cap) OVER earlier, 0))
+                   / (sum(w) OVER () - coalesce(sum(w) OVER earlier, 0)) AS level
+            FROM sources
+            WINDOW earlier AS (ORDER BY cap / w, source NULLS LAST
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        targets AS (
+            SELECT source, CAST(source_size AS BIGINT) AS source_size,
+                   CASE WHEN level * w >= cap THEN CAST(cap AS DOUBLE) ELSE w * (
+                       SELECT arg_min(l.level, l.at) FROM levels l WHERE l.level * l.w < l.cap)
+                   END AS target
+            FROM levels),
+        passes AS (
+            SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS n
+            FROM targets),
+        placed AS (
+            SELECT s.*, source_size, target, n, target - n * source_size AS rest,
+                   sum(size) OVER (PARTITION BY s.source ORDER BY place
+                                   ROWS UNBOUNDED PRECEDING) - size / 2 AS middle
+            FROM sized s JOIN passes p ON s.source IS NOT DISTINCT FROM p.source)
+        SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target,
+               CAST(size * (n + CASE WHEN size > 0 AND middle <= rest THEN 1 ELSE 0 END)
+                    AS BIGINT) AS taken
+        FROM placed
+    """,
     "op5_perspectives": """
         WITH turns AS (
             SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'),
