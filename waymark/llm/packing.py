@@ -17,52 +17,83 @@ length and id are interchangeable.
 from __future__ import annotations
 
 import bisect
+import functools
+import os
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Tokenizer
 
 from waymark.llm.common import prefix_scan, text_or_empty
-from waymark.llm.token_counts import CACHED_WORDS, VOCABULARY, chunks
+from waymark.llm.token_counts import VOCABULARY, chunks, split_words
 from waymark.storage import materialize
 
 CAPACITY = 4096
 END_ID = 1
+CACHED_WORDS = 300_000  # entries of each of a worker's two tables; they start again when full
 PLAN = "length long, first_rank long, last_rank long, first_sequence long, offset long"
 
 
 class WordIds(dict):
-    """Ids of white-space free chunks as little-endian bytes, made by the tokenizer."""
+    """Ids of white-space free chunks as little-endian bytes, made by the tokenizer.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    New words are encoded together, many in one call; a word ends with a token that carries
+    the vocabulary's end mark.
+    """
 
+    def __init__(self, path: str):
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, four bytes each."""
         plain = [not any(s in t for s in self.special) for t in texts]
         split = [chunks(t) if p else [] for t, p in zip(texts, plain)]
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        new = list({w for words in split for w in words if w not in self})
-        for start in range(0, len(new), 2000):
-            part = new[start:start + 2000]
-            for word, made in zip(part, self._ids(part)):
-                self[word] = made
-        whole = iter(self._ids([t for t, p in zip(texts, plain) if not p]))
-        return [b"".join(map(self.__getitem__, words)) if p else next(whole)
-                for words, p in zip(split, plain)]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids)
-                for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        for cache in (self, self.words):
+            if len(cache) >= CACHED_WORDS:
+                cache.clear()
+        new = {w for words in split for w in words if w not in self}
+        parts = {chunk: split_words(chunk) for chunk in new}
+        self._learn(list({w for words in parts.values() for w in words} - self.words.keys()))
+        for chunk, words in parts.items():
+            self[chunk] = b"".join(map(self.words.__getitem__, words))
+        return [b"".join(map(self.__getitem__, words)) if p else self._whole(t)
+                for t, words, p in zip(texts, split, plain)]
+
+    def _learn(self, words: list[str]) -> None:
+        groups = [words[i:i + 500] for i in range(0, len(words), 500)]
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(
+                [" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(encoded.ids, dtype="<u4")
+            raw, cuts = ids.tobytes(), (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) != len(group):  # a word the tokenizer cuts otherwise
+                self.words.update((w, self._whole(w)) for w in group)
+                continue
+            begin = 0
+            for word, end in zip(group, cuts.tolist()):
+                self.words[word] = raw[begin:end]
+                begin = end
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
+
+@functools.lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One table per worker process, kept from task to task."""
+    return WordIds(path)
 
 
 def token_pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -74,11 +105,11 @@ def token_pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     end = END_ID.to_bytes(4, "little")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(path)
+        words = word_ids(path)
         for batch in batches:
             rows = []
-            for at in range(0, len(batch), 200):  # ids of a few texts at a time
-                part = batch.iloc[at:at + 200]
+            for at in range(0, len(batch), 500):  # ids of a few texts at a time
+                part = batch.iloc[at:at + 500]
                 for key, made in zip(part.iloc[:, 0], words.encode(part.iloc[:, 1].tolist())):
                     ids = memoryview(made + end)
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):

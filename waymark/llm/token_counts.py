@@ -13,6 +13,7 @@ repeated rows are counted each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import unicodedata
@@ -22,6 +23,8 @@ import pandas as pd
 import public_tokenizers
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
+from tokenizers import Regex
+from tokenizers.pre_tokenizers import Split
 
 from waymark.llm.common import free_names, text_or_empty
 
@@ -37,6 +40,7 @@ _BLANK = "".join(map(chr, (
 _WORD = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_BLANK}\p{{L}}\p{{N}}]+")
 _CHUNK = regex.compile(rf"[^{_BLANK}]+")
+_KINDS = Split(Regex(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), "removed", invert=True)
 # str.split also cuts at these, which are ordinary characters here.
 _EXTRA_BLANK = regex.compile("[\x1c-\x1f]")
 
@@ -46,13 +50,34 @@ def chunks(text: str) -> list[str]:
     return _CHUNK.findall(text) if _EXTRA_BLANK.search(text) else text.split()
 
 
+@functools.lru_cache(maxsize=10_000)
+def stand_in(char: str) -> str:
+    """A letter, digit or symbol for a character that is newer than Python's tables, by the
+    tables of the tokenizer."""
+    def pieces(text: str) -> int:
+        return len(_KINDS.pre_tokenize_str(text))
+
+    if pieces("a" + char) == 1:
+        return "a"
+    return "0" if pieces(char + char) == 2 else "\ue000"
+
+
 def split_words(chunk: str) -> list[str]:
-    """The words of a lower-case chunk. Characters without a meaning in Python's tables are
-    symbols, also where the pattern library's newer tables call them letters."""
+    """The lower-case words of a chunk, as the tokenizer cuts them before merging."""
     if chunk.isascii():
-        return _WORD.findall(chunk)
-    known = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in chunk)
-    return [chunk[m.start():m.end()] for m in _WORD.finditer(known)]
+        lower = chunk.lower()
+        if lower.isalpha():
+            return [lower]
+        return _WORD.findall(lower)
+    if not unicodedata.is_normalized("NFC", chunk):
+        chunk = unicodedata.normalize("NFC", chunk)
+    # lower() treats a final capital sigma by context; the tokenizer does not.
+    sigma = chr(0x3A3) in chunk
+    lower = "".join(c.lower() for c in chunk) if sigma else chunk.lower()
+    if lower.isalpha():
+        return [lower]
+    known = "".join(stand_in(c) if unicodedata.category(c) == "Cn" else c for c in lower)
+    return [lower[m.start():m.end()] for m in _WORD.finditer(known)]
 
 
 def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
@@ -122,10 +147,7 @@ class WordCounter(dict):
         return found
 
     def __missing__(self, chunk: str) -> int:
-        text = unicodedata.normalize("NFC", chunk)
-        # lower() treats a final capital sigma by context; the tokenizer does not.
-        lower = "".join(c.lower() for c in text) if chr(0x3A3) in text else text.lower()
-        found = sum(map(self.count_word, split_words(lower)))
+        found = sum(map(self.count_word, split_words(chunk)))
         if len(self) >= CACHED_WORDS:
             self.clear()
         self[chunk] = found
