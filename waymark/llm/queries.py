@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from waymark.llm.chat import rotate_perspectives
 from waymark.llm.classifier import quality_scores
 from waymark.llm.common import documents
+from waymark.llm.fingerprints import fingerprints
 from waymark.llm.mixing import mixing_report
 from waymark.llm.packing import pack_documents
 from waymark.llm.quality_rules import judge_documents
@@ -29,6 +30,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir),
                           spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -39,7 +44,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_source_mixing, op5_perspectives, op7_packing, op9_quality_classifier, op10_token_counts)}
+    op1_quality_rules, op2_source_mixing, op5_perspectives, op7_packing, op8_fingerprints,
+    op9_quality_classifier, op10_token_counts)}
 
 ORACLES = {
     "op2_source_mixing": """
