@@ -9,7 +9,9 @@ from waymark.llm.classifier import quality_scores
 from waymark.llm.common import documents
 from waymark.llm.fingerprints import fingerprints
 from waymark.llm.mixing import mixing_report
+from waymark.llm.ngram_join import ngram_links
 from waymark.llm.packing import pack_documents
+from waymark.llm.paragraph_dedup import repeated_paragraphs
 from waymark.llm.quality_rules import judge_documents
 from waymark.llm.token_counts import token_counts
 
@@ -22,6 +24,14 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_report(documents(spark, sf_dir))
 
 
+def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(documents(spark, sf_dir)).drop("text_hash")
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_links(documents(spark, sf_dir)).drop("text_hash")
+
+
 def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -44,7 +54,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_source_mixing, op5_perspectives, op7_packing, op8_fingerprints,
+    op1_quality_rules, op2_source_mixing, op3_paragraph_dedup, op4_ngram_join, op5_perspectives,
+    op7_packing, op8_fingerprints,
     op9_quality_classifier, op10_token_counts)}
 
 ORACLES = {
