@@ -19,61 +19,91 @@ from __future__ import annotations
 import bisect
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
-from tokenizers import Tokenizer
+from pyspark.sql.pandas.types import to_arrow_type
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from waymark.llm.common import prefix_scan, text_or_empty
-from waymark.llm.token_counts import VOCABULARY, chunks, split_words
+from waymark.llm.token_counts import ODD_BLANK, VOCABULARY, split_words
 from waymark.storage import materialize
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 300_000  # entries of each of a worker's two tables; they start again when full
+CACHED_WORDS = 500_000  # entries of each of a worker's two tables; they start again when full
 PLAN = "length long, first_rank long, last_rank long, first_sequence long, offset long"
 
 
 class WordIds(dict):
     """Ids of white-space free chunks as little-endian bytes, made by the tokenizer.
 
-    New words are encoded together, many in one call; a word ends with a token that carries
-    the vocabulary's end mark.
+    A column of texts is split and its chunks are numbered by Arrow; only distinct chunks are
+    looked up, and new words are encoded together, many in one call. A word ends with a token
+    that carries the vocabulary's end mark. Words are normalised and cut before they are
+    learnt, so the tokenizer only merges them.
     """
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merger = Tokenizer.from_file(path)
+        self.merger.normalizer = normalizers.Sequence([])
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(),
+            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Texts that Arrow would split otherwise, or that hold special tokens.
+        self.odd = "|".join([ODD_BLANK, *map(re.escape, special)])
         vocabulary = self.tokenizer.get_vocab()
         suffix = self.tokenizer.model.end_of_word_suffix
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.words: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, four bytes each."""
-        plain = [not any(s in t for s in self.special) for t in texts]
-        split = [chunks(t) if p else [] for t, p in zip(texts, plain)]
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of whole texts."""
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", texts)
+        split = pc.ascii_split_whitespace(plain)
+        numbered = split.flatten().dictionary_encode()
+        made = self._chunks(numbered.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(made), "<u4")
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        firsts = np.cumsum(sizes) - sizes
+        codes = numbered.indices.to_numpy()
+        lengths = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        # Each token's place in the pool: its chunk's first place, then one by one.
+        places = np.repeat(firsts[codes] - ends[:-1], lengths) + np.arange(ends[-1])
+        ids = pool[places]
+        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        found = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        for i in np.flatnonzero(odd):
+            found[i] = np.frombuffer(self._whole(texts[i].as_py()), "<u4")
+        return found
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
         for cache in (self, self.words):
             if len(cache) >= CACHED_WORDS:
                 cache.clear()
-        new = {w for words in split for w in words if w not in self}
-        parts = {chunk: split_words(chunk) for chunk in new}
+                self[""] = b""
+        parts = {chunk: split_words(chunk) for chunk in chunks if chunk not in self}
         self._learn(list({w for words in parts.values() for w in words} - self.words.keys()))
         for chunk, words in parts.items():
             self[chunk] = b"".join(map(self.words.__getitem__, words))
-        return [b"".join(map(self.__getitem__, words)) if p else self._whole(t)
-                for t, words, p in zip(texts, split, plain)]
+        return list(map(self.__getitem__, chunks))
 
     def _learn(self, words: list[str]) -> None:
         groups = [words[i:i + 500] for i in range(0, len(words), 500)]
-        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(
+        for group, encoded in zip(groups, self.merger.encode_batch_fast(
                 [" ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(encoded.ids, dtype="<u4")
             raw, cuts = ids.tobytes(), (np.flatnonzero(self.ends[ids]) + 1) * 4
@@ -102,24 +132,30 @@ def token_pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     path = path or public_tokenizers.path(VOCABULARY)
     schema = (f"{id_column} {docs.schema[id_column].dataType.simpleString()}, piece int, "
               "start long, length long, ids_crc32 long")
+    kind = to_arrow_type(docs.schema[id_column].dataType)
+    types = [kind, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     end = END_ID.to_bytes(4, "little")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
         for batch in batches:
-            rows = []
-            for at in range(0, len(batch), 500):  # ids of a few texts at a time
-                part = batch.iloc[at:at + 500]
-                for key, made in zip(part.iloc[:, 0], words.encode(part.iloc[:, 1].tolist())):
-                    ids = memoryview(made + end)
-                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[start:start + 4 * capacity]
-                        rows.append((key, piece, start // 4, len(own) // 4, zlib.crc32(own)))
-            made = pd.DataFrame(rows, columns=[id_column, "piece", "start", "length",
-                                               "ids_crc32"])
-            yield made.astype({id_column: batch.dtypes.iloc[0]})
-
-    return docs.select(F.col(id_column), text_or_empty(text_column).alias("text")).mapInPandas(
+            for at in range(0, len(batch), 1000):  # ids of a few texts at a time
+                part = batch.slice(at, 1000)
+                columns: list[list] = [[], [], [], [], []]
+                for key, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1))):
+                    for piece, start in enumerate(range(0, len(ids) + 1, capacity)):
+                        own = ids[start:start + capacity]
+                        check = zlib.crc32(own)
+                        length = len(own)
+                        if length < capacity:  # the last piece, with room for the end
+                            check, length = zlib.crc32(end, check), length + 1
+                        for column, value in zip(columns, (key, piece, start, length, check)):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, types)],
+                    [id_column, "piece", "start", "length", "ids_crc32"])
+
+    return docs.select(F.col(id_column), text_or_empty(text_column).alias("text")).mapInArrow(
         cut, schema)
 
 

@@ -36,6 +36,9 @@ LIMIT = 2048
 _BLANK = "".join(map(chr, (
     9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
     0x202F, 0x205F, 0x3000)))
+# Blanks beyond ASCII, and control characters that other splitters take for blanks.
+ODD_BLANK = ("[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}"
+             "\\x{205f}\\x{3000}]")
 # Fixed value: the pattern that cuts text into words before merging.
 _WORD = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_BLANK}\p{{L}}\p{{N}}]+")
@@ -68,6 +71,8 @@ def split_words(chunk: str) -> list[str]:
         lower = chunk.lower()
         if lower.isalpha():
             return [lower]
+        if lower[-1] in ".," and lower[:-1].isalpha():
+            return [lower[:-1], lower[-1]]
         return _WORD.findall(lower)
     if not unicodedata.is_normalized("NFC", chunk):
         chunk = unicodedata.normalize("NFC", chunk)
