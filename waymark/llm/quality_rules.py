@@ -104,7 +104,7 @@ def repeated_window_words(windows: Column) -> Column:
 
 
 def text_facts(docs: DataFrame) -> DataFrame:
-    """``(doc_id, lang, source)``, the counts and the transformed statistics of every text."""
+    """``(doc_id, lang, source, text_hash)``, the counts and the transformed statistics of every text."""
     text = docs.select("doc_id", "lang", "source", text_or_empty().alias("text"))
     words = text.select("*", words_of(F.col("text")).alias("words"))
     hashed = words.select(
@@ -118,7 +118,8 @@ def text_facts(docs: DataFrame) -> DataFrame:
     worded = F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD))
     lines = windows.select("*", worded.alias("lines"))
     counted = lines.select(
-        "doc_id", "lang", "source", F.col("n_words").cast("long").alias("n_words"),
+        "doc_id", "lang", "source", F.xxhash64("text").alias("text_hash"),
+        F.col("n_words").cast("long").alias("n_words"),
         F.char_length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long")
         .alias("word_chars"),
         (F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, "")))
@@ -260,7 +261,19 @@ def judge_documents(docs: DataFrame) -> DataFrame:
     keyed = facts.withColumn("group", group_key(F.col("lang"), F.col("source")))
     limit = chi_square_quantile(LIMIT, len(NAMES))
     return _with_distance(keyed, estimates, "group").select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-        "n_repeat_words", "base_failed", "distance",
+        "doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols",
+        "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(False)))
         .alias("kept"))
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, without the rejected rows."""
+    rejected = judge_documents(docs).where(~F.col("kept")).select(
+        F.col("text_hash").alias("_hash"),
+        group_key(F.col("lang"), F.col("source")).alias("_group")).distinct()
+    # Equal texts of a language and source are judged alike, whatever their ids.
+    keyed = docs.withColumn("_own", F.xxhash64(text_or_empty())).withColumn(
+        "_key", group_key(F.col("lang"), F.col("source")))
+    return keyed.join(rejected, (F.col("_own") == F.col("_hash"))
+                      & (F.col("_key") == F.col("_group")), "left_anti").select(*docs.columns)

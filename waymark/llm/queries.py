@@ -13,11 +13,12 @@ from waymark.llm.ngram_join import ngram_links
 from waymark.llm.packing import pack_documents
 from waymark.llm.paragraph_dedup import repeated_paragraphs
 from waymark.llm.quality_rules import judge_documents
+from waymark.llm.sanitise import personal_data_report
 from waymark.llm.token_counts import token_counts
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_documents(documents(spark, sf_dir)).drop("lang", "source")
+    return judge_documents(documents(spark, sf_dir)).drop("lang", "source", "text_hash")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,10 @@ def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_report(documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
@@ -55,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_source_mixing, op3_paragraph_dedup, op4_ngram_join, op5_perspectives,
-    op7_packing, op8_fingerprints,
+    op6_personal_data, op7_packing, op8_fingerprints,
     op9_quality_classifier, op10_token_counts)}
 
 ORACLES = {
