@@ -133,9 +133,10 @@ SELECT coalesce(i.namespace, x.namespace) AS namespace, coalesce(i.goal, x.goal)
   x.value_yes, x.value_no, x.volume_yes, x.volume_no
 FROM naive i FULL OUTER JOIN external x ON x.namespace = i.namespace AND x.goal = i.goal"""),
     "prediction_json": statement(TYPED, BAYES, select="""
-SELECT namespace, goal, CAST(0 AS BIGINT) AS page, '{"events":{' || string_agg('"' || event_name || '":{"bayes":'
+SELECT namespace, goal, CAST('0x' || substr(md5(event_name), 1, 1) AS BIGINT) AS part,
+  '{"events":{' || string_agg('"' || event_name || '":{"bayes":'
     || CAST(round(bayes, 6) AS VARCHAR) || '}', ',' ORDER BY event_name) || '}}' AS document
-FROM bayes GROUP BY namespace, goal"""),
+FROM bayes GROUP BY namespace, goal, part"""),
     "nudges_user": statement(STEPS, BAYES, select="""
 SELECT 'default' AS namespace, CAST(c_custkey AS VARCHAR) AS user_id, b.goal, b.event_name,
   round(b.bayes, 6) AS prediction,
@@ -161,7 +162,17 @@ FROM (SELECT namespace, event_name,
       FROM user_tags WHERE is_goal)
 GROUP BY ALL"""),
     "events_ranked": statement(STEPS, select="""
-SELECT namespace, event_name, counter_type, count FROM totals"""),
+SELECT namespace, event_name, counter_type, count,
+  CAST(row_number() OVER (PARTITION BY namespace ORDER BY count DESC, event_name, counter_type)
+       AS INT) AS rank
+FROM totals"""),
+    "churn_combinations": statement(
+        STEP_LOG.replace("log AS (", "base AS ("), CHURNED, FACTS_WITHOUT_WEEKS,
+        """goals AS (SELECT DISTINCT namespace, 'last-login-4-weeks' AS goal_name,
+          CAST(pow(2, 62) AS BIGINT) AS active_from_seq FROM log WHERE ensure_goal)""",
+        MARKED, PRIOR, TAG_COUNTS, select="""
+SELECT namespace, event_name, tags, count FROM tag_counts
+WHERE event_name = 'last-login-4-weeks' AND depth > 0"""),
     "probability_matrix": statement(TYPED, BAYES, select="""
 SELECT namespace, goal, """ + ",\n  ".join(
         f"round(max(bayes) FILTER (event_name = '{e}'), 6) AS {e}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.parts import (FACTS, FIXED_GOALS, KEY, KEYED, MARKED, STEP_LOG, STREAM_GOALS,
+from oracles.parts import (FACTS, FIXED_GOALS, KEY, KEYED, MARKED, PRIOR, STEP_LOG, STREAM_GOALS,
                            TAG_COUNTS, TOTALS, TYPED_LOG, counted, statement)
 
 SENT = """CASE WHEN k < 50 THEN 'default' ELSE 'beta' END AS namespace,
@@ -129,12 +129,8 @@ SELECT {KEY}, round(sum(value), 6) AS value_sum FROM facts GROUP BY ALL"""),
     "value_avg": statement(TYPED_LOG, FACTS, select="""
 SELECT namespace, event_name, round(sum(value) / count(*), 6) AS value_avg
 FROM named GROUP BY ALL"""),
-    "goal_prior_events": statement(counted(TYPED_LOG), select="""
-SELECT p.*, m.seq AS goal_seq FROM prior p JOIN marked m
-  ON m.namespace = p.namespace AND m.event_name = p.event_name
- AND m.counter_type = p.counter_type AND m.user_id = p.user_id
- AND m.iso_year IS NOT DISTINCT FROM p.iso_year
- AND m.iso_week IS NOT DISTINCT FROM p.iso_week"""),
+    "goal_prior_events": statement(TYPED_LOG, FACTS, FIXED_GOALS, MARKED, PRIOR,
+                                   select="SELECT * FROM prior"),
     "tag_combination_counts": statement(counted(TYPED_LOG), TAG_COUNTS, select=f"""
 SELECT {KEY}, tags, count FROM tag_counts t
 WHERE EXISTS (SELECT 1 FROM marked m WHERE m.is_goal AND m.namespace = t.namespace
@@ -161,10 +157,10 @@ FROM (SELECT DISTINCT event_name,
     "counter_config_rejects": statement(DAMAGED, select="""
 SELECT p_partkey, reason FROM (
   SELECT p_partkey,
-    CASE WHEN date_cohort = 'monthly' THEN 'date_cohort must be omitted or weekly'
+    CASE WHEN date_cohort = 'monthly' THEN 'unknown_date_cohort'
          WHEN size IS NULL OR (kind = 'bloom_scalable' AND error_probability IS NULL)
-           THEN 'missing required keys'
-         WHEN kind = 'fixed' THEN 'unknown type' END AS reason
+           THEN 'missing_setting'
+         WHEN kind = 'fixed' THEN 'unknown_kind' END AS reason
   FROM damaged) WHERE reason IS NOT NULL"""),
     "approx_unique_users": statement(TYPED_LOG, select="""
 SELECT namespace, event_name, count(DISTINCT user_id) AS exact, TRUE AS hll_plus_ok,
@@ -188,13 +184,13 @@ FROM customer WHERE CAST(c_custkey AS VARCHAR) IN (
     "events_for_user": statement(STEP_LOG, select="""
 SELECT DISTINCT namespace, user_id, event_name FROM log"""),
     "namespace_counts": statement(counted(TYPED_LOG), TAG_COUNTS, select="""
-SELECT t.* EXCLUDE (value_sum), round(t.value_sum, 6) AS value_sum, CAST(0 AS BIGINT) AS page,
-  (SELECT CAST(count(*) AS INT) FROM tag_counts c WHERE c.namespace = t.namespace
+SELECT t.* EXCLUDE (value_sum), round(t.value_sum, 6) AS value_sum,
+  (SELECT count(*) FROM tag_counts c WHERE c.namespace = t.namespace
      AND c.event_name = t.event_name AND c.counter_type = t.counter_type
      AND c.iso_year IS NOT DISTINCT FROM t.iso_year
      AND c.iso_week IS NOT DISTINCT FROM t.iso_week) AS combinations,
   t.count AS combination_users,
-  (SELECT CAST(count(*) AS INT) FROM singles c WHERE c.namespace = t.namespace
+  (SELECT count(*) FROM singles c WHERE c.namespace = t.namespace
      AND c.event_name = t.event_name AND c.counter_type = t.counter_type
      AND c.iso_year IS NOT DISTINCT FROM t.iso_year
      AND c.iso_week IS NOT DISTINCT FROM t.iso_week) AS single_events,
@@ -219,8 +215,9 @@ SELECT o_orderpriority AS namespace, 'status:' || o_orderstatus AS goal_name,
 SELECT {KEY}, is_goal, count(*) AS users FROM marked WHERE counter_type <> 'internal'
 GROUP BY ALL"""),
     "goals_list": """
-SELECT DISTINCT o_orderpriority AS namespace, 'status:' || o_orderstatus AS goal_name
-FROM orders""",
+SELECT *, CAST(row_number() OVER (PARTITION BY namespace ORDER BY goal_name) AS INT) AS rank
+FROM (SELECT DISTINCT o_orderpriority AS namespace, 'status:' || o_orderstatus AS goal_name
+      FROM orders)""",
     "drop_counter": statement(*UNMARKED, select=f"""
 SELECT {KEY}, count FROM totals WHERE NOT (event_name = 'error' AND counter_type = 'named')"""),
     "counter_display": statement(*UNMARKED, select="""

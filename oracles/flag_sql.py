@@ -57,9 +57,9 @@ FROM users u, nations f"""),
     "flag_spec_rejects": """
 SELECT p_partkey, reason FROM (
   SELECT p_partkey,
-    CASE WHEN p_size % 6 = 0 THEN 'User flag can only do `=`/`in` comparisons'
-         WHEN p_size % 5 = 0 THEN 'Incorrect number of terms for user flag'
-         WHEN p_size % 4 <> 0 AND p_size % 3 = 0 THEN 'Rollout start must have an end'
+    CASE WHEN p_size % 6 = 0 THEN 'unknown_comparator'
+         WHEN p_size % 5 = 0 THEN 'condition_needs_three_terms'
+         WHEN p_size % 4 <> 0 AND p_size % 3 = 0 THEN 'rollout_without_end'
          WHEN p_size % 4 = 0 AND p_size % 3 <> 0 THEN 'Rollout start cannot be after the end'
          WHEN p_size % 4 <> 0 AND p_size % 3 <> 0 AND p_size > 20
            THEN 'Rollout start cannot be after the end' END AS reason
@@ -86,9 +86,10 @@ SELECT name, '{"name":"' || name || '","boolean":' || CAST(boolean AS VARCHAR)
   || CAST(s + 1 AS VARCHAR) || ']}]}' AS document
 FROM specs WHERE reason IS NULL"""),
     "flag_spec_list": """
-SELECT CASE WHEN p_type = 'ECONOMY' THEN upper(p_name) ELSE p_name END || ' '
-  || CAST(p_partkey AS VARCHAR) AS name
-FROM part""",
+SELECT name, CAST(row_number() OVER (PARTITION BY lower(name[1]) ORDER BY lower(name), name)
+                 AS INT) AS rank
+FROM (SELECT CASE WHEN p_type = 'ECONOMY' THEN upper(p_name) ELSE p_name END || ' '
+        || CAST(p_partkey AS VARCHAR) AS name FROM part)""",
     "rollout_exposure": f"""
 SELECT p_name || ' ' || CAST(p_partkey AS VARCHAR) AS name,
   CAST({NOW} + 86400 * (p_size + step) AS BIGINT) AS at, round(step / 10, 6) AS chance

@@ -55,7 +55,7 @@ MARKED = """marked AS (
 # Everything the user did before; the weekly write follows the event's own named write.
 PRIOR = """prior AS (
   SELECT DISTINCT m.namespace, m.event_name, m.counter_type, m.iso_year, m.iso_week,
-         m.user_id, l.event_name AS tag
+         m.user_id, m.seq AS goal_seq, l.event_name AS tag
   FROM marked m JOIN log l ON l.namespace = m.namespace AND l.user_id = m.user_id
    AND (l.seq < m.seq OR (m.counter_type = 'weekly' AND l.seq = m.seq))
    AND (m.counter_type = 'weekly' OR l.event_name <> m.event_name)

@@ -68,23 +68,33 @@ SELECT 'goal_prediction' AS metric, namespace, goal, event_name AS event,
 FROM bayes"""),
     "analytics_json": statement(TYPED_WEEKLY, TAG_COUNTS, """sets AS (
   SELECT namespace, event_name, counter_type, iso_year, iso_week,
+    CAST('0x' || substr(md5(tags), 1, 1) AS BIGINT) AS part,
     string_agg('{"events":[' || CASE WHEN tags = '' THEN '' ELSE '"'
       || replace(tags, '|', '","') || '"' END || '],"count":' || CAST(count AS VARCHAR)
       || '}', ',' ORDER BY string_split(tags, '|')) AS event_counts
   FROM tag_counts GROUP BY ALL)""", """ones AS (
   SELECT namespace, event_name, counter_type, iso_year, iso_week,
+    CAST('0x' || substr(md5(tag), 1, 1) AS BIGINT) AS part,
     string_agg('{"name":"' || tag || '","count":' || CAST(count AS VARCHAR) || '}', ','
                ORDER BY tag) AS single_event_counts
-  FROM singles GROUP BY ALL)""", f"""named_totals AS (
+  FROM singles GROUP BY ALL)""", """parts AS (
+  SELECT coalesce(s.namespace, o.namespace) AS namespace,
+    coalesce(s.event_name, o.event_name) AS event_name,
+    coalesce(s.counter_type, o.counter_type) AS counter_type,
+    coalesce(s.iso_year, o.iso_year) AS iso_year, coalesce(s.iso_week, o.iso_week) AS iso_week,
+    coalesce(s.part, o.part) AS part, coalesce(event_counts, '') AS event_counts,
+    coalesce(single_event_counts, '') AS single_event_counts
+  FROM sets s FULL JOIN ones o ON o.namespace = s.namespace AND o.event_name = s.event_name
+    AND o.counter_type = s.counter_type AND o.iso_year IS NOT DISTINCT FROM s.iso_year
+    AND o.iso_week IS NOT DISTINCT FROM s.iso_week AND o.part = s.part)""", f"""named_totals AS (
   SELECT *, CASE WHEN counter_type = 'weekly'
       THEN event_name || ' ' || CAST(iso_year AS VARCHAR) || CAST(iso_week AS VARCHAR)
       ELSE event_name END AS name FROM totals)""", select=f"""
-SELECT t.namespace, t.name, CAST(0 AS BIGINT) AS page, '{{"name":"' || t.name || '","type":"' || t.counter_type
+SELECT t.namespace, t.name, s.part, '{{"name":"' || t.name || '","type":"' || t.counter_type
   || '","count":' || CAST(t.count AS VARCHAR) || ',"event_counts":[' || s.event_counts
-  || '],"single_event_counts":[' || coalesce(o.single_event_counts, '') || '],"value":{{'
+  || '],"single_event_counts":[' || s.single_event_counts || '],"value":{{'
   || CASE WHEN t.value_sum IS NULL THEN '' ELSE '"sum":'
        || CAST(CAST(round(t.value_sum) AS BIGINT) AS VARCHAR) END || '}}}}' AS document
 FROM named_totals t
-JOIN sets s ON {SAME_KEY.replace('c.', 's.')}
-LEFT JOIN ones o ON {SAME_KEY.replace('c.', 'o.')}"""),
+JOIN parts s ON {SAME_KEY.replace('c.', 's.')}"""),
 }

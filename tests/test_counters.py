@@ -16,7 +16,7 @@ def results(spark, events, goals=(("default", "goal"),), rules=()):
     marked = mark_goals(first_writes(log_of(spark, events), rules), goals_of(spark, *goals))
     prior = prior_events(marked)
     totals = counters.counter_totals(marked)
-    combos = counters.tag_counts(totals, counters.tag_combinations(prior))
+    combos = counters.tag_counts(totals, prior)
     named = lambda df: df.filter("counter_type = 'named'").collect()
     return ({r["event_name"]: (r["count"], r["value_sum"]) for r in named(totals)},
             {(r["event_name"], tuple(r["tags"])): r["count"] for r in named(combos)},
@@ -129,7 +129,7 @@ def test_unusable_settings_are_named(spark):
     assert {r["pattern"] for r in setting_rejects(frame).collect()} == set("abcef")
 
 
-def test_large_counters_are_dealt_to_pages(spark):
+def test_entries_are_dealt_to_parts(spark):
     key = "namespace string, event_name string, counter_type string, iso_year int, iso_week int,"
     totals = spark.createDataFrame(
         [("n", "g", "named", None, None, 500, 1.0), ("n", "x", "named", None, None, 3, None)],
@@ -140,13 +140,13 @@ def test_large_counters_are_dealt_to_pages(spark):
     singles = spark.createDataFrame(
         [("n", "g", "named", None, None, f"t{i}", 1) for i in range(500)],
         key + "tag string, count long")
-    rows = counters.nested_counts(totals, tags, singles, page_size=100).collect()
+    rows = counters.nested_counts(totals, tags, singles).collect()
     big = [r for r in rows if r["event_name"] == "g"]
-    assert len(big) == 10
+    assert len(big) == counters.PARTS
     assert {tuple(e["events"]) for r in big for e in r["event_counts"]} == {
         (f"t{i}",) for i in range(500)}
     assert sum(len(r["single_event_counts"]) for r in big) == 500
-    assert [r["page"] for r in rows if r["event_name"] == "x"] == [0]
+    assert len([r for r in rows if r["event_name"] == "x"]) == 1
 
 
 def test_parts_of_a_log_merge(spark):
@@ -202,18 +202,35 @@ def test_combinations_split_by_excluded_then_included(spark):
     assert depth == {0: 1, 1: 3, 2: 2}
 
 
-def test_long_combinations_keep_their_events_as_rows(spark):
-    events = [(u, f"e{i}") for u in ("1", "2") for i in range(5)] + [
+def test_long_combinations_keep_all_their_events(spark):
+    long = 10_500
+    events = [(u, f"e{i}") for u in ("1", "2") for i in range(long)] + [
         ("3", "e0"), ("1", "goal"), ("2", "goal"), ("3", "goal")]
     marked = mark_goals(first_writes(log_of(spark, events)),
                         goals_of(spark, ("default", "goal")))
     prior = prior_events(marked)
     found = {(r["size"], r["count"]): r["tags"]
-             for r in counters.tag_combinations(prior, list_limit=3).collect()}
-    assert found == {(5, 2): None, (1, 1): ["e0"]}
+             for r in counters.tag_combinations(prior).collect()}
+    assert found == {(long, 2): sorted(f"e{i}" for i in range(long)), (1, 1): ["e0"]}
     rows = counters.combination_events(counters.combination_counts(prior), prior).collect()
-    assert {r["tag"] for r in rows if r["size"] == 5} == {f"e{i}" for i in range(5)}
-    assert len(rows) == 6
+    assert {r["tag"] for r in rows if r["size"] == long} == {f"e{i}" for i in range(long)}
+    assert len(rows) == long + 1
+
+
+def test_users_with_the_same_order_number_keep_their_own_combinations(spark):
+    prior = spark.createDataFrame(
+        [("n", "gone", "named", None, None, user, 7, tag) for user, tags in
+         {"u": "ab", "v": "bc", "w": "abc", "x": "ab"}.items() for tag in tags],
+        "namespace string, event_name string, counter_type string, iso_year int, iso_week int, "
+        "user_id string, goal_seq long, tag string")
+    found = {tuple(r["tags"]): r["count"] for r in counters.tag_combinations(prior).collect()}
+    assert found == {("a", "b"): 2, ("b", "c"): 1, ("a", "b", "c"): 1}
+
+
+def test_sketches_refuse_an_error_they_cannot_reach():
+    assert sketches.sketch_size(0.01) == 14
+    with pytest.raises(ValueError):
+        sketches.sketch_size(1e-4)
 
 
 def test_an_empty_log_gives_empty_results(spark):

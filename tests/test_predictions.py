@@ -151,13 +151,15 @@ def test_nudges_leave_out_what_is_done(spark):
     assert ranked(everyone, "v") == ["feature_2", "foo_event", "feature_1"]
 
 
-def test_long_event_lists_are_joined_instead(spark):
+def test_a_repeated_request_changes_nothing(spark):
     predicted = spark.createDataFrame(
         PREDICTED, "namespace string, goal string, event_name string, bayes double")
     facts = first_writes(log_of(spark, [("u", "foo_event"), ("v", "unrelated")]))
-    rows = lambda limit: sorted(map(str, nudges.nudges_for_all_users(
-        facts, predicted, list_limit=limit).collect()))
-    assert rows(2) == rows(10) and len(rows(2)) == 5
+    once = spark.createDataFrame([("default", "u", "g")],
+                                 "namespace string, user_id string, goal string")
+    rows = lambda asked: sorted(map(str, nudges.nudges_for_requests(
+        asked, predicted, facts).collect()))
+    assert rows(once.union(once)) == rows(once) and len(rows(once)) == 2
 
 
 def test_equal_predictions_rank_by_name(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.helpers import (fact_rows, goals_of, log_of, random_events, replay, tagged_facts,
                            with_tags)
 from waymark.operators.cohorts import CohortRule
-from waymark.operators.counters import (counter_totals, single_tag_counts, tag_combinations,
+from waymark.operators.counters import (counter_totals, single_tag_counts,
                                         tag_counts)
 from waymark.operators.facts import first_writes, prior_events
 from waymark.operators.goals import goals_from_log, mark_goals, upsert_goals
@@ -149,7 +149,7 @@ def test_counts_agree_with_each_other(spark):
     marked = mark_goals(first_writes(log, RULES), goals_of(spark, *FIXED)).cache()
     prior = prior_events(marked)
     totals = counter_totals(marked)
-    combos = tag_counts(totals, tag_combinations(prior))
+    combos = tag_counts(totals, prior)
     singles = single_tag_counts(prior)
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in COUNTER_KEY]
     condition = same[0]

@@ -5,7 +5,7 @@ import json
 from tests.helpers import goals_of, log_of
 from waymark.operators.cohorts import CohortRule
 from waymark.operators.counters import (counter_totals, nested_counts, single_tag_counts,
-                                        tag_combinations, tag_counts)
+                                        tag_counts)
 from waymark.operators.facts import first_writes, prior_events
 from waymark.operators.goals import mark_goals
 from waymark.sinks import (analytics_documents, counter_metrics, read_counters, read_goals,
@@ -45,7 +45,7 @@ def test_metrics(spark):
 def test_documents(spark):
     marked = mark_goals(first_writes(log_of(spark, EVENTS)), goals_of(spark, ("default", "goal")))
     prior, totals = prior_events(marked), counter_totals(marked)
-    nested = nested_counts(totals, tag_counts(totals, tag_combinations(prior)),
+    nested = nested_counts(totals, tag_counts(totals, prior),
                            single_tag_counts(prior))
     found = {r["name"]: json.loads(r["document"]) for r in analytics_documents(nested).collect()}
     assert found["goal"] == {

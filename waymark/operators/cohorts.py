@@ -64,10 +64,10 @@ def setting_rejects(settings: DataFrame) -> DataFrame:
     unusable = (F.col("size") <= 0) | (F.col("error_probability") <= 0) | (
         F.col("error_probability") >= 1)
     reason = (F.when(F.col("date_cohort").isNotNull() & (F.col("date_cohort") != WEEKLY),
-                     F.lit("date_cohort must be omitted or weekly"))
-              .when(missing, F.lit("missing required keys"))
-              .when(~known, F.lit("unknown type"))
-              .when(unusable, F.lit("size or error probability does not work")))
+                     F.lit("unknown_date_cohort"))
+              .when(missing, F.lit("missing_setting"))
+              .when(~known, F.lit("unknown_kind"))
+              .when(unusable, F.lit("unusable_size_or_error")))
     return settings.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 

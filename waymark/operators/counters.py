@@ -6,15 +6,22 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.functions.names import display_name
 from waymark.schemas import COUNTER_KEY, INTERNAL, NAMED, WEEKLY
+from waymark.storage import materialize
 
 # Identity of a combination of events.
 COMBINATION = [*COUNTER_KEY, "size", "digest_1", "digest_2"]
-# Longest combination that is shown as a list.
-LIST_LIMIT = 10_000
+# Parts that the nested entries of a counter and the events of a goal are dealt to, whatever
+# their number: as many as a hexadecimal digit has values.
+PARTS = 16
+
+
+def part_of(text: Column) -> Column:
+    """The part an entry belongs to: the first hexadecimal digit of its digest."""
+    return F.conv(F.substring(F.md5(text), 1, 1), 16, 10).cast("long")
 
 
 def counter_totals(facts: DataFrame) -> DataFrame:
@@ -33,38 +40,41 @@ def combination_counts(prior: DataFrame) -> DataFrame:
 
     A set is known by its size and a 128-bit digest that does not depend on order, so no
     user's history is ever collected and shuffled rows have a fixed, small size.
-    ``sample_seq`` is the goal write of one user with the set.
+    ``sample_seq`` and ``sample_user`` (a hash) name the goal write of one user with the set.
+    Several users may share an order number, so the number alone names nobody.
     """
     sets = prior.groupBy(*COUNTER_KEY, "user_id", "goal_seq").agg(
         F.count("*").alias("size"),
         F.bit_xor(F.xxhash64(F.lit(1), "tag")).alias("digest_1"),
         F.bit_xor(F.xxhash64(F.lit(2), "tag")).alias("digest_2"))
-    return sets.groupBy(*COMBINATION).agg(F.count("*").alias("count"),
-                                          F.min("goal_seq").alias("sample_seq"))
+    return sets.groupBy(*COMBINATION).agg(
+        F.count("*").alias("count"), F.min("goal_seq").alias("sample_seq"),
+        F.min_by(F.xxhash64("user_id"), "goal_seq").alias("sample_user"))
 
 
 def combination_events(combinations: DataFrame, prior: DataFrame) -> DataFrame:
     """The events of every combination, one row each, read off its sample user."""
-    sample = combinations.select(*COMBINATION, F.col("sample_seq").alias("goal_seq"))
-    return (prior.alias("p").join(sample.alias("c"),
-                                  same_counter("p", "c", [*COUNTER_KEY, "goal_seq"]))
-            .select("c.*", "p.tag").drop("goal_seq"))
+    sample = combinations.select(*COMBINATION, F.col("sample_seq").alias("goal_seq"),
+                                 F.col("sample_user").alias("user"))
+    done = prior.select(*COUNTER_KEY, "goal_seq", F.xxhash64("user_id").alias("user"), "tag")
+    return (done.alias("p").join(sample.alias("c"),
+                                 same_counter("p", "c", [*COUNTER_KEY, "goal_seq", "user"]))
+            .select("c.*", "p.tag").drop("goal_seq", "user"))
 
 
-def tag_combinations(prior: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """Combinations with their sorted event list.
-
-    Lists are made once per distinct combination, not per user. A combination of more than
-    ``list_limit`` events keeps a NULL list; its events are in ``combination_events``.
-    """
-    found = combination_counts(prior)
-    lists = (combination_events(found.filter(F.col("size") <= list_limit), prior)
+def with_event_lists(combinations: DataFrame, prior: DataFrame) -> DataFrame:
+    """Combinations with their sorted event list, made once per distinct combination."""
+    lists = (combination_events(combinations, prior)
              .groupBy(*COMBINATION).agg(F.array_sort(F.collect_list("tag")).alias("tags")))
-    return (found.alias("f")
-            .join(lists.alias("l"), same_counter("f", "l", COMBINATION), "left")
+    return (combinations.alias("f").join(lists.alias("l"), same_counter("f", "l", COMBINATION))
             .select(*[f"f.{c}" for c in COMBINATION], "l.tags", "f.count"))
 
 
+def tag_combinations(prior: DataFrame) -> DataFrame:
+    """Combinations with their event lists; the counts are written, since both need them."""
+    return with_event_lists(materialize(combination_counts(prior), "combinations"), prior)
+
+
 def without_earlier_events(totals: DataFrame, found: DataFrame) -> DataFrame:
     """Users per counter that no row of ``found`` counts: those without earlier events.
 
@@ -75,12 +85,15 @@ def without_earlier_events(totals: DataFrame, found: DataFrame) -> DataFrame:
             .groupBy(*COUNTER_KEY).agg(F.sum("count").alias("count")).filter("count > 0"))
 
 
-def tag_counts(totals: DataFrame, combinations: DataFrame) -> DataFrame:
+def tag_counts(totals: DataFrame, prior: DataFrame) -> DataFrame:
     """All combinations, with the empty one for users without earlier events.
 
-    Non-goal counters have the empty combination only.
+    Non-goal counters have the empty combination only. It follows from the counts; the lists
+    join last.
     """
-    empty = without_earlier_events(totals, combinations).withColumn(
+    found = materialize(combination_counts(prior), "combinations")
+    combinations = with_event_lists(found, prior)
+    empty = without_earlier_events(totals, found).withColumn(
         "tags", F.array().cast("array<string>"))
     for name in ("size", "digest_1", "digest_2"):
         empty = empty.withColumn(name, F.lit(0).cast("long"))
@@ -144,39 +157,37 @@ def registered_counters(totals: DataFrame) -> DataFrame:
     return totals.agg(F.count("*").alias("counters"))
 
 
-def nested_counts(totals: DataFrame, tags: DataFrame, singles: DataFrame,
-                  page_size: int = 10_000) -> DataFrame:
+def nested_counts(totals: DataFrame, tags: DataFrame, singles: DataFrame) -> DataFrame:
     """Counters with their combinations and single events nested for reading.
 
-    A goal can have as many combinations as users. Entries are therefore dealt to pages of
-    about ``page_size``: a counter is one row (``page`` 0) while it is small, and several
-    rows, each with a part of the entries, when it is large.
+    A goal can have as many combinations as users. The entries of every counter are therefore
+    dealt to ``PARTS`` parts by the digest of their names, one row per part that has entries.
     """
     none = F.lit(None)
     entries = tags.select(
-        *COUNTER_KEY, F.struct(F.col("tags").alias("events"), "count").alias("combination"),
+        *COUNTER_KEY, part_of(F.concat_ws("|", "tags")).alias("part"),
+        F.struct(F.col("tags").alias("events"), "count").alias("combination"),
         none.cast("struct<name:string,count:bigint>").alias("single")).unionByName(
         singles.select(
-            *COUNTER_KEY,
+            *COUNTER_KEY, part_of(F.col("tag")).alias("part"),
             none.cast("struct<events:array<string>,count:bigint>").alias("combination"),
             F.struct(F.col("tag").alias("name"), "count").alias("single")))
-    pages = (entries.groupBy(*COUNTER_KEY)
-             .agg(F.ceil(F.count("*") / page_size).alias("pages")))
-    page = F.pmod(F.xxhash64("combination", "single"), F.col("p.pages")).alias("page")
-    dealt = (entries.alias("e").join(pages.alias("p"), same_counter("e", "p"))
-             .select("e.*", page))
-    nested = dealt.groupBy(*COUNTER_KEY, "page").agg(
+    nested = entries.groupBy(*COUNTER_KEY, "part").agg(
         F.array_sort(F.collect_list("combination")).alias("event_counts"),
         F.array_sort(F.collect_list("single")).alias("single_event_counts"))
     return (totals.alias("t").join(nested.alias("n"), same_counter("t", "n"), "left")
-            .select("t.*", F.coalesce("n.page", F.lit(0)).cast("long").alias("page"),
+            .select("t.*", F.coalesce("n.part", F.lit(0)).cast("long").alias("part"),
                     "n.event_counts", "n.single_event_counts"))
 
 
 def ranked_events(totals: DataFrame) -> DataFrame:
-    """Counters by count, largest first; equal counts by name."""
-    return totals.orderBy(F.desc("count"), "namespace", "event_name", "counter_type",
-                          "iso_year", "iso_week")
+    """Counters with ``rank``: by count, largest first; equal counts by name.
+
+    Ranks are given inside each namespace, which holds its registered names, not its users.
+    """
+    order = Window.partitionBy("namespace").orderBy(
+        F.desc("count"), "event_name", "counter_type", "iso_year", "iso_week")
+    return totals.withColumn("rank", F.row_number().over(order))
 
 
 def weekly_totals(totals: DataFrame) -> DataFrame:

@@ -63,9 +63,9 @@ def named_first_writes(log: DataFrame) -> DataFrame:
 def first_writes(log: DataFrame, rules: Sequence[CohortRule] = ()) -> DataFrame:
     """All three levels: ``namespace`` counters, event counters, weekly counters.
 
-    The log is scanned once and reduced to first rows per user, event and week. Only those
-    are partitioned by user and fan out to the counters; every counter's key contains the
-    user, so the second aggregation works on that partitioning without a shuffle.
+    The log is scanned once and reduced to first rows per user, event and week. Those fan out
+    to the counters and are aggregated by the whole counter key and user, so the rows of a
+    user with a large vocabulary are spread over the names.
     """
     if any(rule.date_cohort == WEEKLY for rule in rules):
         dated = is_weekly(F.col("event_name"), rules)
@@ -73,8 +73,7 @@ def first_writes(log: DataFrame, rules: Sequence[CohortRule] = ()) -> DataFrame:
         finest = log.groupBy("namespace", "event_name", *weeks, "user_id").agg(*_first())
     else:
         finest = named_first_writes(log)
-    by_user = finest.repartition("namespace", "user_id")
-    return (_write_targets(by_user, F.col("iso_week").isNotNull())
+    return (_write_targets(finest, F.col("iso_week").isNotNull())
             .groupBy(*COUNTER_KEY, "user_id").agg(*_first()))
 
 

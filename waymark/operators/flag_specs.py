@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.functions.dates import format_rfc3339
 
@@ -32,16 +32,15 @@ def spec_rejects(specs: DataFrame) -> DataFrame:
     def term_reason(term: Column) -> Column:
         comparator = F.try_element_at(term, F.lit(2))
         known = F.coalesce(comparator.isin("=", "in"), F.lit(False))
-        return (F.when(F.size(term) != 3, F.lit("Incorrect number of terms for user flag"))
-                .when(~known, F.lit("User flag can only do `=`/`in` comparisons")))
+        return (F.when(F.size(term) != 3, F.lit("condition_needs_three_terms"))
+                .when(~known, F.lit("unknown_comparator")))
 
     bad_terms = F.filter(F.transform("user", term_reason), lambda r: r.isNotNull())
     reason = (F.when(F.size(bad_terms) > 0, bad_terms[0])
               .when(start.isNotNull() & end.isNull(),
-                    F.lit("Rollout start must have an end"))
-              .when(start.isNull() & end.isNotNull(),
-                    F.lit("Rollout start cannot be after the end"))
-              .when(start > end, F.lit("Rollout start cannot be after the end")))
+                    F.lit("rollout_without_end"))
+              .when(start.isNull() & end.isNotNull(), F.lit("rollout_without_start"))
+              .when(start > end, F.lit("rollout_ends_before_start")))
     return specs.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
@@ -64,5 +63,8 @@ def render_specs(specs: DataFrame) -> DataFrame:
 
 
 def list_specs(specs: DataFrame) -> DataFrame:
-    """Case-insensitive by name; names that differ in case only, by code point."""
-    return specs.orderBy(F.lower("name"), "name")
+    """Case-insensitive by name; names that differ in case only, by code point. ``rank`` is
+    the place among the names of the same initial, so a long list is ranked in parts."""
+    initial = F.lower(F.substring("name", 1, 1))
+    order = Window.partitionBy(initial).orderBy(F.lower("name"), "name")
+    return specs.withColumn("rank", F.row_number().over(order)).orderBy(F.lower("name"), "name")

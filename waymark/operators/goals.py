@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from waymark.schemas import INTERNAL
 
@@ -22,7 +22,8 @@ def goals_from_log(log: DataFrame) -> DataFrame:
 
 def list_goals(goals: DataFrame, namespace: str | None = None) -> DataFrame:
     chosen = goals if namespace is None else goals.filter(F.col("namespace") == namespace)
-    return chosen.select("namespace", "goal_name").orderBy("namespace", "goal_name")
+    by_name = Window.partitionBy("namespace").orderBy("goal_name")
+    return chosen.select("namespace", "goal_name", F.row_number().over(by_name).alias("rank"))
 
 
 def mark_goals(facts: DataFrame, goals: DataFrame) -> DataFrame:

@@ -6,19 +6,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from waymark.schemas import INTERNAL, NAMED
 
-# Longest ranked event list kept as an array in each user's row.
-LIST_LIMIT = 10_000
-
 
 def nudges_for_requests(requests: DataFrame, predictions: DataFrame,
                         facts: DataFrame) -> DataFrame:
     """Ranked nudges for asked pairs of ``namespace, user_id, goal``.
 
-    An unknown goal gives no rows, an unknown user every event of the goal.
+    An unknown goal gives no rows, an unknown user every event of the goal. Asking twice
+    gives the same rows once. Events stay rows throughout: those done are removed by an anti
+    join on the user and event, and the rest is ranked per user and goal.
     """
     done = facts.filter(F.col("counter_type") == NAMED).select(
         "namespace", "user_id", "event_name")
-    open_events = (requests.select("namespace", "user_id", "goal")
+    open_events = (requests.select("namespace", "user_id", "goal").distinct()
                    .join(predictions, ["namespace", "goal"])
                    .join(done, ["namespace", "user_id", "event_name"], "left_anti"))
     best_first = (Window.partitionBy("namespace", "user_id", "goal")
@@ -28,38 +27,8 @@ def nudges_for_requests(requests: DataFrame, predictions: DataFrame,
         F.row_number().over(best_first).alias("rank"))
 
 
-def nudges_for_all_users(facts: DataFrame, predictions: DataFrame,
-                         list_limit: int = LIST_LIMIT) -> DataFrame:
-    """Ranked nudges for every user and every goal of the user's namespace.
-
-    Each goal's events are ranked once, in the prediction table. A user then only drops
-    the events already done from that ranked list, so neither a sort per user nor a join
-    back to the facts is needed: the facts cross the network once, by user. The lists are
-    used only while no goal has more than ``list_limit`` events; beyond that, rows are
-    joined and ranked instead.
-    """
-    longest = predictions.groupBy("namespace", "goal").count().agg(F.max("count")).first()[0]
-    if longest is not None and longest > list_limit:
-        goals = predictions.select("namespace", "goal").distinct()
-        users = facts.filter(F.col("counter_type") == INTERNAL).select("namespace", "user_id")
-        return nudges_for_requests(users.join(goals, "namespace"), predictions, facts)
-
-    evidence = predictions.select("namespace", "event_name").distinct().withColumn(
-        "evidence", F.lit(True))
-    done = (facts.filter(F.col("counter_type").isin(NAMED, INTERNAL))
-            .select("namespace", "user_id",
-                    F.when(F.col("counter_type") == NAMED, F.col("event_name"))
-                    .alias("event_name"))
-            .join(evidence, ["namespace", "event_name"], "left")
-            .groupBy("namespace", "user_id")
-            .agg(F.collect_set(F.when(F.col("evidence"), F.col("event_name"))).alias("done")))
-    ranked = predictions.groupBy("namespace", "goal").agg(F.array_sort(F.collect_list(
-        F.struct((-F.col("bayes")).alias("neg"), "event_name"))).alias("ranked"))
-    still_open = F.filter("ranked", lambda e: ~F.array_contains("done", e["event_name"]))
-    return (done.join(ranked, "namespace")
-            .select("namespace", "user_id", "goal",
-                    F.posexplode_outer(still_open).alias("pos", "e"))
-            .filter(F.col("e").isNotNull())
-            .select("namespace", "user_id", "goal", F.col("e.event_name").alias("event_name"),
-                    (-F.col("e.neg")).alias("prediction"),
-                    (F.col("pos") + 1).alias("rank")))
+def nudges_for_all_users(facts: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Ranked nudges for every user and every goal of the user's namespace."""
+    goals = predictions.select("namespace", "goal").distinct()
+    users = facts.filter(F.col("counter_type") == INTERNAL).select("namespace", "user_id")
+    return nudges_for_requests(users.join(goals, "namespace"), predictions, facts)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.functions.probability import (bayes_from_counts, likelihood, no_ratio,
                                            yes_ratio)
+from waymark.operators.counters import part_of
 from waymark.schemas import INTERNAL, NAMED, WEEKLY
 
 # Fixed value: text shown instead of numbers where the goal itself is among the events.
@@ -138,12 +139,11 @@ def naive_bayes_events(requests: DataFrame, ratios: DataFrame) -> DataFrame:
 def naive_bayes_users(facts: DataFrame, ratios: DataFrame) -> DataFrame:
     """Naive Bayes of every goal for every user, from all events the user has done.
 
-    Facts are partitioned by user before the factors multiply them by the number of goals,
-    so the wide rows are aggregated where they arise and never cross the network.
+    Facts meet the factors by event name, so the names of a user with a large vocabulary are
+    spread; products are combined in each task before they move to the user.
     """
-    done = (facts.filter(F.col("counter_type") == NAMED)
-            .select("namespace", "user_id", "event_name")
-            .repartition("namespace", "user_id"))
+    done = facts.filter(F.col("counter_type") == NAMED).select(
+        "namespace", "user_id", "event_name")
     combined = (done.join(ratios, ["namespace", "event_name"])
                 .groupBy("namespace", "user_id", "goal").agg(*_products()))
     return _numbers_or_note(combined, "namespace", "user_id", "goal")
@@ -179,19 +179,16 @@ def merge_external(internal: DataFrame, external: DataFrame,
     return internal.join(wide, ["namespace", "goal"], "full_outer")
 
 
-def prediction_documents(predictions: DataFrame, page_size: int = 10_000) -> DataFrame:
+def prediction_documents(predictions: DataFrame) -> DataFrame:
     """Per namespace and goal, the predictions as ``{"events":{name:{"bayes":p}}}``.
 
-    A goal with more than ``page_size`` events gets several documents, each with a part.
+    The events of every goal are dealt to a fixed number of parts, one document each.
     """
-    goal = ["namespace", "goal"]
-    pages = predictions.groupBy(*goal).agg(F.ceil(F.count("*") / page_size).alias("pages"))
-    dealt = predictions.join(pages, goal).withColumn(
-        "page", F.pmod(F.xxhash64("event_name"), F.col("pages")))
+    dealt = predictions.withColumn("part", part_of(F.col("event_name")))
     entry = F.struct("event_name", F.struct("bayes").alias("p"))
     events = F.map_from_entries(F.array_sort(F.collect_list(entry)))
-    return (dealt.groupBy(*goal, "page").agg(events.alias("events"))
-            .select(*goal, "page", F.to_json(F.struct("events")).alias("document")))
+    return (dealt.groupBy("namespace", "goal", "part").agg(events.alias("events"))
+            .select("namespace", "goal", "part", F.to_json(F.struct("events")).alias("document")))
 
 
 def probability_matrix(predictions: DataFrame, events: list[str]) -> DataFrame:

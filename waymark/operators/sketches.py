@@ -7,9 +7,17 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+# Spark's largest HyperLogLog sketch has 2^21 entries.
+LARGEST = 21
+
+
 def sketch_size(error_probability: float) -> int:
     """log2 of the sketch entries whose relative standard error stays below the target."""
-    return min(21, max(4, math.ceil(2 * math.log2(1.04 / error_probability))))
+    size = max(4, math.ceil(2 * math.log2(1.04 / error_probability)))
+    if size > LARGEST:
+        raise ValueError(f"no sketch reaches an error of {error_probability}; the smallest is "
+                         f"{1.04 / 2 ** (LARGEST / 2):.5f}")
+    return size
 
 
 def user_sketches(log: DataFrame, *keys: str | Column, error: float = 0.01) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waymark.functions.names import normalize_user_id
+from waymark.functions.names import normalize_user_id, tags_text
 from waymark.functions.probability import bayes_from_counts
 from waymark.operators import churn, counters, facts as fact_ops, funnels, goals as goal_ops
 from waymark.operators import models, nudges, predictions
@@ -73,7 +73,7 @@ def bayes_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bayes_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P(order status | priority or segment) over orders as users."""
-    log = order_events(spark, sf_dir)
+    log = materialize(order_events(spark, sf_dir), "order-events")
     goals = materialize(goal_ops.goals_from_log(log), "goals")
     found = predictions.bayes_predictions(*counts_of(named_facts(log, goals)))
     return found.select("namespace", "goal", "event_name", rounded("bayes"))
@@ -169,6 +169,8 @@ def nudges_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = table(spark, sf_dir, "customer").select(
         F.lit("default").alias("namespace"), F.lit("purchase").alias("goal"),
         normalize_user_id(F.col("c_custkey")).alias("user_id"))
+    # Every request twice, and written: constants would turn the join into a nested loop.
+    requests = materialize(requests.unionByName(requests), "requests")
     found = nudges.nudges_for_requests(requests, _predictions(facts), facts)
     return found.select("namespace", "user_id", "goal", "event_name",
                         rounded("prediction"), "rank")
@@ -195,7 +197,7 @@ def combination_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = counters.counter_totals(fact_ops.first_writes(step_log(spark, sf_dir)))
     return counters.ranked_events(totals).select("namespace", "event_name", "counter_type",
-                                                 "count")
+                                                 "count", "rank")
 
 
 def probability_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,13 +224,23 @@ def churn_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                      "ensure_goal")
 
 
-def churn_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which events the users who stay away have in common."""
+def _churn_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = step_log(spark, sf_dir)
     churned = materialize(_churned(log), "churned")
     base = log.withColumn("ensure_goal", F.lit(False)).select(*churned.columns)
-    facts = named_facts(base.unionByName(churned), goal_ops.goals_from_log(churned))
-    found = predictions.bayes_predictions(*counts_of(facts))
+    return named_facts(base.unionByName(churned), goal_ops.goals_from_log(churned))
+
+
+def churn_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What exactly each of the users who stay away had done."""
+    prior = materialize(fact_ops.prior_events(_churn_facts(spark, sf_dir)), "prior")
+    return counters.tag_combinations(prior).select(
+        "namespace", "event_name", tags_text("tags").alias("tags"), "count")
+
+
+def churn_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which events the users who stay away have in common."""
+    found = predictions.bayes_predictions(*counts_of(_churn_facts(spark, sf_dir)))
     return found.select("namespace", "goal", "event_name", rounded("bayes"))
 
 
@@ -259,6 +271,7 @@ QUERIES = {
     "funnel_depth": funnel_depth,
     "goal_event_share": goal_event_share,
     "churn_last_seen": churn_last_seen,
+    "churn_combinations": churn_combinations,
     "churn_predictions": churn_predictions,
     "goal_model_scores": goal_model_scores,
 }

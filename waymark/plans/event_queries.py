@@ -291,8 +291,7 @@ def written_prior(marked: DataFrame) -> DataFrame:
 
 
 def _tag_counts(marked: DataFrame) -> DataFrame:
-    combos = counters.tag_combinations(written_prior(marked))
-    return counters.tag_counts(counters.counter_totals(marked), combos)
+    return counters.tag_counts(counters.counter_totals(marked), written_prior(marked))
 
 
 def tag_combination_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -411,7 +410,7 @@ def events_for_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nested(marked: DataFrame, totals: DataFrame) -> DataFrame:
     prior = written_prior(marked)
-    tags = materialize(counters.tag_counts(totals, counters.tag_combinations(prior)), "tags")
+    tags = materialize(counters.tag_counts(totals, prior), "tags")
     return counters.nested_counts(totals, tags, counters.single_tag_counts(prior))
 
 
@@ -420,12 +419,14 @@ def namespace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = lambda c: F.aggregate(
         c, F.lit(0).cast("long"), lambda acc, e: acc + e["count"])
     marked = marked_facts(spark, sf_dir)
-    return nested(marked, counters.counter_totals(marked)).select(
-        *COUNTER_KEY, "count", rounded("value_sum"),
-        "page", F.size("event_counts").alias("combinations"),
-        total("event_counts").alias("combination_users"),
-        F.size("single_event_counts").alias("single_events"),
-        total("single_event_counts").alias("single_users"))
+    parts = nested(marked, counters.counter_totals(marked))
+    return parts.groupBy(*COUNTER_KEY).agg(
+        F.max("count").alias("count"), F.max("value_sum").alias("value_sum"),
+        F.sum(F.size("event_counts")).alias("combinations"),
+        F.sum(total("event_counts")).alias("combination_users"),
+        F.sum(F.size("single_event_counts")).alias("single_events"),
+        F.sum(total("single_event_counts")).alias("single_users")).withColumn(
+        "value_sum", rounded("value_sum"))
 
 
 def count_map(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,4 +13,4 @@ def analytics_documents(nested: DataFrame) -> DataFrame:
     body = F.struct(
         "name", F.col("counter_type").alias("type"), "count", "event_counts",
         "single_event_counts", F.struct(F.col("value_sum").alias("sum")).alias("value"))
-    return named.select("namespace", "name", "page", F.to_json(body).alias("document"))
+    return named.select("namespace", "name", "part", F.to_json(body).alias("document"))
