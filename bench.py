@@ -10,12 +10,14 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from waymark.plans import REGISTERED  # noqa: E402
 from waymark.session import build_session  # noqa: E402
+from waymark.storage import remove_written  # noqa: E402
 
 HEADLINE = [
     "ingest_json_envelope", "first_writes", "unique_users_by_event", "unique_users_weekly",
@@ -34,7 +36,9 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus), **{
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "12g"})
+        "spark.driver.memory": "12g",
+        "spark.checkpoint.dir": os.environ.get("BENCH_DIR") or tempfile.mkdtemp(
+            prefix="bench-")})
     spark.sparkContext.setLogLevel("OFF")
     seconds = {}
     for name in names:
@@ -43,6 +47,7 @@ def main() -> None:
         start = time.perf_counter()
         REGISTERED[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        remove_written(spark)
     spark.stop()
     print(json.dumps({"metric": "headline queries, total", "value": round(
         sum(seconds.values()), 3), "unit": "sec", "queries": seconds,

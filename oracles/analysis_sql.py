@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.parts import (BAYES, FACTS_WITHOUT_WEEKS, MARKED, PRIOR, RATIOS,
+from oracles.parts import (BAYES, FACTS_WITHOUT_WEEKS, KEYED, MARKED, PRIOR, RATIOS,
                            SINGLES, STEP_LOG, TAG_COUNTS, TOTALS, TYPED_LOG, counted,
                            rounded, statement)
 
@@ -166,6 +166,11 @@ SELECT namespace, event_name, counter_type, count,
   CAST(row_number() OVER (PARTITION BY namespace ORDER BY count DESC, event_name, counter_type)
        AS INT) AS rank
 FROM totals"""),
+    "goal_model_scores": statement(KEYED, select="""
+SELECT DISTINCT CASE WHEN k < 50 THEN 'default' ELSE 'beta' END AS namespace,
+  CASE WHEN event_type = 'purchase' THEN 'paid: purchase' ELSE event_type END AS event_name,
+  CAST(event_type = 'purchase' AS DOUBLE) AS label, TRUE AS is_probability, TRUE AS told_apart
+FROM k_events"""),
     "churn_combinations": statement(
         STEP_LOG.replace("log AS (", "base AS ("), CHURNED, FACTS_WITHOUT_WEEKS,
         """goals AS (SELECT DISTINCT namespace, 'last-login-4-weeks' AS goal_name,

@@ -80,6 +80,11 @@ FROM orders GROUP BY 1""",
 SELECT o_orderkey AS seq, 'default' AS namespace,
   'order: ' || o_orderpriority || ',' || o_orderstatus AS event_name,
   CAST(o_custkey AS VARCHAR) AS user_id, TRUE AS ensure_goal
+FROM orders""",
+    "ingest_csv_files": """
+SELECT 'default' AS namespace, 'order: ' || o_orderpriority AS event_name,
+  CAST(o_custkey AS VARCHAR) AS user_id, FALSE AS ensure_goal,
+  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS position
 FROM orders""",
     "wide_to_events": """
 WITH wide AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey)
@@ -168,7 +173,10 @@ SELECT namespace, event_name, count(DISTINCT user_id) AS exact, TRUE AS hll_plus
 FROM log GROUP BY namespace, event_name"""),
     "bloom_membership": statement(STEP_LOG, select="""
 SELECT p.namespace, p.event_name, count(*) AS probes, count(d.user_id) AS done,
-  CAST(0 AS BIGINT) AS missed, TRUE AS few_false_hits
+  CAST(0 AS BIGINT) AS missed, TRUE AS few_false_hits,
+  CAST(greatest(1, ceil(count(*) * 1.1
+    / CASE WHEN starts_with(p.event_name, 'view') THEN 5 ELSE 8 END)) AS BIGINT) AS slices,
+  CASE WHEN starts_with(p.event_name, 'view') THEN 7 ELSE 10 END AS hashes
 FROM (SELECT DISTINCT namespace, event_name, CAST(CAST(user_id AS BIGINT) + 1 AS VARCHAR)
         AS user_id FROM log) p
 LEFT JOIN (SELECT DISTINCT namespace, event_name, user_id FROM log) d

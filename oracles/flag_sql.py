@@ -60,9 +60,9 @@ SELECT p_partkey, reason FROM (
     CASE WHEN p_size % 6 = 0 THEN 'unknown_comparator'
          WHEN p_size % 5 = 0 THEN 'condition_needs_three_terms'
          WHEN p_size % 4 <> 0 AND p_size % 3 = 0 THEN 'rollout_without_end'
-         WHEN p_size % 4 = 0 AND p_size % 3 <> 0 THEN 'Rollout start cannot be after the end'
+         WHEN p_size % 4 = 0 AND p_size % 3 <> 0 THEN 'rollout_without_start'
          WHEN p_size % 4 <> 0 AND p_size % 3 <> 0 AND p_size > 20
-           THEN 'Rollout start cannot be after the end' END AS reason
+           THEN 'rollout_ends_before_start' END AS reason
   FROM part) WHERE reason IS NOT NULL""",
     "flag_spec_upsert": """
 SELECT 'flag ' || CAST(o_custkey AS VARCHAR) AS name, o_orderkey AS seq,

@@ -159,22 +159,46 @@ def test_parts_of_a_log_merge(spark):
         assert sorted(map(str, merged.collect())) == whole
 
 
-def test_filters_never_miss_and_rarely_err(spark):
-    users = spark.range(20_000).select(F.col("id").cast("string").alias("user_id"))
-    facts = users.filter("cast(user_id as int) < 10000").select(
+def _filters(spark, kind, size, error, users=20_000):
+    everyone = spark.range(2 * users).select(F.col("id").cast("string").alias("user_id"))
+    inside = F.col("user_id").cast("int") < users
+    facts = everyone.filter(inside).select(
         F.lit("n").alias("namespace"), F.lit("e").alias("event_name"),
         F.lit("named").alias("counter_type"), "user_id")
-    probes = users.select(F.lit("n").alias("namespace"), F.lit("e").alias("event_name"),
-                          "user_id")
-    halves = [membership.build_filters(facts.filter(f"cast(user_id as int) % 2 = {i}"),
-                                       10_000, 0.01) for i in (0, 1)]
-    merged = membership.merge_filters(*halves)
-    answers = membership.probably_done(probes, merged, 10_000, 0.01)
-    inside = F.col("user_id").cast("int") < 10_000
-    row = answers.agg(F.count_if(inside & F.col("member")).alias("hits"),
-                      F.count_if(~inside & F.col("member")).alias("errors")).first()
-    assert row["hits"] == 10_000
-    assert row["errors"] < 300
+    probes = everyone.select(F.lit("n").alias("namespace"), F.lit("e").alias("event_name"),
+                             "user_id")
+    plans = membership.filter_plans(spark.createDataFrame(
+        [("n", "e", kind, size, error, users)], "namespace string, event_name string, "
+        "kind string, size long, error_probability double, count long"))
+    halves = [membership.build_filters(facts.filter(f"cast(user_id as int) % 2 = {i}"), plans)
+              for i in (0, 1)]
+    answers = membership.probably_done(probes, membership.merge_filters(*halves), plans)
+    return answers.agg(F.count_if(inside & F.col("member")).alias("hits"),
+                       F.count_if(~inside & F.col("member")).alias("errors")).first()
+
+
+def test_filters_grow_to_their_users(spark):
+    """Twenty times the capacity: no user is missed, and errors stay within the target."""
+    found = _filters(spark, "bloom_scalable", 1_000, 0.01)
+    assert found["hits"] == 20_000
+    assert found["errors"] < 0.015 * 20_000
+
+
+def test_a_filter_of_fixed_size_saturates(spark):
+    found = _filters(spark, "bloom_fixed_size", 1_000, 0.01)
+    assert found["hits"] == 20_000
+    assert found["errors"] > 19_000
+
+
+def test_a_counter_without_users_has_no_members(spark):
+    probes = spark.createDataFrame([("n", "e", "u")],
+                                   "namespace string, event_name string, user_id string")
+    plans = spark.createDataFrame(
+        [], "namespace string, event_name string, slices long, bits long, hashes int")
+    filters = spark.createDataFrame(
+        [], "namespace string, event_name string, slice long, word long, bits long")
+    assert [r["member"] for r in membership.probably_done(probes, filters, plans).collect()
+            ] == [False]
 
 
 def test_sketches_merge(spark):

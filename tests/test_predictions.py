@@ -198,9 +198,10 @@ def test_external_scores_join_and_add_goals(spark):
 def test_prediction_document(spark):
     predicted = spark.createDataFrame(
         PREDICTED[:2], "namespace string, goal string, event_name string, bayes double")
-    row = predictions.prediction_documents(predicted).first()
-    assert row["document"] == (
-        '{"events":{"feature_2":{"bayes":0.5},"foo_event":{"bayes":0.3}}}')
+    rows = predictions.prediction_documents(predicted).collect()
+    assert {r["document"] for r in rows} == {
+        '{"events":{"feature_2":{"bayes":0.5}}}', '{"events":{"foo_event":{"bayes":0.3}}}'}
+    assert len({r["part"] for r in rows}) == 2
 
 
 def test_known_values_of_the_sample(spark):

@@ -6,7 +6,6 @@ expression over the event name, so applying them costs neither a join nor a shuf
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -69,9 +68,3 @@ def setting_rejects(settings: DataFrame) -> DataFrame:
               .when(~known, F.lit("unknown_kind"))
               .when(unusable, F.lit("unusable_size_or_error")))
     return settings.withColumn("reason", reason).filter(F.col("reason").isNotNull())
-
-
-def filter_shape(size: int, error_probability: float) -> tuple[int, int]:
-    """(bits, hashes) of a Bloom filter for a capacity and an error probability."""
-    bits = math.ceil(-size * math.log(error_probability) / math.log(2) ** 2)
-    return bits, max(1, round(bits / size * math.log(2)))

@@ -1,13 +1,23 @@
-"""Has a user done an event? Exactly, or through a Bloom filter kept as rows."""
+"""Has a user done an event? Exactly, or through Bloom filters kept as rows.
+
+A filter is a list of slices, each an ordinary Bloom filter of one capacity. A user belongs to
+the slice given by a hash, so every slice gets its share of the users whatever the order they
+come in, and a filter grows by having more slices. How many it has follows from the counter's
+settings and its number of users: a scalable filter has as many as its users need, a filter of
+fixed size has one and errs more when it is overfull.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from waymark.operators.cohorts import DEFAULT_ERROR, DEFAULT_SIZE, filter_shape
+from waymark.operators.cohorts import FIXED_SIZE
 from waymark.schemas import NAMED
 
 PROBE = ["namespace", "event_name", "user_id"]
+COUNTER = ["namespace", "event_name"]
 
 
 def users_with_event(probes: DataFrame, facts: DataFrame) -> DataFrame:
@@ -16,42 +26,70 @@ def users_with_event(probes: DataFrame, facts: DataFrame) -> DataFrame:
     return probes.join(done, PROBE, "left_semi")
 
 
-def _bits(size: int, error: float) -> Column:
-    """Bit positions of a user: one 64-bit hash per hash function, modulo the filter."""
-    bits, hashes = filter_shape(size, error)
-    return F.array(*[F.pmod(F.xxhash64("user_id", F.lit(i)), F.lit(bits))
-                     for i in range(hashes)])
+def filter_plans(counted: DataFrame) -> DataFrame:
+    """``(namespace, event_name, slices, bits, hashes)`` per counter, from its settings
+    (``kind, size, error_probability``) and its measured ``count``.
+
+    A slice is filled to its capacity on average; hashing spreads users unevenly by a few per
+    cent, so a tenth of the capacity is kept free.
+    """
+    capacity = F.greatest(F.col("size"), F.lit(1))
+    bits = F.ceil(-capacity * F.log("error_probability") / math.log(2) ** 2)
+    grown = F.greatest(F.lit(1), F.ceil(F.col("count") * 1.1 / capacity))
+    return counted.select(
+        *COUNTER,
+        F.when(F.col("kind") == FIXED_SIZE, F.lit(1)).otherwise(grown).cast("long")
+        .alias("slices"),
+        bits.cast("long").alias("bits"),
+        F.greatest(F.lit(1), F.round(bits / capacity * math.log(2))).cast("int")
+        .alias("hashes"))
+
+
+def _place() -> tuple[Column, Column]:
+    """The slice of a user, and its bit positions there: one hash per position."""
+    chosen = F.pmod(F.xxhash64("user_id"), F.col("slices"))
+    positions = F.transform(
+        F.sequence(F.lit(1), F.col("hashes")),
+        lambda i: F.pmod(F.xxhash64("user_id", i), F.col("bits")))
+    return chosen, positions
+
+
+def _bit(position: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (position % 64).cast("int"))
 
 
-def build_filters(facts: DataFrame, size: int = DEFAULT_SIZE,
-                  error: float = DEFAULT_ERROR) -> DataFrame:
-    """One Bloom filter per named counter, as words of 64 bits.
+def build_filters(facts: DataFrame, plans: DataFrame) -> DataFrame:
+    """The filters of all named counters, as words of 64 bits.
 
     Words of one filter are spread over tasks, so even the counter that holds a third of
     all users is built in parallel; OR-ing words is associative and combines map-side.
     """
+    chosen, positions = _place()
     position = F.col("position")
-    return (facts.filter(F.col("counter_type") == NAMED)
-            .select("namespace", "event_name", F.explode(_bits(size, error)).alias("position"))
-            .groupBy("namespace", "event_name", (position / 64).cast("long").alias("word"))
-            .agg(F.bit_or(F.call_function(
-                "shiftleft", F.lit(1).cast("long"), (position % 64).cast("int")))
-                .alias("bits")))
+    users = facts.filter(F.col("counter_type") == NAMED).select(*PROBE)
+    return (users.join(plans, COUNTER)
+            .select(*COUNTER, chosen.alias("slice"), F.explode(positions).alias("position"))
+            .groupBy(*COUNTER, "slice", (position / 64).cast("long").alias("word"))
+            .agg(F.bit_or(_bit(position)).alias("bits")))
 
 
 def merge_filters(left: DataFrame, right: DataFrame) -> DataFrame:
-    return (left.unionByName(right).groupBy("namespace", "event_name", "word")
+    """The union of filters with the same plans."""
+    return (left.unionByName(right).groupBy(*COUNTER, "slice", "word")
             .agg(F.bit_or("bits").alias("bits")))
 
 
-def probably_done(probes: DataFrame, filters: DataFrame, size: int = DEFAULT_SIZE,
-                  error: float = DEFAULT_ERROR) -> DataFrame:
-    """Probes (distinct rows) with ``member``: never false for a user who did the event."""
+def probably_done(probes: DataFrame, filters: DataFrame, plans: DataFrame) -> DataFrame:
+    """Probes (distinct rows) with ``member``: never false for a user who did the event.
+
+    A counter without a plan has no users.
+    """
+    chosen, positions = _place()
     position = F.col("position")
-    asked = (probes.select(*PROBE, F.explode(_bits(size, error)).alias("position"))
+    asked = (probes.join(plans, COUNTER, "left")
+             .select(*PROBE, chosen.alias("slice"), F.explode_outer(positions).alias("position"))
              .withColumn("word", (position / 64).cast("long"))
-             .withColumn("bit", F.call_function(
-                 "shiftleft", F.lit(1).cast("long"), (position % 64).cast("int"))))
-    found = asked.join(filters, ["namespace", "event_name", "word"], "left")
+             .withColumn("bit", _bit(position)))
+    found = asked.join(filters, [*COUNTER, "slice", "word"], "left")
     set_bit = F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))
     return found.groupBy(*PROBE).agg(F.bool_and(set_bit).alias("member"))

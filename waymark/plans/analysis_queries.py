@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from waymark.functions.names import normalize_user_id, tags_text
 from waymark.functions.probability import bayes_from_counts
@@ -247,7 +247,13 @@ def churn_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def goal_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("event_type") == "purchase", F.lit("paid: purchase")).otherwise(
         F.col("event_type"))
-    return models.goal_model_scores(log_columns(table(spark, sf_dir, "events"), name))
+    scores = models.goal_model_scores(log_columns(table(spark, sf_dir, "events"), name))
+    names = Window.partitionBy("namespace")  # a row per event name
+    goal, score = F.col("label") == 1, F.col("goal_probability")
+    return scores.select(
+        "namespace", "event_name", "label", score.between(0, 1).alias("is_probability"),
+        F.when(goal, score > F.max(F.when(~goal, score)).over(names))
+        .otherwise(score < F.min(F.when(goal, score)).over(names)).alias("told_apart"))
 
 
 QUERIES = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from waymark.functions.dates import iso_week, iso_year
 from waymark.functions.names import normalize_user_id, tags_text
@@ -12,10 +12,10 @@ from waymark.plans.inputs import (WEEKLY_RULES, event_k, goal_table, step_log, t
                                   typed_log)
 from waymark.schemas import COUNTER_KEY, INTERNAL, NAMED, WEEKLY
 from waymark.sources import (accepted_events, events_from_lines, parse_flag_requests,
-                             parse_flag_specs, parse_requests, rejected_requests,
-                             usage_events, wide_to_events)
+                             parse_flag_specs, parse_requests, read_event_files,
+                             rejected_requests, usage_events, wide_to_events)
 from waymark.sources.wide import Pass
-from waymark.storage import materialize
+from waymark.storage import materialize, new_path
 
 DIGITS = 6
 
@@ -144,6 +144,18 @@ def ingest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
         "seq", "namespace", "event_name", "user_id", "ensure_goal")
 
 
+def ingest_csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines written as text files by order key and read back in their order."""
+    path = new_path(spark, "lines")
+    line = F.concat_ws(",", F.col("o_custkey").cast("string"), F.col("o_orderpriority"))
+    (table(spark, sf_dir, "orders").repartitionByRange(4, "o_orderkey")
+     .sortWithinPartitions("o_orderkey").select(line.alias("value")).write.text(path))
+    arrival = Window.partitionBy("user_id").orderBy("seq")
+    return read_event_files(spark, path, event_prefix="order: ").select(
+        "namespace", "event_name", "user_id", "ensure_goal",
+        F.row_number().over(arrival).alias("position"))
+
+
 ORDER_PASSES = (Pass("o_orderpriority", "priority:"), Pass("c_mktsegment", "segment:"),
                 Pass("o_orderstatus", "status:", goal=True))
 
@@ -358,13 +370,20 @@ def approx_unique_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Did the next user do the same event? Asked of the filters and answered exactly."""
+    """Did the next user do the same event? Asked of the filters and answered exactly.
+
+    The rules give far too small sizes, so that the filters have to grow.
+    """
     named = materialize(fact_ops.named_first_writes(step_log(spark, sf_dir)), "facts")
-    size, error = 20_000, 0.001
+    rules = (cohorts.CohortRule("^view", size=5, error_probability=0.01),
+             cohorts.CohortRule(".*", size=8, error_probability=0.001))
+    counted = counters.counter_totals(named).select("namespace", "event_name", "count")
+    plans = materialize(membership.filter_plans(
+        cohorts.with_counter_settings(counted, rules)), "filter-plans")
     next_user = (F.col("user_id").cast("long") + 1).cast("string")
     probes = named.withColumn("user_id", next_user).select(*membership.PROBE)
     answers = membership.probably_done(
-        probes, membership.build_filters(named, size, error), size, error)
+        probes, membership.build_filters(named, plans), plans)
     exact = membership.users_with_event(probes, named).withColumn("done", F.lit(True))
     done = F.coalesce("done", F.lit(False))
     return (answers.join(exact, membership.PROBE, "left")
@@ -372,8 +391,11 @@ def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.count("*").alias("probes"),
                  F.count_if(done).alias("done"),
                  F.count_if(done & ~F.col("member")).alias("missed"),
-                 (F.count_if(~done & F.col("member")) <= 0.01 * F.count("*"))
-                 .alias("few_false_hits")))
+                 F.count_if(~done & F.col("member")).alias("false_hits"))
+            .join(plans.select("namespace", "event_name", "slices", "hashes"),
+                  ["namespace", "event_name"])
+            .withColumn("few_false_hits",
+                        F.col("false_hits") <= 5 + 0.05 * F.col("probes")).drop("false_hits"))
 
 
 def sketch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -502,6 +524,7 @@ QUERIES = {
     "normalize_user_id": normalized_user_ids,
     "iso_week_bucket": iso_week_bucket,
     "ingest_csv": ingest_csv,
+    "ingest_csv_files": ingest_csv_files,
     "wide_to_events": wide_events,
     "usage_events_from_requests": usage_events_from_requests,
     "parse_feature_specs": parse_specs,

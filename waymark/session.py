@@ -15,6 +15,7 @@ SQL_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+STATE_PARTITIONS = "waymark.state.partitions"
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 )
@@ -37,13 +38,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def streaming_session(spark: SparkSession) -> SparkSession:
     """A sibling session for stateful streams; the caller's settings stay untouched.
 
-    State partitions are fixed for the life of a checkpoint, so they follow the core count
-    rather than a batch default. RocksDB keeps state on disk instead of the executor heap.
+    State partitions are fixed for the life of a checkpoint. ``waymark.state.partitions``
+    sets their number; choose it for the largest cluster the stream shall grow to. Without
+    the setting they follow the core count of the first start. RocksDB keeps state on disk
+    instead of the executor heap.
     """
     sibling = spark.newSession()
     for key, value in SQL_SETTINGS.items():
         sibling.conf.set(key, value)
-    sibling.conf.set("spark.sql.shuffle.partitions",
-                     str(max(1, spark.sparkContext.defaultParallelism)))
+    partitions = spark.conf.get(STATE_PARTITIONS, None) or spark.sparkContext.defaultParallelism
+    sibling.conf.set("spark.sql.shuffle.partitions", str(max(1, int(partitions))))
     sibling.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     return sibling
