@@ -26,10 +26,12 @@ def specs_of(spark, **specs):
 
 
 def decide(spark, user, **specs):
-    users = spark.createDataFrame([(json.dumps(user),)], "j string").select(
-        F.parse_json("j").alias("user"))
-    row = flags.flags_for_users(users, specs_of(spark, **specs), F.lit(NOW), F.lit(0.5)).first()
-    return row["flags"]
+    users = spark.createDataFrame([(1, json.dumps(user))], "id int, j string").select(
+        "id", F.parse_json("j").alias("user"))
+    rows = flags.flags_for_users(users, specs_of(spark, **specs), F.lit(NOW), F.lit(0.5),
+                                 "id").collect()
+    assert len(rows) == len(specs)
+    return {r["name"]: r["enabled"] for r in rows}
 
 
 def test_boolean_and_rollout(spark):
@@ -81,11 +83,21 @@ def test_condition_comes_before_rollout(spark):
 
 
 def test_no_specs_give_no_flags(spark):
-    users = spark.createDataFrame([("{}",)], "j string").select(
-        F.parse_json("j").alias("user"))
-    row = flags.flags_for_users(users, spark.createDataFrame([], FLAG_SPECS), F.lit(NOW),
-                                F.lit(0.5)).first()
-    assert row["flags"] == {}
+    users = spark.createDataFrame([(1, "{}")], "id int, j string").select(
+        "id", F.parse_json("j").alias("user"))
+    found = flags.flags_for_users(users, spark.createDataFrame([], FLAG_SPECS), F.lit(NOW),
+                                  F.lit(0.5), "id")
+    assert found.collect() == []
+
+
+def test_a_long_allow_list_is_looked_up(spark):
+    """100,000 members in one condition: members are rows, each user meets one of them."""
+    specs = specs_of(spark, f=(False, None, None, [("user_id", "in", list(range(100_000)))]))
+    users = spark.range(99_990, 100_010).select("id", F.parse_json(F.concat(
+        F.lit('{"user_id": '), F.col("id").cast("string"), F.lit("}"))).alias("user"))
+    rows = flags.flags_for_users(users, specs, F.lit(NOW), F.lit(0.5), "id").collect()
+    assert {r["id"]: r["enabled"] for r in rows} == {
+        i: i < 100_000 for i in range(99_990, 100_010)}
 
 
 def test_exposure_grows_evenly(spark):

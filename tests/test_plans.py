@@ -82,15 +82,18 @@ def test_user_predictions_are_aggregated_where_they_arise(spark):
         "ratios")
     facts = materialize(first_writes(typed_log(spark, SF_DIR)), "facts")
     text = plan(predictions.naive_bayes_users(facts, ratios))
+    # One exchange, by user and goal, of products that each task has combined before.
     assert len(re.findall(r"(?<!Broadcast)Exchange hash", text)) == 1
+    assert "partial_product" in text
 
 
-def test_flags_need_neither_join_nor_shuffle(spark):
+def test_flag_conditions_are_joined_by_value(spark):
     users = flag_queries.customers(spark, SF_DIR)
     specs = flag_queries.nation_specs(spark, SF_DIR)
-    text = plan(flags.flags_for_users(users, specs, flag_queries.now(), flag_queries.rand()))
-    assert "Join" not in text
-    assert text.count("Exchange") == text.count("Exchange SinglePartition")
+    text = plan(flags.flags_for_users(users, specs, flag_queries.now(), flag_queries.rand(),
+                                      "c_custkey"))
+    assert "ScalarSubquery" not in text and "collect_list" not in text
+    assert re.search(r"HashJoin \[[^\]]*property[^\]]*value", text)
 
 
 def test_requests_are_parsed_once(spark):

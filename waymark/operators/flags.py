@@ -69,33 +69,51 @@ def flag_value(spec: Column, user: Column, now: Column, rand: Column) -> Column:
             | rollout_on(spec["rollout_start"], spec["rollout_end"], now, rand))
 
 
-def flags_for_users(users: DataFrame, specs: DataFrame, now: Column, rand: Column,
+def condition_rows(specs: DataFrame) -> DataFrame:
+    """``(name, property, comparator, value)``: what a user's property has to be. Every member
+    of an allow-list is a row, so a long list is looked up like a table."""
+    conditions = specs.select("name", F.explode("user").alias("c"))
+    equal = conditions.filter(F.col("c.comparator") == EQUALS).select(
+        "name", F.col("c.property").alias("property"), F.lit(EQUALS).alias("comparator"),
+        equality_key(F.col("c.value")).alias("value"))
+    listed = conditions.filter(F.col("c.comparator") == MEMBER_OF).select(
+        "name", F.col("c.property").alias("property"),
+        F.explode(F.try_variant_get("c.value", "$", "array<variant>")).alias("item"))
+    members = listed.select("name", "property", F.lit(MEMBER_OF).alias("comparator"),
+                            member_key(F.col("item")).alias("value"))
+    return equal.unionByName(members).distinct()
+
+
+def property_rows(users: DataFrame, key: str, user: str = "user") -> DataFrame:
+    """``(key, property, comparator, value)``: every property of a user in both ways of
+    comparing."""
+    properties = users.select(key, F.explode(
+        F.try_variant_get(F.col(user), "$", "map<string,variant>")).alias("property", "v"))
+    both = F.array(
+        F.struct(F.lit(EQUALS).alias("comparator"), equality_key(F.col("v")).alias("value")),
+        F.struct(F.lit(MEMBER_OF).alias("comparator"), member_key(F.col("v")).alias("value")))
+    return properties.select(key, "property", F.explode(both).alias("b")).select(
+        key, "property", "b.*")
+
+
+def flags_for_users(users: DataFrame, specs: DataFrame, now: Column, rand: Column, key: str,
                     user: str = "user") -> DataFrame:
-    """Adds ``flags``: every flag's value for each user, as a map by flag name.
+    """``(key, name, enabled)``: every flag's value for each user; ``key`` names users.
 
-    The specs are settings. They enter the plan as one value computed by a scalar
-    subquery, so all users are evaluated in a single pass without a join or a shuffle.
-    Comparison keys are made once per spec and once per user; deciding a flag compares
-    ready texts.
+    Specs stay rows. Conditions meet the users' properties by an equi-join on property and
+    value, which adaptive execution broadcasts or splits by its size. Only the names and
+    rollout bounds are paired with all users, since user times flag is the result.
     """
-    fields = ["name", "boolean", "rollout_start", "rollout_end", "user"]
-    all_specs = specs.agg(F.collect_list(keyed_spec(F.struct(*fields)))).scalar()
-
-    def decide(keys: Column) -> Column:
-        return F.map_from_entries(F.transform("_specs", lambda s: F.struct(
-            s["name"], flag_value(s, keys, now, rand))))
-
-    return (users.withColumn("_specs", all_specs)
-            .withColumn("flags", let(user_keys(F.col(user)), decide))
-            .drop("_specs"))
-
-
-def flag_rows(evaluated: DataFrame, *keys: str) -> DataFrame:
-    """The flag map as rows ``name, enabled``."""
-    # The outer form is not preceded by a test for emptiness, which would decide all flags
-    # a second time.
-    return (evaluated.select(*keys, F.explode_outer("flags").alias("name", "enabled"))
-            .filter(F.col("name").isNotNull()))
+    lookup = ["property", "comparator", "value"]
+    matched = (property_rows(users, key, user).join(condition_rows(specs), lookup)
+               .select(key, "name").distinct().withColumn("_matched", F.lit(True)))
+    bounds = specs.select("name", "boolean", "rollout_start", "rollout_end")
+    paired = users.select(key, rand.alias("_rand")).crossJoin(bounds)
+    decided = paired.join(matched, [key, "name"], "left")
+    return decided.select(key, "name", (
+        F.coalesce("boolean", F.lit(False)) | F.coalesce("_matched", F.lit(False))
+        | rollout_on(F.col("rollout_start"), F.col("rollout_end"), now, F.col("_rand")))
+        .alias("enabled"))
 
 
 def rollout_exposure(specs: DataFrame, step_seconds: int) -> DataFrame:

@@ -122,9 +122,8 @@ def flag_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flags_for_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evaluated = flags.flags_for_users(customers(spark, sf_dir), nation_specs(spark, sf_dir),
-                                      now(), rand())
-    return flags.flag_rows(evaluated, "c_custkey")
+    return flags.flags_for_users(customers(spark, sf_dir), nation_specs(spark, sf_dir),
+                                 now(), rand(), "c_custkey")
 
 
 def flag_spec_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import types as T
 
 from waymark.functions.names import tags_text
 from waymark.operators import counters, predictions
-from waymark.operators.flags import flag_rows
 from waymark.plans.event_queries import rounded
 from waymark.plans.flag_queries import nation_specs, now, rand, user_object
 from waymark.plans.inputs import (EVENTS, WEEKLY_RULES, goal_table, log_columns,
@@ -152,12 +151,13 @@ def stream_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(session, sf_dir, "customer").schema
     users = (session.readStream.schema(schema).option("pathGlobFilter", "customer.parquet")
              .parquet(sf_dir).withColumn("user", user_object()))
-    handler = FlagStream(lambda s: nation_specs(s, sf_dir), f"{base}/out", now(), rand())
+    handler = FlagStream(lambda s: nation_specs(s, sf_dir), f"{base}/out", now(), rand(),
+                         "c_custkey")
     run_available(users.writeStream.foreachBatch(handler)
                   .option("checkpointLocation", f"{base}/state"))
-    written = T.StructType([*schema.fields, T.StructField(
-        "flags", T.MapType(T.StringType(), T.BooleanType()))])
-    return flag_rows(read_batches(spark, f"{base}/out", written), "c_custkey")
+    written = T.StructType([schema["c_custkey"], T.StructField("name", T.StringType()),
+                            T.StructField("enabled", T.BooleanType())])
+    return read_batches(spark, f"{base}/out", written).select("c_custkey", "name", "enabled")
 
 
 QUERIES = {

@@ -57,10 +57,11 @@ class FlagStream:
     """Flags for a stream of users; the specs are read anew for every micro-batch."""
 
     def __init__(self, read_specs: Callable[[SparkSession], DataFrame], path: str,
-                 now: Column, rand: Column) -> None:
+                 now: Column, rand: Column, key: str) -> None:
         self.read_specs, self.path, self.now, self.rand = read_specs, path, now, rand
+        self.key = key
 
     def __call__(self, users: DataFrame, batch_id: int) -> None:
         specs = self.read_specs(users.sparkSession)
-        flags_for_users(users, specs, self.now, self.rand).drop("user").write.mode(
+        flags_for_users(users, specs, self.now, self.rand, self.key).write.mode(
             "overwrite").parquet(f"{self.path}/batch_id={batch_id}")
