@@ -171,7 +171,8 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("node")).alias("members")).where(F.col("n") > 1)
     kept = counted.groupBy("n", "first", "members").agg(F.min("key").alias("kept")).select(
         "kept", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    return keyed.join(kept, F.col("key") == F.col("kept")).select("key", "blocks", "node")
+    return keyed.join(kept.hint("merge"), F.col("key") == F.col("kept")).select(
+        "key", "blocks", "node")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, by_line: bool) -> DataFrame:
@@ -181,7 +182,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, by_line: bool) -> DataFrame
     text = text_or_empty()
     texts = docs.select(F.col("doc_id").alias("_id"), text.alias("text"),
                         F.xxhash64(text).alias("_hash"))
-    found = texts.join(pointers, (F.col("_hash") == F.col("text_hash"))
+    # Both sides grow with the corpus: the join is by shuffle at every size.
+    found = texts.join(pointers.hint("merge"), (F.col("_hash") == F.col("text_hash"))
                        & F.col("_id").eqNullSafe(F.col("doc_id")))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,7 +291,8 @@ def links(docs: DataFrame, nodes: DataFrame, by_line: bool, similarity: float) -
     units = shared.select("key", "node", own.alias("block"), other.alias("other")).select(
         "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         "block", "node")
-    rows = (units.join(wanted.select("node", "copies", "keys"), "node").join(sets, "node")
+    rows = (units.join(wanted.select("node", "copies", "keys").hint("merge"), "node")
+            .join(sets.hint("merge"), "node")
             .select(*(part.split(" ")[0] for part in _UNIT.split(", "))))
     dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     found = dealt.mapInPandas(
