@@ -64,6 +64,6 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
             .withColumnRenamed("class_id", "_kept_id"))
     text = F.xxhash64(text_or_empty())
     chosen = docs.withColumn("_hash", text).join(
-        kept, (F.col("_hash") == F.col("_kept_hash"))
+        kept.hint("merge"), (F.col("_hash") == F.col("_kept_hash"))
         & F.col("doc_id").eqNullSafe(F.col("_kept_id")))
     return chosen.dropDuplicates(["_hash", "_kept_id"]).select(*docs.columns)

@@ -61,7 +61,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of")).agg(
         F.sort_array(F.collect_set("paragraph")).alias("_gone"))  # lines of one document
     keyed = docs.withColumn("_hash", F.xxhash64(text_or_empty()))
-    joined = keyed.join(removed, (F.col("_hash") == F.col("_of"))
+    joined = keyed.join(removed.hint("merge"), (F.col("_hash") == F.col("_of"))
                         & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
 
     @F.pandas_udf("string")

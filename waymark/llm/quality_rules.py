@@ -275,5 +275,5 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     # Equal texts of a language and source are judged alike, whatever their ids.
     keyed = docs.withColumn("_own", F.xxhash64(text_or_empty())).withColumn(
         "_key", group_key(F.col("lang"), F.col("source")))
-    return keyed.join(rejected, (F.col("_own") == F.col("_hash"))
+    return keyed.join(rejected.hint("merge"), (F.col("_own") == F.col("_hash"))
                       & (F.col("_key") == F.col("_group")), "left_anti").select(*docs.columns)

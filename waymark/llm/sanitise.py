@@ -212,7 +212,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
         return pd.Series([t if s is None else replace_spans(t, s, w) for t, s, w in zip(
             texts, spans, terms)], dtype=object)
 
-    joined = docs.join(marked, F.xxhash64(text_or_empty()) == F.col("_hash"), "left")
+    joined = docs.join(marked.hint("merge"), F.xxhash64(text_or_empty()) == F.col("_hash"), "left")
     return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
         cleaned("text", "_spans", "_terms"))).select(*docs.columns)
 
