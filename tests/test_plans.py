@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import goals_of
 from waymark.operators import flags, nudges, predictions
+from waymark.operators.counters import counter_totals, single_tag_counts
 from waymark.operators.facts import first_writes, prior_events
 from waymark.operators.goals import mark_goals
 from waymark.plans import event_queries, flag_queries
@@ -64,27 +65,39 @@ def test_nothing_forces_a_broadcast(spark):
     predicted = session.createDataFrame(
         [("default", "purchase", "view", .5)],
         "namespace string, goal string, event_name string, bayes double")
-    ratios = session.createDataFrame(
-        [("default", "purchase", "view", .5, .5)],
-        "namespace string, goal string, event_name string, yes_ratio double, no_ratio double")
+    evidence = predictions.evidence_of(counter_totals(facts),
+                                       single_tag_counts(prior_events(facts)))
     for df in (prior_events(facts), mark_goals(facts.drop("is_goal"), goal_table(session)),
-               predictions.naive_bayes_users(facts, ratios),
+               predictions.naive_bayes_users(facts, evidence),
                nudges.nudges_for_all_users(facts, predicted)):
         text = plan(df)
         assert "Broadcast" not in text and "Cartesian" not in text
         assert "SortMergeJoin" in text or "ShuffledHashJoin" in text
 
 
-def test_user_predictions_are_aggregated_where_they_arise(spark):
-    ratios = materialize(spark.createDataFrame(
-        [("default", "purchase", "view", .5, .5)],
-        "namespace string, goal string, event_name string, yes_ratio double, no_ratio double"),
-        "ratios")
-    facts = materialize(first_writes(typed_log(spark, SF_DIR)), "facts")
-    text = plan(predictions.naive_bayes_users(facts, ratios))
-    # One exchange, by user and goal, of products that each task has combined before.
-    assert len(re.findall(r"(?<!Broadcast)Exchange hash", text)) == 1
-    assert "partial_product" in text
+def test_user_predictions_meet_only_events_seen_together(spark):
+    """No pair of goal and event is made that nobody has done; products are combined first."""
+    facts = materialize(mark_goals(first_writes(typed_log(spark, SF_DIR)), goal_table(spark)),
+                        "facts")
+    totals, singles = counter_totals(facts), single_tag_counts(prior_events(facts))
+    evidence = predictions.evidence_of(totals, singles)
+    assert evidence.pairs.count() == singles.filter("counter_type = 'named'").count()
+    assert "partial_product" in plan(predictions.naive_bayes_users(facts, evidence))
+
+
+def test_a_user_with_a_large_vocabulary(spark):
+    """One user with 100,000 names: the names are spread, the result is one row."""
+    names = spark.range(100_000).select(
+        F.lit("n").alias("namespace"), F.concat(F.lit("e"), "id").alias("event_name"),
+        F.lit("named").alias("counter_type"), F.lit(1).cast("long").alias("count"))
+    goal = spark.createDataFrame([("n", "g", "named", 2)], names.schema)
+    pairs = spark.createDataFrame([("n", "g", "named", "e7", 1)],
+                                  "namespace string, event_name string, counter_type string, "
+                                  "tag string, count long")
+    facts = names.withColumn("user_id", F.lit("u"))
+    row = predictions.naive_bayes_users(facts, predictions.evidence_of(
+        names.union(goal), pairs)).collect()
+    assert [(r["goal"], r["yes"], r["no"]) for r in row] == [("g", 0.0, 0.0)]
 
 
 def test_flag_conditions_are_joined_by_value(spark):

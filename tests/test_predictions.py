@@ -27,7 +27,7 @@ def ask(spark, totals, singles, *event_lists, namespace="default"):
     requests = spark.createDataFrame(
         [(i, namespace, list(events)) for i, events in enumerate(event_lists)], REQUEST_TYPE)
     rows = predictions.naive_bayes_events(
-        requests, predictions.evidence_ratios(totals, singles)).collect()
+        requests, predictions.evidence_of(totals, singles)).collect()
     return {(r["request_id"], r["goal"]): (r["yes"], r["no"], r["likelihood"], r["note"])
             for r in rows}
 
@@ -116,9 +116,9 @@ def test_user_predictions_equal_asking_for_the_users_events(spark):
     facts = mark_goals(first_writes(log_of(spark, events)),
                        goals_of(spark, ("default", "g"), ("default", "h"))).cache()
     totals, singles = counter_totals(facts), single_tag_counts(prior_events(facts))
-    ratios = predictions.evidence_ratios(totals, singles)
+    evidence = predictions.evidence_of(totals, singles)
     bulk = {(r["user_id"], r["goal"]): tuple(r)[3:] for r in
-            predictions.naive_bayes_users(facts, ratios).collect()}
+            predictions.naive_bayes_users(facts, evidence).collect()}
     done = {"1": ["a", "b", "g"], "2": ["a", "g"], "3": ["a", "b"], "4": ["b", "h"], "5": ["c"]}
     users = sorted(done)
     single = ask(spark, totals, singles, *[done[u] for u in users])

@@ -23,10 +23,5 @@ def yes_ratio(goal_tag: Column, goal: Column) -> Column:
     return F.try_divide(goal_tag, goal)
 
 
-def no_ratio(goal_tag: Column, goal: Column, tag: Column) -> Column:
-    """Users of the event outside the goal, relative to the goal's own count."""
-    return F.try_divide(tag - goal_tag, goal)
-
-
 def likelihood(yes: Column, no: Column) -> Column:
     return yes / F.greatest(no, F.lit(LIKELIHOOD_FLOOR))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from waymark.functions.probability import (bayes_from_counts, likelihood, no_ratio,
-                                           yes_ratio)
+from waymark.functions.probability import bayes_from_counts, likelihood, yes_ratio
 from waymark.operators.counters import part_of
 from waymark.schemas import INTERNAL, NAMED, WEEKLY
 
@@ -66,30 +67,63 @@ def bayes_predictions_weekly(totals: DataFrame, singles: DataFrame) -> DataFrame
     return _bayes(goal_tags, totals).select(*key, "event_name", "bayes")
 
 
-def evidence_ratios(totals: DataFrame, singles: DataFrame) -> DataFrame:
-    """Naive Bayes factors of every known event for every goal of its namespace.
+@dataclass(frozen=True)
+class Evidence:
+    """What naive Bayes needs, without a table of all goals and all events.
 
-    One row per goal and event name: its size follows the registered names, not the users.
-    Write it out before joining it to users or requests, so that the join is chosen from
-    its real size.
+    ``events``: count of every known event. ``goals``: count of every goal with evidence.
+    ``pairs``: factors of the goals and events that were seen together. Of any other pair
+    the factors follow from the two counts: yes is 0, no is the quotient of the counts.
     """
-    seen = (singles.filter(F.col("counter_type") == NAMED)
-            .select("namespace", F.col("event_name").alias("goal"),
-                    F.col("tag").alias("event_name"),
-                    F.col("count").alias("goal_event_count")))
-    goal_events = (goals_with_evidence(totals, singles)
-                   .join(_named(totals, "event_name", "event_count"), "namespace")
-                   .join(seen, ["namespace", "goal", "event_name"], "left"))
-    hits = F.coalesce("goal_event_count", F.lit(0))
-    return goal_events.select(
-        "namespace", "goal", "event_name",
-        yes_ratio(hits, F.col("goal_count")).alias("yes_ratio"),
-        no_ratio(hits, F.col("goal_count"), F.col("event_count")).alias("no_ratio"))
 
+    events: DataFrame
+    goals: DataFrame
+    pairs: DataFrame
 
-def _products() -> list[Column]:
-    return [F.product("yes_ratio").alias("_yes"), F.product("no_ratio").alias("_no"),
-            F.bool_or(F.col("event_name") == F.col("goal")).alias("_included")]
+
+def evidence_of(totals: DataFrame, singles: DataFrame) -> Evidence:
+    events = _named(totals, "event_name", "event_count")
+    goals = goals_with_evidence(totals, singles)
+    seen = (singles.filter(F.col("counter_type") == NAMED)
+            .select("namespace", F.col("event_name").alias("goal"),
+                    F.col("tag").alias("event_name"), F.col("count").alias("hits")))
+    hits = F.col("hits")
+    pairs = (seen.join(goals, ["namespace", "goal"]).join(events, ["namespace", "event_name"])
+             .select("namespace", "goal", "event_name",
+                     yes_ratio(hits, F.col("goal_count")).alias("yes_ratio"),
+                     # what remains of the quotient of counts in the no factor
+                     F.try_divide(F.col("event_count") - hits, F.col("event_count"))
+                     .alias("no_share")))
+    return Evidence(events, goals, pairs)
+
+
+def _combined(asked: DataFrame, key: list[str], evidence: Evidence) -> DataFrame:
+    """Products of the factors of all asked ``(key, namespace, event_name)`` per goal, with
+    ``_yes, _no, _included, _unknown``.
+
+    Asked events meet known events and seen pairs by name, so neither goals nor the names of
+    a hot user gather in one place; sums and products are combined before they move. Keys
+    and goals of a namespace are paired last, one row for each of the results.
+    """
+    named = ["namespace", "event_name"]
+    known = asked.join(evidence.events, named, "left")
+    whole = known.groupBy(*key).agg(
+        F.count("*").alias("_asked"), F.sum(F.log("event_count")).alias("_log_counts"),
+        F.bool_or(F.col("event_count").isNull()).alias("_unknown"))
+    seen = (asked.join(evidence.pairs, named).groupBy(*key, "goal").agg(
+        F.count("*").alias("_seen"), F.product("yes_ratio").alias("_yes_seen"),
+        F.product("no_share").alias("_share")))
+    goal_names = evidence.goals.select("namespace", "goal", F.col("goal").alias("event_name"))
+    included = (asked.join(goal_names, named).select(*key, "goal").distinct()
+                .withColumn("_is_included", F.lit(True)))
+    every = whole.join(evidence.goals, "namespace")
+    paired = every.join(seen, [*key, "goal"], "left").join(included, [*key, "goal"], "left")
+    quotients = F.exp(F.col("_log_counts") - F.col("_asked") * F.log("goal_count"))
+    return paired.select(
+        *key, "goal", "_unknown", F.coalesce("_is_included", F.lit(False)).alias("_included"),
+        F.when(F.col("_seen") == F.col("_asked"), F.col("_yes_seen")).otherwise(0.0)
+        .alias("_yes"),
+        (quotients * F.coalesce("_share", F.lit(1.0))).alias("_no"))
 
 
 def _numbers_or_note(combined: DataFrame, *keys: str) -> DataFrame:
@@ -111,7 +145,7 @@ def unknown_events(requests: DataFrame, totals: DataFrame) -> DataFrame:
                       "left_anti")
 
 
-def naive_bayes_events(requests: DataFrame, ratios: DataFrame) -> DataFrame:
+def naive_bayes_events(requests: DataFrame, evidence: Evidence) -> DataFrame:
     """yes / no / likelihood of every goal for each request's events.
 
     An event listed twice multiplies twice; an empty list gives no rows. A request fails
@@ -119,14 +153,8 @@ def naive_bayes_events(requests: DataFrame, ratios: DataFrame) -> DataFrame:
     all its rows carry the error as ``note``.
     """
     key = ["request_id", "namespace"]
-    # One partitioning by request serves the products and the check of the whole request.
-    asked = (requests.select(*key, F.explode("events").alias("event_name"))
-             .repartition(*key))
-    goals = ratios.select("namespace", "goal").distinct()
-    factors = (asked.join(goals, "namespace")
-               .join(ratios, ["namespace", "goal", "event_name"], "left"))
-    combined = factors.groupBy(*key, "goal").agg(
-        *_products(), F.bool_or(F.col("yes_ratio").isNull()).alias("_unknown"))
+    asked = requests.select(*key, F.explode("events").alias("event_name"))
+    combined = _combined(asked, key, evidence)
     evaluated = F.col("_unknown") & ~F.col("_included")
     failed = F.bool_or(evaluated).over(Window.partitionBy(*key))
     rows = _numbers_or_note(combined.withColumn("_failed", failed), *key, "goal", "_failed")
@@ -136,17 +164,12 @@ def naive_bayes_events(requests: DataFrame, ratios: DataFrame) -> DataFrame:
         F.when(F.col("_failed"), F.lit(UNKNOWN_EVENT)).otherwise(F.col("note")).alias("note"))
 
 
-def naive_bayes_users(facts: DataFrame, ratios: DataFrame) -> DataFrame:
-    """Naive Bayes of every goal for every user, from all events the user has done.
-
-    Facts meet the factors by event name, so the names of a user with a large vocabulary are
-    spread; products are combined in each task before they move to the user.
-    """
+def naive_bayes_users(facts: DataFrame, evidence: Evidence) -> DataFrame:
+    """Naive Bayes of every goal for every user, from all events the user has done."""
     done = facts.filter(F.col("counter_type") == NAMED).select(
         "namespace", "user_id", "event_name")
-    combined = (done.join(ratios, ["namespace", "event_name"])
-                .groupBy("namespace", "user_id", "goal").agg(*_products()))
-    return _numbers_or_note(combined, "namespace", "user_id", "goal")
+    return _numbers_or_note(_combined(done, ["namespace", "user_id"], evidence),
+                            "namespace", "user_id", "goal")
 
 
 def request_status(requests: DataFrame, facts: DataFrame) -> DataFrame:

@@ -39,8 +39,12 @@ def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named_facts(step_log(spark, sf_dir), goal_table(spark))
 
 
-def _ratios(facts: DataFrame) -> DataFrame:
-    return materialize(predictions.evidence_ratios(*counts_of(facts)), "ratios")
+def _evidence(facts: DataFrame) -> predictions.Evidence:
+    """Written, because several joins read each part of it."""
+    totals, singles = (materialize(counts, "counts") for counts in counts_of(facts))
+    found = predictions.evidence_of(totals, singles)
+    return predictions.Evidence(*(materialize(part, "evidence") for part in (
+        found.events, found.goals, found.pairs)))
 
 
 def _predictions(facts: DataFrame) -> DataFrame:
@@ -99,16 +103,16 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def naive_bayes_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratios = _ratios(_typed(spark, sf_dir))
-    found = predictions.naive_bayes_events(_requests(spark, sf_dir), ratios)
+    evidence = _evidence(_typed(spark, sf_dir))
+    found = predictions.naive_bayes_events(_requests(spark, sf_dir), evidence)
     return found.select("request_id", "namespace", "goal", rounded("yes"), rounded("no"),
                         rounded("likelihood"), "note")
 
 
 def naive_bayes_goal_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which requests contain the goal they would be predicted for."""
-    ratios = _ratios(_typed(spark, sf_dir))
-    found = predictions.naive_bayes_events(_requests(spark, sf_dir), ratios)
+    evidence = _evidence(_typed(spark, sf_dir))
+    found = predictions.naive_bayes_events(_requests(spark, sf_dir), evidence)
     return (found.filter(F.col("note") == predictions.GOAL_NOTE)
             .select("request_id", "namespace", "goal", "note"))
 
@@ -121,7 +125,7 @@ def unknown_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def naive_bayes_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = _steps(spark, sf_dir)
-    found = predictions.naive_bayes_users(facts, _ratios(facts))
+    found = predictions.naive_bayes_users(facts, _evidence(facts))
     return found.select("namespace", "user_id", "goal", rounded("yes"), rounded("no"),
                         rounded("likelihood"), "note")
 
@@ -140,10 +144,10 @@ def prediction_request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_external_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Naive Bayes for view and click, merged with two outside models."""
     log = typed_log(spark, sf_dir)
-    ratios = _ratios(_typed(spark, sf_dir))
+    evidence = _evidence(_typed(spark, sf_dir))
     request = log.groupBy("namespace").agg(F.lit(1).cast("long").alias("request_id"))
     asked = request.withColumn("events", F.array(F.lit("view"), F.lit("click")))
-    internal = predictions.naive_bayes_events(asked, ratios).select(
+    internal = predictions.naive_bayes_events(asked, evidence).select(
         "namespace", "goal", "yes", "no", "likelihood")
     per_type = log.groupBy("namespace", F.col("event_name").alias("goal"))
     by_value = per_type.agg((F.avg("value") / 1000).alias("yes")).select(
