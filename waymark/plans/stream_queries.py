@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +24,9 @@ from waymark.streaming.first_writes import STREAM_FACTS
 from waymark.streaming.incremental import MARKED, PRIOR
 
 
+ARRIVALS = 3
+
+
 def _typed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_columns(streamed_events(spark, sf_dir), F.col("event_type"))
 
@@ -31,11 +36,38 @@ def _facts_text(facts: DataFrame) -> DataFrame:
                         tags_text("tags").alias("tags"))
 
 
-def _snapshot(stream: DataFrame, spark: SparkSession, label: str, *keys: str) -> DataFrame:
-    """Run to the end in update mode and read the latest row of every key."""
+def _arrivals(spark: SparkSession, sf_dir: str,
+              step: Callable[[DataFrame], None]) -> None:
+    """The events arrive in ``ARRIVALS`` parts; after each one ``step`` gets the stream over
+    all that has arrived, and continues from its checkpoint."""
+    session = streaming_session(spark)
+    events = table(session, sf_dir, "events")
+    base = new_path(spark, "arrivals")
+    shares = [k / ARRIVALS for k in range(1, ARRIVALS)]
+    cuts = events.agg(F.percentile_approx("event_id", shares)).first()[0] or []
+    part = sum((F.when(F.col("event_id") > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    for number in range(ARRIVALS):
+        events.filter(part == number).write.mode("append").parquet(base)
+        step(session.readStream.schema(EVENTS).parquet(base))
+
+
+def _snapshot(spark: SparkSession, sf_dir: str, label: str,
+              counts: Callable[[DataFrame], DataFrame], *keys: str) -> DataFrame:
+    """Counts in update mode over several micro-batches; the latest row of every key."""
     base = new_path(spark, label)
-    run_available(write_batches(stream, f"{base}/out", f"{base}/state", mode="update"))
-    return latest_snapshot(read_batches(spark, f"{base}/out", stream.schema), *keys)
+    schemas = []
+
+    def step(events: DataFrame) -> None:
+        stream = counts(events)
+        schemas.append(stream.schema)
+        run_available(write_batches(stream, f"{base}/out", f"{base}/state", mode="update"))
+
+    _arrivals(spark, sf_dir, step)
+    return latest_snapshot(read_batches(spark, f"{base}/out", schemas[0]), *keys)
+
+
+def _typed(events: DataFrame) -> DataFrame:
+    return log_columns(events, F.col("event_type"))
 
 
 def stream_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,35 +80,42 @@ def stream_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_unique_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = unique_user_counts(_typed_stream(streaming_session(spark), sf_dir))
-    return _snapshot(counts, spark, "stream-users", "namespace", "event_name")
+    return _snapshot(spark, sf_dir, "stream-users", lambda e: unique_user_counts(_typed(e)),
+                     "namespace", "event_name")
 
 
 def stream_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = weekly_user_counts(_typed_stream(streaming_session(spark), sf_dir))
-    return _snapshot(counts, spark, "stream-weeks", "namespace", "event_name", "iso_year",
-                     "iso_week")
+    return _snapshot(spark, sf_dir, "stream-weeks", lambda e: weekly_user_counts(_typed(e)),
+                     "namespace", "event_name", "iso_year", "iso_week")
 
 
 def stream_late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates moved back by up to 99 days, so that they arrive in no order at all."""
+    """Dates moved back by up to 99 days: they arrive in no order, and late by batches."""
     days = F.get_json_object("props", "$.k").cast("int")
     late = F.col("ts") - F.make_dt_interval(days)
-    log = log_columns(streamed_events(streaming_session(spark), sf_dir), F.col("event_type"),
-                      ts=late)
-    return _snapshot(weekly_user_counts(log), spark, "stream-late", "namespace",
-                     "event_name", "iso_year", "iso_week")
+    return _snapshot(
+        spark, sf_dir, "stream-late",
+        lambda e: weekly_user_counts(log_columns(e, F.col("event_type"), ts=late)),
+        "namespace", "event_name", "iso_year", "iso_week")
 
 
 def stream_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts as a stream, their changed counters as snapshots, the last of each kept."""
-    session = streaming_session(spark)
-    facts = stream_first_writes(_typed_stream(session, sf_dir), goal_table(session),
-                                WEEKLY_RULES)
+    """Facts as a stream; after each part the counters that changed are written, and the last
+    row of each is kept."""
     base = new_path(spark, "stream-snapshot")
-    run_available(write_append(facts, f"{base}/facts", f"{base}/facts-state"))
-    written = session.readStream.schema(STREAM_FACTS).parquet(f"{base}/facts")
-    latest = _snapshot(changed_counters(written), spark, "stream-counters", *COUNTER_KEY)
+    schemas = []
+
+    def step(events: DataFrame) -> None:
+        session = events.sparkSession
+        facts = stream_first_writes(_typed(events), goal_table(session), WEEKLY_RULES)
+        run_available(write_append(facts, f"{base}/facts", f"{base}/facts-state"))
+        changed = changed_counters(
+            session.readStream.schema(STREAM_FACTS).parquet(f"{base}/facts"))
+        schemas.append(changed.schema)
+        run_available(write_batches(changed, f"{base}/out", f"{base}/state", mode="update"))
+
+    _arrivals(spark, sf_dir, step)
+    latest = latest_snapshot(read_batches(spark, f"{base}/out", schemas[0]), *COUNTER_KEY)
     return latest.select(*COUNTER_KEY, "count", rounded("value_sum"))
 
 
@@ -97,9 +136,9 @@ def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _incremental(spark: SparkSession, sf_dir: str, handler: IncrementalFacts,
                  base: str) -> None:
-    log = _typed_stream(streaming_session(spark), sf_dir).drop("ts")
-    run_available(log.writeStream.foreachBatch(handler)
-                  .option("checkpointLocation", f"{base}/state"))
+    _arrivals(spark, sf_dir, lambda events: run_available(
+        _typed(events).drop("ts").writeStream.foreachBatch(handler)
+        .option("checkpointLocation", f"{base}/state")))
 
 
 def _all_batches(spark: SparkSession, base: str, name: str, schema: T.StructType) -> DataFrame:

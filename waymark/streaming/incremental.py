@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from waymark.operators.cohorts import CohortRule
@@ -25,29 +25,43 @@ PRIOR = T.StructType([f for f in FIRST_WRITES.fields if f.name in COUNTER_KEY]
                         T.StructField("tag", T.StringType())])
 
 
+BUCKETS = 16  # fixed for the life of the tables
+
+
 class IncrementalFacts:
     """A ``foreachBatch`` handler that keeps goals, facts and prior events as tables.
 
     Every batch writes into its own folders and reads only those of earlier batches, so a
-    batch that is repeated after a failure replaces its own output. ``after`` runs at the
-    end of each batch, for instance to recompute predictions.
+    batch that is repeated after a failure replaces its own output. Facts lie in ``buckets``
+    folders by a hash of the user, and a batch reads the folders of its own users only: what
+    it costs follows the batch and the history of its buckets. ``after`` runs at the end of
+    each batch, for instance to recompute predictions.
     """
 
     def __init__(self, path: str, rules: Sequence[CohortRule] = (),
                  initial_goals: DataFrame | None = None,
                  after: Callable[[IncrementalFacts, SparkSession, int], None] | None = None,
-                 ) -> None:
+                 buckets: int = BUCKETS) -> None:
         self.path, self.rules, self.initial_goals = path, tuple(rules), initial_goals
-        self.after = after
+        self.after, self.buckets = after, buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("namespace", "user_id"), F.lit(self.buckets)).cast("int")
 
     def _earlier(self, spark: SparkSession, table: str, schema: T.StructType,
-                 batch_id: int) -> DataFrame:
-        """Rows of ``table`` from batches before ``batch_id``; empty before the first."""
+                 batch_id: int, touched: list[int] | None = None) -> DataFrame:
+        """Rows of ``table`` from batches before ``batch_id``, of facts only the ``touched``
+        buckets; empty before the first."""
         if batch_id == 0:
             return spark.createDataFrame([], schema)
-        stored = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-        return (spark.read.schema(stored).parquet(f"{self.path}/{table}")
-                .filter(F.col("batch_id") < batch_id).drop("batch_id"))
+        folders = [T.StructField("batch_id", T.LongType())]
+        if table == "facts":
+            folders.append(T.StructField("bucket", T.IntegerType()))
+        rows = (spark.read.schema(T.StructType([*schema.fields, *folders]))
+                .parquet(f"{self.path}/{table}").filter(F.col("batch_id") < batch_id))
+        if table == "facts" and touched is not None:
+            rows = rows.filter(F.col("bucket").isin(touched))
+        return rows.select(*schema.fieldNames())
 
     def facts(self, spark: SparkSession, up_to: int) -> DataFrame:
         return self._earlier(spark, "facts", MARKED, up_to + 1)
@@ -75,15 +89,22 @@ class IncrementalFacts:
             announced = announced.unionByName(self.initial_goals)
         self._write(announced, "goals", batch_id)
 
-        seen = self._earlier(spark, "facts", MARKED, batch_id)
+        # At most as many numbers as there are buckets.
+        touched = [r[0] for r in log.select(self._bucket()).distinct().collect()]
+        seen = self._earlier(spark, "facts", MARKED, batch_id, touched)
         new = (first_writes(log, self.rules).alias("n")
                .join(seen.alias("s"), same_counter("n", "s", [*COUNTER_KEY, "user_id"]),
                      "left_anti"))
-        self._write(mark_goals(new, self.goals(spark, batch_id)), "facts", batch_id)
-
-        # Only new goal writes gain prior events; their history is the whole facts table.
-        written = spark.read.schema(MARKED).parquet(
-            f"{self.path}/facts/batch_id={batch_id}")
+        marked = mark_goals(new, self.goals(spark, batch_id)).withColumn(
+            "bucket", self._bucket())
+        (marked.repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+         .parquet(f"{self.path}/facts/batch_id={batch_id}"))
+
+        # Only new goal writes gain prior events; their history is that of the same users.
+        folder = f"{self.path}/facts/batch_id={batch_id}"
+        written = spark.read.schema(T.StructType(
+            [*MARKED.fields, T.StructField("bucket", T.IntegerType())])).parquet(
+            folder).drop("bucket")
         history = seen.withColumn("is_goal", F.lit(False)).unionByName(written)
         self._write(prior_events(history), "prior", batch_id)
         if self.after:
