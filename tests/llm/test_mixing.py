@@ -80,7 +80,7 @@ def test_shards_take_disjoint_blocks(spark):
 def test_quotas_add_up(spark):
     quotas = spark.createDataFrame([("a", 500), ("b", 40), ("c", 3), (None, 7), ("e", 0)],
                                    "source string, draws long")
-    for shards in (1, 2, 7, 16):
+    for shards in (1, 7):
         rows = shard_quotas(quotas, shards).collect()
         by_source, by_shard = Counter(), Counter()
         for r in sorted(rows, key=lambda r: r["shard"]):
@@ -95,18 +95,15 @@ def test_hypergeometric_by_inversion(spark):
     def pmf(urn, good, drawn, k):
         return math.comb(good, k) * math.comb(urn - good, drawn - k) / math.comb(urn, drawn)
 
-    for urn, good, drawn in ((20, 7, 9), (1000, 300, 500), (5, 5, 2), (5, 0, 2), (300, 299, 7)):
-        n = 400
-        frame = spark.range(n).select(
-            F.lit(urn).cast("long").alias("u"), F.lit(good).cast("long").alias("g"),
-            F.lit(drawn).cast("long").alias("d"), ((F.col("id") + 0.5) / n).alias("x"))
-        drawn_values = [r[0] for r in frame.orderBy("x").select(hypergeometric(
-            F.col("u"), F.col("g"), F.col("d"), F.col("x"))).collect()]
-        for position, value in enumerate(drawn_values):
-            x = (position + 0.5) / n
-            low = max(0, drawn + good - urn)
-            below = sum(pmf(urn, good, drawn, k) for k in range(low, value))
-            assert below - 1e-9 <= x <= below + pmf(urn, good, drawn, value) + 1e-9
+    cases = ((20, 7, 9), (1000, 300, 500), (5, 5, 2), (5, 0, 2), (300, 299, 7))
+    n = 200
+    rows = [(*case, (i + 0.5) / n) for case in cases for i in range(n)]
+    frame = spark.createDataFrame(rows, "u long, g long, d long, x double")
+    for urn, good, drawn, x, value in frame.select("*", hypergeometric(
+            F.col("u"), F.col("g"), F.col("d"), F.col("x"))).collect():
+        low = max(0, drawn + good - urn)
+        below = sum(pmf(urn, good, drawn, k) for k in range(low, value))
+        assert below - 1e-9 <= x <= below + pmf(urn, good, drawn, value) + 1e-9
 
 
 def test_mixed_documents_keep_their_columns(spark):

@@ -7,11 +7,10 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import functions as F
 
-from waymark.llm.quality_rules import (FLOORS, LIMIT, NAMES, PAIRS, chi_square_cdf,
-                                       chi_square_quantile, group_key, judge_documents,
-                                       robust_estimates, text_facts)
+from waymark.llm.quality_rules import (FLOORS, LIMIT, NAMES, PAIRS, _with_distance,
+                                       chi_square_cdf, chi_square_quantile, judge_documents,
+                                       robust_estimates)
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string"
 
@@ -61,22 +60,20 @@ def test_counts(spark):
 
 
 def test_distance_is_that_of_the_estimates(spark):
-    docs = spark.createDataFrame(sample(), SCHEMA)
-    facts = text_facts(docs)
-    estimates = {r["group"]: r for r in robust_estimates(facts).collect()}
-    keyed = facts.withColumn("group", group_key(F.col("lang"), F.col("source"))).collect()
-    judged = sorted((r["doc_id"] or -1, round(r["distance"], 6))
-                    for r in judge_documents(docs).collect())
-    expected = []
-    for r in keyed:
-        own = estimates[r["group"]]
-        scatter = np.zeros((len(NAMES), len(NAMES)))
-        for i, j in PAIRS:
-            scatter[i, j] = scatter[j, i] = own[f"c{i}{j}"]
-        away = np.array([r[name] for name in NAMES]) - [own[f"m{i}"] for i in range(len(NAMES))]
-        expected.append((r["doc_id"] or -1,
-                         round(float(away @ np.linalg.solve(scatter, away)), 6)))
-    assert np.allclose([d for _, d in judged], [d for _, d in sorted(expected)], rtol=1e-5)
+    rng = np.random.default_rng(8)
+    size = len(NAMES)
+    root = rng.normal(size=(size, size))
+    scatter, mean = root @ root.T + np.eye(size), rng.normal(size=size)
+    names = ", ".join(f"{n} double" for n in NAMES)
+    points = rng.normal(0, 3, (50, size))
+    rows = spark.createDataFrame([("g", *map(float, x)) for x in points], f"key string, {names}")
+    columns = [f"m{i} double" for i in range(size)] + [f"c{i}{j} double" for i, j in PAIRS]
+    params = spark.createDataFrame(
+        [("g", *map(float, mean), *(float(scatter[i, j]) for i, j in PAIRS))],
+        "key string, " + ", ".join(columns))
+    found = sorted(r["distance"] for r in _with_distance(rows, params, "key").collect())
+    expected = sorted((x - mean) @ np.linalg.solve(scatter, x - mean) for x in points)
+    assert np.allclose(found, expected)
 
 
 def test_outliers_do_not_move_the_estimate(spark):
