@@ -9,7 +9,6 @@ import re
 from collections import Counter, defaultdict
 
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from waymark.llm.sanitise import (GENERALISE, SUPPORT, base_spans, personal_data,
                                   personal_data_report, replace_spans, sanitised, words_near)
@@ -119,7 +118,7 @@ def test_disclosure_equals_brute_force(spark):
 
 def test_sanitised_texts(spark):
     rows = corpus()
-    docs = spark.createDataFrame(rows, SCHEMA)
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("spans", "_spans")
     clean = sanitised(docs)
     assert clean.columns == docs.columns
     found = {r["doc_id"]: r["text"] for r in clean.collect()}

@@ -83,7 +83,7 @@ def test_join(spark, monkeypatch, block):
 
 def test_one_document_of_each_group(spark):
     rows = sample() + [(None, "no id here", None), (None, None, None)]
-    docs = spark.createDataFrame(rows, SCHEMA)
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("node", "_hash")
     kept = one_of_each_group(docs)
     assert kept.columns == docs.columns
     items = list(range(len(rows)))

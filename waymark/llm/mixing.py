@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from waymark.llm.common import free_names, text_or_empty, words_of
+from waymark.llm.common import text_or_empty, words_of
 from waymark.storage import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -285,7 +285,6 @@ def assign(rows: DataFrame, mix: Mix) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, a row per copy, dealt by shard and shuffled inside it."""
     mix = plan_mix(docs)
-    size, at = free_names(docs, "size", "place")
     rows = docs.select(F.struct(*docs.columns).alias("document"), "source",
                        F.size(words_of(text_or_empty())).cast("long").alias("size"),
                        place(F.col("doc_id"), text_or_empty()).alias("place"))

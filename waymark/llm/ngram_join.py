@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from waymark.llm.common import text_or_empty
+from waymark.llm.common import free_names, text_or_empty
 from waymark.llm.minhash import (RECALL, SIMILARITY, components, links, nodes_of, plan_bands,
                                  signatures)
 from waymark.storage import materialize
@@ -62,8 +62,9 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     kept = (grouped.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
             .groupBy("class_id").agg(F.min("text_hash").alias("_kept_hash"))
             .withColumnRenamed("class_id", "_kept_id"))
-    text = F.xxhash64(text_or_empty())
-    chosen = docs.withColumn("_hash", text).join(
-        kept.hint("merge"), (F.col("_hash") == F.col("_kept_hash"))
-        & F.col("doc_id").eqNullSafe(F.col("_kept_id")))
-    return chosen.dropDuplicates(["_hash", "_kept_id"]).select(*docs.columns)
+    own, kept_hash, kept_id = free_names(docs, "_hash", "_kept_hash", "_kept_id")
+    kept = kept.select(F.col("_kept_hash").alias(kept_hash), F.col("_kept_id").alias(kept_id))
+    chosen = docs.withColumn(own, F.xxhash64(text_or_empty())).join(
+        kept.hint("merge"), (F.col(own) == F.col(kept_hash))
+        & F.col("doc_id").eqNullSafe(F.col(kept_id)))
+    return chosen.dropDuplicates([own, kept_id]).select(*docs.columns)

@@ -15,7 +15,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from waymark.llm.common import text_or_empty
+from waymark.llm.common import free_names, text_or_empty
 from waymark.llm.minhash import (RECALL, SIMILARITY, components, links, nodes_of, plan_bands,
                                  signatures)
 from waymark.storage import materialize
@@ -57,12 +57,13 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, recall:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, the text without its removed paragraphs."""
+    own, key, of, gone_lines = free_names(docs, "_hash", "_id", "_of", "_gone")
     removed = repeated_paragraphs(docs).where("removed").groupBy(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of")).agg(
-        F.sort_array(F.collect_set("paragraph")).alias("_gone"))  # lines of one document
-    keyed = docs.withColumn("_hash", F.xxhash64(text_or_empty()))
-    joined = keyed.join(removed.hint("merge"), (F.col("_hash") == F.col("_of"))
-                        & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+        F.col("doc_id").alias(key), F.col("text_hash").alias(of)).agg(
+        F.sort_array(F.collect_set("paragraph")).alias(gone_lines))  # lines of one document
+    keyed = docs.withColumn(own, F.xxhash64(text_or_empty()))
+    joined = keyed.join(removed.hint("merge"), (F.col(own) == F.col(of))
+                        & F.col("doc_id").eqNullSafe(F.col(key)), "left")
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, gone: pd.Series) -> pd.Series:
@@ -71,4 +72,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 line for n, line in enumerate(text.split("\n")) if n not in set(lines))
             for text, lines in zip(texts, gone)], dtype=object)
 
-    return joined.withColumn("text", rest("text", "_gone")).select(*docs.columns)
+    return joined.withColumn("text", rest("text", gone_lines)).select(*docs.columns)

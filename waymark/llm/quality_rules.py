@@ -28,7 +28,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from waymark.llm.common import WORD, text_or_empty, words_of
+from waymark.llm.common import WORD, free_names, text_or_empty, words_of
 from waymark.storage import materialize
 
 MIN_WORDS = 10
@@ -104,7 +104,7 @@ def repeated_window_words(windows: Column) -> Column:
 
 
 def text_facts(docs: DataFrame) -> DataFrame:
-    """``(doc_id, lang, source, text_hash)``, the counts and the transformed statistics of every text."""
+    """``(doc_id, lang, source, text_hash)``, the counts and the transformed statistics."""
     text = docs.select("doc_id", "lang", "source", text_or_empty().alias("text"))
     words = text.select("*", words_of(F.col("text")).alias("words"))
     hashed = words.select(
@@ -273,7 +273,8 @@ def kept_documents(docs: DataFrame) -> DataFrame:
         F.col("text_hash").alias("_hash"),
         group_key(F.col("lang"), F.col("source")).alias("_group")).distinct()
     # Equal texts of a language and source are judged alike, whatever their ids.
-    keyed = docs.withColumn("_own", F.xxhash64(text_or_empty())).withColumn(
-        "_key", group_key(F.col("lang"), F.col("source")))
-    return keyed.join(rejected.hint("merge"), (F.col("_own") == F.col("_hash"))
-                      & (F.col("_key") == F.col("_group")), "left_anti").select(*docs.columns)
+    own, key = free_names(docs, "_own", "_key")
+    keyed = docs.withColumn(own, F.xxhash64(text_or_empty())).withColumn(
+        key, group_key(F.col("lang"), F.col("source")))
+    same = (keyed[own] == rejected["_hash"]) & (keyed[key] == rejected["_group"])
+    return keyed.join(rejected.hint("merge"), same, "left_anti").select(*docs.columns)

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from waymark.llm.common import text_or_empty
+from waymark.llm.common import free_names, text_or_empty
 from waymark.storage import materialize
 
 NEAR = 8  # words on each side of a mention
@@ -203,8 +203,9 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``; entities become their kind, revealing words a mark or
     nothing."""
     spans = personal_data(docs).where((F.size("spans") > 0) | F.col("terms").isNotNull())
-    marked = spans.select(F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"),
-                          F.col("terms").alias("_terms")).dropDuplicates(["_hash"])
+    key, found, telling = free_names(docs, "_hash", "_spans", "_terms")
+    marked = spans.select(F.col("text_hash").alias(key), F.col("spans").alias(found),
+                          F.col("terms").alias(telling)).dropDuplicates([key])
     marked = materialize(marked, "marked")
 
     @F.pandas_udf("string")
@@ -212,9 +213,9 @@ def sanitised(docs: DataFrame) -> DataFrame:
         return pd.Series([t if s is None else replace_spans(t, s, w) for t, s, w in zip(
             texts, spans, terms)], dtype=object)
 
-    joined = docs.join(marked.hint("merge"), F.xxhash64(text_or_empty()) == F.col("_hash"), "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
-        cleaned("text", "_spans", "_terms"))).select(*docs.columns)
+    joined = docs.join(marked.hint("merge"), F.xxhash64(text_or_empty()) == F.col(key), "left")
+    return joined.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(
+        cleaned("text", found, telling))).select(*docs.columns)
 
 
 def replace_spans(text: str, spans, terms) -> str:
