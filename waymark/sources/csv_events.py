@@ -58,8 +58,9 @@ def read_event_files(spark: SparkSession, path: str, event_prefix: str = "",
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_path"),
         (F.col("_metadata.file_block_start") + row).alias("_place"))
-    files = _ranked(spark.read.format("binaryFile").load(path).select(
-        F.col("_metadata.file_path").alias("_path")))
+    # Written, so that its size decides how it joins: lines stay in place beside a short list.
+    files = materialize(_ranked(spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("_path"))), "ranks")
     fits = (F.col("_rank") < 1 << (63 - FILE_PLACE_BITS)) & (
         F.col("_place") < 1 << FILE_PLACE_BITS)
     ordered = lines.join(files, "_path").select("value", F.when(
