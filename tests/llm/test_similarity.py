@@ -97,6 +97,21 @@ def test_one_document_of_each_group(spark):
     assert one_of_each_group(docs.limit(0)).collect() == []
 
 
+def test_groups_without_an_id_or_with_the_same_one(spark):
+    texts = ["one two three four five six", "red green blue pink gray teal",
+             "salt pepper basil thyme sage mint", "oak elm ash fir yew box"]
+    rows = [(None, t, "x") for t in texts[:3]] + [(7, t, "x") for t in texts[2:]]
+    rows += [(7, "iron zinc lead tin gold silver", "x"), (None, texts[0], "x"),
+             (8, " ".join(texts[3].split()), "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = one_of_each_group(docs).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([
+        (None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, rows[5][1])])
+    named = ngram_links(docs).collect()
+    assert len({r["class_digest"] for r in named}) == 5
+    assert {r["class_id"] for r in named} == {None, 7}
+
+
 def test_paragraphs(spark):
     lines = [r[1] for r in sample() if r[1]]
     pick = random.Random(2)

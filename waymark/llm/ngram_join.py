@@ -7,9 +7,11 @@ large groups are never expanded into pairs.
 
 Defined results: words are separated by U+0020 and U+0009 to U+000D; a text of fewer than
 five words is one shingle; texts without words (also null ones) are copies of each other;
-repeated rows are copies. The group is named by its smallest id; a null id gets the name of
-its group, which is null if it has no other id. Columns beside id and text do not matter; an
-empty table gives an empty result.
+repeated rows are copies. The group's ``class_id`` is its smallest id; a null id gets that of
+its group, which is null if it has no other id. Ids may be missing or repeated, so only
+``class_digest``, the digest of the words of the group's first text (by id, null last, then
+text), tells groups apart. Columns beside id and text do not matter; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ ROWS = 5
 
 def ngram_links(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
                 ) -> DataFrame:
-    """``(doc_id, text_hash, class_id, copies_id, n_copies, n_links)`` per document.
+    """``(doc_id, text_hash, class_id, class_digest, copies_id, n_copies, n_links)`` per
+    document.
 
-    ``copies_id`` names the group of equal word sequences, ``n_copies`` counts it;
+    ``class_digest`` identifies the group of connected documents and ``class_id`` is its
+    smallest id. ``copies_id`` names the group of equal word sequences, ``n_copies`` counts it;
     ``n_links`` counts the other documents of at least this similarity, copies included.
     """
     bands = plan_bands(similarity, recall, ROWS)
@@ -39,31 +43,32 @@ def ngram_links(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     roots = components(found.select("node", "root"))
     counted = found.groupBy(F.col("node").alias("_linked")).agg(
         F.sum("linked_copies").alias("linked"))
-    labelled = (nodes.select("node", "digest", "copies", F.col("at.doc_id").alias("copies_id"))
+    labelled = (nodes.select("node", "digest", "copies", "at")
                 .join(roots.select(F.col("node").alias("_in"), "root"),
                       F.col("node") == F.col("_in"), "left")
                 .join(counted, F.col("node") == F.col("_linked"), "left")
                 .withColumn("root", F.coalesce("root", "node")))
-    names = labelled.groupBy(F.col("root").alias("_root")).agg(
-        F.min("copies_id").alias("class_id"))
+    order = F.struct(F.col("at.doc_id").isNull().alias("lost"), "at", "digest")
+    names = labelled.groupBy(F.col("root").alias("_root")).agg(F.min(order).alias("first"))
     named = labelled.join(names, F.col("root") == F.col("_root")).select(
-        F.col("digest").alias("_digest"), "class_id", "copies_id", "copies",
+        F.col("digest").alias("_digest"), F.col("first.at.doc_id").alias("class_id"),
+        F.lower(F.hex("first.digest")).alias("class_digest"),
+        F.col("at.doc_id").alias("copies_id"), "copies",
         F.coalesce("linked", F.lit(0)).alias("linked"))
     return signed.select("doc_id", "text_hash", "digest").join(
         named, F.col("digest") == F.col("_digest")).select(
-        "doc_id", "text_hash", "class_id", "copies_id", F.col("copies").alias("n_copies"),
+        "doc_id", "text_hash", "class_id", "class_digest", "copies_id", F.col("copies").alias("n_copies"),
         (F.col("linked") + F.col("copies") - 1).alias("n_links"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``; of each group the document of smallest id stays."""
-    grouped = ngram_links(docs)
-    # Rows of the representative that equal it in id: the one of smallest text hash stays.
-    kept = (grouped.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-            .groupBy("class_id").agg(F.min("text_hash").alias("_kept_hash"))
-            .withColumnRenamed("class_id", "_kept_id"))
+    """The columns of ``docs``; of each group the first document, by id (null last) and text
+    hash, stays. Groups are told apart by their digest, not by ids."""
+    row = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_hash")
+    first = ngram_links(docs).groupBy("class_digest").agg(F.min(row).alias("first"))
     own, kept_hash, kept_id = free_names(docs, "_hash", "_kept_hash", "_kept_id")
-    kept = kept.select(F.col("_kept_hash").alias(kept_hash), F.col("_kept_id").alias(kept_id))
+    kept = first.select(F.col("first.text_hash").alias(kept_hash),
+                        F.col("first.doc_id").alias(kept_id))
     chosen = docs.withColumn(own, F.xxhash64(text_or_empty())).join(
         kept.hint("merge"), (F.col(own) == F.col(kept_hash))
         & F.col("doc_id").eqNullSafe(F.col(kept_id)))
