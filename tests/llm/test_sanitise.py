@@ -128,6 +128,18 @@ def test_sanitised_texts(spark):
     assert found[None] == "call [PHONE] é"
 
 
+def test_few_texts_lower_the_disclosure(spark):
+    rows = corpus()
+    for i, n in enumerate([1, 2, 2, 3, 3, 3]):  # words that come with an entity n times only
+        rows.append((600 + i, f"text {i} from {'abc'[n - 1] * 5} mail p{n}@example.com", None))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = {r["doc_id"]: r["text"] for r in sanitised(docs).collect()}
+    assert "aaaaa" in found[600]
+    assert all("[WORD]" in found[i] and "bbbbb" not in found[i] for i in (601, 602))
+    assert all("[WORD]" in found[i] and "ccccc" not in found[i] for i in (603, 604, 605))
+    assert all("nightingale" not in found[i] and "[WORD]" not in found[i] for i in range(12))
+
+
 def test_overlapping_spans():
     spans = [{"kind": 1, "start": 2, "end": 9}, {"kind": 2, "start": 4, "end": 12}]
     assert replace_spans("a 1.2.3.4 567 b", spans, None) == "a [IP]7 b"

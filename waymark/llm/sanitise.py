@@ -3,14 +3,17 @@
 Fixed patterns find addresses, network numbers, card and phone numbers in whole texts. Each
 value found is a protected entity. Words near its mentions are counted over the corpus: a
 word that is rare in general but keeps coming with the entity carries information about it.
-With p over all documents,
+With p over all documents and n the number of different texts with both,
 
-    disclosure(word, entity) = log(p(word, entity) / (p(word) p(entity))) / log(1 / p(entity))
+    disclosure(word, entity) = n / (n + PSEUDO)
+        * log(p(word, entity) / (p(word) p(entity))) / log(1 / p(entity))
 
 is the share of the entity's information that the word reveals (pointwise mutual information
-over information content). Words above ``REMOVE`` are removed near the entity, words above
-``GENERALISE`` are replaced by a mark. Both need ``SUPPORT`` different texts, so that neither
-a rare entity nor copies of one text make every rare word around them suspicious.
+over information content), lowered where few texts support it. Copies of one text are one
+support. A word that comes with the entity only is removed from ``SUPPORT`` texts on and
+generalised from two; in a single text every rare word comes with every entity by chance,
+and its disclosure is at most 1 / (1 + PSEUDO). Words above ``REMOVE`` are removed near the
+entity, words above ``GENERALISE`` are replaced by a mark.
 
 Counts cover all documents. Their words are combined in their partition before the shuffle;
 no text moves.
@@ -26,6 +29,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -36,9 +40,11 @@ from waymark.llm.common import free_names, text_or_empty
 from waymark.storage import materialize
 
 NEAR = 8  # words on each side of a mention
-SUPPORT = 5  # distinct texts
+SUPPORT = 5  # distinct texts from which a word that comes with the entity only is removed
 GENERALISE = 0.7
 REMOVE = 0.9
+PSEUDO = SUPPORT * (1 - REMOVE)  # texts against each pair: 5 / 5.5 is just above REMOVE
+LEAST_SUPPORT = math.floor(PSEUDO * GENERALISE / (1 - GENERALISE)) + 1  # to pass GENERALISE
 SHORTEST = 4  # letters of a word that can reveal something
 
 # The patterns, in the order in which kinds are listed.
@@ -161,11 +167,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def disclosures(docs: DataFrame, nearby: DataFrame, copies: DataFrame) -> DataFrame:
-    """``(entity, word, disclosure)`` of all pairs with enough support."""
+    """``(entity, word, disclosure)`` of all pairs that can pass ``GENERALISE``."""
     pairs = nearby.select("entity", "word", "text_hash").distinct().join(copies, "text_hash")
     joint = pairs.groupBy("entity", "word").agg(
         F.count("*").alias("support"), F.sum("copies").alias("both"))
-    joint = materialize(joint.where(F.col("support") >= SUPPORT), "pairs")
+    joint = materialize(joint.where(F.col("support") >= LEAST_SUPPORT), "pairs")
     entities = (nearby.select("entity", "text_hash").distinct().join(copies, "text_hash")
                 .groupBy(F.col("entity").alias("_entity")).agg(F.sum("copies").alias("own")))
     general = word_counts(docs).withColumnRenamed("word", "_word")
@@ -174,8 +180,9 @@ def disclosures(docs: DataFrame, nearby: DataFrame, copies: DataFrame) -> DataFr
                .join(general, F.col("word") == F.col("_word")))
     information = F.log(F.lit(total) / F.col("own"))
     mutual = F.log(F.col("both") * total / (F.greatest("documents", "both") * F.col("own")))
-    return counted.select("entity", "word", F.when(information > 0, mutual / information)
-                          .otherwise(0.0).alias("disclosure"))
+    certain = F.col("support") / (F.col("support") + PSEUDO)
+    return counted.select("entity", "word", F.when(
+        information > 0, certain * mutual / information).otherwise(0.0).alias("disclosure"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
