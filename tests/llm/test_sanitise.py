@@ -140,6 +140,25 @@ def test_few_texts_lower_the_disclosure(spark):
     assert all("nightingale" not in found[i] and "[WORD]" not in found[i] for i in range(12))
 
 
+def test_terms_in_all_documents_and_at_any_distance(spark):
+    filler = " ".join(["often mail"] * 60)
+    rows = corpus() + [(700 + i, f"Ng{'' if i % 2 else ' ' + filler} {i} li@example.com {filler} "
+                        "Okonkwo", None) for i in range(6)]
+    rows += [(710, "met ng and OKONKWO again", None), (None, "okonkwo's", None),
+             (712, "no name here", None)]
+    found = {r["doc_id"]: r for r in personal_data(spark.createDataFrame(rows, SCHEMA)).collect()
+             if r["doc_id"] is None or r["doc_id"] >= 700}
+    for doc_id, text, _ in rows[-9:]:
+        expected = {m.span() for m in re.finditer(r"\b(ng|okonkwo)\b", text, re.I)}
+        if doc_id is not None:
+            terms = found[doc_id]["terms"]
+            assert {(t["start"], t["end"]) for t in terms or ()} == expected, doc_id
+    clean = {r["text"] for r in sanitised(spark.createDataFrame(rows[-9:] + corpus(), SCHEMA))
+             .collect()}
+    assert not any(re.search(r"\b(ng|okonkwo)\b", t or "", re.I) for t in clean)
+    assert "no name here" in clean
+
+
 def test_overlapping_spans():
     spans = [{"kind": 1, "start": 2, "end": 9}, {"kind": 2, "start": 4, "end": 12}]
     assert replace_spans("a 1.2.3.4 567 b", spans, None) == "a [IP]7 b"

@@ -1,9 +1,10 @@
 """Personal data, and the words that give it away.
 
 Fixed patterns find addresses, network numbers, card and phone numbers in whole texts. Each
-value found is a protected entity. Words near its mentions are counted over the corpus: a
-word that is rare in general but keeps coming with the entity carries information about it.
-With p over all documents and n the number of different texts with both,
+value found is a protected entity. The words of all texts that mention it are counted,
+wherever they stand outside of the spans: a word that is rare in general but keeps coming
+with the entity carries information about it. With p over all documents and n the number of
+different texts with both,
 
     disclosure(word, entity) = n / (n + PSEUDO)
         * log(p(word, entity) / (p(word) p(entity))) / log(1 / p(entity))
@@ -12,11 +13,15 @@ is the share of the entity's information that the word reveals (pointwise mutual
 over information content), lowered where few texts support it. Copies of one text are one
 support. A word that comes with the entity only is removed from ``SUPPORT`` texts on and
 generalised from two; in a single text every rare word comes with every entity by chance,
-and its disclosure is at most 1 / (1 + PSEUDO). Words above ``REMOVE`` are removed near the
-entity, words above ``GENERALISE`` are replaced by a mark.
+and its disclosure is at most 1 / (1 + PSEUDO).
 
-Counts cover all documents. Their words are combined in their partition before the shuffle;
-no text moves.
+Words above ``REMOVE`` are removed, words above ``GENERALISE`` are replaced by a mark: at
+every place of every document, also where the entity is not mentioned, for there they give it
+away. A word has the disclosure of the entity it reveals most about.
+
+Counts cover all documents. Words and entities are combined per text before the shuffle. Only
+entities of enough texts, and words rare enough, to pass ``GENERALISE`` are paired; the bounds
+follow from the formula and leave the result as it is.
 
 Defined results: a null text is empty and has no spans; kinds are searched independently,
 leftmost and without overlap per kind; matches that fail their check are dropped without a
@@ -31,6 +36,7 @@ import hashlib
 import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,9 +49,10 @@ NEAR = 8  # words on each side of a mention
 SUPPORT = 5  # distinct texts from which a word that comes with the entity only is removed
 GENERALISE = 0.7
 REMOVE = 0.9
-PSEUDO = SUPPORT * (1 - REMOVE)  # texts against each pair: 5 / 5.5 is just above REMOVE
-LEAST_SUPPORT = math.floor(PSEUDO * GENERALISE / (1 - GENERALISE)) + 1  # to pass GENERALISE
-SHORTEST = 4  # letters of a word that can reveal something
+PSEUDO = SUPPORT * (1 - REMOVE)  # texts against the pair: 5 / 5.5 is just above REMOVE
+SLICE = 500  # texts whose words are in memory at once
+COUNTED_WORDS = 200_000
+LEAST_SUPPORT = math.floor(PSEUDO * GENERALISE / (1 - GENERALISE)) + 1  # else below GENERALISE
 
 # The patterns, in the order in which kinds are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -61,7 +68,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 FOUND = ("doc_id {0}, text_hash long, spans array<struct<kind:int,start:long,end:long>>, "
-         "near array<struct<entity:string,word:string,start:long,end:long>>")
+         "entities array<string>, words array<string>")
+TERMS = "text_hash long, terms array<struct<start:long,end:long,disclosure:double>>"
 
 
 def luhn(digits: str) -> bool:
@@ -117,91 +125,172 @@ def entity_name(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{plain}"
 
 
-def words_near(text: str, spans: list[tuple[int, int, int]]
-               ) -> Iterator[tuple[str, str, int, int]]:
-    """``(entity, word, start, end)`` for words around each span, but not inside any."""
+def words_outside(text: str, spans: list[tuple[int, int, int]]
+                  ) -> Iterator[tuple[str, int, int]]:
+    """``(word, start, end)`` for all words that touch no span."""
     inside: list[list[int]] = []  # the union of the spans
     for _, begin, end in spans:
         if inside and begin < inside[-1][1]:
             inside[-1][1] = max(inside[-1][1], end)
         else:
             inside.append([begin, end])
+    for m in _WORD.finditer(text):
+        place = bisect.bisect_left(inside, [m.end()]) - 1
+        if not (place >= 0 and inside[place][1] > m.start()):
+            yield m[0].lower(), m.start(), m.end()
+
+
+def words_near(text: str, spans: list[tuple[int, int, int]]
+               ) -> Iterator[tuple[str, str, int, int]]:
+    """``(entity, word, start, end)`` for the ``NEAR`` words on each side of each span."""
+    outside = {(a, b): word for word, a, b in words_outside(text, spans)}
+    places = [m.span() for m in _WORD.finditer(text)] if spans else []
     for kind, begin, end in spans:
-        entity = entity_name(kind, text[begin:end])
-        left = max(0, begin - 16 * NEAR)
-        while left and text[left - 1].isalpha():  # from the beginning of a word
-            left -= 1
-        found = list(_WORD.finditer(text, left, begin))[-NEAR:]
-        found += itertools.islice(_WORD.finditer(text, end), NEAR)
-        for m in found:
-            place = bisect.bisect_left(inside, [m.end()]) - 1
-            if len(m[0]) >= SHORTEST and not (place >= 0 and inside[place][1] > m.start()):
-                yield entity, m[0].lower(), m.start(), m.end()
+        before = [p for p in places if p[1] <= begin][-NEAR:]
+        after = itertools.islice((p for p in places if p[0] >= end), NEAR)
+        for place in itertools.chain(before, after):
+            if place in outside:
+                yield entity_name(kind, text[begin:end]), outside[place], *place
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
-    """Base spans of every document, and the words near them."""
+    """Base spans of every document; its entities, and its words if it has an entity."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            spans = [base_spans(t) for t in batch["text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "text_hash": batch["text_hash"],
-                "spans": [[dict(zip(("kind", "start", "end"), s)) for s in own] for own in spans],
-                "near": [[dict(zip(("entity", "word", "start", "end"), w))
-                          for w in words_near(t, own)] if own else []
-                         for t, own in zip(batch["text"], spans)]})
+            for at in range(0, len(batch), SLICE):
+                yield searched(batch.iloc[at:at + SLICE])
+
+    def searched(part: pd.DataFrame) -> pd.DataFrame:
+        spans = [base_spans(t) for t in part["text"]]
+        return pd.DataFrame({
+            "doc_id": part["doc_id"].to_numpy(), "text_hash": part["text_hash"].to_numpy(),
+            "spans": [[dict(zip(("kind", "start", "end"), s)) for s in own] for own in spans],
+            "entities": [list({entity_name(k, t[a:b]) for k, a, b in own})
+                         for t, own in zip(part["text"], spans)],
+            "words": [list({w for w, _, _ in words_outside(t, own)}) if own else []
+                      for t, own in zip(part["text"], spans)]
+            }).astype({"doc_id": part.dtypes["doc_id"]})
 
     text = text_or_empty()
     return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")
                        ).mapInPandas(search, FOUND.format(kind))
 
 
+def words_in(text: str) -> set[str]:
+    return {word.lower() for word in set(_WORD.findall(text))}
+
+
+def text_words(docs: DataFrame) -> DataFrame:
+    """``(text_hash, word)``: the different words of every document."""
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                part = batch.iloc[at:at + SLICE]
+                own = [list(words_in(t)) for t in part["text"]]
+                yield pd.DataFrame({
+                    "text_hash": part["text_hash"].repeat([len(w) for w in own]).to_numpy(),
+                    "word": list(itertools.chain.from_iterable(own))})
+
+    text = text_or_empty()
+    return docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInPandas(
+        split, "text_hash long, word string")
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(word, documents)``: in how many documents each word occurs."""
-    words = F.array_distinct(F.split(F.lower(text_or_empty()), r"[^\p{L}]+"))
-    return (docs.select(F.explode(words).alias("word"))
-            .where(F.char_length("word") >= SHORTEST)
-            .groupBy("word").agg(F.count("*").alias("documents")))
-
-
-def disclosures(docs: DataFrame, nearby: DataFrame, copies: DataFrame) -> DataFrame:
-    """``(entity, word, disclosure)`` of all pairs that can pass ``GENERALISE``."""
-    pairs = nearby.select("entity", "word", "text_hash").distinct().join(copies, "text_hash")
-    joint = pairs.groupBy("entity", "word").agg(
-        F.count("*").alias("support"), F.sum("copies").alias("both"))
-    joint = materialize(joint.where(F.col("support") >= LEAST_SUPPORT), "pairs")
-    entities = (nearby.select("entity", "text_hash").distinct().join(copies, "text_hash")
-                .groupBy(F.col("entity").alias("_entity")).agg(F.sum("copies").alias("own")))
-    general = word_counts(docs).withColumnRenamed("word", "_word")
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                counts.update(words_in(text))
+                if len(counts) >= COUNTED_WORDS:
+                    yield pd.DataFrame(counts.items(), columns=["word", "documents"])
+                    counts.clear()
+        if counts:
+            yield pd.DataFrame(counts.items(), columns=["word", "documents"])
+
+    counted = docs.select(text_or_empty().alias("text")).mapInPandas(
+        count, "word string, documents long")
+    return counted.groupBy("word").agg(F.sum("documents").alias("documents"))
+
+
+def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``(entity, word, disclosure)`` of all pairs above ``GENERALISE``."""
+    texts = found.where(F.size("spans") > 0)
+    copies = texts.groupBy(F.col("text_hash").alias("_copied")).agg(
+        F.count("*").alias("copies"))
+    mentions = (texts.select("text_hash", F.explode("entities").alias("entity")).distinct()
+                .join(copies, F.col("text_hash") == F.col("_copied")))
+    entities = materialize(
+        mentions.groupBy(F.col("entity").alias("_entity")).agg(
+            F.count("*").alias("texts"), F.sum("copies").alias("own"))
+        .where(F.col("texts") >= LEAST_SUPPORT), "entities")
+    mentions = materialize(
+        mentions.join(entities, F.col("entity") == F.col("_entity"))
+        .select("text_hash", "entity", "copies", "own"), "mentions")
+    held = mentions.groupBy(F.col("text_hash").alias("_hash")).agg(F.max("own").alias("most"))
+    candidates = materialize(
+        texts.join(held, F.col("text_hash") == F.col("_hash"))
+        .select("text_hash", F.explode("words").alias("word"), "most").distinct(), "candidates")
     total = float(max(docs.count(), 1))
-    counted = (joint.join(entities, F.col("entity") == F.col("_entity"))
-               .join(general, F.col("word") == F.col("_word")))
+    general = word_counts(docs).withColumnRenamed("word", "_word")
+    # Above GENERALISE, documents < both * (total / own) ** (1 - GENERALISE), and both <= own.
+    most = F.pow("most", F.lit(GENERALISE)) * (total ** (1 - GENERALISE) * (1 + 1e-9))
+    rare = candidates.join(general, (F.col("word") == F.col("_word"))
+                           & (F.col("documents") <= most)).select(
+        F.col("text_hash").alias("_hash"), "word", "documents")
+    counted = mentions.join(rare, F.col("text_hash") == F.col("_hash")).groupBy(
+        "entity", "word").agg(
+        F.count("*").alias("support"), F.sum("copies").alias("both"),
+        F.max("own").alias("own"), F.max("documents").alias("documents"))
     information = F.log(F.lit(total) / F.col("own"))
     mutual = F.log(F.col("both") * total / (F.greatest("documents", "both") * F.col("own")))
     certain = F.col("support") / (F.col("support") + PSEUDO)
     return counted.select("entity", "word", F.when(
-        information > 0, certain * mutual / information).otherwise(0.0).alias("disclosure"))
+        information > 0, certain * mutual / information).otherwise(0.0).alias("disclosure")
+        ).where(F.col("disclosure") > GENERALISE)
+
+
+def found_terms(docs: DataFrame, telling: DataFrame) -> DataFrame:
+    """``(text_hash, terms)``: all places of telling ``(word, disclosure)``, one row per
+    different text that has one."""
+    revealed = telling.select(F.col("word").alias("_word"), "disclosure")
+    held = text_words(docs).join(revealed, F.col("word") == F.col("_word")).select(
+        "text_hash", "word", "disclosure").distinct()
+    held = held.groupBy(F.col("text_hash").alias("_hash")).agg(  # the words of one text
+        F.collect_list(F.struct("word", "disclosure")).alias("held"))
+    held = materialize(held, "held")
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                yield placed_words(batch.iloc[at:at + SLICE])
+
+    def placed_words(part: pd.DataFrame) -> pd.DataFrame:
+        terms = []
+        for text, own in zip(part["text"], part["held"]):
+            known = {h["word"]: h["disclosure"] for h in own}
+            terms.append([{"start": a, "end": b, "disclosure": known[w]}
+                          for w, a, b in words_outside(text, base_spans(text)) if w in known])
+        return pd.DataFrame({"text_hash": part["text_hash"].to_numpy(), "terms": terms})
+
+    text = text_or_empty()
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    placed = texts.join(held, F.col("text_hash") == F.col("_hash")).select(
+        "text_hash", "text", "held").mapInPandas(place, TERMS)
+    return placed.where(F.size("terms") > 0).dropDuplicates(["text_hash"])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """``(doc_id, text_hash, spans, terms)``: base spans, and revealing words with their
     disclosure, per document."""
     found = materialize(found_spans(docs), "spans")
-    entities = found.where(F.size("spans") > 0)
-    nearby = materialize(entities.select("text_hash", F.explode("near").alias("n"))
-                         .select("text_hash", "n.*").distinct(), "nearby")
-    copies = entities.groupBy("text_hash").agg(F.count("*").alias("copies"))
-    telling = disclosures(docs, nearby, copies).where(F.col("disclosure") > GENERALISE)
-    telling = materialize(telling, "telling").select(
-        F.col("entity").alias("_entity"), F.col("word").alias("_word"), "disclosure")
-    terms = (nearby.join(telling, (F.col("entity") == F.col("_entity"))
-                         & (F.col("word") == F.col("_word")))
-             .groupBy("text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-             .groupBy(F.col("text_hash").alias("_hash"))  # the words of one text
-             .agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure")))
-                  .alias("terms")))
+    telling = materialize(disclosures(docs, found).groupBy("word").agg(
+        F.max("disclosure").alias("disclosure")), "telling")
+    terms = materialize(found_terms(docs, telling), "terms").withColumnRenamed(
+        "text_hash", "_hash")
     return found.join(terms, F.col("text_hash") == F.col("_hash"), "left").select(
         "doc_id", "text_hash", "spans", "terms")
 
