@@ -39,16 +39,19 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
 
 
 def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                sums: dict[str, str], rank: str, label: str) -> DataFrame:
+                sums: dict[str, str], rank: str, label: str,
+                dealt_by: Sequence[str] | None = None) -> DataFrame:
     """Running sums before each row, and its rank from 0, within ``keys`` by ``order``.
 
     ``sums`` maps a new column to the column it adds up. A group may hold most of the rows:
     rows are dealt by range of (keys, order), summed inside each range, and the totals of the
     earlier ranges of the same group are added. Only range totals meet in one window, one row
-    per range and group. ``order`` should tell rows apart; equal rows take any order.
+    per range and group. ``order`` should tell rows apart; equal rows take any order. The
+    ranges are those of (keys, ``dealt_by``) if given: a first part of ``order`` without long
+    texts, which would be sampled.
     """
     dealt = materialize(
-        df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), label)
+        df.repartitionByRange(*keys, *(dealt_by or order)).withColumn("_range", F.spark_partition_id()), label)
     window = W.partitionBy("_range", *keys).orderBy(*order)
     before = window.rowsBetween(W.unboundedPreceding, -1)
     local = dealt.select("*", (F.row_number().over(window) - 1).cast("long").alias(rank), *(

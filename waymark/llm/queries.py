@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from waymark.llm.chat import rotate_perspectives
 from waymark.llm.classifier import quality_scores
 from waymark.llm.common import documents
+from waymark.llm.conversation_repair import repair_damaged
 from waymark.llm.fingerprints import fingerprints
 from waymark.llm.mixing import mixing_report
 from waymark.llm.ngram_join import ngram_links
@@ -14,6 +15,7 @@ from waymark.llm.packing import pack_documents
 from waymark.llm.paragraph_dedup import repeated_paragraphs
 from waymark.llm.quality_rules import judge_documents
 from waymark.llm.sanitise import personal_data_report
+from waymark.llm.source_audit import audit_sources
 from waymark.llm.token_counts import token_counts
 
 
@@ -58,10 +60,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(documents(spark, sf_dir))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_source_mixing, op3_paragraph_dedup, op4_ngram_join, op5_perspectives,
     op6_personal_data, op7_packing, op8_fingerprints,
-    op9_quality_classifier, op10_token_counts)}
+    op9_quality_classifier, op10_token_counts, op12_source_audit, op13_conversation_repair)}
 
 ORACLES = {
     "op2_source_mixing": """
@@ -124,4 +134,56 @@ ORACLES = {
         WINDOW dialogue AS (PARTITION BY conv_id, speaker
                             ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
     """,
+    "op12_source_audit": """
+        WITH docs AS (
+            SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang,
+                   coalesce(source, '') AS source,
+                   regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+            FROM documents),
+        occurring AS (
+            SELECT doc, lang, source, unnest(terms) AS term FROM docs),
+        kept AS (
+            SELECT lang, term FROM occurring GROUP BY lang, term
+            HAVING count(DISTINCT doc) >= 10),
+        vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        counted AS (
+            SELECT g.lang, g.source, k.term, count(o.term) AS c
+            FROM groups g JOIN kept k ON k.lang = g.lang
+            LEFT JOIN occurring o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term
+            GROUP BY g.lang, g.source, k.term),
+        shares AS (
+            SELECT lang, source, term, c, 1 + (1000000000 * (c + 2)::HUGEINT)
+                   // ((sum(c) OVER (PARTITION BY lang, source))::HUGEINT + 2 * v) AS p
+            FROM counted JOIN vocabulary USING (lang)),
+        whole AS (
+            SELECT lang, term, 1 + (1000000000 * (c + 2)::HUGEINT)
+                   // ((sum(c) OVER (PARTITION BY lang))::HUGEINT + 2 * v) AS q
+            FROM (SELECT lang, term, sum(c) AS c FROM counted GROUP BY lang, term)
+            JOIN vocabulary USING (lang)),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item,
+                   sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM shares a JOIN shares b
+                ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+            GROUP BY a.lang, a.source, b.source),
+        results AS (
+            SELECT g.lang, g.source, 'pair' AS part, h.source AS item,
+                   CAST(coalesce(value, 0) AS BIGINT) AS value
+            FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+            LEFT JOIN pairs ON pairs.lang = g.lang AND pairs.source = g.source
+                AND pairs.item = h.source
+            UNION ALL
+            SELECT s.lang, s.source, 'term', s.term,
+                   CAST((p - q) * (p - q) // (p + q) AS BIGINT)
+            FROM shares s JOIN whole w ON s.lang = w.lang AND s.term = w.term
+            WHERE c > 0 AND p > q)
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part
+                                          ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM results
+        QUALIFY part = 'pair' OR rank <= 10
+    """,
 }
