@@ -43,14 +43,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/waymark/{label}-{uuid.uuid4().hex}"
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path for files that :func:`remove_written` shall delete."""
+    path = new_path(spark, label)
+    _written[spark.sparkContext.applicationId].append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a frame that reads the written table.
 
     The table stays until :func:`remove_written` is called.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
-    _written[spark.sparkContext.applicationId].append(path)
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
