@@ -17,6 +17,7 @@ from waymark.llm.quality_rules import judge_documents
 from waymark.llm.sanitise import personal_data_report
 from waymark.llm.source_audit import audit_sources
 from waymark.llm.token_counts import token_counts
+from waymark.llm.warc import archive_round_trip
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(documents(spark, sf_dir))
 
@@ -71,7 +76,8 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_source_mixing, op3_paragraph_dedup, op4_ngram_join, op5_perspectives,
     op6_personal_data, op7_packing, op8_fingerprints,
-    op9_quality_classifier, op10_token_counts, op12_source_audit, op13_conversation_repair)}
+    op9_quality_classifier, op10_token_counts, op11_warc_archives, op12_source_audit,
+    op13_conversation_repair)}
 
 ORACLES = {
     "op2_source_mixing": """
