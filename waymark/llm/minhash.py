@@ -5,12 +5,14 @@
 2. Equal texts become one node with a number of copies, before anything is compared.
 3. Nodes are counted by band key. Keys of a single node and keys with the same nodes as
    another key go away.
-4. The nodes of a key are dealt to blocks of about ``BLOCK`` nodes; a unit holds two blocks
-   (or one with itself). Large groups become many units, and a unit compares its nodes'
-   full shingle sets by sparse products. A unit returns one row per node: how many others it
-   links to, and the smallest node it is connected to. Pairs are never rows, and a pair that
-   shares several keys counts in the smallest one.
-5. The connections are joined into components.
+4. Every node is compared with the first and the last node of each of its keys, once per pair;
+   shingle sets move once per pair. Node numbers order all keys alike, so a group of near
+   copies has few such leaders. The links found make first components.
+5. In a key whose nodes are in one component nothing is left to find. In the others the nodes
+   outside the largest component (the rest) are compared with all nodes of other components,
+   in units of two blocks of ``BLOCK`` nodes, by sparse products.
+6. All links make the final components. A link never leaves its component, so numbers of links
+   come from comparing a component with itself, once, whatever the number of shared keys.
 
 Only texts that share a key with another node are read again for their shingle sets.
 """
@@ -37,8 +39,8 @@ SEED = 7
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _BLANK = str.maketrans(dict.fromkeys("\x1c\x1d\x1e\x1f\x85\xa0", ""))
-_UNIT = "key long, low int, high int, block int, node long, copies long, keys array<long>, " \
-        "shingles array<long>"
+_REST = ["key", "low", "high", "chunk", "rest", "node", "root", "shingles"]
+_WHOLE = ["key", "low", "high", "block", "node", "copies", "shingles"]
 
 
 def plan_bands(similarity: float, recall: float, rows: int) -> int:
@@ -164,15 +166,15 @@ def nodes_of(signed: DataFrame) -> DataFrame:
 
 
 def shared_keys(nodes: DataFrame) -> DataFrame:
-    """``(key, blocks, node)`` for keys of several nodes; of keys with the same nodes one."""
+    """``(key, first, last, node)`` for keys of several nodes; of keys with the same nodes one."""
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     counted = keyed.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("node").alias("first"),
+        F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"),
         F.bit_xor(F.xxhash64("node")).alias("members")).where(F.col("n") > 1)
-    kept = counted.groupBy("n", "first", "members").agg(F.min("key").alias("kept")).select(
-        "kept", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    kept = counted.groupBy("n", "first", "last", "members").agg(
+        F.min("key").alias("kept")).select("kept", "first", "last")
     return keyed.join(kept.hint("merge"), F.col("key") == F.col("kept")).select(
-        "key", "blocks", "node")
+        "key", "first", "last", "node")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, by_line: bool) -> DataFrame:
@@ -227,78 +229,148 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return result
 
 
-def compare_unit(unit: pd.DataFrame, similarity: float) -> pd.DataFrame | None:
-    """Links of one unit: ``(node, root, links, linked_copies)``."""
-    count = len(unit)
-    if count < 2:
-        return None
-    sets = list(unit["shingles"])
+def linked_pairs(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which sets are similar to which, as a matrix."""
     common = overlaps(sets)
     sizes = np.array([len(s) for s in sets], np.float64)
-    union = sizes[:, None] + sizes[None, :] - common
-    linked = common + 1e-6 >= similarity * union
+    linked = common + 1e-6 >= similarity * (sizes[:, None] + sizes[None, :] - common)
     np.fill_diagonal(linked, False)
-    block = unit["block"].to_numpy()
-    if unit["low"].iloc[0] != unit["high"].iloc[0]:  # pairs inside a block have their own unit
-        linked &= block[:, None] != block[None, :]
+    return linked
+
+
+def compare_rest(unit: pd.DataFrame, similarity: float) -> pd.DataFrame | None:
+    """Links ``(node, root)`` from nodes of a rest block to the components of a chunk."""
+    roots, nodes = unit["root"].to_numpy(), unit["node"].to_numpy()
+    rest = unit["rest"].to_numpy() == unit["low"].iloc[0]
+    chunk = unit["chunk"].to_numpy() == unit["high"].iloc[0]
+    linked = linked_pairs(list(unit["shingles"]), similarity)
+    linked &= rest[:, None] & chunk[None, :] & (roots[:, None] != roots[None, :])
     if not linked.any():
         return None
-    key = unit["key"].iloc[0]
-    earlier = overlaps([np.asarray(k)[np.asarray(k) < key] for k in unit["keys"]]) > 0
-    counted = linked & ~earlier
-    nodes = unit["node"].to_numpy()
-    order = np.argsort(nodes)
-    label = np.empty(count, np.int64)
-    label[order] = np.arange(count)
-    while True:
-        near = np.minimum(label, np.where(linked, label[None, :], count).min(axis=1))
-        if (near == label).all():
-            break
-        label = near
-    made = pd.DataFrame({"node": nodes, "root": nodes[order][label],
-                         "links": counted.sum(axis=1),
-                         "linked_copies": counted @ unit["copies"].to_numpy()})
-    return made[linked.any(axis=1)]
-
-
-def compared(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
-    """Runs over rows sorted by unit; holds one unit at a time."""
-    held: pd.DataFrame | None = None
-    for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        names = rows[["key", "low", "high"]].to_numpy()
-        starts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1)]
-        found = [compare_unit(rows.iloc[a:b], similarity) for a, b in zip(starts, starts[1:])]
-        held = rows.iloc[starts[-1]:] if len(rows) else None
-        found = [f for f in found if f is not None]
-        if found:
-            yield pd.concat(found)
-    if held is not None:
-        last = compare_unit(held, similarity)
-        if last is not None:
-            yield last
-
-
-def links(docs: DataFrame, nodes: DataFrame, by_line: bool, similarity: float) -> DataFrame:
-    """``(node, root, links, linked_copies)``, several rows per node that has a link."""
+    left, right = np.nonzero(linked)
+    return pd.DataFrame({"node": nodes[left], "root": roots[right]}).drop_duplicates()
+
+
+def count_unit(unit: pd.DataFrame, similarity: float) -> pd.DataFrame | None:
+    """Links ``(node, links, linked_copies)`` inside one block or between two."""
+    linked = linked_pairs(list(unit["shingles"]), similarity)
+    if unit["low"].iloc[0] != unit["high"].iloc[0]:  # pairs inside a block have their own unit
+        block = unit["block"].to_numpy()
+        linked &= block[:, None] != block[None, :]
+    return pd.DataFrame({"node": unit["node"], "links": linked.sum(axis=1),
+                         "linked_copies": linked @ unit["copies"].to_numpy()})
+
+
+def by_unit(rows: DataFrame, compare, similarity: float, schema: str) -> DataFrame:
+    """``compare`` applied to the rows of each (key, low, high); a task holds one unit."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            names = rows[["key", "low", "high"]].to_numpy()
+            starts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1)]
+            found = [compare(rows.iloc[a:b], similarity) for a, b in zip(starts, starts[1:])]
+            held = rows.iloc[starts[-1]:] if len(rows) else None
+            found = [f for f in found if f is not None]
+            if found:
+                yield pd.concat(found)
+        if held is not None:
+            last = compare(held, similarity)
+            if last is not None:
+                yield last
+
+    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt.mapInPandas(run, schema)
+
+
+def leader_links(shared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(node, root)`` between nodes and the first and last nodes of their keys."""
+    leader = F.explode(F.array("first", "last")).alias("leader")
+    pairs = (shared.select("first", "last", "node", leader)
+             # a pair of both ends is compared from the first one only
+             .where((F.col("leader") != F.col("node"))
+                    & ((F.col("node") != F.col("first")) | (F.col("leader") != F.col("last"))))
+             .select("leader", "node").distinct())
+    pairs = materialize(pairs, "leaders")
+    # A leader of many nodes is dealt to one part per BLOCK nodes.
+    parts = pairs.groupBy(F.col("leader").alias("_leader")).agg(
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    salted = pairs.join(parts.hint("merge"), F.col("leader") == F.col("_leader")).select(
+        "leader", "node", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    own = sets.select(F.col("node").alias("_node"), F.col("shingles").alias("own"))
+    theirs = parts.join(sets.hint("merge"), F.col("_leader") == F.col("node")).select(
+        "_leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"),
+        F.col("shingles").alias("theirs"))
+    common = F.size(F.array_intersect("own", "theirs"))
+    union = F.size("own") + F.size("theirs") - common
+    return (salted.join(own.hint("merge"), F.col("node") == F.col("_node"))
+            .join(theirs.hint("merge"), (F.col("leader") == F.col("_leader"))
+                  & (F.col("part") == F.col("_part")))
+            .where(common + 1e-6 >= similarity * union)
+            .select("node", F.col("leader").alias("root")))
+
+
+def rest_links(shared: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float
+               ) -> DataFrame:
+    """Links ``(node, root)`` between different components ``roots`` that share a key."""
+    labelled = materialize(shared.join(
+        roots.select(F.col("node").alias("_in"), "root").hint("merge"),
+        F.col("node") == F.col("_in"), "left").select(
+        "key", "node", F.coalesce("root", "node").alias("root")), "labels")
+    each = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed_keys = each.groupBy(F.col("key").alias("_key")).agg(
+        F.count("*").alias("roots"), F.sum("n").alias("n"),
+        F.max(F.struct("n", "root")).alias("top")).where(F.col("roots") > 1).select(
+        "_key", F.col("top.root").alias("top"),
+        F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"),
+        F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("rests"))
+    is_rest = F.col("root") != F.col("top")
+    placed = labelled.join(mixed_keys.hint("merge"), F.col("key") == F.col("_key")).select(
+        "key", "node", "root", "chunks", "rests",
+        F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"),
+        F.when(is_rest, F.pmod(F.xxhash64(F.lit(1), "node"), "rests").cast("int")).otherwise(-1)
+        .alias("rest"))
+    as_chunk = F.transform(F.sequence(F.lit(0), F.col("rests") - 1),
+                           lambda i: F.struct(i.alias("low"), F.col("chunk").alias("high")))
+    as_rest = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1),
+                          lambda j: F.struct(F.col("rest").alias("low"), j.alias("high")))
+    units = placed.withColumn("unit", F.explode(F.when(
+        F.col("rest") < 0, as_chunk).otherwise(F.array_union(as_chunk, as_rest))))
+    rows = units.select("key", "unit.low", "unit.high", "chunk", "rest", "node", "root").join(
+        sets.hint("merge"), "node").select(*_REST)
+    return by_unit(rows, compare_rest, similarity, "node long, root long")
+
+
+def link_groups(docs: DataFrame, nodes: DataFrame, by_line: bool, similarity: float
+                ) -> tuple[DataFrame, DataFrame]:
+    """Components ``(node, root)`` of the similar nodes (see :func:`components`), and the
+    shingle sets ``(node, shingles)`` of all nodes that share a key."""
     shared = materialize(shared_keys(nodes), "shared-keys")
-    keys = shared.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    wanted = nodes.join(keys, "node").select("node", "at", "copies", "keys")
-    wanted = materialize(wanted, "wanted")
-    sets = materialize(shingle_sets(docs, wanted, by_line), "shingles")
+    wanted = shared.select(F.col("node").alias("_wanted")).distinct()
+    at = nodes.join(wanted.hint("merge"), F.col("node") == F.col("_wanted")).select("node", "at")
+    sets = materialize(shingle_sets(docs, at, by_line), "shingles")
+    edges = materialize(leader_links(shared, sets, similarity), "links")
+    more = materialize(rest_links(shared, components(edges), sets, similarity), "links")
+    return components(edges.union(more)), sets
+
+
+def link_counts(nodes: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float
+                ) -> DataFrame:
+    """``(node, links, linked_copies)`` for the nodes of components of several nodes."""
+    members = roots.union(roots.select("root", "root").distinct())
+    sizes = members.groupBy(F.col("root").alias("_root")).agg(
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = shared.select("key", "node", own.alias("block"), other.alias("other")).select(
+    units = members.join(sizes, F.col("root") == F.col("_root")).select(
+        F.col("root").alias("key"), "node", own.alias("block"), other.alias("other")).select(
         "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         "block", "node")
-    rows = (units.join(wanted.select("node", "copies", "keys").hint("merge"), "node")
-            .join(sets.hint("merge"), "node")
-            .select(*(part.split(" ")[0] for part in _UNIT.split(", "))))
-    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    found = dealt.mapInPandas(
-        lambda batches: compared(batches, similarity),
-        "node long, root long, links long, linked_copies long")
-    return materialize(found, "links")
+    rows = (units.join(nodes.select("node", "copies").hint("merge"), "node")
+            .join(sets.hint("merge"), "node").select(*_WHOLE))
+    counted = by_unit(rows, count_unit, similarity, "node long, links long, linked_copies long")
+    return counted.groupBy("node").agg(F.sum("links").alias("links"),
+                                       F.sum("linked_copies").alias("linked_copies"))
 
 
 def components(edges: DataFrame) -> DataFrame:

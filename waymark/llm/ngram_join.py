@@ -19,35 +19,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from waymark.llm.common import free_names, text_or_empty
-from waymark.llm.minhash import (RECALL, SIMILARITY, components, links, nodes_of, plan_bands,
-                                 signatures)
+from waymark.llm.minhash import (RECALL, SIMILARITY, link_counts, link_groups, nodes_of,
+                                 plan_bands, signatures)
 from waymark.storage import materialize
 
 ROWS = 5
 
 
-def ngram_links(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
-                ) -> DataFrame:
-    """``(doc_id, text_hash, class_id, class_digest, copies_id, n_copies, n_links)`` per
-    document.
-
-    ``class_digest`` identifies the group of connected documents and ``class_id`` is its
-    smallest id. ``copies_id`` names the group of equal word sequences, ``n_copies`` counts it;
-    ``n_links`` counts the other documents of at least this similarity, copies included.
-    """
+def groups_of(docs: DataFrame, similarity: float, recall: float, with_links: bool) -> DataFrame:
     bands = plan_bands(similarity, recall, ROWS)
-    signed = materialize(signatures(docs, bands, ROWS, False),
-                         "signatures")
+    signed = materialize(signatures(docs, bands, ROWS, False), "signatures")
     nodes = materialize(nodes_of(signed), "nodes")
-    found = links(docs, nodes, False, similarity)
-    roots = components(found.select("node", "root"))
-    counted = found.groupBy(F.col("node").alias("_linked")).agg(
-        F.sum("linked_copies").alias("linked"))
+    roots, sets = link_groups(docs, nodes, False, similarity)
     labelled = (nodes.select("node", "digest", "copies", "at")
                 .join(roots.select(F.col("node").alias("_in"), "root"),
                       F.col("node") == F.col("_in"), "left")
-                .join(counted, F.col("node") == F.col("_linked"), "left")
                 .withColumn("root", F.coalesce("root", "node")))
+    if with_links:
+        counted = link_counts(nodes, roots, sets, similarity).select(
+            F.col("node").alias("_linked"), F.col("linked_copies").alias("linked"))
+        labelled = labelled.join(counted, F.col("node") == F.col("_linked"), "left")
+    else:
+        labelled = labelled.withColumn("linked", F.lit(None).cast("long"))
     order = F.struct(F.col("at.doc_id").isNull().alias("lost"), "at", "digest")
     names = labelled.groupBy(F.col("root").alias("_root")).agg(F.min(order).alias("first"))
     named = labelled.join(names, F.col("root") == F.col("_root")).select(
@@ -57,15 +50,28 @@ def ngram_links(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
         F.coalesce("linked", F.lit(0)).alias("linked"))
     return signed.select("doc_id", "text_hash", "digest").join(
         named, F.col("digest") == F.col("_digest")).select(
-        "doc_id", "text_hash", "class_id", "class_digest", "copies_id", F.col("copies").alias("n_copies"),
+        "doc_id", "text_hash", "class_id", "class_digest", "copies_id",
+        F.col("copies").alias("n_copies"),
         (F.col("linked") + F.col("copies") - 1).alias("n_links"))
 
 
+def ngram_links(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
+                ) -> DataFrame:
+    """``(doc_id, text_hash, class_id, class_digest, copies_id, n_copies, n_links)`` per
+    document.
+
+    ``class_digest`` identifies the group of connected documents and ``class_id`` is its
+    smallest id. ``copies_id`` names the group of equal word sequences, ``n_copies`` counts it;
+    ``n_links`` counts the other documents of at least this similarity, copies included.
+    """
+    return groups_of(docs, similarity, recall, True)
+
+
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``; of each group the first document, by id (null last) and text
     hash, stays. Groups are told apart by their digest, not by ids."""
     row = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_hash")
-    first = ngram_links(docs).groupBy("class_digest").agg(F.min(row).alias("first"))
+    first = groups_of(docs, SIMILARITY, RECALL, False).groupBy("class_digest").agg(F.min(row).alias("first"))
     own, kept_hash, kept_id = free_names(docs, "_hash", "_kept_hash", "_kept_id")
     kept = first.select(F.col("first.text_hash").alias(kept_hash),
                         F.col("first.doc_id").alias(kept_id))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from waymark.llm.common import free_names, text_or_empty
-from waymark.llm.minhash import (RECALL, SIMILARITY, components, links, nodes_of, plan_bands,
+from waymark.llm.minhash import (RECALL, SIMILARITY, link_groups, nodes_of, plan_bands,
                                  signatures)
 from waymark.storage import materialize
 
@@ -34,7 +34,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, recall:
     signed = materialize(signatures(docs, bands, ROWS, True),
                          "paragraphs")
     nodes = materialize(nodes_of(signed), "nodes")
-    roots = components(links(docs, nodes, True, similarity).select("node", "root"))
+    roots, _ = link_groups(docs, nodes, True, similarity)
     clustered = (nodes.select("node", "digest", "copies", "at")
                  .join(roots.select(F.col("node").alias("_in"), "root"),
                        F.col("node") == F.col("_in"), "left")
