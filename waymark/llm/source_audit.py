@@ -9,8 +9,9 @@ recount.
 3. Second pass: the shards are broadcast, never more than ``BROADCAST_BYTES`` at once; if there
    are more, the pass is repeated for each part of them. A task counts every (language,
    source) in a dense vector with one place per slot, and gives out the places in use.
-4. Places are summed by shard. A shard compares its sources by whole vectors; more sources
-   than ``BLOCK`` are compared in blocks, so no task holds more than two blocks of one shard.
+4. The vectors of a source and shard are summed as a sorted stream, one vector at a time. A
+   shard compares its sources by whole vectors; more sources than ``BLOCK`` are compared in
+   blocks, so no task holds more than two blocks of one shard.
 
 All arithmetic is on whole numbers.
 
@@ -196,8 +197,15 @@ class Shards:
 
 # --- recount ----------------------------------------------------------------------------
 
-_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("shard", pa.int32()),
-                     ("slot", pa.int32()), ("n", pa.int64())])
+_COUNTS = "lang string, source string, shard int, slots array<int>, counts array<long>"
+
+
+def counts_batch(rows: list[tuple]) -> pa.RecordBatch:
+    lang, source, shard, slots, counts = zip(*rows)
+    return pa.record_batch(
+        [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(shard, pa.int32()),
+         pa.array(slots, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))],
+        names=["lang", "source", "shard", "slots", "counts"])
 
 
 class DenseCounts:
@@ -216,23 +224,24 @@ class DenseCounts:
         np.add.at(vector, places, 1)
 
     def give_out(self) -> Iterator[pa.RecordBatch]:
+        """The counts in use, a row per group and shard."""
         for (lang, source), vector in self.vectors.items():
-            used = np.flatnonzero(vector)
-            starts, names = map(np.array, zip(*self.shards.starts[lang]))
-            which = np.searchsorted(starts, used, "right") - 1
-            if len(used):
-                yield pa.record_batch([
-                    pa.array([lang] * len(used)), pa.array([source] * len(used)),
-                    pa.array(names[which], pa.int32()),
-                    pa.array(used - starts[which], pa.int32()), pa.array(vector[used])],
-                    schema=_COUNTS)
+            starts = self.shards.starts[lang]
+            rows = []
+            for (start, shard), end in zip(starts, [s for s, _ in starts[1:]] + [len(vector)]):
+                slots = np.flatnonzero(vector[start:end])
+                if len(slots):
+                    rows.append((lang, source, shard, slots.astype(np.int32),
+                                 vector[start:end][slots]))
+            if rows:
+                yield counts_batch(rows)
         self.vectors, self.cells = {}, 0
 
 
 def recount(docs: DataFrame, shards: pa.Table) -> DataFrame:
-    """``(lang, source, shard, slot, n)``: how often the terms of some shards occur; partial
-    sums of tasks."""
-    shared = docs.sparkSession.sparkContext.broadcast(shards)
+    """``(lang, source, shard, slots, counts)``: how often the terms of some shards occur;
+    partial sums of tasks."""
+    shared, cells = docs.sparkSession.sparkContext.broadcast(shards), CELLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Shards(shared.value)
@@ -256,17 +265,47 @@ def recount(docs: DataFrame, shards: pa.Table) -> DataFrame:
                     here = found[a:b]
                     if len(here):
                         counts.add(name, origin, here[here >= 0])
-                if counts.cells > CELLS:
+                if counts.cells > cells:
                     yield from counts.give_out()
         yield from counts.give_out()
 
-    return tokenized(docs).mapInArrow(
-        run, "lang string, source string, shard int, slot int, n long")
+    return tokenized(docs).mapInArrow(run, _COUNTS)
+
+
+def summed(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row per key with the sum of its vectors; those of other columns are of any row. A
+    task holds one vector at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, row, total = None, None, np.zeros(0, np.int64)
+
+        def done() -> tuple:
+            slots = np.flatnonzero(total)
+            return (*row, slots.astype(np.int32), total[slots])
+
+        for batch in batches:
+            rows = []
+            names = [batch[c].to_pylist() for c in ("lang", "source", "shard")]
+            for *found, slots, counts in zip(*names, batch["slots"], batch["counts"]):
+                at = [v for v, c in zip(found, ("lang", "source", "shard")) if c in keys]
+                if at != key:
+                    if key is not None:
+                        rows.append(done())
+                    key, row, total = at, found, np.zeros(SHARD, np.int64)
+                slots = slots.values.to_numpy()
+                if len(slots) and slots[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(slots[-1] + 1, np.int64)])
+                total[slots] += counts.values.to_numpy()
+            if rows:
+                yield counts_batch(rows)
+        if key is not None:
+            yield counts_batch([done()])
+
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _COUNTS)
 
 
 def counted(docs: DataFrame, shards: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """``(lang, source, shard, slot, n)`` over all shards, in as many passes as the limit asks
-    for."""
+    """``(lang, source, shard, slots, counts)`` over all shards, in as many passes as the limit
+    asks for."""
     size = (F.aggregate("terms", F.lit(0).cast("long"), lambda s, t: s + F.octet_length(t) + 4)
             + F.size("seeds") * 8)
     total, number = shards.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
@@ -280,9 +319,8 @@ def counted(docs: DataFrame, shards: DataFrame, broadcast_bytes: int) -> DataFra
     found = None
     for turn in range(passes):
         held = dealt.where(F.col("turn") == turn).drop("turn").toArrow().combine_chunks()
-        part = recount(docs, held).groupBy("lang", "source", "shard", "slot").agg(
-            F.sum("n").alias("n"))
-        part = materialize(part, "term-counts")
+        part = materialize(summed(recount(docs, held), ("lang", "source", "shard")),
+                           "term-counts")
         found = part if found is None else found.union(part)
     return found
 
@@ -303,23 +341,21 @@ def difference(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 _FOUND = "lang string, a int, b int, term string, value long"
 
 
-def compare_shard(unit: pd.DataFrame) -> pd.DataFrame:
+def compare_shard(unit: pd.DataFrame, block: int) -> pd.DataFrame:
     """Sums of differences between the sources ``a`` < ``b`` of a unit (two blocks of sources,
     one shard), and the terms by which a source exceeds its language most (``b`` is null)."""
-    head = unit[(unit["no"] < 0) & (unit["slot"] < 0)].iloc[0]
+    head = unit[unit["terms"].notna()].iloc[0]
     lang, terms, whole_n, v = head["lang"], head["terms"], int(head["n"]), int(head["v"])
-    names = unit[(unit["no"] >= 0) & (unit["slot"] < 0)].sort_values("no")
+    names = unit[(unit["no"] >= 0) & unit["slots"].isna()].sort_values("no")
     numbers, sums = names["no"].to_numpy(), names["n"].to_numpy()
-    cells = unit[unit["slot"] >= 0]
     counts = np.zeros((len(numbers), len(terms)), np.int64)
     whole = np.zeros(len(terms), np.int64)
-    own = cells["no"].to_numpy() >= 0
-    slots, n = cells["slot"].to_numpy(), cells["n"].to_numpy()
-    counts[np.searchsorted(numbers, cells["no"].to_numpy()[own]), slots[own]] = n[own]
-    whole[slots[~own]] = n[~own]
+    cells = unit[unit["slots"].notna()]
+    for no, slots, n in zip(cells["no"], cells["slots"], cells["counts"]):
+        (whole if no < 0 else counts[np.searchsorted(numbers, no)])[slots] = n
     p = np.stack([scaled(row, int(s), v) for row, s in zip(counts, sums)])
     q = scaled(whole, whole_n, v)
-    blocks = numbers // BLOCK
+    blocks = numbers // block
     found = []
     for i in range(len(numbers)):
         others = (numbers > numbers[i]) & ((blocks != blocks[i])
@@ -349,8 +385,9 @@ def audit_sources(docs: DataFrame, least: int = LEAST_DOCUMENTS,
     in_lang = F.col("lang") == F.col("_lang")
     sizes = shards.groupBy(F.col("lang").alias("_lang")).agg(
         F.sum(F.size("terms")).cast("long").alias("v"))
+    each = F.aggregate("counts", F.lit(0).cast("long"), lambda total, n: total + n)
     sums = counts.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(
-        F.sum("n").alias("n"))
+        F.sum(each).alias("n"))
     by_name = W.partitionBy("lang").orderBy("source")
     groups = (tokenized(docs).select("lang", "source").distinct()
               .join(sums, in_lang & (F.col("source") == F.col("_source")), "left")
@@ -362,22 +399,26 @@ def audit_sources(docs: DataFrame, least: int = LEAST_DOCUMENTS,
     ).join(sizes, "_lang")
     langs = materialize(langs, "languages")
 
-    nothing = F.lit(None).cast("array<string>").alias("terms")
-    no_slot, no_v = F.lit(-1).alias("slot"), F.lit(None).cast("long").alias("v")
+    def row(no, slots, counts, n, v, terms):
+        def typed(value, kind):
+            return (F.col(value) if isinstance(value, str) else F.lit(value)).cast(kind)
+
+        return ("lang", "shard", "blocks", typed(no, "int").alias("no"),
+                typed(slots, "array<int>").alias("slots"),
+                typed(counts, "array<long>").alias("counts"), typed(n, "long").alias("n"),
+                typed(v, "long").alias("v"), typed(terms, "array<string>").alias("terms"))
+
     listed = shards.join(langs, in_lang)
-    heads = listed.select(
-        "lang", "shard", "blocks", F.lit(-1).alias("no"), no_slot, F.col("whole").alias("n"),
-        "v", "terms")
+    heads = listed.select(*row(-1, None, None, "whole", "v", "terms"))
     names = listed.select("_lang", "shard", "blocks").join(groups, in_lang).select(
-        "lang", "shard", "blocks", "no", no_slot, "n", no_v, nothing)
+        *row("no", None, None, "n", None, None))
     named = groups.select(F.col("lang").alias("_of"), F.col("source").alias("_source"), "no")
     cells = (counts.join(named, (F.col("lang") == F.col("_of"))
                          & (F.col("source") == F.col("_source")))
-             .join(langs, in_lang)
-             .select("lang", "shard", "blocks", "no", "slot", "n", no_v, nothing))
-    whole = (counts.groupBy("lang", "shard", "slot").agg(F.sum("n").alias("n"))
-             .join(langs, in_lang).select("lang", "shard", "blocks", F.lit(-1).alias("no"),
-                                          "slot", "n", no_v, nothing))
+             .join(langs, in_lang).select(*row("no", "slots", "counts", None, None, None)))
+    whole = summed(counts, ("lang", "shard")).join(langs, in_lang).select(
+        *row(-1, "slots", "counts", None, None, None))
+    size = BLOCK
     block = F.when(F.col("no") >= 0, F.floor(F.col("no") / BLOCK).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     # Rows of no source go to all units of their shard, others to those of their block.
@@ -386,9 +427,10 @@ def audit_sources(docs: DataFrame, least: int = LEAST_DOCUMENTS,
              .withColumn("one", F.explode(firsts)).withColumn("two", F.explode(every))
              .where(block.isNotNull() | (F.col("one") <= F.col("two")))
              .select("lang", "shard", F.least("one", "two").alias("low"),
-                     F.greatest("one", "two").alias("high"), "no", "slot", "n", "v", "terms"))
+                     F.greatest("one", "two").alias("high"), "no", "slots", "counts", "n", "v",
+                     "terms"))
     found = materialize(units.groupBy("lang", "shard", "low", "high").applyInPandas(
-        compare_shard, _FOUND), "differences")
+        lambda unit: compare_shard(unit, size), _FOUND), "differences")
 
     between = found.where(F.col("b").isNotNull()).groupBy(
         F.col("lang").alias("_lang"), "a", "b").agg(F.sum("value").alias("value"))
