@@ -115,3 +115,16 @@ def test_plan_equals_plain_best_fit(counts):
             used[first + rank - low] += length
     assert {k: len(v) for k, v in ranks.items()} == counts
     assert sorted(40 - u for u in used.values()) == sorted(rooms)
+
+
+def test_characters_newer_than_pythons_tables():
+    """Every character of the first planes in four places, and marks in any order."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = [f"a{chr(i)}b {chr(i)}x {chr(i)}{chr(i)} Q{chr(i)}" for i in range(1, 0x20000)
+             if not 0xD800 <= i < 0xE000 and (i < 0x3400 or 0xA000 <= i < 0xAC00 or i > 0xFA00)]
+    texts += ["e̸࢘ z", "e࣑ᷴ z", "ᲉꟌꟜ"]
+    wanted = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [list(ids) for ids in WordIds(path).encode(pa.array(texts))] == wanted
+    counter = WordCounter(path)
+    assert list(map(counter.count, texts)) == list(map(len, wanted))

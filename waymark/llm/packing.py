@@ -37,6 +37,7 @@ from waymark.storage import materialize
 
 CAPACITY = 4096
 END_ID = 1
+BATCH_BYTES = 10 << 20  # of text encoded together
 CACHED_WORDS = 500_000  # entries of each of a worker's two tables; they start again when full
 PLAN = "length long, first_rank long, last_rank long, first_sequence long, offset long"
 
@@ -139,8 +140,10 @@ def token_pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
         for batch in batches:
-            for at in range(0, len(batch), 1000):  # ids of a few texts at a time
-                part = batch.slice(at, 1000)
+            sizes = pc.cast(pc.binary_length(batch.column(1)), pa.int64()).to_numpy()
+            at = np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH_BYTES, prepend=-1))
+            for at, end_at in zip(at, [*at[1:], len(batch)]):
+                part = batch.slice(at, end_at - at)
                 columns: list[list] = [[], [], [], [], []]
                 for key, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1))):
                     for piece, start in enumerate(range(0, len(ids) + 1, capacity)):

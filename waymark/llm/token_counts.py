@@ -24,6 +24,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 from tokenizers import Regex
+from tokenizers.normalizers import NFC, Lowercase, Sequence
 from tokenizers.pre_tokenizers import Split
 
 from waymark.llm.common import free_names, text_or_empty
@@ -43,6 +44,7 @@ ODD_BLANK = ("[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x
 _WORD = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_BLANK}\p{{L}}\p{{N}}]+")
 _CHUNK = regex.compile(rf"[^{_BLANK}]+")
+_NORMAL = Sequence([NFC(), Lowercase()])  # by the tables of the tokenizer, not Python's
 _KINDS = Split(Regex(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), "removed", invert=True)
 # str.split also cuts at these, which are ordinary characters here.
 _EXTRA_BLANK = regex.compile("[\x1c-\x1f]")
@@ -74,11 +76,7 @@ def split_words(chunk: str) -> list[str]:
         if lower[-1] in ".," and lower[:-1].isalpha():
             return [lower[:-1], lower[-1]]
         return _WORD.findall(lower)
-    if not unicodedata.is_normalized("NFC", chunk):
-        chunk = unicodedata.normalize("NFC", chunk)
-    # lower() treats a final capital sigma by context; the tokenizer does not.
-    sigma = chr(0x3A3) in chunk
-    lower = "".join(c.lower() for c in chunk) if sigma else chunk.lower()
+    lower = _NORMAL.normalize_str(chunk)
     if lower.isalpha():
         return [lower]
     known = "".join(stand_in(c) if unicodedata.category(c) == "Cn" else c for c in lower)
