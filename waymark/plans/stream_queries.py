@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from waymark.functions.names import tags_text
-from waymark.operators import counters, predictions
+from waymark.operators import counters
 from waymark.plans.event_queries import rounded
 from waymark.plans.flag_queries import nation_specs, now, rand, user_object
 from waymark.plans.inputs import (EVENTS, WEEKLY_RULES, goal_table, log_columns,
@@ -16,12 +16,11 @@ from waymark.plans.inputs import (EVENTS, WEEKLY_RULES, goal_table, log_columns,
 from waymark.schemas import COUNTER_KEY
 from waymark.session import streaming_session
 from waymark.storage import new_path
-from waymark.streaming import (FlagStream, IncrementalFacts, changed_counters,
-                               forward_events, latest_snapshot, read_batches, run_available,
+from waymark.streaming import (FlagStream, IncrementalFacts, IncrementalPredictions,
+                               changed_counters, forward_events, latest_snapshot, read_batches, run_available,
                                stream_first_writes, unique_user_counts, weekly_user_counts,
                                write_append, write_batches)
 from waymark.streaming.first_writes import STREAM_FACTS
-from waymark.streaming.incremental import MARKED, PRIOR
 
 
 ARRIVALS = 3
@@ -141,16 +140,13 @@ def _incremental(spark: SparkSession, sf_dir: str, handler: IncrementalFacts,
         .option("checkpointLocation", f"{base}/state")))
 
 
-def _all_batches(spark: SparkSession, base: str, name: str, schema: T.StructType) -> DataFrame:
-    return read_batches(spark, f"{base}/tables/{name}", schema).drop("batch_id")
-
-
 def stream_goal_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Goals announced in the stream take effect at once, for all users."""
     base = new_path(spark, "stream-goals")
-    _incremental(spark, sf_dir, IncrementalFacts(f"{base}/tables", WEEKLY_RULES), base)
-    facts = _all_batches(spark, base, "facts", MARKED).filter("is_goal")
-    singles = counters.single_tag_counts(_all_batches(spark, base, "prior", PRIOR))
+    handler = IncrementalFacts(f"{base}/tables", WEEKLY_RULES)
+    _incremental(spark, sf_dir, handler, base)
+    facts = handler.facts(spark).filter("is_goal")
+    singles = counters.single_tag_counts(handler.prior(spark))
     totals = facts.groupBy(*COUNTER_KEY).agg(F.count("*").alias("goal_users"))
     return (totals.alias("t").join(singles.alias("s"), counters.same_counter("t", "s"), "left")
             .select("t.*", "s.tag", F.coalesce("s.count", F.lit(0)).alias("count")))
@@ -165,22 +161,12 @@ def stream_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions recomputed from the facts table after every batch; the last ones."""
+    """Predictions brought up to date after every batch, from its new facts."""
     base = new_path(spark, "stream-predictions")
-
-    def predict(tables: IncrementalFacts, session: SparkSession, batch_id: int) -> None:
-        totals = counters.counter_totals(tables.facts(session, batch_id))
-        singles = counters.single_tag_counts(tables.prior(session, batch_id))
-        predictions.bayes_predictions(totals, singles).write.mode("overwrite").parquet(
-            f"{base}/predictions/batch_id={batch_id}")
-
-    handler = IncrementalFacts(f"{base}/tables", initial_goals=goal_table(spark),
-                               after=predict)
+    kept = IncrementalPredictions(f"{base}/tables")
+    handler = IncrementalFacts(f"{base}/tables", initial_goals=goal_table(spark), after=kept)
     _incremental(spark, sf_dir, handler, base)
-    schema = T.StructType.fromDDL(
-        "namespace string, goal string, event_name string, bayes double")
-    batches = read_batches(spark, f"{base}/predictions", schema)
-    return latest_snapshot(batches, "namespace", "goal", "event_name").select(
+    return kept.predictions(spark).read().select(
         "namespace", "goal", "event_name", rounded("bayes"))
 
 
