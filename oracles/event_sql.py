@@ -168,22 +168,42 @@ SELECT p_partkey, reason FROM (
          WHEN kind = 'fixed' THEN 'unknown_kind' END AS reason
   FROM damaged) WHERE reason IS NOT NULL"""),
     "approx_unique_users": statement(TYPED_LOG, select="""
-SELECT namespace, event_name, count(DISTINCT user_id) AS exact, TRUE AS hll_plus_ok,
-  TRUE AS hll_ok, TRUE AS theta_ok
+SELECT namespace, event_name, count(DISTINCT user_id) AS exact,
+  CAST(greatest(1, ceil(0.03 * count(DISTINCT user_id))) AS BIGINT) AS bound,
+  CAST(0 AS BIGINT) AS hll_plus_over, CAST(0 AS BIGINT) AS hll_over,
+  CAST(0 AS BIGINT) AS theta_over
 FROM log GROUP BY namespace, event_name"""),
     "bloom_membership": statement(STEP_LOG, select="""
-SELECT p.namespace, p.event_name, count(*) AS probes, count(d.user_id) AS done,
-  CAST(0 AS BIGINT) AS missed, TRUE AS few_false_hits,
-  CAST(greatest(1, ceil(count(*) * 1.1
-    / CASE WHEN starts_with(p.event_name, 'view') THEN 5 ELSE 8 END)) AS BIGINT) AS slices,
-  CASE WHEN starts_with(p.event_name, 'view') THEN 7 ELSE 10 END AS hashes
-FROM (SELECT DISTINCT namespace, event_name, CAST(CAST(user_id AS BIGINT) + 1 AS VARCHAR)
-        AS user_id FROM log) p
-LEFT JOIN (SELECT DISTINCT namespace, event_name, user_id FROM log) d
-  ON d.namespace = p.namespace AND d.event_name = p.event_name AND d.user_id = p.user_id
-GROUP BY p.namespace, p.event_name"""),
+SELECT namespace, event_name, probes, done, CAST(0 AS BIGINT) AS missed,
+  CAST(greatest(1, ceil(probes * 1.1 / CASE WHEN p = 0.01 THEN 100 ELSE 120 END)) AS BIGINT)
+    AS slices,
+  CASE WHEN p = 0.01 THEN 7 ELSE 10 END AS hashes,
+  CAST(floor((probes - done) * p + 4 * sqrt((probes - done) * p) + 2) AS BIGINT) AS allowed,
+  CAST(0 AS BIGINT) AS over
+FROM (
+  SELECT p.namespace, p.event_name, count(*) AS probes, count(d.user_id) AS done,
+    CASE WHEN starts_with(p.event_name, 'view') THEN 0.01::DOUBLE ELSE 0.001::DOUBLE END AS p
+  FROM (SELECT DISTINCT namespace, event_name, CAST(CAST(user_id AS BIGINT) + 1 AS VARCHAR)
+          AS user_id FROM log) p
+  LEFT JOIN (SELECT DISTINCT namespace, event_name, user_id FROM log) d
+    ON d.namespace = p.namespace AND d.event_name = p.event_name AND d.user_id = p.user_id
+  GROUP BY p.namespace, p.event_name)"""),
+    "bloom_growth": """
+WITH asked AS (
+  SELECT DISTINCT o_orderpriority AS event_name, o_custkey + 1 AS customer FROM orders),
+known AS (SELECT DISTINCT o_orderpriority AS event_name, o_custkey AS customer FROM orders),
+counts AS (
+  SELECT event_name, count(*) AS probes, count(known.customer) AS done
+  FROM asked LEFT JOIN known USING (event_name, customer) GROUP BY event_name)
+SELECT 'orders' AS namespace, event_name, probes, done, CAST(0 AS BIGINT) AS missed,
+  CAST(floor((probes - done) * 0.015::DOUBLE + 4 * sqrt((probes - done) * 0.015::DOUBLE) + 2)
+    AS BIGINT) AS allowed,
+  CAST(0 AS BIGINT) AS over
+FROM counts""",
     "sketch_merge": statement(TYPED_LOG, select="""
-SELECT namespace, event_name, count(DISTINCT user_id) AS exact, TRUE AS ok
+SELECT namespace, event_name, count(DISTINCT user_id) AS exact,
+  CAST(greatest(1, ceil(0.03 * count(DISTINCT user_id))) AS BIGINT) AS bound,
+  CAST(0 AS BIGINT) AS over
 FROM log GROUP BY namespace, event_name"""),
     "user_has_event": statement(TYPED_LOG, select="""
 SELECT 'default' AS namespace, 'purchase' AS event_name, CAST(c_custkey AS VARCHAR) AS user_id

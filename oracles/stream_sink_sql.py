@@ -48,6 +48,7 @@ GROUP BY ALL"""),
     "stream_predictions": ANALYSIS["bayes_predictions"],
     "stream_flags": FLAGS["flags_for_users"],
     "snapshot_roundtrip": COUNTER_ROWS,
+    "snapshot_changes": COUNTER_ROWS,
     "facts_roundtrip": EVENTS["first_writes"],
     "registry_roundtrip": statement(TYPED_LOG, FACTS, STREAM_GOALS, MARKED, TOTALS, select="""
 SELECT namespace, event_name, counter_type, iso_year, iso_week,

@@ -2,6 +2,9 @@
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from tests.helpers import goals_of, log_of
 from waymark.operators.cohorts import CohortRule
 from waymark.operators.counters import (counter_totals, nested_counts, single_tag_counts,
@@ -9,7 +12,7 @@ from waymark.operators.counters import (counter_totals, nested_counts, single_ta
 from waymark.operators.facts import first_writes, prior_events
 from waymark.operators.goals import mark_goals
 from waymark.sinks import (analytics_documents, counter_metrics, read_counters, read_goals,
-                           read_specs, write_counters, write_goals)
+                           read_specs, write_changed_counters, write_counters, write_goals)
 
 EVENTS = [("u", "a: b/c", 2), ("u", "goal"), ("v", "a: b/c"), ("w", "goal", 1)]
 RULES = (CohortRule("goal", date_cohort="weekly"),)
@@ -33,6 +36,52 @@ def test_goals_come_back(spark, tmp_path):
     assert [tuple(r) for r in read_goals(spark, str(tmp_path / "g")).collect()] == [("a", "g", 5)]
 
 
+def totals_of(spark, events):
+    return counter_totals(first_writes(log_of(spark, events)))
+
+
+def plain(frame):
+    return sorted(map(str, frame.collect()))
+
+
+def test_a_failed_write_leaves_the_old_snapshot(spark, tmp_path):
+    path = str(tmp_path / "c")
+    first = totals_of(spark, EVENTS)
+    assert write_counters(first, path) == 0
+    open_before = read_counters(spark, path)
+    broken = totals_of(spark, [*EVENTS, ("x", "new")]).withColumn(
+        "count", F.raise_error(F.lit("lost")).cast("long"))
+    for write in (write_counters, write_changed_counters):
+        with pytest.raises(Exception, match="lost"):
+            write(broken, path)
+        assert plain(read_counters(spark, path)) == plain(first)
+    second = totals_of(spark, [*EVENTS, ("x", "new")])
+    assert write_counters(second, path) == 1
+    assert plain(read_counters(spark, path)) == plain(second)
+    assert plain(open_before) == plain(first)  # a reader keeps to its version
+    assert plain(read_counters(spark, path, version=0)) == plain(first)
+
+
+def test_only_changed_counters_are_written(spark, tmp_path):
+    path = str(tmp_path / "c")
+    kept = {}
+    for number in range(11):  # merged on the way
+        changed = totals_of(spark, [(f"u{i}", f"e{number % 4}") for i in range(number + 1)])
+        write_changed_counters(changed, path)
+        for row in changed.collect():
+            kept[row["event_name"]] = str(row)
+        assert plain(read_counters(spark, path)) == sorted(kept.values())
+    assert len(list(tmp_path.glob("c/data-*"))) <= 8 + 3
+
+
+def test_old_versions_lose_their_files(spark, tmp_path):
+    path = str(tmp_path / "g")
+    for number in range(6):
+        write_goals(goals_of(spark, ("a", f"g{number}", 5)), path)
+    assert [r["goal_name"] for r in read_goals(spark, path).collect()] == ["g5"]
+    assert len(list(tmp_path.glob("g/data-*"))) == 3
+
+
 def test_metrics(spark):
     totals = counter_totals(first_writes(log_of(spark, EVENTS), RULES))
     rows = {(r["metric"], tuple(sorted(r["labels"].items())), r["value"])

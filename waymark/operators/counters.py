@@ -183,11 +183,21 @@ def nested_counts(totals: DataFrame, tags: DataFrame, singles: DataFrame) -> Dat
 def ranked_events(totals: DataFrame) -> DataFrame:
     """Counters with ``rank``: by count, largest first; equal counts by name.
 
-    Ranks are given inside each namespace, which holds its registered names, not its users.
+    A namespace may have very many counters: rows are dealt by range of the order, ranked
+    inside each range, and the sizes of the ranges before it are added.
     """
-    order = Window.partitionBy("namespace").orderBy(
-        F.desc("count"), "event_name", "counter_type", "iso_year", "iso_week")
-    return totals.withColumn("rank", F.row_number().over(order))
+    order = [F.desc("count"), "event_name", "counter_type", "iso_year", "iso_week"]
+    dealt = materialize(totals.repartitionByRange("namespace", *order).withColumn(
+        "_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("namespace", "_range").agg(F.count("*").alias("_size"))
+    before = (Window.partitionBy("namespace").orderBy("_range")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("namespace", "_range", F.coalesce(
+        F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("namespace", "_range").orderBy(*order))
+    return (dealt.withColumn("_inside", inside).join(starts, ["namespace", "_range"])
+            .select(*totals.columns, (F.col("_start") + F.col("_inside")).cast("int")
+                    .alias("rank")))
 
 
 def weekly_totals(totals: DataFrame) -> DataFrame:

@@ -116,10 +116,19 @@ def flags_for_users(users: DataFrame, specs: DataFrame, now: Column, rand: Colum
         .alias("enabled"))
 
 
+STEPS = 1000  # instants of a rollout listed together
+
+
 def rollout_exposure(specs: DataFrame, step_seconds: int) -> DataFrame:
-    """Expected share of enabled users at equal steps through each rollout."""
-    instants = F.sequence("rollout_start", "rollout_end", F.lit(step_seconds).cast("long"))
+    """Expected share of enabled users at equal steps through each rollout.
+
+    Instants are made in two steps, so that no cell holds those of a whole rollout.
+    """
+    step, width = F.lit(step_seconds).cast("long"), F.lit(step_seconds * STEPS).cast("long")
+    chunks = F.sequence("rollout_start", "rollout_end", width)
+    instants = F.sequence("_from", F.least(F.col("_from") + width - step, "rollout_end"), step)
     return (specs.filter(F.col("rollout_start") <= F.col("rollout_end"))
+            .select("name", "rollout_start", "rollout_end", F.explode(chunks).alias("_from"))
             .select("name", "rollout_start", "rollout_end", F.explode(instants).alias("at"))
             .select("name", "at", rollout_chance(
                 F.col("rollout_start"), F.col("rollout_end"), F.col("at")).alias("chance")))

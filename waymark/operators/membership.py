@@ -10,11 +10,13 @@ fixed size has one and errs more when it is overfull.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waymark.operators.cohorts import FIXED_SIZE
 from waymark.schemas import NAMED
+from waymark.storage import materialize
 
 PROBE = ["namespace", "event_name", "user_id"]
 COUNTER = ["namespace", "event_name"]
@@ -93,3 +95,121 @@ def probably_done(probes: DataFrame, filters: DataFrame, plans: DataFrame) -> Da
     found = asked.join(filters, [*COUNTER, "slice", "word"], "left")
     set_bit = F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))
     return found.groupBy(*PROBE).agg(F.bool_and(set_bit).alias("member"))
+
+
+# --- filters that grow after they were stored ------------------------------------------
+
+# Stage k of a growing filter holds twice as many users as the one before it and errs half as
+# often, so that all stages together stay below the counter's error probability.
+SLACK = 1.1  # users are dealt to stages by hash, so a stage may get a few per cent more
+GROWING = [*COUNTER, "origin", "stage"]
+_SETTINGS = ["kind", "size", "error_probability"]
+
+
+def stage_plans(stages: DataFrame) -> DataFrame:
+    """``stages`` (with ``kind, size, error_probability``) with ``bits`` and ``hashes``."""
+    size = F.greatest(F.col("size"), F.lit(1))
+    capacity = size * F.pow(F.lit(2.0), F.col("stage"))
+    share = F.when(F.col("kind") == FIXED_SIZE, F.lit(1.0)).otherwise(
+        F.pow(F.lit(0.5), F.col("stage") + 1))
+    bits = F.ceil(-capacity * SLACK * F.log(F.col("error_probability") * share)
+                  / math.log(2) ** 2)
+    return stages.select(*stages.columns, bits.cast("long").alias("bits"), F.greatest(
+        F.lit(1), F.round(bits / (capacity * SLACK) * math.log(2))).cast("int").alias("hashes"))
+
+
+@dataclass(frozen=True)
+class GrowingFilters:
+    """``stages``: ``(namespace, event_name, origin, stage, users, kind, size,
+    error_probability)``; ``words``: their bits ``(…, word, bits)``. ``origin`` tells filters
+    apart that were built independently and then put together."""
+
+    stages: DataFrame
+    words: DataFrame
+
+
+def _bits_of(users: DataFrame, plans: DataFrame, keys: list[str]) -> DataFrame:
+    """``users`` with one row per bit of the planned filters: ``word`` and ``bit``."""
+    position = F.col("position")
+    places = F.transform(F.sequence(F.lit(1), F.col("hashes")),
+                         lambda i: F.pmod(F.xxhash64("user_id", i), F.col("bits")))
+    return (users.join(plans.select(*GROWING, "bits", "hashes"), keys)
+            .withColumn("position", F.explode(places))
+            .withColumn("word", (position / 64).cast("long")).withColumn("bit", _bit(position))
+            .drop("bits", "hashes", "position"))
+
+
+def add_users(filters: GrowingFilters | None, users: DataFrame, settings: DataFrame,
+              origin: str = "") -> GrowingFilters:
+    """Filters that also hold ``users`` (namespace, event_name, user_id).
+
+    Users the filters already know are left out, as with an exact set. The others fill the
+    last stage of their counter and then new stages; each is dealt by its hash to the place it
+    would have in a list, so no list is made. ``settings`` has ``kind, size,
+    error_probability`` per counter; it is kept with the filter and read for new counters
+    only. A filter of fixed size has one stage, whatever it holds.
+    """
+    added = users.select(*PROBE).distinct()
+    if filters:
+        member = in_growing(added, filters).where("member").select(*PROBE)
+        added = added.join(member, PROBE, "left_anti")
+    added = materialize(added, "filter-users")
+    counts = added.groupBy(*COUNTER).agg(F.count("*").alias("_new"))
+    if filters:
+        own = filters.stages.where(F.col("origin") == origin)
+        known = own.groupBy(*COUNTER).agg(
+            F.sum("users").alias("_held"), *(F.first(c).alias(f"_{c}") for c in _SETTINGS))
+        counts = counts.join(known, COUNTER, "left")
+        settled = [F.coalesce(f"_{c}", c).alias(c) for c in _SETTINGS]
+    else:
+        counts = counts.withColumn("_held", F.lit(0))
+        settled = [F.col(c) for c in _SETTINGS]
+    plan = counts.join(settings, COUNTER, "left").select(
+        *COUNTER, "_new", F.coalesce("_held", F.lit(0)).alias("_held"), *settled)
+    size = F.greatest(F.col("size"), F.lit(1))
+    share = (F.pmod(F.xxhash64(F.lit("place"), "user_id"), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    place = F.col("_held") + share * F.col("_new")
+    stage = F.when(F.col("kind") == FIXED_SIZE, F.lit(0)).otherwise(
+        F.floor(F.log2(place / size + 1))).cast("int")
+    dealt = materialize(added.join(plan, COUNTER).select(
+        *PROBE, F.lit(origin).alias("origin"), stage.alias("stage"), *_SETTINGS), "filter-stages")
+    new = dealt.groupBy(*GROWING).agg(F.count("*").alias("users"),
+                                      *(F.first(c).alias(c) for c in _SETTINGS))
+    plans = stage_plans(new)
+    words = (_bits_of(dealt.select(*PROBE, "origin", "stage"), plans, GROWING)
+             .groupBy(*GROWING, "word").agg(F.bit_or("bit").alias("bits")))
+    if not filters:
+        return GrowingFilters(new, words)
+    stages = filters.stages.unionByName(new).groupBy(*GROWING).agg(
+        F.sum("users").alias("users"), *(F.first(c).alias(c) for c in _SETTINGS))
+    return GrowingFilters(stages, filters.words.unionByName(words).groupBy(
+        *GROWING, "word").agg(F.bit_or("bits").alias("bits")))
+
+
+def united(left: GrowingFilters, right: GrowingFilters) -> GrowingFilters:
+    """Filters of both sides, whatever their sizes; origins must differ where counters are
+    the same. The probabilities of error add up."""
+    return GrowingFilters(left.stages.unionByName(right.stages),
+                          left.words.unionByName(right.words))
+
+
+def in_growing(probes: DataFrame, filters: GrowingFilters) -> DataFrame:
+    """Probes (distinct rows) with ``member``: in any stage of their counter's filters."""
+    plans = stage_plans(filters.stages)
+    asked = _bits_of(probes.select(*PROBE), plans, COUNTER)
+    found = asked.join(filters.words, [*GROWING, "word"], "left")
+    set_bit = F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))
+    hits = (found.groupBy(*PROBE, "origin", "stage").agg(F.bool_and(set_bit).alias("hit"))
+            .where("hit").select(*PROBE).distinct().withColumn("_hit", F.lit(True)))
+    return probes.join(hits, PROBE, "left").select(
+        *probes.columns, F.coalesce("_hit", F.lit(False)).alias("member"))
+
+
+def store_filters(filters: GrowingFilters, path: str) -> None:
+    filters.stages.write.parquet(f"{path}/stages")
+    filters.words.write.parquet(f"{path}/words")
+
+
+def stored_filters(spark: SparkSession, path: str) -> GrowingFilters:
+    return GrowingFilters(spark.read.parquet(f"{path}/stages"),
+                          spark.read.parquet(f"{path}/words"))

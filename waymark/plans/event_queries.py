@@ -354,29 +354,40 @@ def counter_config_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohorts.setting_rejects(settings).select("p_partkey", "reason")
 
 
+def _beyond(estimate: str) -> Column:
+    """By how many users an estimate misses more than ``bound`` allows."""
+    off = F.ceil(F.abs(F.col(estimate) - F.col("exact"))).cast("long")
+    return F.greatest(off - F.col("bound"), F.lit(0)).cast("long")
+
+
+def _bound(error: float) -> Column:
+    """Three standard errors of the exact count, at least one user."""
+    return F.greatest(F.lit(1), F.ceil(3 * error * F.col("exact"))).cast("long").alias("bound")
+
+
 def approx_unique_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketch estimates next to the exact count; each must stay within three errors."""
+    """Sketch estimates next to the exact count: how far each is beyond three errors."""
     error = 0.01
     log = typed_log(spark, sf_dir)
     exact = counters.counter_totals(fact_ops.named_first_writes(log)).select(
         "namespace", "event_name", F.col("count").alias("exact"))
     estimates = sketches.approximate_unique_users(log, "namespace", "event_name", error=error)
-    close = lambda c: (
-        F.abs(F.col(c) - F.col("exact")) <= F.greatest(F.lit(1.0), 3 * error * F.col("exact")))
     return estimates.join(exact, ["namespace", "event_name"]).select(
-        "namespace", "event_name", "exact",
-        close("hll_plus_estimate").alias("hll_plus_ok"),
-        close("hll_estimate").alias("hll_ok"), close("theta_estimate").alias("theta_ok"))
+        "*", _bound(error)).select(
+        "namespace", "event_name", "exact", "bound",
+        _beyond("hll_plus_estimate").alias("hll_plus_over"),
+        _beyond("hll_estimate").alias("hll_over"), _beyond("theta_estimate").alias("theta_over"))
 
 
 def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Did the next user do the same event? Asked of the filters and answered exactly.
 
-    The rules give far too small sizes, so that the filters have to grow.
+    The rules give too small sizes, so that the filters have to grow. ``allowed`` is how often
+    they may err, from each counter's own probability; ``over`` counts errors beyond it.
     """
     named = materialize(fact_ops.named_first_writes(step_log(spark, sf_dir)), "facts")
-    rules = (cohorts.CohortRule("^view", size=5, error_probability=0.01),
-             cohorts.CohortRule(".*", size=8, error_probability=0.001))
+    rules = (cohorts.CohortRule("^view", size=100, error_probability=0.01),
+             cohorts.CohortRule(".*", size=120, error_probability=0.001))
     counted = counters.counter_totals(named).select("namespace", "event_name", "count")
     plans = materialize(membership.filter_plans(
         cohorts.with_counter_settings(counted, rules)), "filter-plans")
@@ -394,8 +405,55 @@ def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.count_if(~done & F.col("member")).alias("false_hits"))
             .join(plans.select("namespace", "event_name", "slices", "hashes"),
                   ["namespace", "event_name"])
-            .withColumn("few_false_hits",
-                        F.col("false_hits") <= 5 + 0.05 * F.col("probes")).drop("false_hits"))
+            .withColumn("probability", F.when(
+                F.col("event_name").startswith("view"), 0.01).otherwise(0.001))
+            .withColumn("allowed", allowed_errors(F.col("probes") - F.col("done"),
+                                                  F.col("probability")))
+            .withColumn("over", F.greatest(F.col("false_hits") - F.col("allowed"), F.lit(0)))
+            .drop("false_hits", "probability"))
+
+
+def allowed_errors(tries: Column, probability: Column) -> Column:
+    """Errors of so many independent tries that are exceeded about once in 30,000 cases."""
+    mean = tries * probability
+    return F.floor(mean + 4 * F.sqrt(mean) + 2).cast("long")
+
+
+def bloom_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters of customers by order priority: built from the oldest third of the orders,
+    stored, read again and added to, then put together with those of the last third, which
+    were built elsewhere with other sizes. The next customer of each is asked for."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.lit("orders").alias("namespace"), F.col("o_orderpriority").alias("event_name"),
+        F.col("o_custkey").cast("string").alias("user_id"),
+        F.pmod(F.col("o_orderkey"), F.lit(3)).alias("third"))
+    events = orders.select("namespace", "event_name").distinct()
+
+    def settings(size: int, probability: float) -> DataFrame:
+        return events.select("*", F.lit(cohorts.SCALABLE).alias("kind"),
+                             F.lit(size).cast("long").alias("size"),
+                             F.lit(probability).alias("error_probability"))
+
+    path, small = new_path(spark, "filters"), settings(100, 0.01)
+    first = membership.add_users(None, orders.where("third = 0"), small)
+    membership.store_filters(first, f"{path}/first")
+    grown = membership.add_users(membership.stored_filters(spark, f"{path}/first"),
+                                 orders.where("third = 1"), small)
+    other = membership.add_users(None, orders.where("third = 2"), settings(350, 0.005), "other")
+    membership.store_filters(membership.united(grown, other), f"{path}/all")
+    next_user = (F.col("user_id").cast("long") + 1).cast("string")
+    probes = orders.withColumn("user_id", next_user).select(*membership.PROBE).distinct()
+    answers = membership.in_growing(probes, membership.stored_filters(spark, f"{path}/all"))
+    done = orders.select(*membership.PROBE).distinct().withColumn("done", F.lit(True))
+    is_done = F.coalesce("done", F.lit(False))
+    return (answers.join(done, membership.PROBE, "left").groupBy("namespace", "event_name")
+            .agg(F.count("*").alias("probes"), F.count_if(is_done).alias("done"),
+                 F.count_if(is_done & ~F.col("member")).alias("missed"),
+                 F.count_if(~is_done & F.col("member")).alias("false_hits"))
+            .withColumn("allowed", allowed_errors(F.col("probes") - F.col("done"),
+                                                  F.lit(0.015)))
+            .withColumn("over", F.greatest(F.col("false_hits") - F.col("allowed"), F.lit(0)))
+            .drop("false_hits"))
 
 
 def sketch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,10 +466,8 @@ def sketch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         sketches.merge_sketches(by_week, "namespace", "event_name"))
     exact = counters.counter_totals(fact_ops.named_first_writes(log)).select(
         "namespace", "event_name", F.col("count").alias("exact"))
-    return merged.join(exact, ["namespace", "event_name"]).select(
-        "namespace", "event_name", "exact",
-        (F.abs(F.col("estimate") - F.col("exact"))
-         <= F.greatest(F.lit(1.0), 3 * error * F.col("exact"))).alias("ok"))
+    return merged.join(exact, ["namespace", "event_name"]).select("*", _bound(error)).select(
+        "namespace", "event_name", "exact", "bound", _beyond("estimate").alias("over"))
 
 
 # --- reading counters -----------------------------------------------------------------
@@ -545,6 +601,7 @@ QUERIES = {
     "counter_config_match": counter_config_match,
     "approx_unique_users": approx_unique_users,
     "bloom_membership": bloom_membership,
+    "bloom_growth": bloom_growth,
     "sketch_merge": sketch_merge,
     "counter_config_rejects": counter_config_rejects,
     "user_has_event": user_has_event,

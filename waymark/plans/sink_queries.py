@@ -10,9 +10,10 @@ from waymark.plans.event_queries import (ensure_goal_activation, marked_facts, n
                                          parsed_specs, rounded, weekly_facts)
 from waymark.schemas import COUNTER_KEY
 from waymark.sinks import (analytics_documents, counter_metrics, prediction_metrics,
-                           read_counters, read_facts, read_goals, read_specs, write_counters,
-                           write_facts, write_goals, write_specs)
-from waymark.storage import new_path
+                           read_counters, read_facts, read_goals, read_specs,
+                           write_changed_counters, write_counters, write_facts, write_goals,
+                           write_specs)
+from waymark.storage import materialize, new_path
 
 
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,19 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_counters(spark, path).select(*COUNTER_KEY, "count", rounded("value_sum"))
 
 
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of half of the facts written whole, then those that the rest changes."""
+    path = new_path(spark, "changes")
+    facts = materialize(weekly_facts(spark, sf_dir), "facts")
+    early = F.pmod(F.xxhash64("user_id", "event_name"), F.lit(2)) == 0
+    write_counters(counters.counter_totals(facts.where(early)), path)
+    touched = facts.where(~early).select(*COUNTER_KEY).distinct().alias("t")
+    changed = counters.counter_totals(facts).alias("c").join(
+        touched, counters.same_counter("c", "t"), "left_semi")
+    write_changed_counters(changed, path)
+    return read_counters(spark, path).select(*COUNTER_KEY, "count", rounded("value_sum"))
+
+
 def facts_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "facts")
     write_facts(weekly_facts(spark, sf_dir), path)
@@ -70,6 +84,7 @@ def analytics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "snapshot_roundtrip": snapshot_roundtrip,
+    "snapshot_changes": snapshot_changes,
     "facts_roundtrip": facts_roundtrip,
     "registry_roundtrip": registry_roundtrip,
     "flag_spec_roundtrip": flag_spec_roundtrip,
