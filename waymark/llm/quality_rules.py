@@ -6,11 +6,15 @@ transformed statistics: for each language and source the minimum covariance dete
 gives a location and scatter that outliers do not move, and a text is rejected if its
 Mahalanobis distance exceeds a chi-square limit.
 
-The estimate starts from medians and quartiles; concentration steps then take the share
-``SUBSET`` of smallest distances, found by counting distances in fixed bins, and recompute
-mean and covariance. A last step uses all texts below the usual limit. Groups with few texts
-lean on their language: both estimates are averaged with the weight of ``PRIOR`` texts. A
-floor under each scale keeps constant statistics from rejecting the first other value.
+The determinant is searched from three starts: medians with quartile scales, the covariance
+of squashed values, and the covariance of directions from the median. Each makes two
+concentration steps: the half of the texts with the smallest distances, found by counting
+distances in fixed bins, gives the next mean and covariance. The start with the smallest
+determinant goes on until its determinant stops falling. All groups take their steps
+together, as rows of one small table. A last step uses all texts below the usual limit. Groups
+with few texts lean on their language: both estimates are averaged with the weight of
+``PRIOR`` texts. A floor under each scale keeps constant statistics from rejecting the first
+other value.
 
 All work is column expressions: texts are read once, and the steps run over the small table
 of statistics, with one row per group of parameters.
@@ -35,8 +39,11 @@ MIN_WORDS = 10
 MAX_REPEATED = 20  # per cent of the words
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-SUBSET = 0.75
-STEPS = 3
+SUBSET = 0.5
+FIRST_STEPS = 2  # of every start
+MOST_STEPS = 15  # of the best one; it stops when no group's determinant falls any more
+FALLS = 1e-3  # smallest fall of a log determinant that counts
+SALTS = 16  # parts that the texts of a group are joined in
 PRIOR = 30
 LIMIT = 0.9999  # of the chi-square distribution
 BIN = 8  # distance bins per doubling
@@ -170,13 +177,16 @@ def _with_factor(params: DataFrame) -> DataFrame:
                 (F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
             below[f"l{i}{j}"] = rest / F.col(f"l{j}{j}")
         params = params.withColumns(below) if below else params
-    return materialize(params.drop(*(f"c{i}{j}" for i, j in PAIRS)), "factors")
+    return materialize(params.drop(*(f"c{i}{j}" for i, j in PAIRS)).withColumn(
+        "determinant", _log_determinant()), "factors")
 
 
 def _with_distance(rows: DataFrame, params: DataFrame, key: str) -> DataFrame:
-    """Squared Mahalanobis distances, by forward substitution."""
-    joined = rows.join(_with_factor(params).withColumnRenamed(key, "_key"),
-                       F.col(key) == F.col("_key"))
+    """Squared Mahalanobis distances, by forward substitution. ``params`` have factors."""
+    salt = F.pmod(F.xxhash64(*NAMES), F.lit(SALTS)).cast("int")
+    salted = params.withColumnRenamed(key, "_key").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = rows.join(salted, (F.col(key) == F.col("_key")) & (salt == F.col("_part")))
     for i, name in enumerate(NAMES):
         rest = F.col(name) - F.col(f"m{i}") - sum(
             (F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))
@@ -185,21 +195,82 @@ def _with_distance(rows: DataFrame, params: DataFrame, key: str) -> DataFrame:
     return joined.select(*rows.columns, squares.alias("distance"))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and scales from quartiles, of every group."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """First locations and scatters: several rows per group, told apart by ``start``."""
     quartiles = rows.groupBy("key").agg(*(
         F.percentile_approx(name, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(name)
         for name in NAMES))
-    columns = [F.col("key")]
-    for i, name in enumerate(NAMES):
-        columns.append(F.get(name, F.lit(1)).alias(f"m{i}"))
-    for i, j in PAIRS:
-        if i == j:
-            scale = (F.get(NAMES[i], F.lit(2)) - F.get(NAMES[i], F.lit(0))) / 1.349
-            columns.append((scale * scale + FLOORS[NAMES[i]] ** 2).alias(f"c{i}{j}"))
-        else:
-            columns.append(F.lit(0.0).alias(f"c{i}{j}"))
-    return quartiles.select(*columns)
+    middle = materialize(quartiles.select(
+        F.col("key").alias("_key"),
+        *(F.get(name, F.lit(1)).alias(f"m{i}") for i, name in enumerate(NAMES)),
+        *(F.sqrt(F.pow((F.get(name, F.lit(2)) - F.get(name, F.lit(0))) / 1.349, 2)
+                 + FLOORS[name] ** 2).alias(f"s{i}") for i, name in enumerate(NAMES))), "medians")
+    size = len(NAMES)
+    scaled = rows.join(middle, F.col("key") == F.col("_key")).select(
+        "key", *((F.col(name) - F.col(f"m{i}")) / F.col(f"s{i}") for i, name in enumerate(NAMES))
+    ).toDF("key", *(f"z{i}" for i in range(size)))
+    z = [F.col(f"z{i}") for i in range(size)]
+    length = F.sqrt(sum((v * v for v in z), F.lit(1e-9)))
+    squashed, ways = [F.tanh(v) for v in z], [v / length for v in z]
+    products = scaled.groupBy(F.col("key").alias("_of")).agg(
+        *(F.avg(squashed[i] * squashed[j]).alias(f"a{i}{j}") for i, j in PAIRS),
+        *(F.avg(ways[i] * ways[j]).alias(f"b{i}{j}") for i, j in PAIRS))
+    both = middle.join(products, F.col("_key") == F.col("_of"))
+
+    def start(number: int, letter: str | None) -> DataFrame:
+        columns = [F.col("_key").alias("key"), F.lit(number).alias("start"),
+                   *(f"m{i}" for i in range(size))]
+        for i, j in PAIRS:
+            scale = F.col(f"s{i}") * F.col(f"s{j}")
+            if letter is None:
+                value = scale if i == j else F.lit(0.0)
+            else:  # a correlation, with the scales of the quartiles
+                norm = F.sqrt((F.col(f"{letter}{i}{i}") + 1e-9) * (F.col(f"{letter}{j}{j}") + 1e-9))
+                value = scale if i == j else scale * F.col(f"{letter}{i}{j}") / norm
+            columns.append(value.alias(f"c{i}{j}"))
+        return both.select(*columns)
+
+    return start(0, None).union(start(1, "a")).union(start(2, "b"))
+
+
+def _log_determinant() -> Column:
+    return 2 * sum((F.log(f"l{j}{j}") for j in range(len(NAMES))), F.lit(0.0))
+
+
+def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """One concentration step: parameters with factors and ``determinant`` (its logarithm)."""
+    near = _nearest(_with_distance(rows, params, "key"))
+    return _with_factor(_scatter(near, consistency(SUBSET), "scatter").drop("n"))
+
+
+def minimum_determinant(rows: DataFrame) -> DataFrame:
+    """Per ``key`` the location and scatter of the half of the rows with the smallest
+    determinant that is found: parameters with factors and ``determinant``."""
+    starts = _starts(rows)
+    tried = F.concat("start", F.lit("|"), "key")
+    several = materialize(rows.withColumn("start", F.explode(F.array(*map(F.lit, "012"))))
+                          .withColumn("key", tried).drop("start"), "starts")
+    params = _with_factor(starts.withColumn("key", tried).drop("start"))
+    for _ in range(FIRST_STEPS):
+        params = _step(several, params)
+    own = params.withColumn("_start", F.col("key")).withColumn(
+        "key", F.expr("substring(key, 3)"))
+    first = W.partitionBy("key").orderBy("determinant", "_start")  # three rows each
+    best = own.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop(
+        "_rank", "_start")
+    best = materialize(best, "best")
+    for _ in range(MOST_STEPS):
+        found = _step(rows, best)
+        later = found.select(F.col("key").alias("_key"), F.col("determinant").alias("_later"))
+        falls = best.join(later, F.col("key") == F.col("_key")).where(
+            F.col("_later") < F.col("determinant") - FALLS)
+        changed = falls.select(F.col("key").alias("_key"))
+        if changed.isEmpty():
+            break
+        best = materialize(
+            best.join(changed, F.col("key") == F.col("_key"), "left_anti").unionByName(
+                found.join(changed, F.col("key") == F.col("_key"), "left_semi")), "best")
+    return best
 
 
 def _nearest(rows: DataFrame) -> DataFrame:
@@ -233,10 +304,7 @@ def robust_estimates(facts: DataFrame) -> DataFrame:
     # The language is a group beside its sources.
     rows = materialize(judged.select(
         F.explode(F.array(own, language)).alias("key"), *NAMES), "statistics")
-    params = _start(rows)
-    for _ in range(STEPS):
-        near = _nearest(_with_distance(rows, params, "key"))
-        params = _scatter(near, consistency(SUBSET), "scatter").drop("n")
+    params = minimum_determinant(rows)
     usual = 0.975
     near = _with_distance(rows, params, "key").where(
         F.col("distance") <= chi_square_quantile(usual, len(NAMES)))
@@ -260,7 +328,7 @@ def judge_documents(docs: DataFrame) -> DataFrame:
     estimates = materialize(robust_estimates(facts), "estimates")
     keyed = facts.withColumn("group", group_key(F.col("lang"), F.col("source")))
     limit = chi_square_quantile(LIMIT, len(NAMES))
-    return _with_distance(keyed, estimates, "group").select(
+    return _with_distance(keyed, _with_factor(estimates), "group").select(
         "doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols",
         "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(False)))
