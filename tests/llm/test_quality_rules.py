@@ -9,8 +9,8 @@ from collections import Counter
 import numpy as np
 
 from waymark.llm.quality_rules import (FLOORS, LIMIT, NAMES, PAIRS, _with_distance,
-                                       _with_factor, chi_square_cdf, chi_square_quantile, consistency,
-                                       judge_documents, minimum_determinant, robust_estimates)
+                                       chi_square_cdf, chi_square_quantile, judge_documents,
+                                       robust_estimates)
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string"
 
@@ -71,7 +71,7 @@ def test_distance_is_that_of_the_estimates(spark):
     params = spark.createDataFrame(
         [("g", *map(float, mean), *(float(scatter[i, j]) for i, j in PAIRS))],
         "key string, " + ", ".join(columns))
-    found = sorted(r["distance"] for r in _with_distance(rows, _with_factor(params), "key").collect())
+    found = sorted(r["distance"] for r in _with_distance(rows, params, "key").collect())
     expected = sorted((x - mean) @ np.linalg.solve(scatter, x - mean) for x in points)
     assert np.allclose(found, expected)
 
@@ -90,51 +90,6 @@ def test_outliers_do_not_move_the_estimate(spark):
         assert abs(found[f"c{i}{i}"] - floors[i] ** 2 - (i + 1.5)) < 0.25 * (i + 1.5)
 
 
-def plain_search(points, starts=200):
-    """Smallest log determinant of half of the points, from random starts."""
-    rng, best = np.random.default_rng(1), np.inf
-    floor, half = np.diag(np.square(list(FLOORS.values()))), len(points) // 2
-    for _ in range(starts):
-        part = points[rng.choice(len(points), 6, False)]
-        for _ in range(30):
-            mean, scatter = part.mean(0), np.cov(part.T, bias=True) + floor
-            away = ((points - mean) @ np.linalg.inv(scatter) * (points - mean)).sum(1)
-            part = points[np.argsort(away, kind="stable")[:half]]
-        scatter = np.cov(part.T, bias=True) * consistency(0.5) + floor
-        best = min(best, np.linalg.slogdet(scatter)[1])
-    return best
-
-
-def test_scattered_outliers_of_a_third(spark):
-    """35 % junk of varying distance is left out, and the determinant is that of a search."""
-    rng = np.random.default_rng(12)
-    good, bad = rng.normal(0, 1, (1200, 5)), rng.normal(8, 3, (646, 5))
-    other = rng.multivariate_normal(np.arange(5), np.diag([1, 2, 3, 4, 5]) + 0.5, 400)
-    names = ", ".join(f"{n} double" for n in NAMES)
-    rows = [("a", *map(float, r)) for r in np.vstack([good, bad])]
-    rows += [("b|1", *map(float, r)) for r in other]
-    keyed = spark.createDataFrame(rows, f"key string, {names}")
-    found = {r["key"]: r["determinant"] for r in minimum_determinant(keyed).collect()}
-    assert abs(found["a"] - plain_search(np.vstack([good, bad]))) < 0.25
-    assert abs(found["b|1"] - plain_search(other)) < 0.25
-    facts = spark.createDataFrame(
-        [(False, "en", key, *values) for key, *values in rows if key == "a"],
-        f"base_failed boolean, lang string, source string, {names}")
-    estimate = robust_estimates(facts).first()
-    mean = np.array([estimate[f"m{i}"] for i in range(5)])
-    scatter = np.zeros((5, 5))
-    for i, j in PAIRS:
-        scatter[i, j] = scatter[j, i] = estimate[f"c{i}{j}"]
-    limit = chi_square_quantile(LIMIT, 5)
-
-    def kept(points):
-        away = ((points - mean) @ np.linalg.inv(scatter) * (points - mean)).sum(1)
-        return (away <= limit).mean()
-
-    assert kept(bad) < 0.05
-    assert kept(good) > 0.99
-
-
 def test_chi_square():
     assert abs(chi_square_cdf(11.0705, 5) - 0.95) < 1e-5
     assert abs(chi_square_quantile(LIMIT, 5) - 25.745) < 1e-2
