@@ -6,11 +6,16 @@ transformed statistics: for each language and source the minimum covariance dete
 gives a location and scatter that outliers do not move, and a text is rejected if its
 Mahalanobis distance exceeds a chi-square limit.
 
-The estimate starts from medians and quartiles; concentration steps then take the share
-``SUBSET`` of smallest distances, found by counting distances in fixed bins, and recompute
-mean and covariance. A last step uses all texts below the usual limit. Groups with few texts
-lean on their language: both estimates are averaged with the weight of ``PRIOR`` texts. A
-floor under each scale keeps constant statistics from rejecting the first other value.
+The determinant is searched from three starts: medians with quartile scales, the same scales
+with correlations of squashed values, and with correlations of directions from the median. A
+concentration step takes the half of the texts with the smallest distances, which gives the
+next mean and covariance; it is one aggregation, because sums are kept per distance bin and
+the bin at the border counts by its share. Every start takes two steps, the one with the
+smallest determinant goes on until its determinant stops falling. All groups take their steps
+together, as rows of one small table. A last step uses all texts below the usual limit. Groups
+with few texts lean on their language: both estimates are averaged with the weight of
+``PRIOR`` texts. A floor under each scale (it belongs to the determinant) keeps constant
+statistics from rejecting the first other value.
 
 All work is column expressions: texts are read once, and the steps run over the small table
 of statistics, with one row per group of parameters.
@@ -35,8 +40,11 @@ MIN_WORDS = 10
 MAX_REPEATED = 20  # per cent of the words
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-SUBSET = 0.75
-STEPS = 3
+SUBSET = 0.5
+FIRST_STEPS = 2  # of every start
+MOST_STEPS = 15  # of the best one; it stops when no group's determinant falls any more
+FALLS = 0.01  # smallest fall of a log determinant that counts
+SALTS = 16  # parts that the texts of a group are joined in
 PRIOR = 30
 LIMIT = 0.9999  # of the chi-square distribution
 BIN = 8  # distance bins per doubling
@@ -141,82 +149,128 @@ def text_facts(docs: DataFrame) -> DataFrame:
         F.log(n_words / n_lines).alias("line_words")).drop("n_lines")
 
 
-def _scatter(rows: DataFrame, factor: float, label: str) -> DataFrame:
-    """Means and covariances of every group, with the floors added; written, being small."""
-    sums = [F.sum(name).alias(f"s{i}") for i, name in enumerate(NAMES)]
-    sums += [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"p{i}{j}") for i, j in PAIRS]
-    total = rows.groupBy("key").agg(F.count("*").alias("n"), *sums)
-    means = total.select("key", "n", *(
-        (F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(len(NAMES))),
-        *(f"p{i}{j}" for i, j in PAIRS))
-    found = ["key", "n", *(f"m{i}" for i in range(len(NAMES)))]
+SUMS = tuple([f"s{i}" for i in range(len(NAMES))] + [f"p{i}{j}" for i, j in PAIRS])
+
+
+def _sums() -> list[Column]:
+    return ([F.expr(f"sum({name}) AS s{i}") for i, name in enumerate(NAMES)]
+            + [F.expr(f"sum({NAMES[i]} * {NAMES[j]}) AS p{i}{j}") for i, j in PAIRS])
+
+
+def _scatter(sums: DataFrame, factor: float) -> DataFrame:
+    """Means and covariances from ``n`` and ``SUMS``, with the floors added."""
+    found = [c for c in sums.columns if c not in SUMS]
+    found += [f"s{i} / n AS m{i}" for i in range(len(NAMES))]
     for i, j in PAIRS:
-        value = (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * factor
+        value = f"(p{i}{j} / n - m{i} * m{j}) * {factor}D"
         if i == j:
-            value = F.greatest(value, F.lit(0.0)) + FLOORS[NAMES[i]] ** 2
-        found.append(value.alias(f"c{i}{j}"))
-    return materialize(means.select(*found), label)
+            value = f"greatest({value}, 0D) + {FLOORS[NAMES[i]] ** 2}D"
+        found.append(f"{value} AS c{i}{j}")
+    return sums.selectExpr(*found)
 
 
 def _with_factor(params: DataFrame) -> DataFrame:
-    """The lower triangular factor of the covariance, entry by entry."""
-    for j in range(len(NAMES)):
-        diagonal = F.col(f"c{j}{j}") - sum(
-            (F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-        params = params.withColumn(f"l{j}{j}", F.sqrt(F.greatest(diagonal, F.lit(1e-9))))
-        below = {}
+    """The lower triangular factor of the covariance, entry by entry, and ``determinant``,
+    which is the logarithm. Later entries of the selection use the earlier ones."""
+    size = range(len(NAMES))
+    entries = []
+    for j in size:
+        known = "".join(f" - l{j}{k} * l{j}{k}" for k in range(j))
+        entries.append(f"sqrt(greatest(c{j}{j}{known}, 1e-9D)) AS l{j}{j}")
         for i in range(j + 1, len(NAMES)):
-            rest = F.col(f"c{j}{i}") - sum(
-                (F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            below[f"l{i}{j}"] = rest / F.col(f"l{j}{j}")
-        params = params.withColumns(below) if below else params
-    return materialize(params.drop(*(f"c{i}{j}" for i, j in PAIRS)), "factors")
-
-
-def _with_distance(rows: DataFrame, params: DataFrame, key: str) -> DataFrame:
-    """Squared Mahalanobis distances, by forward substitution."""
-    joined = rows.join(_with_factor(params).withColumnRenamed(key, "_key"),
-                       F.col(key) == F.col("_key"))
-    for i, name in enumerate(NAMES):
-        rest = F.col(name) - F.col(f"m{i}") - sum(
-            (F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))
-        joined = joined.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
-    squares = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(len(NAMES))), F.lit(0.0))
-    return joined.select(*rows.columns, squares.alias("distance"))
-
-
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and scales from quartiles, of every group."""
+            known = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            entries.append(f"(c{j}{i}{known}) / l{j}{j} AS l{i}{j}")
+    others = [c for c in params.columns if c not in {f"c{i}{j}" for i, j in PAIRS}]
+    return params.selectExpr(*(f"`{c}`" for c in others), *entries,
+                             f"2 * ({' + '.join(f'ln(l{j}{j})' for j in size)}) AS determinant")
+
+
+def _with_distance(rows: DataFrame, factors: DataFrame, key: str, *more: str) -> DataFrame:
+    """Squared Mahalanobis distances, by forward substitution: one row for every row of
+    ``factors`` with the same key, whose columns ``more`` are added."""
+    size = range(len(NAMES))
+    salt = f"pmod(xxhash64({', '.join(NAMES)}), {SALTS}L)"
+    salted = factors.selectExpr(*(f"`{c}`" for c in factors.columns if c != key),
+                                f"`{key}` AS _key",
+                                f"explode(sequence(0L, {SALTS - 1}L)) AS _part")
+    joined = rows.join(salted, F.expr(f"`{key}` = _key AND {salt} = _part"))
+    kept = [f"`{c}`" for c in (*rows.columns, *more)]
+    solved = [f"({name} - m{i}{''.join(f' - l{i}{k} * y{k}' for k in range(i))}) / l{i}{i} AS y{i}"
+              for i, name in enumerate(NAMES)]
+    squares = " + ".join(f"y{i} * y{i}" for i in size)
+    return joined.selectExpr(*kept, *solved).selectExpr(*kept, f"{squares} AS distance")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """First locations and scatters: three rows per group, told apart by ``start``."""
     quartiles = rows.groupBy("key").agg(*(
         F.percentile_approx(name, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(name)
         for name in NAMES))
-    columns = [F.col("key")]
-    for i, name in enumerate(NAMES):
-        columns.append(F.get(name, F.lit(1)).alias(f"m{i}"))
-    for i, j in PAIRS:
-        if i == j:
-            scale = (F.get(NAMES[i], F.lit(2)) - F.get(NAMES[i], F.lit(0))) / 1.349
-            columns.append((scale * scale + FLOORS[NAMES[i]] ** 2).alias(f"c{i}{j}"))
-        else:
-            columns.append(F.lit(0.0).alias(f"c{i}{j}"))
-    return quartiles.select(*columns)
-
-
-def _nearest(rows: DataFrame) -> DataFrame:
-    """The rows of a group in the distance bins that make up ``SUBSET`` of it."""
-    place = F.floor(F.log2(F.col("distance") + 1e-6) * BIN)
-    binned = rows.withColumn("place", place)
-    order = W.partitionBy("key").orderBy("place")  # bins, not texts
-    counted = (binned.groupBy("key", "place").agg(F.count("*").alias("n"))
-               .withColumn("before", F.sum("n").over(order) - F.col("n"))
-               .withColumn("all", F.sum("n").over(W.partitionBy("key"))))
-    # At least half of the rows, and beyond that no more than the share.
-    inside = ((F.col("before") < F.col("all") / 2)
-              | (F.col("before") + F.col("n") <= SUBSET * F.col("all")))
-    limits = (counted.where(inside)
-              .groupBy(F.col("key").alias("_key")).agg(F.max("place").alias("last")))
-    return binned.join(limits, F.col("key") == F.col("_key")).where(
-        F.col("place") <= F.col("last")).select(*rows.columns)
+    middle = materialize(quartiles.select(
+        F.col("key").alias("_key"),
+        *(F.get(name, F.lit(1)).alias(f"m{i}") for i, name in enumerate(NAMES)),
+        *(F.sqrt(F.pow((F.get(name, F.lit(2)) - F.get(name, F.lit(0))) / 1.349, 2)
+                 + FLOORS[name] ** 2).alias(f"r{i}") for i, name in enumerate(NAMES))), "medians")
+    size = range(len(NAMES))
+    scaled = rows.join(middle, F.col("key") == F.col("_key")).select(
+        "key", *((F.col(name) - F.col(f"m{i}")) / F.col(f"r{i}") for i, name in enumerate(NAMES))
+    ).toDF("key", *(f"z{i}" for i in size))
+    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in size), F.lit(1e-9)))
+    turned = scaled.select("key", *(F.tanh(f"z{i}").alias(f"a{i}") for i in size),
+                           *((F.col(f"z{i}") / length).alias(f"b{i}") for i in size))
+    products = turned.groupBy("key").agg(*(
+        F.avg(F.col(f"{x}{i}") * F.col(f"{x}{j}")).alias(f"{x}{i}{j}")
+        for x in "ab" for i, j in PAIRS))
+    entries = []
+    for number, letter in enumerate(("", "a", "b")):
+        values = [F.lit(number).alias("start")]
+        for i, j in PAIRS:
+            scale = F.col(f"r{i}") * F.col(f"r{j}")
+            if i != j and letter:  # a correlation, with the scales of the quartiles
+                scale *= F.col(f"{letter}{i}{j}") / F.sqrt(
+                    (F.col(f"{letter}{i}{i}") + 1e-9) * (F.col(f"{letter}{j}{j}") + 1e-9))
+            elif i != j:
+                scale = F.lit(0.0)
+            values.append(scale.alias(f"c{i}{j}"))
+        entries.append(F.struct(*values))
+    both = middle.join(products, F.col("key") == F.col("_key"))
+    return both.select("key", *(f"m{i}" for i in size), F.inline(F.array(*entries)))
+
+
+def _step(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """One concentration step of every group and start: factors of the half of the rows with
+    the smallest distances."""
+    group = ["key", "start"]
+    place = F.expr(f"floor(log2(distance + 1e-6D) * {BIN}) AS place")
+    bins = (_with_distance(rows, factors, "key", "start").groupBy(*group, place)
+            .agg(F.count("*").alias("n"), *_sums()))
+    # Of the bins (not texts) by distance, the share of each that belongs to the half.
+    share = bins.selectExpr(
+        *group, "n", *SUMS,
+        f"least(1D, greatest(0D, ({SUBSET}D * sum(n) OVER (PARTITION BY key, start)"
+        " - sum(n) OVER (PARTITION BY key, start ORDER BY place)) / n + 1)) AS share")
+    sums = share.where("share > 0").groupBy(*group).agg(*(
+        F.expr(f"sum({name} * share) AS {name}") for name in ("n", *SUMS)))
+    return _with_factor(_scatter(sums, consistency(SUBSET)).drop("n"))
+
+
+def minimum_determinant(rows: DataFrame) -> DataFrame:
+    """Per ``key`` the location and factor of the half of the rows with the smallest
+    determinant that is found, and its logarithm ``determinant``."""
+    factors = _with_factor(_starts(rows))
+    for _ in range(FIRST_STEPS):
+        factors = _step(rows, materialize(factors, "factors"))
+    best = factors.withColumn("step", F.lit(0))
+    for step in range(1, MOST_STEPS + 2):
+        # A later step of a group must fall by FALLS; there are up to three rows per group.
+        rises = F.col("determinant") + F.when(F.col("step") == step - 1, FALLS).otherwise(0.0)
+        first = W.partitionBy("key").orderBy(rises, "step", "start")
+        best = materialize(best.withColumn("_rank", F.row_number().over(first))
+                           .where("_rank = 1").drop("_rank"), "best")
+        falling = best.where(F.col("step") == step - 1)
+        if step > MOST_STEPS or falling.isEmpty():
+            return best
+        best = best.unionByName(_step(rows, falling).withColumn("step", F.lit(step)))
 
 
 def group_key(lang: Column, source: Column) -> Column:
@@ -233,14 +287,11 @@ def robust_estimates(facts: DataFrame) -> DataFrame:
     # The language is a group beside its sources.
     rows = materialize(judged.select(
         F.explode(F.array(own, language)).alias("key"), *NAMES), "statistics")
-    params = _start(rows)
-    for _ in range(STEPS):
-        near = _nearest(_with_distance(rows, params, "key"))
-        params = _scatter(near, consistency(SUBSET), "scatter").drop("n")
     usual = 0.975
-    near = _with_distance(rows, params, "key").where(
+    near = _with_distance(rows, minimum_determinant(rows), "key").where(
         F.col("distance") <= chi_square_quantile(usual, len(NAMES)))
-    params = _scatter(near, consistency(usual), "scatter")
+    sums = near.groupBy("key").agg(F.count("*").alias("n"), *_sums())
+    params = materialize(_scatter(sums, consistency(usual)), "scatter")
     values = [f"m{i}" for i in range(len(NAMES))] + [f"c{i}{j}" for i, j in PAIRS]
     groups = facts.select(own.alias("group"), language.alias("language")).distinct()
     sources = params.select(F.col("key").alias("_own"), "n", *values)
@@ -260,7 +311,7 @@ def judge_documents(docs: DataFrame) -> DataFrame:
     estimates = materialize(robust_estimates(facts), "estimates")
     keyed = facts.withColumn("group", group_key(F.col("lang"), F.col("source")))
     limit = chi_square_quantile(LIMIT, len(NAMES))
-    return _with_distance(keyed, estimates, "group").select(
+    return _with_distance(keyed, _with_factor(estimates), "group").select(
         "doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols",
         "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(False)))
