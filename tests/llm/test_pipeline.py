@@ -55,6 +55,6 @@ def test_it_is_registered():
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     numbers = {int(name[2:].split("_")[0]) for name in __spark_entry__.queries()
                if name.startswith("op") and name[2].isdigit()}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality rules", "n-gram join", "PII", "mixing", "packing"]
