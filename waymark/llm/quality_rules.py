@@ -206,7 +206,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     quartiles = rows.groupBy("key").agg(*(
         F.percentile_approx(name, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(name)
         for name in NAMES))
-    middle = materialize(quartiles.select(
+    middle = _small(quartiles.select(
         F.col("key").alias("_key"),
         *(F.get(name, F.lit(1)).alias(f"m{i}") for i, name in enumerate(NAMES)),
         *(F.sqrt(F.pow((F.get(name, F.lit(2)) - F.get(name, F.lit(0))) / 1.349, 2)
@@ -237,40 +237,53 @@ def _starts(rows: DataFrame) -> DataFrame:
     return both.select("key", *(f"m{i}" for i in size), F.inline(F.array(*entries)))
 
 
+def _small(groups: DataFrame, label: str) -> DataFrame:
+    """Written in a few files: one row per group is little beside the texts, and every step
+    reads it whole."""
+    return materialize(groups.coalesce(
+        max(SALTS, 2 * groups.sparkSession.sparkContext.defaultParallelism)), label)
+
+
 def _step(rows: DataFrame, factors: DataFrame) -> DataFrame:
     """One concentration step of every group and start: factors of the half of the rows with
-    the smallest distances."""
-    group = ["key", "start"]
+    the smallest distances, and the determinant ``before``."""
+    group = ["key", "start", "before"]
     place = F.expr(f"floor(log2(distance + 1e-6D) * {BIN}) AS place")
-    bins = (_with_distance(rows, factors, "key", "start").groupBy(*group, place)
+    given = factors.drop("before").withColumnRenamed("determinant", "before")
+    bins = (_with_distance(rows, given, "key", "start", "before").groupBy(*group, place)
             .agg(F.count("*").alias("n"), *_sums()))
     # Of the bins (not texts) by distance, the share of each that belongs to the half.
+    group_of = f"PARTITION BY {', '.join(group)}"
     share = bins.selectExpr(
         *group, "n", *SUMS,
-        f"least(1D, greatest(0D, ({SUBSET}D * sum(n) OVER (PARTITION BY key, start)"
-        " - sum(n) OVER (PARTITION BY key, start ORDER BY place)) / n + 1)) AS share")
+        f"least(1D, greatest(0D, ({SUBSET}D * sum(n) OVER ({group_of})"
+        f" - sum(n) OVER ({group_of} ORDER BY place)) / n + 1)) AS share")
     sums = share.where("share > 0").groupBy(*group).agg(*(
         F.expr(f"sum({name} * share) AS {name}") for name in ("n", *SUMS)))
     return _with_factor(_scatter(sums, consistency(SUBSET)).drop("n"))
 
 
+def _smallest(factors: DataFrame) -> DataFrame:
+    """Of every key the row with the smallest determinant."""
+    first = W.partitionBy("key").orderBy("determinant", "start")
+    return (factors.withColumn("_rank", F.row_number().over(first))
+            .where("_rank = 1").drop("_rank"))
+
+
 def minimum_determinant(rows: DataFrame) -> DataFrame:
     """Per ``key`` the location and factor of the half of the rows with the smallest
     determinant that is found, and its logarithm ``determinant``."""
     factors = _with_factor(_starts(rows))
     for _ in range(FIRST_STEPS):
-        factors = _step(rows, materialize(factors, "factors"))
-    best = factors.withColumn("step", F.lit(0))
-    for step in range(1, MOST_STEPS + 2):
-        # A later step of a group must fall by FALLS; there are up to three rows per group.
-        rises = F.col("determinant") + F.when(F.col("step") == step - 1, FALLS).otherwise(0.0)
-        first = W.partitionBy("key").orderBy(rises, "step", "start")
-        best = materialize(best.withColumn("_rank", F.row_number().over(first))
-                           .where("_rank = 1").drop("_rank"), "best")
-        falling = best.where(F.col("step") == step - 1)
-        if step > MOST_STEPS or falling.isEmpty():
-            return best
-        best = best.unionByName(_step(rows, falling).withColumn("step", F.lit(step)))
+        factors = _step(rows, _small(factors, "factors"))
+    found = falling = _small(_smallest(factors), "factors")
+    for _ in range(MOST_STEPS):
+        taken = _small(_step(rows, falling), "factors")
+        found = found.unionByName(taken)
+        falling = taken.where(F.col("before") - F.col("determinant") >= FALLS)
+        if falling.isEmpty():
+            break
+    return _small(_smallest(found), "best")
 
 
 def group_key(lang: Column, source: Column) -> Column:
@@ -291,7 +304,7 @@ def robust_estimates(facts: DataFrame) -> DataFrame:
     near = _with_distance(rows, minimum_determinant(rows), "key").where(
         F.col("distance") <= chi_square_quantile(usual, len(NAMES)))
     sums = near.groupBy("key").agg(F.count("*").alias("n"), *_sums())
-    params = materialize(_scatter(sums, consistency(usual)), "scatter")
+    params = _small(_scatter(sums, consistency(usual)), "scatter")
     values = [f"m{i}" for i in range(len(NAMES))] + [f"c{i}{j}" for i, j in PAIRS]
     groups = facts.select(own.alias("group"), language.alias("language")).distinct()
     sources = params.select(F.col("key").alias("_own"), "n", *values)
@@ -308,7 +321,7 @@ def robust_estimates(facts: DataFrame) -> DataFrame:
 def judge_documents(docs: DataFrame) -> DataFrame:
     """The counts of every text, ``base_failed``, ``distance`` and the verdict ``kept``."""
     facts = materialize(text_facts(docs), "facts")
-    estimates = materialize(robust_estimates(facts), "estimates")
+    estimates = _small(robust_estimates(facts), "estimates")
     keyed = facts.withColumn("group", group_key(F.col("lang"), F.col("source")))
     limit = chi_square_quantile(LIMIT, len(NAMES))
     return _with_distance(keyed, _with_factor(estimates), "group").select(
