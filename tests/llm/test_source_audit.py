@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from waymark.llm import source_audit
@@ -100,3 +101,13 @@ def test_shares_of_large_counts():
     n = int(counts.sum())
     assert list(source_audit.scaled(counts, n, 3)) == [
         1 + 10**9 * (int(c) + 2) // (n + 6) for c in counts]
+
+
+def test_slices_hold_every_document():
+    lists = [["a"] * n for n in (0, 3, 9, 0, 1, 1, 1, 7, 0)]
+    batch = pa.record_batch([pa.array(range(9)), pa.array(lists, pa.list_(pa.string()))],
+                            names=["no", "terms"])
+    made = list(source_audit.slices(batch, 4))
+    assert [m["no"].to_pylist() for m in made] == [[0, 1], [2], [3, 4, 5, 6], [7], [8]]
+    assert [t for m in made for t in m["terms"].to_pylist()] == lists
+    assert list(source_audit.slices(batch.slice(0, 0))) == []

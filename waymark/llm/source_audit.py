@@ -41,6 +41,7 @@ TOP = 10
 SHARD = 4096
 BROADCAST_BYTES = 32 << 20
 CELLS = 8 << 20  # places of dense vectors a task holds before it gives them out
+SLICE = 1 << 18  # terms that a task looks up at once; a longer document is a slice
 BLOCK = 128
 SCALE = 1_000_000_000
 NOT_A_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -238,6 +239,17 @@ class DenseCounts:
         self.vectors, self.cells = {}, 0
 
 
+def slices(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The documents of a batch, so many that they hold up to ``size`` terms."""
+    ends = np.cumsum(pc.list_value_length(batch.column("terms")).to_numpy())
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def recount(docs: DataFrame, shards: pa.Table) -> DataFrame:
     """``(lang, source, shard, slots, counts)``: how often the terms of some shards occur;
     partial sums of tasks."""
@@ -246,10 +258,11 @@ def recount(docs: DataFrame, shards: pa.Table) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Shards(shared.value)
         counts = DenseCounts(held)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
             terms = batch.column("terms").flatten()
-            owner = pc.list_parent_indices(batch.column("terms")).to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows),
+                              pc.list_value_length(batch.column("terms")).to_numpy())
             lang_of, source_of = lang.indices.to_numpy()[owner], source.indices.to_numpy()[owner]
             order = np.lexsort((source_of, lang_of))
             sources = source.dictionary.to_pylist()
