@@ -10,10 +10,11 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from waymark.llm import minhash
+from waymark.llm import minhash, paragraph_dedup
 from waymark.llm.minhash import components, overlaps, plan_bands
 from waymark.llm.ngram_join import ngram_links, one_of_each_group
 from waymark.llm.paragraph_dedup import repeated_paragraphs, without_repeats
+from waymark.storage import materialize
 
 SCHEMA = "doc_id long, text string, node string"
 
@@ -177,3 +178,35 @@ def test_band_plan():
     for rows in (3, 5):
         bands = plan_bands(0.8, 0.9999, rows)
         assert 1 - (1 - 0.8 ** rows) ** bands >= 0.9999
+
+
+def test_shared_keys(spark):
+    pick = random.Random(6)
+    bands = {node: sorted({pick.randrange(60) for _ in range(4)}) for node in range(70)}
+    bands |= {100: [200, 201], 101: [200, 201], 102: [202], 103: []}  # 200 and 201: same nodes
+    nodes = spark.createDataFrame(list(bands.items()), "node long, bands array<long>")
+    members = {}
+    for node, keys in bands.items():
+        for key in keys:
+            members.setdefault(key, []).append(node)
+    kept = {tuple(m): k for k, m in sorted(members.items(), reverse=True) if len(m) > 1}
+    expected = Counter((k, m[0], m[-1], node) for m, k in kept.items() for node in m)
+    assert Counter(map(tuple, minhash.shared_keys(nodes).collect())) == expected
+
+
+def test_wide_rows_of_paragraphs_move_once(spark, monkeypatch):
+    """Keys are shuffled with their nodes once, and bands are written once per distinct line."""
+    plans, bands = {}, []
+
+    def watched(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        if "bands" in df.columns:
+            bands.append(label)
+        return materialize(df, label)
+
+    monkeypatch.setattr(minhash, "materialize", watched)
+    monkeypatch.setattr(paragraph_dedup, "materialize", watched)
+    repeated_paragraphs(spark.createDataFrame(sample(), SCHEMA)).collect()
+    assert bands == ["nodes"]
+    pairs = [text for text in plans.values() if "Generate explode(bands" in text]
+    assert len(pairs) == 1 and pairs[0].count("Exchange hash") == 1

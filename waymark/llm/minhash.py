@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
 from waymark.llm.common import text_or_empty
 from waymark.storage import materialize
@@ -112,7 +113,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, by_line: bool) -> DataFra
     """``(doc_id, text_hash, no, start, end, n_words, digest, bands)`` per text or line.
 
     ``no`` counts lines from 0; lines without a word are left out. A text without words has
-    no bands: it is similar to its copies only.
+    no bands: it is similar to its copies only. With 0 ``bands`` only digests are made.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {kind}, text_hash long, no int, start long, end long, n_words long, "
@@ -134,7 +135,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, by_line: bool) -> DataFra
                 words = split_words(piece)
                 end = begin + len(piece)
                 if words or not by_line:
-                    if words:
+                    if words and bands:
                         places.append(len(found))
                         sets.append(shingle_hashes(words, hashes))
                     digest = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8"))
@@ -166,14 +167,21 @@ def nodes_of(signed: DataFrame) -> DataFrame:
 
 
 def shared_keys(nodes: DataFrame) -> DataFrame:
-    """``(key, first, last, node)`` for keys of several nodes; of keys with the same nodes one."""
+    """``(key, first, last, node)`` for keys of several nodes; of keys with the same nodes one.
+
+    Most keys belong to one node. All pairs of key and node are therefore shuffled only once,
+    as two numbers; what is left is written before keys are compared.
+    """
+    same = W.partitionBy("key")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    counted = keyed.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"),
-        F.bit_xor(F.xxhash64("node")).alias("members")).where(F.col("n") > 1)
-    kept = counted.groupBy("n", "first", "last", "members").agg(
-        F.min("key").alias("kept")).select("kept", "first", "last")
-    return keyed.join(kept.hint("merge"), F.col("key") == F.col("kept")).select(
+    several = materialize(keyed.select(
+        "key", "node", F.count("*").over(same).alias("n"), F.min("node").over(same).alias("first"),
+        F.max("node").over(same).alias("last"),
+        F.bit_xor(F.xxhash64("node")).over(same).alias("members")).where(F.col("n") > 1),
+        "key-nodes")
+    kept = several.groupBy("n", "first", "last", "members").agg(
+        F.min("key").alias("kept")).select("kept")
+    return several.join(kept.hint("merge"), F.col("key") == F.col("kept")).select(
         "key", "first", "last", "node")
 
 

@@ -31,9 +31,9 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, recall:
     ``start`` and ``end`` are code points; the cluster is named by the paragraph that stays.
     """
     bands = plan_bands(similarity, recall, ROWS)
-    signed = materialize(signatures(docs, bands, ROWS, True),
-                         "paragraphs")
-    nodes = materialize(nodes_of(signed), "nodes")
+    # Bands are by far the widest column: they are written once per distinct line, and the
+    # digests of all lines are made a second time for the result.
+    nodes = materialize(nodes_of(signatures(docs, bands, ROWS, True)), "nodes")
     roots, _ = link_groups(docs, nodes, True, similarity)
     clustered = (nodes.select("node", "digest", "copies", "at")
                  .join(roots.select(F.col("node").alias("_in"), "root"),
@@ -45,6 +45,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, recall:
     ).where(F.col("n_members") > 1)
     members = clustered.join(stays, F.col("root") == F.col("_root")).select(
         F.col("digest").alias("_digest"), "stays", "n_members")
+    signed = signatures(docs, 0, ROWS, True).drop("bands")
     found = signed.join(members, F.col("digest") == F.col("_digest"))
     first = (F.col("doc_id").eqNullSafe(F.col("stays.doc_id"))
              & (F.col("no") == F.col("stays.no"))
