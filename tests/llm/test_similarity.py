@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from waymark.llm import minhash, paragraph_dedup
@@ -210,3 +211,36 @@ def test_wide_rows_of_paragraphs_move_once(spark, monkeypatch):
     assert bands == ["nodes"]
     pairs = [text for text in plans.values() if "Generate explode(bands" in text]
     assert len(pairs) == 1 and pairs[0].count("Exchange hash") == 1
+
+
+def test_a_unit_returns_joined_components_not_links():
+    pick = random.Random(8)
+    sets, of = [], []
+    for family in range(3):  # near copies of each other, of another family's, of nothing
+        common = list(range(1000 * family, 1000 * family + (40 if family < 2 else 0)))
+        for _ in range(40):
+            own = [pick.randrange(10**6, 10**9) for _ in range(3 if family < 2 else 30)]
+            sets.append(np.unique(np.array(common + own, np.int64)))
+            of.append(family)
+    roots = [900 - i // 2 for i in range(120)]  # some nodes are in one component already
+    unit = pd.DataFrame({"key": 5, "low": 1, "high": 2, "chunk": [pick.choice([2, 2, 3]) for _ in of],
+                         "rest": [pick.choice([1, 1, 2, -1]) for _ in of],
+                         "node": range(2000, 2120), "root": roots, "shingles": sets})
+    links, parent = 0, {r: r for r in roots}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(120):
+        for b in range(120):
+            if (unit["rest"][a] == 1 and unit["chunk"][b] == 2 and roots[a] != roots[b]
+                    and of[a] == of[b] < 2):
+                links += 1
+                low, high = sorted((root(roots[a]), root(roots[b])))
+                parent[high] = low
+    found = minhash.compare_rest(unit, 0.8)
+    expected = {(r, root(r)) for r in roots if root(r) != r}
+    assert Counter(zip(found["node"], found["root"])) == Counter(expected)
+    assert links > 5 * len(unit) > 5 * len(found)

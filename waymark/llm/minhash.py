@@ -10,7 +10,8 @@
    copies has few such leaders. The links found make first components.
 5. In a key whose nodes are in one component nothing is left to find. In the others the nodes
    outside the largest component (the rest) are compared with all nodes of other components,
-   in units of two blocks of ``BLOCK`` nodes, by sparse products.
+   in units of two blocks of ``BLOCK`` nodes, by sparse products. A unit returns which
+   components it joins, not its links.
 6. All links make the final components. A link never leaves its component, so numbers of links
    come from comparing a component with itself, once, whatever the number of shared keys.
 
@@ -246,9 +247,23 @@ def linked_pairs(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return linked
 
 
+def least_reached(left: np.ndarray, right: np.ndarray, count: int) -> np.ndarray:
+    """For each of ``count`` numbers the least one that edges ``left`` to ``right`` reach."""
+    least = np.arange(count)
+    while True:
+        before = least.copy()
+        low = np.minimum(least[left], least[right])
+        np.minimum.at(least, left, low)
+        np.minimum.at(least, right, low)
+        least = least[least]
+        if (least == before).all():
+            return least
+
+
 def compare_rest(unit: pd.DataFrame, similarity: float) -> pd.DataFrame | None:
-    """Links ``(node, root)`` from nodes of a rest block to the components of a chunk."""
-    roots, nodes = unit["root"].to_numpy(), unit["node"].to_numpy()
+    """Components that the links between a rest block and a chunk join: ``(node, root)`` for
+    each but the least of those joined, so a unit makes fewer rows than it has nodes."""
+    names, roots = np.unique(unit["root"].to_numpy(), return_inverse=True)
     rest = unit["rest"].to_numpy() == unit["low"].iloc[0]
     chunk = unit["chunk"].to_numpy() == unit["high"].iloc[0]
     linked = linked_pairs(list(unit["shingles"]), similarity)
@@ -256,7 +271,9 @@ def compare_rest(unit: pd.DataFrame, similarity: float) -> pd.DataFrame | None:
     if not linked.any():
         return None
     left, right = np.nonzero(linked)
-    return pd.DataFrame({"node": nodes[left], "root": roots[right]}).drop_duplicates()
+    least = least_reached(roots[left], roots[right], len(names))
+    joined = np.flatnonzero(least != np.arange(len(names)))
+    return pd.DataFrame({"node": names[joined], "root": names[least[joined]]})
 
 
 def count_unit(unit: pd.DataFrame, similarity: float) -> pd.DataFrame | None:
@@ -320,7 +337,7 @@ def leader_links(shared: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
 def rest_links(shared: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float
                ) -> DataFrame:
-    """Links ``(node, root)`` between different components ``roots`` that share a key."""
+    """Joins ``(node, root)`` of different components ``roots`` that share a key."""
     labelled = materialize(shared.join(
         roots.select(F.col("node").alias("_in"), "root").hint("merge"),
         F.col("node") == F.col("_in"), "left").select(
