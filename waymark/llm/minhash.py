@@ -110,11 +110,12 @@ class BandKeys:
         return keys.view(np.int64)
 
 
-def signatures(docs: DataFrame, bands: int, rows: int, by_line: bool) -> DataFrame:
+def signatures(docs: DataFrame, bands: int, rows: int, by_line: bool, least: int = 1
+               ) -> DataFrame:
     """``(doc_id, text_hash, no, start, end, n_words, digest, bands)`` per text or line.
 
-    ``no`` counts lines from 0; lines without a word are left out. A text without words has
-    no bands: it is similar to its copies only. With 0 ``bands`` only digests are made.
+    ``no`` counts lines from 0; lines of fewer than ``least`` words are left out. A text without
+    words has no bands: it is similar to its copies only. With 0 ``bands`` only digests are made.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {kind}, text_hash long, no int, start long, end long, n_words long, "
@@ -135,7 +136,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, by_line: bool) -> DataFra
             for no, piece in enumerate(text.split("\n") if by_line else [text]):
                 words = split_words(piece)
                 end = begin + len(piece)
-                if words or not by_line:
+                if len(words) >= least or not by_line:
                     if words and bands:
                         places.append(len(found))
                         sets.append(shingle_hashes(words, hashes))
