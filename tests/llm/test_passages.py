@@ -7,12 +7,13 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from waymark.llm import passages, queries
-from waymark.llm.minhash import WordHashes
+from waymark.llm.minhash import split_words
 from waymark.llm.paragraph_dedup import repeated_passages
-from waymark.llm.passages import shared_passages, text_blocks
+from waymark.llm.passages import Powers, shared_passages, text_blocks, words_of
 
 SCHEMA = "doc_id long, text string"
 BIG = 2 ** 60 + 1  # not a double
@@ -84,11 +85,30 @@ def test_all_passages_inside_lines_and_across_them(spark, monkeypatch, least):
     assert comparable(got) == comparable(brute_force(rows, least))
 
 
+def blocks_of(texts):
+    return text_blocks(words_of(pa.array(texts), Powers()), 50)
+
+
+def test_words_are_those_of_all_texts():
+    texts = ["", "a", "b c", " d\u00a0e\n\r f\x1fg", "\u00e9t\u00e9 \U0001f600x\t", "", "\x0b", "ba ab",
+             "b c", "c", "", "x" * 5000 + " y"]
+    powers = Powers()
+    for column in (pa.array(["q q", *texts]).slice(1), pa.array(texts, pa.large_string())):
+        made = words_of(column, powers)
+        words = [split_words(t) for t in texts]
+        assert made.sizes.tolist() == [len(w) for w in words]
+        flat = [(t, w) for t, of in zip(texts, words) for w in of]
+        assert [t[a:b] for (t, _), a, b in zip(flat, made.starts, made.ends)] == [w for _, w in flat]
+        assert len(set(zip(made.hashes, (w for _, w in flat)))) == len(set(made.hashes)) == len(
+            {w for _, w in flat})
+    assert [len(column) for column in words_of(pa.array(["", ""]), powers)] == [2, 0, 0, 0]
+
+
 def test_windows_and_blocks_are_those_of_each_text():
     pick = random.Random(5)
     words = [prose(pick, n) for n in (0, 3, 50, 49, 120, 51)] + [["x"] * 80]
     words.append(["y"] * 9 + words[4][10:110] + ["z"] * 9)
-    made = text_blocks(words, 50, WordHashes())
+    made = blocks_of([" ".join(w) for w in words])
     places = [(t, k) for t, w in enumerate(words) for k in range(len(w) - 49)]
     assert list(zip(made.text, made.word)) == places
     assert len(np.unique(made.window)) == len({tuple(words[t][k:k + 50]) for t, k in places})
@@ -100,7 +120,7 @@ def test_windows_and_blocks_are_those_of_each_text():
             keys.setdefault(tuple(words[t][k + at:k + at + 50]), set()).add(key)
     assert all(len(found) == 1 for found in [*keys.values(), *contents.values()])
     assert sum(made.size) == len(places) > 1.5 * len(made.begin)
-    empty = text_blocks([[], ["a"]], 50, WordHashes())
+    empty = blocks_of(["", "a"])
     assert not any(len(column) for column in empty)
 
 

@@ -16,7 +16,6 @@ Nothing is paired: results are sums and minima.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from waymark.llm.common import WORD, text_or_empty
-from waymark.llm.minhash import _ODD, WordHashes, mixed, split_words
+from waymark.llm.common import text_or_empty
+from waymark.llm.minhash import _ODD, SEED, mixed
 from waymark.storage import materialize
 
 CHUNK = 200  # texts at a time
 PLAIN, VARIED, SAMPLE = 0, 1, 2  # equal to all blocks of its key, not so, and one of each such
 _INDEX = np.uint64((1 << 31) - 1)
+_BYTES = np.random.default_rng(SEED).integers(0, np.iinfo(np.uint64).max, 256, np.uint64)
 
 
 class Blocks(NamedTuple):
@@ -46,19 +46,76 @@ class Blocks(NamedTuple):
     block: np.ndarray  # hash
 
 
-def text_blocks(words: list[list[str]], least: int, hashes: WordHashes) -> Blocks:
+def rolled(values: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` values, put together from runs of powers of two."""
+    power, factor, run = 1, np.array([_ODD]), values
+    found, done = None, 0
+    while True:
+        if width & power:
+            found = run if found is None else (
+                found[:len(values) - done - power + 1] * factor
+                + run[done:done + len(values) - done - power + 1])
+            done += power
+        if done == width:
+            return found
+        run = run[:-power] * factor + run[power:]
+        power, factor = 2 * power, factor * factor
+
+
+class Powers:
+    """Powers of an odd number and of its inverse, of 64 bits."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, count: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < count:
+            inverse = pow(int(_ODD), -1, 1 << 64)
+            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(
+                count, factor, np.uint64)), dtype=np.uint64) for factor in (int(_ODD), inverse))
+        return self.up[:count], self.down[:count]
+
+
+class Words(NamedTuple):
+    """The words of some texts, one after the other."""
+
+    sizes: np.ndarray  # words of each text
+    hashes: np.ndarray
+    starts: np.ndarray  # code points in the text
+    ends: np.ndarray
+
+
+def words_of(texts: pa.Array, powers: Powers) -> Words:
+    """Words between the bytes 32 and 9 to 13 (see ``minhash.split_words``), without a Python
+    object per word: a word's hash is a difference of running sums over its bytes."""
+    texts = texts.cast(pa.large_string())
+    _, limits, data = texts.buffers()
+    limits = np.frombuffer(limits, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = (np.frombuffer(data, np.uint8)[limits[0]:limits[-1]] if limits[-1] > limits[0]
+            else np.empty(0, np.uint8))
+    limits = limits - limits[0]
+    letter = (data != 32) & ((data < 9) | (data > 13))
+    inner = limits[(limits > 0) & (limits < len(data))]
+    before, behind = np.append(False, letter)[:-1], np.append(letter, False)[1:]
+    before[inner], behind[inner - 1] = False, False
+    starts, ends = np.flatnonzero(letter & ~before), np.flatnonzero(letter & ~behind) + 1
+    up, down = powers.upto(len(data) + 1)
+    sums = np.append(np.uint64(0), np.cumsum(_BYTES[data] * up[:len(data)], dtype=np.uint64))
+    hashes = mixed((sums[ends] - sums[starts]) * down[starts])
+    border = np.searchsorted(starts, limits)
+    sizes = np.diff(border)
+    points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    first = np.repeat(points[limits[:-1]], sizes)
+    return Words(sizes, hashes, points[starts] - first, points[ends] - first)
+
+
+def text_blocks(words: Words, least: int) -> Blocks:
     """All windows of ``least`` words of some texts, in blocks of the same key and place."""
-    sizes = np.array([len(w) for w in words], np.int64)
-    own = np.fromiter((hashes[w] for text in words for w in text), np.uint64, sizes.sum())
-    own = np.concatenate([own, np.zeros(least, np.uint64)])  # as if a window followed
+    sizes = words.sizes
+    own = np.append(words.hashes, np.zeros(least, np.uint64))  # as if a window followed
     width = max(least // 4, 1)
     count = len(own) - least + 1
-    total = np.zeros(len(own) - width + 1, np.uint64)
-    for k in range(width):
-        total = total * _ODD + own[k:k + len(total)]
-    window = total[:count].copy()
-    for k in range(width, least):
-        window = window * _ODD + own[k:k + count]
+    total, window = rolled(own, width), rolled(own, least)
     keys = mixed(total)
     # The smallest key of each window, the leftmost of equal ones: key and index in one number.
     lowest = (keys & ~_INDEX) | np.arange(len(keys), dtype=np.uint64)
@@ -94,12 +151,11 @@ def shared_blocks(docs: DataFrame, least: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        powers = Powers()
         for batch in batches:
             for at in range(0, len(batch), CHUNK):
                 part = batch.slice(at, CHUNK)
-                made = text_blocks([split_words(text) for text in part.column("text").to_pylist()],
-                                   least, hashes)
+                made = text_blocks(words_of(part.column("text"), powers), least)
                 of = pa.array(made.text[made.begin])
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id").take(of), part.column("text_hash").take(of),
@@ -140,12 +196,12 @@ def placed_blocks(docs: DataFrame, shared: DataFrame, least: int) -> DataFrame:
                                         pa.array(values[at]))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, spans = WordHashes(), re.compile(WORD)
+        powers = Powers()
         for batch in batches:
             for at in range(0, len(batch), CHUNK):
                 part = batch.slice(at, CHUNK)
-                texts = part.column("text").to_pylist()
-                made = text_blocks([split_words(text) for text in texts], least, hashes)
+                words = words_of(part.column("text"), powers)
+                made = text_blocks(words, least)
                 # Equal rows of one document name a block several times: the largest counts.
                 named = np.sort(np.concatenate([
                     (no << 40) + np.asarray(of, np.int64)
@@ -154,10 +210,8 @@ def placed_blocks(docs: DataFrame, shared: DataFrame, least: int) -> DataFrame:
                 place = np.searchsorted(named >> 2, own, side="right") - 1
                 chosen = np.flatnonzero((place >= 0) & ((named >> 2)[place] == own))
                 state = named[place[chosen]] & 3
-                limits = [np.array([m.span() for m in spans.finditer(t)], np.int32).reshape(-1, 2)
-                          for t in texts]
-                flat = np.concatenate(limits)
-                word = np.cumsum([0] + [len(x) for x in limits[:-1]])[made.text] + made.word
+                word = (np.cumsum(words.sizes) - words.sizes)[made.text] + made.word
+                starts, ends = words.starts.astype(np.int32), words.ends.astype(np.int32)
                 begin, size = made.begin[chosen], made.size[chosen]
                 count = np.where(state == PLAIN, 1, size)
                 of = pa.array(made.text[begin])
@@ -165,8 +219,8 @@ def placed_blocks(docs: DataFrame, shared: DataFrame, least: int) -> DataFrame:
                     part.column("doc_id").take(of), part.column("text_hash").take(of),
                     pa.array(made.word[begin]), pa.array(size), signed(made.key[chosen]),
                     signed(made.block[chosen]), pa.array(state != PLAIN),
-                    lists(flat[word, 0], begin, count),
-                    lists(flat[word + least - 1, 1], begin + size - count, count),
+                    lists(starts[word], begin, count),
+                    lists(ends[word + least - 1], begin + size - count, count),
                     lists(made.window.view(np.int64), begin, np.where(state == SAMPLE, size, 0))],
                     names)
 
@@ -180,9 +234,9 @@ def block_classes(blocks: DataFrame) -> DataFrame:
     """``(key, block, low, high, n, first)``: runs of windows of distinct blocks that occur ``n``
     times at most and whose first places follow each other in one text, from ``first`` on."""
     place = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_hash", "word")
-    distinct = blocks.groupBy("key", "block").agg(
+    distinct = materialize(blocks.groupBy("key", "block").agg(
         F.count("*").alias("n"), F.min(place).alias("first"), F.max("size").alias("size"),
-        F.max("varied").alias("varied"))
+        F.max("varied").alias("varied")), "distinct")
     plain = distinct.where(~F.col("varied")).select(
         "key", "block", F.lit(0).cast("long").alias("low"),
         (F.col("size") - 1).alias("high"), "n", "first")
