@@ -111,3 +111,64 @@ def test_slices_hold_every_document():
     assert [m["no"].to_pylist() for m in made] == [[0, 1], [2], [3, 4, 5, 6], [7], [8]]
     assert [t for m in made for t in m["terms"].to_pylist()] == lists
     assert list(source_audit.slices(batch.slice(0, 0))) == []
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 1 << 20])
+def test_terms_of_many_texts(monkeypatch, size):
+    monkeypatch.setattr(source_audit, "BYTES", size)
+    texts = ["", "A b", "", "cÉ", "É", "x", "", "1", "\0Zz\x7f@[`{aé\u2028b", "é" * 9, "tail "]
+    array = pa.array(["before", *texts, "after"]).slice(1, len(texts))
+    assert source_audit.terms_of(array).to_pylist() == [terms(t) for t in texts]
+    assert source_audit.terms_of(array.slice(0, 1)).to_pylist() == [[]]
+    assert source_audit.terms_of(array.slice(0, 0)).to_pylist() == []
+    assert source_audit.terms_of(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_document_counts_leave_a_task_summed(spark):
+    rows = [(i, "one two ONE", "en", str(i % 7), "") for i in range(500)] + [
+        (500, None, "en", "", ""), (501, "two", None, "", "")]
+    found = source_audit.document_counts(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+    assert sorted(map(tuple, found.collect())) == [
+        ("", "two", 1), ("en", "one", 500), ("en", "two", 500)]
+
+
+def test_bytes_that_are_no_text(spark):
+    docs = spark.sql("SELECT id AS doc_id, CAST(X'6120ff4220c3' AS STRING) AS text, 'en' AS lang, "
+                     "CAST(id % 2 AS STRING) AS source FROM range(20)")
+    found = audit_sources(docs).where("part = 'pair'").collect()
+    assert [(r.source, r.item, r.value) for r in sorted(found)] == [("0", "1", 0), ("1", "0", 0)]
+    kept = {r.term for r in source_audit.kept_terms(docs, 20).collect()}
+    assert kept == {"a", "\ufffdb", "\ufffd"}
+
+
+@pytest.mark.parametrize("seed", [0, 3])
+def test_places_of_a_shard_with_its_own_seed(seed):
+    words = [f"é{i}" for i in range(50)]
+    hashes = term_hashes(words, seed)
+    seeds = perfect_hash(hashes)
+    slots = place(hashes, seeds[buckets(hashes, len(seeds))], len(words))
+    stored = [words[i] for i in np.argsort(slots)]
+    held = source_audit.Shards(pa.table({"lang": ["en"], "n_shards": [1], "shard": [0],
+                                         "seed": [seed], "seeds": [seeds], "terms": [stored]}))
+    found = held.places("en", pa.array(["other", *words, "é"]))
+    assert list(found) == [-1, *slots, -1]
+
+
+def test_batches_for_python_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(source_audit, "BATCH", 1000)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = spark.range(0, 200, 1, 1).selectExpr("repeat('x', 100) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows])], names=["n"])
+
+    def failing(batches):
+        raise ValueError
+
+    table = source_audit.written(texts.mapInArrow(sizes, "n long"), "sizes")
+    found = [r.n for r in table.collect()]
+    assert sum(found) == 200 and max(found) < 20
+    with pytest.raises(Exception):
+        source_audit.written(texts.mapInArrow(failing, "n long"), "failing")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before

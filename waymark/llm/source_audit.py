@@ -2,7 +2,8 @@
 recount.
 
 1. First pass: the number of documents of every (language, term), exactly, combined before the
-   shuffle. Terms in fewer than ``LEAST_DOCUMENTS`` go away.
+   shuffle. Terms in fewer than ``LEAST_DOCUMENTS`` go away. Both passes cut texts into terms by
+   their bytes, for many documents at once.
 2. The kept terms of a language are dealt to shards of about ``SHARD`` terms; every shard gets
    a minimal perfect hash (buckets with a displacement each) and stores its terms in slot
    order, so that a term that was not kept is told from the kept one in its slot.
@@ -24,13 +25,14 @@ other columns do not matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from waymark.llm.common import text_or_empty
@@ -41,30 +43,114 @@ TOP = 10
 SHARD = 4096
 BROADCAST_BYTES = 32 << 20
 CELLS = 8 << 20  # places of dense vectors a task holds before it gives them out
-SLICE = 1 << 18  # terms that a task looks up at once; a longer document is a slice
+SLICE = 4 << 20  # bytes of text whose terms a task holds at once; a longer document is a slice
+BATCH = 4 << 20  # bytes of a batch between Spark and Python; a longer row is a batch
+BYTES = 1 << 20  # bytes of text that are cut into terms at once
 BLOCK = 128
 SCALE = 1_000_000_000
-NOT_A_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# What each byte of a text is in a term, 0 if between terms; only A to Z are lower-cased.
+IN_TERM = np.array([b if b >= 0x80 or chr(b).isalpha() else 0 for b in bytes(range(256)).lower()],
+                   np.uint8)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def terms_of(text: Column) -> Column:
-    """The terms of a text as an array; only A to Z are lower-cased."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_remove(F.split(lower, NOT_A_TERM), "")
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a written table. Its Python steps get batches of ``BATCH`` bytes: an executor
+    holds those of all its tasks several times, outside its heap."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(BATCH))
+    try:
+        return materialize(df, label)
+    finally:
+        conf.set(key, before)
+
+
+def terms_of(texts: pa.StringArray) -> pa.ListArray:
+    """The terms of each text. All that separates terms is ASCII, so that bytes tell them."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+    ends = ends - ends[0]
+    kept, offsets, limits = np.empty(len(data), np.uint8), [], np.zeros(len(ends), np.int32)
+    size = count = 0
+    before = False
+    for low in range(0, len(data), BYTES):
+        cut = IN_TERM[data[low:low + BYTES]]
+        inside = cut != 0
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        first[0] &= not before
+        a, b = np.searchsorted(ends, (low, low + len(cut)))
+        opened = ends[a:b] - low  # a text begins a term of its own
+        first[opened] = inside[opened]
+        at = np.flatnonzero(first)
+        limits[a:b] = np.searchsorted(at, opened) + count
+        places = np.cumsum(inside, dtype=np.int32)
+        offsets.append(places[at] + np.int32(size - 1))
+        kept[size:size + places[-1]] = cut[inside]
+        size, count, before = size + int(places[-1]), count + len(at), inside[-1]
+    limits[np.searchsorted(ends, len(data)):] = count
+    offsets = np.concatenate([*offsets, np.array([size], np.int32)])
+    terms = pa.StringArray.from_buffers(count, pa.py_buffer(offsets), pa.py_buffer(kept[:size]))
+    return pa.ListArray.from_arrays(pa.array(limits), terms)
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """``(lang, source, text)`` per document, without nulls."""
+    return docs.select(text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"),
+                       F.make_valid_utf8(text_or_empty()).alias("text"))
 
 
-def tokenized(docs: DataFrame) -> DataFrame:
-    """``(lang, source, terms)`` per document."""
-    return docs.select(text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"),
-                       terms_of(text_or_empty()).alias("terms"))
+def slices(batch: pa.RecordBatch, size: int = SLICE,
+           column: str = "terms") -> Iterator[pa.RecordBatch]:
+    """The documents of a batch, so many that they hold up to ``size`` terms, or bytes of text."""
+    held = batch.column(column)
+    length = pc.list_value_length if pa.types.is_list(held.type) else pc.binary_length
+    ends = np.cumsum(length(held).to_numpy(), dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """``(lang, sources, lengths, terms)`` for some documents of a language at a time, sorted by
+    source: their sources, numbers of terms, and terms in one dictionary-encoded array."""
+    for batch in batches:
+        batch = batch.sort_by([("lang", "ascending"), ("source", "ascending")])
+        for part in slices(batch, SLICE, "text"):
+            start = 0
+            for lang, same in groupby(part["lang"].to_pylist()):
+                own = part.slice(start, len(list(same)))
+                start += own.num_rows
+                lists = terms_of(own["text"].cast(pa.string()))
+                yield (lang, own["source"].to_pylist(), pc.list_value_length(lists).to_numpy(),
+                       lists.flatten().dictionary_encode())
+
+
+def document_counts(docs: DataFrame) -> DataFrame:
+    """``(lang, term, n)``: in how many documents the terms are; partial sums, a row per term and
+    slice."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, _, lengths, terms in tokenized(batches):
+            size = len(terms.dictionary)
+            if size:
+                owner = np.repeat(np.arange(len(lengths), dtype=np.int64) * size, lengths)
+                pairs = np.sort(owner + terms.indices.to_numpy())  # of document and term
+                found = pairs[np.diff(pairs, prepend=-1) != 0] % size
+                yield pa.record_batch([pa.repeat(lang, size), terms.dictionary,
+                                       pa.array(np.bincount(found, minlength=size), pa.int64())],
+                                      names=["lang", "term", "n"])
+
+    return texts_of(docs).mapInArrow(count, "lang string, term string, n long")
 
 
 def kept_terms(docs: DataFrame, least: int) -> DataFrame:
     """``(lang, term)`` for the terms in at least so many documents of their language."""
-    each = tokenized(docs).select("lang", F.explode(F.array_distinct("terms")).alias("term"))
-    return each.groupBy("lang", "term").agg(F.count("*").alias("n")).where(
+    return document_counts(docs).groupBy("lang", "term").agg(F.sum("n").alias("n")).where(
         F.col("n") >= least).select("lang", "term")
 
 
@@ -119,9 +205,8 @@ def perfect_hash(hashes: np.ndarray) -> np.ndarray:
     return seeds
 
 
-def term_hashes(terms: list[str], seed: int = 0) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8"), seed) for t in terms),
-                       np.uint64, len(terms))
+def term_hashes(terms: list[str] | list[bytes], seed: int = 0) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(t, seed) for t in terms), np.uint64, len(terms))
 
 
 def shards_of(hashes: np.ndarray, count: int) -> np.ndarray:
@@ -130,7 +215,8 @@ def shards_of(hashes: np.ndarray, count: int) -> np.ndarray:
 
 def hash_shards(terms: DataFrame) -> DataFrame:
     """``(lang, n_shards, shard, seed, seeds, terms)``: a perfect hash per shard, its terms in
-    slot order. ``seed`` is the hash seed under which the terms of the shard differ."""
+    slot order. ``seed`` is the hash seed under which the terms of the shard differ, mostly 0,
+    the one by which terms are dealt."""
     sizes = terms.groupBy(F.col("lang").alias("_lang")).agg(
         F.ceil(F.count("*") / SHARD).cast("int").alias("n_shards"))
     sized = terms.join(sizes, F.col("lang") == F.col("_lang")).select("lang", "n_shards", "term")
@@ -144,14 +230,14 @@ def hash_shards(terms: DataFrame) -> DataFrame:
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         found, seed = sorted(group["term"], key=lambda t: t.encode("utf-8")), 0
-        while len(np.unique(hashes := term_hashes(found, seed + 1))) < len(found):
+        while len(np.unique(hashes := term_hashes(found, seed))) < len(found):
             seed += 1
         seeds = perfect_hash(hashes)
         slots = place(hashes, seeds[buckets(hashes, len(seeds))], len(found))
         ordered = np.empty(len(found), object)
         ordered[slots] = found
         first = group.iloc[0]
-        return pd.DataFrame([(first["lang"], first["n_shards"], first["shard"], seed + 1, seeds,
+        return pd.DataFrame([(first["lang"], first["n_shards"], first["shard"], seed, seeds,
                               ordered)],
                             columns=["lang", "n_shards", "shard", "seed", "seeds", "terms"])
 
@@ -181,14 +267,15 @@ class Shards:
         """The place of each term in the language's vector, -1 for terms that are not here."""
         result = np.full(len(terms), -1, np.int64)
         n_shards, found = self.langs[lang]
-        words = terms.to_pylist()
-        shard_of = shards_of(term_hashes(words), n_shards)
+        words = terms.cast(pa.binary()).to_pylist()
+        dealt_by = term_hashes(words)
+        shard_of = shards_of(dealt_by, n_shards)
         order = np.argsort(shard_of, kind="stable")
         limits = np.searchsorted(shard_of[order], np.arange(n_shards + 1))
         for shard, (start, seed, seeds, stored) in found.items():
             at = order[limits[shard]:limits[shard + 1]]
             if len(at):
-                hashes = term_hashes([words[i] for i in at], seed)
+                hashes = term_hashes([words[i] for i in at], seed) if seed else dealt_by[at]
                 slots = place(hashes, seeds[buckets(hashes, len(seeds))], len(stored))
                 same = pc.equal(stored.take(pa.array(slots)), terms.take(pa.array(at)))
                 same = same.to_numpy(zero_copy_only=False)
@@ -239,17 +326,6 @@ class DenseCounts:
         self.vectors, self.cells = {}, 0
 
 
-def slices(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The documents of a batch, so many that they hold up to ``size`` terms."""
-    ends = np.cumsum(pc.list_value_length(batch.column("terms")).to_numpy())
-    start = 0
-    while start < len(ends):
-        before = ends[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def recount(docs: DataFrame, shards: pa.Table) -> DataFrame:
     """``(lang, source, shard, slots, counts)``: how often the terms of some shards occur;
     partial sums of tasks."""
@@ -258,31 +334,23 @@ def recount(docs: DataFrame, shards: pa.Table) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Shards(shared.value)
         counts = DenseCounts(held)
-        for batch in (part for whole in batches for part in slices(whole)):
-            lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
-            terms = batch.column("terms").flatten()
-            owner = np.repeat(np.arange(batch.num_rows),
-                              pc.list_value_length(batch.column("terms")).to_numpy())
-            lang_of, source_of = lang.indices.to_numpy()[owner], source.indices.to_numpy()[owner]
-            order = np.lexsort((source_of, lang_of))
-            sources = source.dictionary.to_pylist()
-            for no, name in enumerate(lang.dictionary.to_pylist()):
-                low, high = np.searchsorted(lang_of, (no, no + 1), sorter=order)
-                if name not in held.langs or low == high:
-                    continue
-                own = terms.take(pa.array(order[low:high])).dictionary_encode()
-                found = held.places(name, own.dictionary)[own.indices.to_numpy()]
-                by_source = source_of[order[low:high]]
-                limits = np.searchsorted(by_source, np.arange(len(sources) + 1))
-                for origin, a, b in zip(sources, limits, limits[1:]):
-                    here = found[a:b]
-                    if len(here):
-                        counts.add(name, origin, here[here >= 0])
+        for lang, sources, lengths, terms in tokenized(batches):
+            if lang not in held.langs or not len(terms):
+                continue
+            found = held.places(lang, terms.dictionary)[terms.indices.to_numpy()]
+            ends = np.cumsum(lengths)
+            start = doc = 0
+            for source, same in groupby(sources):
+                doc += len(list(same))
+                here = found[start:ends[doc - 1]]
+                start = ends[doc - 1]
+                if len(here):
+                    counts.add(lang, source, here[here >= 0])
                 if counts.cells > cells:
                     yield from counts.give_out()
         yield from counts.give_out()
 
-    return tokenized(docs).mapInArrow(run, _COUNTS)
+    return texts_of(docs).mapInArrow(run, _COUNTS)
 
 
 def summed(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -332,8 +400,7 @@ def counted(docs: DataFrame, shards: DataFrame, broadcast_bytes: int) -> DataFra
     found = None
     for turn in range(passes):
         held = dealt.where(F.col("turn") == turn).drop("turn").toArrow().combine_chunks()
-        part = materialize(summed(recount(docs, held), ("lang", "source", "shard")),
-                           "term-counts")
+        part = written(summed(recount(docs, held), ("lang", "source", "shard")), "term-counts")
         found = part if found is None else found.union(part)
     return found
 
@@ -393,7 +460,7 @@ def audit_sources(docs: DataFrame, least: int = LEAST_DOCUMENTS,
     """``(lang, source, part, item, value, rank)``: per source its distance from the other
     sources of the language (part ``pair``) and the ten terms it has most in excess of the
     language (part ``term``)."""
-    shards = materialize(hash_shards(kept_terms(docs, least)), "term-hashes")
+    shards = written(hash_shards(kept_terms(docs, least)), "term-hashes")
     counts = counted(docs, shards, broadcast_bytes)
     in_lang = F.col("lang") == F.col("_lang")
     sizes = shards.groupBy(F.col("lang").alias("_lang")).agg(
@@ -402,15 +469,15 @@ def audit_sources(docs: DataFrame, least: int = LEAST_DOCUMENTS,
     sums = counts.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(
         F.sum(each).alias("n"))
     by_name = W.partitionBy("lang").orderBy("source")
-    groups = (tokenized(docs).select("lang", "source").distinct()
+    groups = (texts_of(docs).select("lang", "source").distinct()
               .join(sums, in_lang & (F.col("source") == F.col("_source")), "left")
               .select("lang", "source", F.coalesce("n", F.lit(0).cast("long")).alias("n"),
                       (F.row_number().over(by_name) - 1).alias("no")))
-    groups = materialize(groups, "sources")
+    groups = written(groups, "sources")
     langs = groups.groupBy(F.col("lang").alias("_lang")).agg(
         F.sum("n").alias("whole"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
     ).join(sizes, "_lang")
-    langs = materialize(langs, "languages")
+    langs = written(langs, "languages")
 
     def row(no, slots, counts, n, v, terms):
         def typed(value, kind):
@@ -442,7 +509,7 @@ def audit_sources(docs: DataFrame, least: int = LEAST_DOCUMENTS,
              .select("lang", "shard", F.least("one", "two").alias("low"),
                      F.greatest("one", "two").alias("high"), "no", "slots", "counts", "n", "v",
                      "terms"))
-    found = materialize(units.groupBy("lang", "shard", "low", "high").applyInPandas(
+    found = written(units.groupBy("lang", "shard", "low", "high").applyInPandas(
         lambda unit: compare_shard(unit, size), _FOUND), "differences")
 
     between = found.where(F.col("b").isNotNull()).groupBy(
