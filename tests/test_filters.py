@@ -78,6 +78,81 @@ def test_unknown_counters_have_no_members(spark):
     assert hits(asked, filters) == 0
 
 
+def shuffled_rows(df):
+    """Rows that all shuffles of ``df`` write."""
+    df.collect()
+
+    def below(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            inner = [node.executedPlan()]
+        elif kind.endswith("QueryStageExec"):
+            inner = [node.plan()]
+        else:
+            children = node.children()
+            inner = [children.apply(i) for i in range(children.size())]
+        written = node.metrics().get("shuffleRecordsWritten")
+        return (written.get().value() if written.isDefined() else 0) + sum(map(below, inner))
+
+    return below(df._jdf.queryExecution().executedPlan())
+
+
+def test_rows_are_moved_once_whatever_the_bits_and_stages(spark):
+    """A user or a probe is one row in a shuffle, not one per hash, stage and filter."""
+    left = add_users(None, users(spark, 0, 6000), settings(spark, 50, 0.001))
+    assert left.stages.count() == 7
+    assert shuffled_rows(left.words) < 1.1 * 6000
+    right = add_users(None, users(spark, 5000, 9000), settings(spark, 70, 0.001), "other")
+    path = new_path(spark, "both")
+    store_filters(united(left, right), path)
+    found = in_growing(users(spark, 3000, 13_000), stored_filters(spark, path))
+    assert shuffled_rows(found) < 1.1 * 10_000
+    assert found.where("member").count() >= 6000
+
+
+def test_stages_of_many_parts(spark):
+    path = new_path(spark, "parts")
+    filters = add_users(None, users(spark, 0, 60_000), settings(spark, 40_000, 1e-6))
+    store_filters(filters, path)
+    filters = add_users(stored_filters(spark, path), users(spark, 50_000, 90_000),
+                        settings(spark, 40_000, 1e-6))
+    parts = {r["stage"]: r["parts"] for r in stage_plans(filters.stages).collect()}
+    assert parts == {0: 64, 1: 128}
+    assert filters.words.count() == 64 + 128
+    assert filters.words.where("length(words) > 4096").count() == 0
+    assert hits(users(spark, 0, 90_000), filters) == 90_000
+    assert hits(users(spark, 100_000, 200_000), filters) <= 3
+
+
+def test_an_overfull_filter_is_built_in_pieces(spark):
+    """More users of one part than are built at once, and more probes than are read at once."""
+    full = add_users(None, users(spark, 0, 150_000), settings(
+        spark, 20_000, 0.01, "bloom_fixed_size"))
+    halves = [add_users(None, users(spark, *ends), settings(
+        spark, 20_000, 0.01, "bloom_fixed_size")) for ends in ((0, 70_000), (70_000, 150_000))]
+    words = [{r["part"]: r["words"] for r in f.words.collect()} for f in (full, *halves)]
+    assert words[0].keys() == set(range(8))
+    for part, found in words[0].items():
+        assert found == bytearray(a | b for a, b in zip(words[1][part], words[2][part]))
+    few = add_users(None, users(spark, 0, 20), settings(spark, 30, 0.000001))
+    assert hits(users(spark, 0, 150_000), few) == 20
+
+
+def test_probes_without_a_name_or_user(spark):
+    filters = add_users(None, users(spark, 0, 10), settings(spark, 10, 0.0001))
+    rows = [("n", "e", "3", 1), ("n", "e", "77", 2), (None, "e", "3", 3), ("n", None, "3", None),
+            ("n", "e", None, 5), ("n", "x", "3", 6)]
+    asked = spark.createDataFrame(rows, "namespace string, event_name string, user_id string, "
+                                        "asked int")
+    found = in_growing(asked, filters)
+    assert found.columns == [*PROBE, "asked", "member"]
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(
+        str((*row, row[3] == 1)) for row in rows)
+    # Users without an id are counted as before, but nobody can ask for them.
+    nobody = add_users(None, asked.select(*PROBE), settings(spark, 10, 0.0001))
+    assert {r["event_name"]: r["users"] for r in nobody.stages.collect()} == {"e": 3, "x": 1}
+
+
 def test_ranks_by_range(spark):
     from waymark.operators.counters import ranked_events
     rows = [(n, f"e{i}", "named", None, None, i % 7) for n in ("a", "b") for i in range(300)]

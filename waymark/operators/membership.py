@@ -13,8 +13,11 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
+from waymark.operators import filter_parts
 from waymark.operators.cohorts import FIXED_SIZE
+from waymark.operators.filter_parts import AT_ONCE, PART_BITS, USERS_AT_ONCE
 from waymark.schemas import NAMED
 from waymark.storage import materialize
 
@@ -101,13 +104,19 @@ def probably_done(probes: DataFrame, filters: DataFrame, plans: DataFrame) -> Da
 
 # Stage k of a growing filter holds twice as many users as the one before it and errs half as
 # often, so that all stages together stay below the counter's error probability.
+#
+# A stage is cut into parts, a power of two, and a user has all its bits in the part its hash
+# begins with. The parts of all stages that may hold a user thus lie in one range of hashes: a
+# probe is sent to its range once and read against all stages there, and a range is as small as
+# the largest stage and the number of probes demand.
 SLACK = 1.1  # users are dealt to stages by hash, so a stage may get a few per cent more
 GROWING = [*COUNTER, "origin", "stage"]
 _SETTINGS = ["kind", "size", "error_probability"]
 
 
 def stage_plans(stages: DataFrame) -> DataFrame:
-    """``stages`` (with ``kind, size, error_probability``) with ``bits`` and ``hashes``."""
+    """``stages`` (with ``kind, size, error_probability``) with ``bits``, ``hashes`` and
+    ``parts``."""
     size = F.greatest(F.col("size"), F.lit(1))
     capacity = size * F.pow(F.lit(2.0), F.col("stage"))
     share = F.when(F.col("kind") == FIXED_SIZE, F.lit(1.0)).otherwise(
@@ -115,28 +124,63 @@ def stage_plans(stages: DataFrame) -> DataFrame:
     bits = F.ceil(-capacity * SLACK * F.log(F.col("error_probability") * share)
                   / math.log(2) ** 2)
     return stages.select(*stages.columns, bits.cast("long").alias("bits"), F.greatest(
-        F.lit(1), F.round(bits / (capacity * SLACK) * math.log(2))).cast("int").alias("hashes"))
+        F.lit(1), F.round(bits / (capacity * SLACK) * math.log(2))).cast("int").alias("hashes"),
+        _power_of_two(bits / PART_BITS).alias("parts"))
+
+
+def _power_of_two(least: Column) -> Column:
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(least, F.lit(1))))).cast("long")
 
 
 @dataclass(frozen=True)
 class GrowingFilters:
     """``stages``: ``(namespace, event_name, origin, stage, users, kind, size,
-    error_probability)``; ``words``: their bits ``(…, word, bits)``. ``origin`` tells filters
-    apart that were built independently and then put together."""
+    error_probability)``; ``words``: the bytes of their parts ``(…, part, words)``, without
+    those that have no users. ``origin`` tells filters apart that were built independently and
+    then put together."""
 
     stages: DataFrame
     words: DataFrame
 
 
-def _bits_of(users: DataFrame, plans: DataFrame, keys: list[str]) -> DataFrame:
-    """``users`` with one row per bit of the planned filters: ``word`` and ``bit``."""
-    position = F.col("position")
-    places = F.transform(F.sequence(F.lit(1), F.col("hashes")),
-                         lambda i: F.pmod(F.xxhash64("user_id", i), F.col("bits")))
-    return (users.join(plans.select(*GROWING, "bits", "hashes"), keys)
-            .withColumn("position", F.explode(places))
-            .withColumn("word", (position / 64).cast("long")).withColumn("bit", _bit(position))
-            .drop("bits", "hashes", "position"))
+def _part_plans(stages: DataFrame) -> DataFrame:
+    """What the parts of ``stages`` are like; written, so that its size is known."""
+    plans = stage_plans(stages).where(F.col("bits").isNotNull())
+    return materialize(plans.select(
+        *GROWING, "users", "parts", F.ceil(F.col("bits") / F.col("parts")).alias("part_bits"),
+        "hashes"), "filter-plans")
+
+
+def _range_of(hash_: Column, ranges: Column) -> Column:
+    """Which of ``ranges`` equal ranges, a power of two, a hash lies in."""
+    return F.shiftright(F.shiftrightunsigned(hash_, 34) * ranges, 30)
+
+
+def _words_of(users: DataFrame, stages: DataFrame) -> DataFrame:
+    """The parts that ``users``, dealt to ``stages``, fill. Neighbouring parts are built
+    together; the users of an overfull stage are dealt to several builds of the same parts."""
+    keys, hash_ = [*GROWING, "block", "build"], F.xxhash64("user_id")
+    blocks = F.ceil(F.col("parts") / AT_ONCE)
+    builds = F.ceil(F.col("users") / (blocks * USERS_AT_ONCE))
+    plans = _part_plans(stages).select("*", blocks.alias("blocks"), builds.alias("builds"))
+    # The hash is made after the shuffle: there it takes no room.
+    dealt = users.join(plans, GROWING).select(
+        *GROWING, F.floor(_range_of(hash_, F.col("parts")) / AT_ONCE).alias("block"),
+        F.pmod(F.xxhash64(F.lit("build"), "user_id"), F.col("builds")).alias("build"),
+        "user_id").repartition(*keys).select(*keys, hash_.alias("hash"))
+    wanted = plans.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        *GROWING, "block", F.explode(F.sequence(F.lit(0), F.col("builds") - 1)).alias("build"),
+        "parts", "part_bits", "hashes")
+    return _merged(dealt.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(
+        filter_parts.built, "namespace string, event_name string, origin string, stage int, "
+        "part long, words binary"))
+
+
+def _merged(words: DataFrame) -> DataFrame:
+    """One row per part; the bytes of a part have one length."""
+    return words.groupBy(*GROWING, "part").agg(
+        F.bitmap_or_agg("words").alias("_united"), F.max(F.length("words")).alias("_length")
+    ).select(*GROWING, "part", F.substring("_united", F.lit(1), F.col("_length")).alias("words"))
 
 
 def add_users(filters: GrowingFilters | None, users: DataFrame, settings: DataFrame,
@@ -151,8 +195,7 @@ def add_users(filters: GrowingFilters | None, users: DataFrame, settings: DataFr
     """
     added = users.select(*PROBE).distinct()
     if filters:
-        member = in_growing(added, filters).where("member").select(*PROBE)
-        added = added.join(member, PROBE, "left_anti")
+        added = in_growing(added, filters).where(~F.col("member")).select(*PROBE)
     added = materialize(added, "filter-users")
     counts = added.groupBy(*COUNTER).agg(F.count("*").alias("_new"))
     if filters:
@@ -164,26 +207,25 @@ def add_users(filters: GrowingFilters | None, users: DataFrame, settings: DataFr
     else:
         counts = counts.withColumn("_held", F.lit(0))
         settled = [F.col(c) for c in _SETTINGS]
-    plan = counts.join(settings, COUNTER, "left").select(
-        *COUNTER, "_new", F.coalesce("_held", F.lit(0)).alias("_held"), *settled)
+    plan = materialize(counts.join(settings, COUNTER, "left").select(
+        *COUNTER, "_new", F.coalesce("_held", F.lit(0)).alias("_held"), *settled), "filter-counts")
     size = F.greatest(F.col("size"), F.lit(1))
     share = (F.pmod(F.xxhash64(F.lit("place"), "user_id"), F.lit(1 << 30)) + 0.5) / (1 << 30)
     place = F.col("_held") + share * F.col("_new")
     stage = F.when(F.col("kind") == FIXED_SIZE, F.lit(0)).otherwise(
         F.floor(F.log2(place / size + 1))).cast("int")
-    dealt = materialize(added.join(plan, COUNTER).select(
-        *PROBE, F.lit(origin).alias("origin"), stage.alias("stage"), *_SETTINGS), "filter-stages")
-    new = dealt.groupBy(*GROWING).agg(F.count("*").alias("users"),
-                                      *(F.first(c).alias(c) for c in _SETTINGS))
-    plans = stage_plans(new)
-    words = (_bits_of(dealt.select(*PROBE, "origin", "stage"), plans, GROWING)
-             .groupBy(*GROWING, "word").agg(F.bit_or("bit").alias("bits")))
+    dealt = added.join(plan, COUNTER).select(
+        *PROBE, F.lit(origin).alias("origin"), stage.alias("stage"), *_SETTINGS)
+    # Few rows are left for the second aggregation, which has to sort them.
+    new = materialize(dealt.groupBy(*GROWING, *_SETTINGS).agg(F.count("*").alias("users")).groupBy(
+        *GROWING).agg(F.sum("users").alias("users"), *(F.first(c).alias(c) for c in _SETTINGS)),
+        "filter-stages")
+    words = _words_of(dealt.select(*PROBE, "origin", "stage"), new)
     if not filters:
         return GrowingFilters(new, words)
     stages = filters.stages.unionByName(new).groupBy(*GROWING).agg(
         F.sum("users").alias("users"), *(F.first(c).alias(c) for c in _SETTINGS))
-    return GrowingFilters(stages, filters.words.unionByName(words).groupBy(
-        *GROWING, "word").agg(F.bit_or("bits").alias("bits")))
+    return GrowingFilters(stages, _merged(filters.words.unionByName(words)))
 
 
 def united(left: GrowingFilters, right: GrowingFilters) -> GrowingFilters:
@@ -194,15 +236,35 @@ def united(left: GrowingFilters, right: GrowingFilters) -> GrowingFilters:
 
 
 def in_growing(probes: DataFrame, filters: GrowingFilters) -> DataFrame:
-    """Probes (distinct rows) with ``member``: in any stage of their counter's filters."""
-    plans = stage_plans(filters.stages)
-    asked = _bits_of(probes.select(*PROBE), plans, COUNTER)
-    found = asked.join(filters.words, [*GROWING, "word"], "left")
-    set_bit = F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))
-    hits = (found.groupBy(*PROBE, "origin", "stage").agg(F.bool_and(set_bit).alias("hit"))
-            .where("hit").select(*PROBE).distinct().withColumn("_hit", F.lit(True)))
-    return probes.join(hits, PROBE, "left").select(
-        *probes.columns, F.coalesce("_hit", F.lit(False)).alias("member"))
+    """Probes (distinct rows) with ``member``: in any stage of their counter's filters.
+
+    A probe without a counter's filters or without a user is in none.
+    """
+    asked, plans = materialize(probes, "filter-probes"), _part_plans(filters.stages)
+    largest = plans.groupBy(*COUNTER).agg(F.max("parts").alias("_parts"))
+    ranges = materialize(
+        asked.groupBy(*COUNTER).agg(F.count("*").alias("_probes")).join(largest, COUNTER).select(
+            *COUNTER, _power_of_two(F.greatest(
+                F.col("_probes") / USERS_AT_ONCE, F.col("_parts") / AT_ONCE)).alias("_ranges")),
+        "filter-ranges")
+    keys, hash_ = [*COUNTER, "_range"], F.xxhash64("user_id")
+    sent = asked.join(ranges, COUNTER, "left").select(
+        *probes.columns, _range_of(hash_, F.col("_ranges")).alias("_range"))
+    in_one = F.col("_range").isNotNull() & F.col("user_id").isNotNull()
+    # A part may be larger than a range or smaller.
+    first = F.col("part") * F.col("_ranges")
+    last = first + F.col("_ranges") - 1
+    parts = filters.words.join(plans, GROWING).join(ranges, COUNTER).select(
+        *keys[:-1], "origin", "stage", "part", "words", "parts", "part_bits", "hashes",
+        F.explode(F.sequence(F.floor(first / F.col("parts")), F.floor(last / F.col("parts"))))
+        .alias("_range"))
+    # Here, too, the hash of the shuffled rows is made after the shuffle.
+    found = sent.where(in_one).repartition(*keys).withColumn("_hash", hash_)
+    schema = T.StructType([*probes.schema.fields, T.StructField("member", T.BooleanType())])
+    answers = found.groupBy(*keys).cogroup(parts.groupBy(*keys)).applyInArrow(
+        filter_parts.looked_up(probes.columns), schema)
+    return answers.unionByName(sent.where(~in_one).select(
+        *probes.columns, F.lit(False).alias("member")))
 
 
 def store_filters(filters: GrowingFilters, path: str) -> None:
